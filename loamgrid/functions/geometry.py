@@ -53,6 +53,18 @@ def box(minx, miny, maxx, maxy) -> Column:
 
 
 # --------------------------------------------------------------------- helpers
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once: a lambda over a one-element array.
+
+    Without it every mention of a nested value is a copy of its whole expression.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def let2(a: Column, b: Column, fn) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda t: fn(t["a"], t["b"]))
+
+
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(ZERO), lambda acc, v: acc + v)
 
@@ -127,7 +139,10 @@ def _part_area(rings: Column, radius: float) -> Column:
 
 def area(geom, radius: float = RADIUS_LAYER) -> Column:
     """Polygon area, holes removed; 0 for anything else."""
-    g = _col(geom)
+    return let(_col(geom), lambda g: _area(g, radius))
+
+
+def _area(g: Column, radius: float) -> Column:
     total = _sum(F.transform(g["parts"], lambda p: _part_area(p, radius)))
     return F.coalesce(F.when(_is(g, "Polygon", "MultiPolygon"), total), F.lit(ZERO))
 
@@ -138,7 +153,10 @@ def _ring_sum(g: Column, fn) -> Column:
 
 def length(geom, radius: float = RADIUS_LAYER) -> Column:
     """Line length, or the closed perimeter of every ring of a polygon."""
-    g = _col(geom)
+    return let(_col(geom), lambda g: _length(g, radius))
+
+
+def _length(g: Column, radius: float) -> Column:
     return F.coalesce(
         F.when(_is(g, "LineString", "MultiLineString"), _ring_sum(g, lambda r: line_length(r, radius))).when(
             _is(g, "Polygon", "MultiPolygon"), _ring_sum(g, lambda r: line_length(closed(r), radius))
@@ -149,7 +167,10 @@ def length(geom, radius: float = RADIUS_LAYER) -> Column:
 
 def perimeter(geom, radius: float = RADIUS_LAYER) -> Column:
     """Polygons only."""
-    g = _col(geom)
+    return let(_col(geom), lambda g: _perimeter(g, radius))
+
+
+def _perimeter(g: Column, radius: float) -> Column:
     return F.coalesce(
         F.when(_is(g, "Polygon", "MultiPolygon"), _ring_sum(g, lambda r: line_length(closed(r), radius))),
         F.lit(ZERO),
@@ -177,6 +198,10 @@ def _mean_vertex(vertices: Column) -> Column:
 
 def _weighted(items: Column) -> Column:
     """Weighted mean of array<struct<x,y,w>>; the first item when all weights are 0."""
+    return let(items, _weighted_mean)
+
+
+def _weighted_mean(items: Column) -> Column:
     w = _sum(F.transform(items, lambda i: i["w"]))
     first = F.get(items, F.lit(0))
     return F.when(
@@ -195,6 +220,10 @@ def _triple(x: Column, y: Column, w: Column) -> Column:
 
 
 def _line_centroid(vertices: Column) -> Column:
+    return let(vertices, _line_mean)
+
+
+def _line_mean(vertices: Column) -> Column:
     mids = F.transform(
         _pairs(vertices),
         lambda p: _triple(
@@ -203,17 +232,26 @@ def _line_centroid(vertices: Column) -> Column:
             _segment_length(p["s"], p["e"], RADIUS_LAYER),
         ),
     )
-    total = _sum(F.transform(mids, lambda m: m["w"]))
-    return F.when((F.size(mids) > 0) & (total > 0), _weighted(mids)).otherwise(F.get(vertices, F.lit(0)))
+    return let(
+        mids,
+        lambda m: F.when(_sum(F.transform(m, lambda i: i["w"])) > 0, _weighted(m)).otherwise(F.get(vertices, F.lit(0))),
+    )
 
 
 def _polygon_centroid(rings: Column) -> Column:
-    ring = F.get(rings, F.lit(0))
+    return let(F.get(rings, F.lit(0)), _ring_centroid)
+
+
+def _ring_centroid(ring: Column) -> Column:
     terms = F.zip_with(
         ring,
         _rotated(ring),
         lambda a, b: _triple(a["x"] + b["x"], a["y"] + b["y"], a["x"] * b["y"] - b["x"] * a["y"]),
     )
+    return let(terms, lambda t: _planar_centroid(ring, t))
+
+
+def _planar_centroid(ring: Column, terms: Column) -> Column:
     area2 = _sum(F.transform(terms, lambda t: t["w"]))
     planar = vertex(
         F.try_divide(_sum(F.transform(terms, lambda t: t["x"] * t["w"])), area2 * 3),
@@ -228,7 +266,10 @@ def _with_weight(c: Column, w: Column) -> Column:
 
 def centroid(geom) -> Column:
     """Centroid by geometry type (see SURVEY G07)."""
-    g = _col(geom)
+    return let(_col(geom), _centroid)
+
+
+def _centroid(g: Column) -> Column:
     parts = g["parts"]
     all_first = F.flatten(F.flatten(parts))
     lines = F.filter(
@@ -254,7 +295,7 @@ def centroid(geom) -> Column:
 
 def anchor(geom) -> Column:
     """Point coordinate if there is one, else the centroid ($x/$y and nearest-neighbour origin)."""
-    return F.coalesce(representative_point(geom), centroid(geom))
+    return let(_col(geom), lambda g: F.coalesce(representative_point(g), _centroid(g)))
 
 
 def geometry_variables(geom) -> dict[str, Column]:
@@ -266,7 +307,10 @@ def geometry_variables(geom) -> dict[str, Column]:
 # ------------------------------------------------------------------ predicates
 def bbox(geom) -> Column:
     """Bounds over all vertices."""
-    v = F.flatten(F.flatten(_col(geom)["parts"]))
+    return let(F.flatten(F.flatten(_col(geom)["parts"])), _bounds)
+
+
+def _bounds(v: Column) -> Column:
     xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
     return F.when(
         F.size(v) > 0,
@@ -289,11 +333,15 @@ def bbox_intersects(a, b) -> Column:
 
 
 def point_on_segment(px, py, sx, sy, ex, ey) -> Column:
-    """Within 1e-9 of the line (cross product) and between the ends."""
+    """Within 1e-9 of the line (cross product) and between the ends.
+
+    A segment without length (the closing edge of a closed ring) holds only its own point.
+    """
     cross = (py - sy) * (ex - sx) - (px - sx) * (ey - sy)
     dot = (px - sx) * (ex - sx) + (py - sy) * (ey - sy)
     span = (ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)
-    return (F.abs(cross) <= EDGE_TOLERANCE) & (dot >= 0) & (dot <= span)
+    between = (F.abs(cross) <= EDGE_TOLERANCE) & (dot >= 0) & (dot <= span)
+    return between & ((span > 0) | ((px == sx) & (py == sy)))
 
 
 def point_in_ring(px, py, ring) -> Column:
@@ -391,7 +439,10 @@ def _proper_crossing(s1: Column, s2: Column) -> Column:
 
 def contains(outer, inner) -> Column:
     """Every vertex of ``inner`` lies in ``outer`` and no edge crosses out of it."""
-    o, i = _col(outer), _col(inner)
+    return let2(_col(outer), _col(inner), _contains)
+
+
+def _contains(o: Column, i: Column) -> Column:
     op, ip = representative_point(o), representative_point(i)
     inside = F.forall(vertices(i), lambda v: point_in_polygon(v["x"], v["y"], o))
     cut = F.exists(segments(i), lambda a: F.exists(segments(o), lambda b: _proper_crossing(a, b)))
@@ -411,32 +462,26 @@ def within(a, b) -> Column:
 
 def intersects(a, b) -> Column:
     """Bounds first, then containment either way, then any touching segment pair."""
-    a, b = _col(a), _col(b)
+    return let2(_col(a), _col(b), _intersects)
+
+
+def _intersects(a: Column, b: Column) -> Column:
+    return let2(segments(a), segments(b), lambda sa, sb: _meet(a, b, sa, sb))
+
+
+def _meet(a: Column, b: Column, sa: Column, sb: Column) -> Column:
     pa, pb = representative_point(a), representative_point(b)
     points = (pa["x"] == pb["x"]) & (pa["y"] == pb["y"])
+    touch = lambda p, segs: F.exists(  # noqa: E731 - a point on a line: no segment pair exists
+        segs, lambda t: F.coalesce(point_on_segment(p["x"], p["y"], t["s"]["x"], t["s"]["y"], t["e"]["x"], t["e"]["y"]), F.lit(False))
+    )
+    # a shape inside the other has its vertices there; otherwise boundaries meet
     exact = (
-        contains(a, b)
-        | contains(b, a)
-        | F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: segments_intersect(s, t)))
-        # a point lying on a line: no segment pair exists, so test it directly
-        | F.exists(
-            segments(b),
-            lambda t: F.coalesce(
-                point_on_segment(pa["x"], pa["y"], t["s"]["x"], t["s"]["y"], t["e"]["x"], t["e"]["y"]),
-                F.lit(False),
-            ),
-        )
-        | F.exists(
-            segments(a),
-            lambda t: F.coalesce(
-                point_on_segment(pb["x"], pb["y"], t["s"]["x"], t["s"]["y"], t["e"]["x"], t["e"]["y"]),
-                F.lit(False),
-            ),
-        )
-        | F.exists(
-            vertices(a), lambda v: point_in_polygon(v["x"], v["y"], b)
-        )
+        F.exists(vertices(a), lambda v: point_in_polygon(v["x"], v["y"], b))
         | F.exists(vertices(b), lambda v: point_in_polygon(v["x"], v["y"], a))
+        | F.exists(sa, lambda s: F.exists(sb, lambda t: segments_intersect(s, t)))
+        | touch(pa, sb)
+        | touch(pb, sa)
     )
     both_points = _is(a, "Point", "MultiPoint") & _is(b, "Point", "MultiPoint")
     return F.coalesce(

@@ -258,19 +258,39 @@ def label_text(df, template: str | None = None, field: str | None = None) -> Col
     return trim_all(F.regexp_replace(raw, r"[\r\n]+", " "))
 
 
+def to_fixed(x, places: int) -> Column:
+    """Decimal text of a non-negative double, rounded by its exact binary value, halves up.
+
+    The product with 10^places is split into head and tail (Dekker), so values
+    such as 12.8005 round by what the double holds, not by how it prints.
+    """
+    x = _col(x)
+    m = float(10**places)
+    big = x * 134217729.0
+    head = big - (big - x)
+    product = x * m
+    tail = (head * m - product) + (x - head) * m
+    n = F.floor(product + 0.5)
+    off = (product - (n - 0.5)) + tail
+    n = F.when(off < 0, n - 1).when(off >= 1, n + 1).otherwise(n).cast("bigint")
+    unit = 10**places
+    whole = F.floor(n / unit).cast("bigint")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((n - whole * unit).cast("string"), places, "0"))
+
+
 def format_distance(m) -> Column:
     """Metres below 1 km with one decimal, else kilometres with three."""
     m = _col(m)
-    return F.when(m < 1000, F.format_string("%.1f m", m)).otherwise(F.format_string("%.3f km", m / 1000))
+    return F.when(m < 1000, F.concat(to_fixed(m, 1), F.lit(" m"))).otherwise(F.concat(to_fixed(m / 1000, 3), F.lit(" km")))
 
 
 def format_area(sqm) -> Column:
     """Square metres, hectares from 1 ha, square kilometres from 1 km2."""
     a = _col(sqm)
     return (
-        F.when(a < 10000, F.format_string("%.1f m²", a))
-        .when(a < 1e6, F.format_string("%.3f ha", a / 10000))
-        .otherwise(F.format_string("%.4f km²", a / 1e6))
+        F.when(a < 10000, F.concat(to_fixed(a, 1), F.lit(" m²")))
+        .when(a < 1e6, F.concat(to_fixed(a / 10000, 3), F.lit(" ha")))
+        .otherwise(F.concat(to_fixed(a / 1e6, 4), F.lit(" km²")))
     )
 
 

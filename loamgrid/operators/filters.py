@@ -144,12 +144,12 @@ def preview(df: DataFrame, n: int = 50) -> DataFrame:
 
 
 def uniform_sample(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
-    """k rows without replacement, the k smallest seeded hashes of the id.
+    """k rows without replacement, the k smallest seeded digests of the id.
 
     Independent of row order and partitioning, so batch and stream agree; top-n
     per partition keeps k rows at most.
     """
-    ranked = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    ranked = df.withColumn("_h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))))
     return ranked.orderBy("_h", id_col).limit(k).drop("_h")
 
 
