@@ -357,20 +357,20 @@ def u01(spark, sf):
 
 
 @query("u02_merge_edits", """SELECT id, value FROM pts WHERE event_type <> 'click' UNION ALL
-  SELECT id, round(value * 2e0, 6) FROM pts WHERE event_type = 'click' AND id % 3 = 0 UNION ALL SELECT id + 100000000, value FROM pts WHERE id % 50 = 0""")
+  SELECT id, round(value * 2e0, 6) FROM pts WHERE event_type = 'click' AND value > 60 UNION ALL SELECT id + 100000000, value FROM pts WHERE value > 140""")
 def u02(spark, sf):
     p = view(spark, sf, "pts").select("id", "value", "event_type")
     shown = p.filter("event_type = 'click'")
-    kept = shown.filter("id % 3 = 0").select("id", F.round(F.col("value") * 2, 6).alias("value"))
-    added = p.filter("id % 50 = 0").select((F.col("id") + 100000000).alias("id"), "value")
+    kept = shown.filter("value > 60").select("id", F.round(F.col("value") * 2, 6).alias("value"))
+    added = p.filter("value > 140").select((F.col("id") + 100000000).alias("id"), "value")
     return E.merge_edits(p.select("id", "value"), kept.unionByName(added), shown.select("id"))
 
 
-@query("u03_u04_update_delete", "SELECT id, CASE WHEN id % 10 = 0 THEN -1e0 ELSE value END AS value FROM pts WHERE id % 7 <> 3")
+@query("u03_u04_update_delete", "SELECT id, CASE WHEN event_type = 'error' THEN -1e0 ELSE value END AS value FROM pts WHERE event_type <> 'signup'")
 def u03(spark, sf):
-    p = view(spark, sf, "pts").select("id", "value")
-    updated = E.update_cells(p, p.filter("id % 10 = 0").select("id", F.lit(-1.0).alias("value")))
-    return E.delete_rows(updated, p.filter("id % 7 = 3").select("id"))
+    p = view(spark, sf, "pts").select("id", "value", "event_type")
+    updated = E.update_cells(p.select("id", "value"), p.filter("event_type = 'error'").select("id", F.lit(-1.0).alias("value")))
+    return E.delete_rows(updated, p.filter("event_type = 'signup'").select("id"))
 
 
 # ------------------------------------------------------------------------ X: crs

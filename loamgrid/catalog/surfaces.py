@@ -330,8 +330,7 @@ def v03(spark, sf):
 
 @query("v05_v07_diffraction")
 def v05(spark, sf):
-    o = observers(spark, sf).filter(F.col("observer_id") % 10 == 0)
-    return V.diffraction(dem(spark, sf), o, freq_mhz=450.0, n_samples=32).select("observer_id", "row", "col", rnd("rx_dbm", 4).alias("rx_dbm"))
+    return V.diffraction(dem(spark, sf), observers(spark, sf), freq_mhz=450.0, n_samples=32).select("observer_id", "row", "col", rnd("rx_dbm", 4).alias("rx_dbm"))
 
 
 # ------------------------------------------------------------------ W: drainage
