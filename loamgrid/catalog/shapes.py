@@ -93,7 +93,7 @@ def g12(spark, sf):
     return s.select("id", "seq", *[rnd(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("g10_g11_point_in_polygon", """SELECT p.id, z.id AS zone FROM pts p JOIN zones z ON p.lon >= z.minx - 1e-12 AND p.lon <= z.maxx + 1e-12 AND p.lat >= z.miny - 1e-12 AND p.lat <= z.maxy + 1e-12""")
+@query("g10_g11_point_in_polygon", """SELECT p.id, z.id AS zone FROM pts p JOIN zones z ON p.lon >= z.minx AND p.lon <= z.maxx AND p.lat >= z.miny AND p.lat <= z.maxy""")
 def g10(spark, sf):
     z = J.within_join(view(spark, sf, "pts").select("id", "lon", "lat"), zones(spark, sf).select("id", "geometry"))
     return z.select("id", F.col("zone_id").alias("zone"))
@@ -123,7 +123,7 @@ def g17(spark, sf):
 
 
 # Axis-parallel boxes: overlap of closed boxes is the exact intersect test.
-BOX_HIT = "b.x <= z.maxx + 1e-12 AND b.x + b.w >= z.minx - 1e-12 AND b.y <= z.maxy + 1e-12 AND b.y + b.h >= z.miny - 1e-12"
+BOX_HIT = "b.x <= z.maxx AND b.x + b.w >= z.minx AND b.y <= z.maxy AND b.y + b.h >= z.miny"
 
 
 def boxes(spark, sf):
@@ -160,8 +160,7 @@ def g14(spark, sf):
     return full.select(F.col("left_id").alias("id"), F.col("right_id").alias("zone"), G.within("g", "k").alias("inside"))
 
 
-@query("j03_within_counts", """SELECT z.name, count(*) AS n, round(sum(p.value), 4) + 0e0 AS total FROM pts p JOIN zones z ON p.lon >= z.minx - 1e-12 AND p.lon <= z.maxx + 1e-12
-  AND p.lat >= z.miny - 1e-12 AND p.lat <= z.maxy + 1e-12 GROUP BY z.name""")
+@query("j03_within_counts", """SELECT z.name, count(*) AS n, round(sum(p.value), 4) + 0e0 AS total FROM pts p JOIN zones z ON p.lon >= z.minx AND p.lon <= z.maxx AND p.lat >= z.miny AND p.lat <= z.maxy GROUP BY z.name""")
 def j03(spark, sf):
     z = J.within_join(view(spark, sf, "pts"), zones(spark, sf))
     return z.groupBy(F.col("zone_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("value"), 4).alias("total"))

@@ -372,11 +372,12 @@ def point_in_ring(px, py, ring) -> Column:
 def point_in_polygon(px, py, geom) -> Column:
     """Any part whose outer ring holds the point and none of whose holes does."""
     px, py, g = _col(px), _col(py), _col(geom)
-    hit = F.exists(
-        g["parts"],
-        lambda rings: point_in_ring(px, py, F.get(rings, F.lit(0)))
-        & ~F.exists(_tail(rings), lambda h: point_in_ring(px, py, h)),
-    )
+    def in_part(rings):
+        held = F.transform(rings, lambda r: point_in_ring(px, py, r))
+        # the outer ring and no other: the list of answers starts with true and holds no second one
+        return let(held, lambda f: F.coalesce(F.get(f, F.lit(0)), F.lit(False)) & (F.size(F.filter(f, lambda x: x)) == 1))
+
+    hit = F.exists(g["parts"], in_part)
     return F.coalesce(_is(g, "Polygon", "MultiPolygon") & hit, F.lit(False))
 
 
