@@ -120,20 +120,22 @@ def interpolate(points: DataFrame, o: GridOptions = GridOptions(), method: str =
     elif method != "nearest":
         raise ValueError(f"unknown method: {method}")
     keys = ["row", "col"]
-    exact = F.when(d == 0, F.struct("seq", "value"))
-    first = [F.first("nx").alias("x"), F.first("ny").alias("y"), F.min(exact).alias("hit"), F.count_if(off).alias("near")]
+    first = [F.first("nx").alias("x"), F.first("ny").alias("y"), F.count_if(off).alias("near")]
     if method == "nearest":
-        stats = scattered.groupBy(*keys).agg(
-            *first, F.min_by("value", F.struct("d", "seq")).alias("estimate")
-        )
+        stats = scattered.groupBy(*keys).agg(*first, F.min_by("value", F.struct("d", "seq")).alias("estimate"))
     else:
         stats = scattered.groupBy(*keys).agg(
             *first, F.sum(F.when(off, v * w)).alias("vw"), F.sum(F.when(off, w)).alias("w")
         ).withColumn("estimate", F.try_divide("vw", "w"))
+    # samples exactly on a node are rare and found without scattering (zero reach: own node only)
+    hits = _scatter(points, grid_plan(points, o), 0.0).groupBy(*keys).agg(
+        F.min(F.struct("seq", "value")).alias("hit")
+    )
     # neighbours counted before a coincident sample: only nodes that have one take part
-    hits = scattered.filter("d = 0").groupBy(*keys).agg(F.min("seq").alias("hit_seq"))
     earlier = (
-        scattered.join(hits, keys).filter("seq < hit_seq").groupBy(*keys).agg(F.count(F.lit(1)).alias("before"))
+        scattered.join(hits, keys)
+        .groupBy(*keys)
+        .agg(F.first("hit").alias("hit"), F.count_if(F.col("seq") < F.col("hit.seq")).alias("before"))
     )
     full = stats.join(earlier, keys, "left")
     value = F.when(F.col("hit").isNotNull(), F.col("hit.value")).when(F.col("near") >= o.min_samples, F.col("estimate"))

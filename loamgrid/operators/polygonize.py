@@ -9,9 +9,12 @@ ever holds a whole ring, so a region may cover any share of the raster.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgrid.functions.geometry import vertex
+from loamgrid.plans.forest import SMALL_GRAPH, resolve
 from loamgrid.plans.lattice import TILE, cell_id, neighbours
 from loamgrid.session import settle, settle_counting
 
@@ -101,6 +104,35 @@ def _ring_order(corners: DataFrame) -> DataFrame:
     return corners.join(state.select("edge", "left"), "edge")
 
 
+def _cycles_at_once(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ring id and steps to the ring's start for every corner of a small corner table."""
+    edge, nxt = pdf["edge"].to_numpy(np.int64), pdf["next"].to_numpy(np.int64)
+    order = np.argsort(edge)
+    ahead = order[np.searchsorted(edge[order], nxt)]
+    ring, hop = edge.copy(), ahead.copy()
+    while True:
+        lower = np.minimum(ring, ring[hop])
+        if np.array_equal(lower, ring):
+            break
+        ring, hop = lower, hop[hop]
+    left = np.ones(len(edge), np.int64)
+    hop = np.where(nxt == ring, -1, ahead)
+    while (live := np.flatnonzero(hop >= 0)).size:
+        left[live] += left[hop[live]]
+        hop[live] = hop[hop[live]]
+    return pdf.assign(ring=ring, left=left)
+
+
+def _named_and_ordered(corners: DataFrame) -> DataFrame:
+    """Corners with ``ring`` and ``left``; a small corner table is walked in one task."""
+    if corners.count() <= SMALL_GRAPH:
+        schema = "edge long, next long, value " + corners.schema["value"].dataType.simpleString() + ", x long, y long, ring long, left long"
+        slim = corners.select("edge", "next", "value", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+        return settle(slim.groupBy(F.lit("all")).applyInPandas(lambda p: _cycles_at_once(p), schema))
+    named = settle(corners.join(_ring_ids(corners), "edge"))
+    return settle(_ring_order(named))
+
+
 def ring_vertices(cells: DataFrame, value: str = "basin_id", tile: int = TILE) -> DataFrame:
     """``value, ring, parent, is_hole, seq, x, y`` in corner units (x = column, y = row).
 
@@ -110,8 +142,7 @@ def ring_vertices(cells: DataFrame, value: str = "basin_id", tile: int = TILE) -
     """
     edges = settle(_edges(cells.filter(F.col(value).isNotNull()), value, tile))
     corners = settle(_corners(edges))
-    named = settle(corners.join(_ring_ids(corners), "edge"))
-    ordered = settle(_ring_order(named))
+    ordered = _named_and_ordered(corners)
     w = Window.partitionBy("ring").orderBy(F.desc("left"))
     walk = ordered.withColumns({"seq": F.row_number().over(w), "_nx": F.lead("x").over(w), "_ny": F.lead("y").over(w)})
     # doubled signed area in screen coordinates, relative to ring-local terms only
@@ -119,7 +150,7 @@ def ring_vertices(cells: DataFrame, value: str = "basin_id", tile: int = TILE) -
     nx, ny = F.coalesce("_nx", "fx"), F.coalesce("_ny", "fy")
     area = walk.join(first, "ring").groupBy("ring").agg(F.sum(F.col("x") * ny - nx * F.col("y")).alias("area2"))
     holes = area.select("ring", (F.col("area2") < 0).alias("is_hole"))
-    parent = _parents(edges, named, ordered, holes)
+    parent = _parents(edges, ordered, holes)
     body = walk.select("value", "ring", "seq", "x", "y")
     last = walk.filter("seq = 1").join(first.select("ring", "size"), "ring").select("value", "ring", (F.col("size") + 1).alias("seq"), "x", "y")
     return body.unionByName(last).join(parent, "ring").join(holes, "ring").select(
@@ -127,15 +158,13 @@ def ring_vertices(cells: DataFrame, value: str = "basin_id", tile: int = TILE) -
     )
 
 
-def _parents(edges: DataFrame, named: DataFrame, ordered: DataFrame, holes: DataFrame) -> DataFrame:
+def _parents(edges: DataFrame, named: DataFrame, holes: DataFrame) -> DataFrame:
     """``ring, parent``: the ring met first to the left of a hole, followed up to an exterior.
 
     To the left of a hole's leftmost side lie cells of the same region up to
     its own boundary, so the nearest left-facing boundary edge of that lattice
     row belongs to the enclosing ring or to another hole of the same part.
     """
-    from loamgrid.plans.forest import resolve
-
     # ring of every vertical edge: the ring of the next corner on its line
     turns = F.when(F.col("turn") != 0, F.col("edge"))
     down = Window.partitionBy("value", "side", "col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)

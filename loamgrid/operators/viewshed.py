@@ -145,14 +145,80 @@ def _steps(rays: DataFrame, width: int, height: int) -> DataFrame:
     return out.filter(inside & near)
 
 
+# Observers whose window holds at most this many cells are swept as one group; wider ones go through joins.
+WINDOW_CELLS = 1_000_000
+
+
+def _split_by_window(observers: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Observers with a small and with a large (or unlimited) window; None where there are none."""
+    reach = F.floor(F.col("radius_m") / ((F.col("cell_x") + F.col("cell_y")) / 2))
+    small = F.coalesce((F.col("radius_m") > 0) & ((2 * reach + 1) * (2 * reach + 1) <= WINDOW_CELLS), F.lit(False))
+    n = observers.agg(F.count_if(small).alias("s"), F.count_if(~small).alias("l")).first()
+    return (observers.filter(small) if n["s"] else None), (observers.filter(~small) if n["l"] else None)
+
+
 def viewshed(cells: DataFrame, observers: DataFrame, width: int, height: int, target_height: float = 0.0, curvature: bool = True) -> DataFrame:
     """Visible cells ``observer_id, row, col`` of each observer.
 
     ``observers``: ``observer_id, row, col, ground, height_m, radius_m, cell_x,
     cell_y`` (radius 0 = unlimited).  A cell crossed by several rays takes the
-    answer of the last one, so only rays that are last for some cell are traced
-    against the terrain: a first pass finds them from geometry alone, with a
-    map-side combine.  Nodata cells neither block nor show.
+    answer of the last one.  Nodata cells neither block nor show.
+    """
+    near, far = _split_by_window(observers)
+    out = observers.select("observer_id", "row", "col")
+    if near is not None:
+        fields = ["observer_id", "trow", "tcol", "z", "orow", "ocol", "eye", "reach", "cell_x", "cell_y"]
+        swept = _cells_in_reach(cells, near).select(*fields).groupBy("observer_id").applyInPandas(
+            lambda p: _sweep(p, width, height, target_height, curvature), "observer_id long, row long, col long"
+        )
+        out = out.unionByName(swept)
+    if far is not None:
+        out = out.unionByName(_traced(cells, far, width, height, target_height, curvature))
+    return out
+
+
+def _sweep(pdf: pd.DataFrame, width: int, height: int, target_height: float, curvature: bool) -> pd.DataFrame:
+    """All rays of one observer, one step at a time, over the cells of its window."""
+    first = pdf.iloc[0]
+    r0, c0, reach = int(first["orow"]), int(first["ocol"]), float(first["reach"])
+    size = int(math.floor(reach))
+    ground = np.full((2 * size + 1, 2 * size + 1), np.nan)
+    ground[(pdf["trow"] - r0 + size).to_numpy(int), (pdf["tcol"] - c0 + size).to_numpy(int)] = pdf["z"]
+    i = np.arange(2 * width + 2 * max(0, height - 2))
+    side = i - 2 * width
+    dr = np.where(side < 0, (i % 2) * (height - 1), 1 + side // 2) - r0
+    dc = np.where(side < 0, i // 2, (side % 2) * (width - 1)) - c0
+    dr, dc = dr[(dr != 0) | (dc != 0)], dc[(dr != 0) | (dc != 0)]
+    rows, cols = np.abs(dc), np.abs(dr)  # the walk exchanges the two extents
+    long, short = np.maximum(rows, cols), np.minimum(rows, cols)
+    sr, sc = np.where(dr > 0, 1, -1), np.where(dc > 0, 1, -1)
+    horizon = np.full(len(dr), -np.inf)
+    answer = np.zeros(ground.shape, bool)
+    for k in range(1, size + 1):
+        minor = (2 * short * k + long - 1) // (2 * long)
+        y, x = sr * np.where(rows >= cols, k, minor), sc * np.where(rows >= cols, minor, k)
+        ok = (y * y + x * x <= reach * reach) & (r0 + y >= 0) & (r0 + y < height) & (c0 + x >= 0) & (c0 + x < width)
+        at = np.flatnonzero(ok)
+        y, x = y[at], x[at]
+        z = ground[y + size, x + size]
+        have = ~np.isnan(z)
+        at, y, x, z = at[have], y[have], x[have], z[have]
+        dist = np.sqrt((x * first["cell_x"]) ** 2 + (y * first["cell_y"]) ** 2)
+        drop = dist * dist / (2 * CURVATURE_RADIUS) * (1 - REFRACTION) if curvature else 0.0
+        seen = (z + target_height - drop - first["eye"]) / dist >= horizon[at]
+        horizon[at] = np.maximum(horizon[at], (z - drop - first["eye"]) / dist)
+        # rays come in sweep order, so the later write is the later ray within a step;
+        # a cell is always met at the same step, its distance along the longer axis
+        answer[y + size, x + size] = seen
+    y, x = np.nonzero(answer)
+    return pd.DataFrame({"observer_id": int(first["observer_id"]), "row": y + r0 - size, "col": x + c0 - size})
+
+
+def _traced(cells: DataFrame, observers: DataFrame, width: int, height: int, target_height: float, curvature: bool) -> DataFrame:
+    """Rays as joined rows, for windows of any size.
+
+    Only rays that are last for some cell are traced against the terrain: a
+    first pass finds them from geometry alone, with a map-side combine.
     """
     seen_from = observers.withColumn("eye", F.col("ground") + F.col("height_m"))
     rays = _rays(seen_from, width, height)
@@ -174,9 +240,7 @@ def viewshed(cells: DataFrame, observers: DataFrame, width: int, height: int, ta
     horizon = F.coalesce(F.max("terrain").over(before), F.lit(float("-inf")))
     seen = angles.withColumn("visible", F.col("target") >= horizon)
     final = seen.groupBy("observer_id", "r", "c").agg(F.max_by("visible", "ray").alias("visible"))
-    own = observers.select("observer_id", "row", "col")
-    shown = final.filter("visible").select("observer_id", F.col("r").alias("row"), F.col("c").alias("col"))
-    return shown.unionByName(own)
+    return final.filter("visible").select("observer_id", F.col("r").alias("row"), F.col("c").alias("col"))
 
 
 # ------------------------------------------------------------------ diffraction
@@ -290,10 +354,59 @@ def diffraction(
 ) -> DataFrame:
     """Received level ``observer_id, row, col, rx_dbm`` at every cell within each radius.
 
-    Observers are met with cells by bucket, profiles are looked up by an equi-join on
-    the cell, and each profile (at most 501 samples) is one array for the loss function.
+    An observer with a bounded window is one group: its cells are read once and
+    every profile is cut from them.  Wider windows look each profile sample up
+    by an equi-join on the cell; a profile then is one array of at most 501 samples.
     """
-    targets = _targets_in_reach(cells, observers)
+    near, far = _split_by_window(observers)
+    parts = []
+    if near is not None:
+        parts.append(
+            _cells_in_reach(cells, near, margin=1.5)  # a sample may round to a cell just outside the circle
+            .groupBy("observer_id")
+            .applyInPandas(
+                lambda p: _levels(p, target_height, freq_mhz, tx_dbm, n_samples, curvature),
+                "observer_id long, row long, col long, rx_dbm double",
+            )
+        )
+    if far is not None:
+        parts.append(_levels_by_join(cells, far, target_height, freq_mhz, tx_dbm, n_samples, curvature))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _levels(pdf: pd.DataFrame, target_height, freq_mhz, tx_dbm, n_samples, curvature, chunk: int = 20_000) -> pd.DataFrame:
+    """Received levels of one observer's window, in chunks of profiles."""
+    first = pdf.iloc[0]
+    n = max(2, n_samples)
+    y0, x0 = int(min(pdf["trow"].min(), first["orow"])), int(min(pdf["tcol"].min(), first["ocol"]))
+    ground = np.full((int(pdf["trow"].max()) - y0 + 1, int(pdf["tcol"].max()) - x0 + 1), np.nan)
+    ground[(pdf["trow"] - y0).to_numpy(int), (pdf["tcol"] - x0).to_numpy(int)] = pdf["z"]
+    t = np.arange(n + 1) / n
+    wavelength = LIGHT_SPEED / (freq_mhz * 1e6)
+    targets = pdf[np.sqrt(pdf["dy"].astype(float) ** 2 + pdf["dx"].astype(float) ** 2) <= first["reach"]]
+    out = [np.empty(0)]
+    for start in range(0, len(targets), chunk):
+        part = targets.iloc[start : start + chunk]
+        y, x = np.outer(part["dy"], t), np.outer(part["dx"], t)
+        e = ground[np.floor(first["orow"] + y + 0.5).astype(int) - y0, np.floor(first["ocol"] + x + 0.5).astype(int) - x0]
+        d = np.sqrt((x * first["cell_x"]) ** 2 + (y * first["cell_y"]) ** 2)
+        if curvature:
+            e = e + d * d / (2 * CURVATURE_RADIUS) * (1 - REFRACTION)
+        # samples without elevation drop out: close the gaps to the left
+        order = np.argsort(np.isnan(e), axis=1, kind="stable")
+        count = (~np.isnan(e)).sum(axis=1)
+        e, d = np.take_along_axis(e, order, 1), np.take_along_axis(d, order, 1)
+        eye, lam = np.full(len(part), first["eye"]), np.full(len(part), wavelength)
+        loss = _profile_loss(d, np.nan_to_num(e), count, eye, target_height, lam)
+        dist = part["distance"].to_numpy(float)
+        base = 20 * math.log10(freq_mhz * 1e6) - 20 * math.log10(LIGHT_SPEED / (4 * math.pi))
+        level = tx_dbm - (20 * np.log10(np.maximum(dist, 1)) + base) - loss
+        out.append(np.where(dist < 0.1, tx_dbm, level))
+    return pd.DataFrame({"observer_id": int(first["observer_id"]), "row": targets["trow"], "col": targets["tcol"], "rx_dbm": np.concatenate(out)})
+
+
+def _levels_by_join(cells, observers, target_height, freq_mhz, tx_dbm, n_samples, curvature) -> DataFrame:
+    targets = _cells_in_reach(cells, observers).drop("z")
     far = targets.filter("distance >= 0.1")
     at = far.select("observer_id", "trow", "tcol", "orow", "ocol", "dy", "dx", "cell_x", "cell_y", "eye", "distance")
     samples = profile_points(at, n_samples).select("observer_id", "trow", "tcol", "s", "r", "c", "dist", "eye", "distance")
@@ -320,8 +433,8 @@ def diffraction(
     return there.unionByName(here)
 
 
-def _targets_in_reach(cells: DataFrame, observers: DataFrame) -> DataFrame:
-    """Cells within the radius of each observer: the observer generates its own window of
+def _cells_in_reach(cells: DataFrame, observers: DataFrame, margin: float = 0.0) -> DataFrame:
+    """Cells (with ``z``) within the radius of each observer: the observer generates its own window of
     positions, an equi-join keeps those that exist.  Radius 0 means every cell."""
     reach = F.when(F.col("radius_m") > 0, F.col("radius_m") / ((F.col("cell_x") + F.col("cell_y")) / 2))
     o = observers.select(
@@ -333,18 +446,18 @@ def _targets_in_reach(cells: DataFrame, observers: DataFrame) -> DataFrame:
     h, w = F.col("_b.h"), F.col("_b.w")
 
     def span(at, size):
-        lo = F.greatest(F.lit(0), F.coalesce(F.ceil(at - F.col("reach")), F.lit(0))).cast("bigint")
-        hi = F.least(size, F.coalesce(F.floor(at + F.col("reach")), size)).cast("bigint")
+        lo = F.greatest(F.lit(0), F.coalesce(F.ceil(at - F.col("reach") - margin), F.lit(0))).cast("bigint")
+        hi = F.least(size, F.coalesce(F.floor(at + F.col("reach") + margin), size)).cast("bigint")
         return F.sequence(lo, hi)
 
     window = o.withColumn("trow", F.explode(span(F.col("orow"), h))).withColumn("tcol", F.explode(span(F.col("ocol"), w)))
     dy, dx = F.col("trow") - F.col("orow"), F.col("tcol") - F.col("ocol")
     window = window.withColumns({"dy": dy, "dx": dx}).filter(
-        F.col("reach").isNull() | (F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")) <= F.col("reach"))
+        F.col("reach").isNull() | (F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")) <= F.col("reach") + margin)
     )
     mx, my = F.col("dx") * F.col("cell_x"), F.col("dy") * F.col("cell_y")
-    exists = cells.filter("z IS NOT NULL").select(F.col("row").alias("trow"), F.col("col").alias("tcol"))
-    return window.join(exists, ["trow", "tcol"], "left_semi").withColumn("distance", F.sqrt(mx * mx + my * my)).drop("_b")
+    known = cells.filter("z IS NOT NULL").select(F.col("row").alias("trow"), F.col("col").alias("tcol"), "z")
+    return window.join(known, ["trow", "tcol"]).withColumn("distance", F.sqrt(mx * mx + my * my)).drop("_b")
 
 
 def level_statistics(levels: DataFrame, threshold_dbm: float | None = None) -> DataFrame:

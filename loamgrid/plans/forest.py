@@ -89,10 +89,35 @@ def _contract_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "label": pd.array(found, dtype="Int64"), "next": leave})
 
 
+# ------------------------------------------------------- small graphs, one task
+# A contracted graph of at most this many rows (about 50 MB) is solved in one task; larger ones are doubled.
+SMALL_GRAPH = 1_000_000
+
+
+def _links_of(pdf: pd.DataFrame) -> np.ndarray:
+    return _local_links(pdf["id"].to_numpy(np.int64), pdf["next"].fillna(-1).to_numpy(np.int64))
+
+
+def _sums_at_once(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"id": pdf["id"], "s": _local_sum(_links_of(pdf), pdf["s"].to_numpy(float))})
+
+
+def _labels_at_once(pdf: pd.DataFrame) -> pd.DataFrame:
+    held = pdf["label"].notna().to_numpy()
+    last = _local_last(np.where(held, -1, _links_of(pdf)))
+    return pd.DataFrame({"id": pdf["id"], "label": pd.array(pdf["label"].astype("Int64").to_numpy()[last], dtype="Int64")})
+
+
+def _at_once(state: DataFrame, solve, schema: str) -> DataFrame:
+    return state.groupBy(F.lit("all")).applyInPandas(lambda p: solve(p), schema)
+
+
 # ------------------------------------------------------------------- doubling
 def _double_sums(nodes: DataFrame) -> DataFrame:
     """``id, next, s`` -> ``id, s`` with s summed over everything above (and at) the node."""
     state, moving = settle_counting(nodes, "next IS NOT NULL")
+    if moving and state.count() <= SMALL_GRAPH:
+        return _at_once(state, _sums_at_once, "id long, s double")
     while moving:
         live = state.filter("next IS NOT NULL")
         # map-side combine keeps a busy confluence from becoming one hot task
@@ -112,6 +137,8 @@ def _double_sums(nodes: DataFrame) -> DataFrame:
 def _double_labels(nodes: DataFrame) -> DataFrame:
     """``id, next, label`` -> ``id, label``; unresolved nodes keep a null label."""
     state, moving = settle_counting(nodes, "next IS NOT NULL AND label IS NULL")
+    if moving and state.count() <= SMALL_GRAPH:
+        return _at_once(state, _labels_at_once, "id long, label long")
     while moving:
         live = state.filter("next IS NOT NULL AND label IS NULL")
         done = state.filter("next IS NULL OR label IS NOT NULL")

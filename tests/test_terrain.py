@@ -41,7 +41,13 @@ def test_fill_equals_dijkstra(spark, rough):
     assert np.allclose(got, want, atol=1e-9)
 
 
-def test_flow_and_basins(spark, rough):
+@pytest.mark.parametrize("small", [True, False])
+def test_flow_and_basins(spark, rough, monkeypatch, small):
+    from loamgrid.plans import forest
+
+    if not small:
+        monkeypatch.setattr(forest, "SMALL_GRAPH", 0)
+        monkeypatch.setattr(P, "SMALL_GRAPH", 0)
     want = brute.fill(rough, 0.001, 10.0, 12.0)
     z = np.where(np.isinf(want), np.nan, want)
     flow = H.flow_accumulation(H.flow_direction(cells_of(spark, z), 10.0, 12.0, tile=8), tile=8).cache()
@@ -112,7 +118,9 @@ def test_polygon_with_nested_hole(spark):
     assert by[2.0]["geometry"]["type"] == "Polygon" and len(by[2.0]["geometry"]["parts"][0]) == 2
 
 
-def test_viewshed_equals_sweep(spark, rough):
+@pytest.mark.parametrize("window", [0, 1_000_000])
+def test_viewshed_equals_sweep(spark, rough, monkeypatch, window):
+    monkeypatch.setattr(V, "WINDOW_CELLS", window)
     observers = [(1, 5, 7, 2.0, 150.0, 10.0, 12.0), (2, 30, 39, 10.0, 0.0, 10.0, 12.0), (3, 0, 0, 5.0, 90.0, 10.0, 12.0)]
     rows = [(i, r, c, float(rough[r, c]), h, rad, x, y) for i, r, c, h, rad, x, y in observers]
     o = spark.createDataFrame(rows, "observer_id long, row long, col long, ground double, height_m double, radius_m double, cell_x double, cell_y double")
@@ -125,7 +133,9 @@ def test_viewshed_equals_sweep(spark, rough):
         assert np.array_equal(mine, want), i
 
 
-def test_diffraction_equals_walk(spark, rough):
+@pytest.mark.parametrize("window", [0, 1_000_000])
+def test_diffraction_equals_walk(spark, rough, monkeypatch, window):
+    monkeypatch.setattr(V, "WINDOW_CELLS", window)
     z = np.nan_to_num(rough, nan=5.0)[:14, :16]
     o = spark.createDataFrame([(1, 3, 4, float(z[3, 4]), 10.0, 90.0, 10.0, 12.0)], "observer_id long, row long, col long, ground double, height_m double, radius_m double, cell_x double, cell_y double")
     got = V.diffraction(cells_of(spark, z), o, 1.5, 900.0, 43.0, 32, True).toPandas()
