@@ -278,7 +278,13 @@ def t03(spark, sf):
     return c.select("row", "col", rnd("smooth").alias("smooth"), rnd("relief").alias("relief"))
 
 
-@query("t05_t07_summits")
+@query("t05_t07_summits", f"""WITH RECURSIVE {CAND_SQL}, ca AS (SELECT "row", col, z, coalesce(s - v, 0e0) AS relief FROM rg WHERE n = 0 OR k = floor(n*25e-2) + 1),
+ od AS (SELECT *, row_number() OVER (ORDER BY relief*1e5 + z DESC, "row", col) AS k FROM ca WHERE relief >= 2),
+ nm(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(r BIGINT, c BIGINT)[]) UNION ALL SELECT od.k, CASE WHEN len(list_filter(kept, lambda a: abs(a.r - od."row") <= 4 AND abs(a.c - od.col) <= 4)) > 0 THEN kept
+   ELSE list_append(kept, {{'r': od."row", 'c': od.col}}) END FROM nm JOIN od ON od.k = nm.k + 1),
+ ac AS (SELECT od.*, CAST(row_number() OVER (ORDER BY od.k) AS INTEGER) AS rank FROM od WHERE list_contains((SELECT kept FROM nm ORDER BY nm.k DESC LIMIT 1), {{'r': od."row", 'c': od.col}}))
+ SELECT rank, CASE WHEN relief >= 25 THEN 'peak' ELSE 'hill' END AS kind, floor(z*10e0 + 5e-1)/10e0 AS elevation_m, floor(relief*10e0 + 5e-1)/10e0 AS relief_m,
+  CASE WHEN relief >= 25 THEN 'Peak' ELSE 'Hill' END || ' #' || rank || ' (' || CAST(floor(z + 5e-1) AS BIGINT) || ' m)' AS label, "row", col FROM ac""")
 def t07(spark, sf):
     return T.summits(dem(spark, sf), search=4, smooth=1, min_relief=2.0, peak_cutoff=25.0)
 
@@ -379,6 +385,51 @@ def w05(spark, sf):
     return H.snap_pour_points(pours, flow, 8, 10)
 
 
+CHANNEL_SQL = f"""{WALK_SQL}, ch AS (SELECT a.cr AS r, a.cc AS c, a.n AS accum, fl.dr, fl.dc FROM (SELECT cr, cc, count(*) AS n FROM wk GROUP BY 1, 2 HAVING count(*) >= 8) a JOIN fl ON fl."row" = a.cr AND fl.col = a.cc),
+ lk AS (SELECT a.r, a.c, b.r AS pr, b.c AS pc FROM ch a JOIN ch b ON b.r = a.dr AND b.c = a.dc)"""
+STRAHLER_SQL = """od(r, c, o) USING KEY (r, c) AS (SELECT r, c, CAST(1 AS BIGINT) FROM ch
+  UNION SELECT p.pr, p.pc, p.new FROM (SELECT g.pr, g.pc, g.cur, g.hi + CASE WHEN g.n > 1 THEN 1 ELSE 0 END AS new FROM (SELECT k.pr, k.pc, own.o AS cur, max(kid.o) AS hi, count(*) FILTER (kid.o = top.m) AS n
+   FROM (SELECT DISTINCT lk.pr, lk.pc FROM od JOIN lk ON lk.r = od.r AND lk.c = od.c) k JOIN lk s ON s.pr = k.pr AND s.pc = k.pc JOIN recurring.od kid ON kid.r = s.r AND kid.c = s.c JOIN recurring.od own ON own.r = k.pr AND own.c = k.pc
+   JOIN (SELECT l2.pr, l2.pc, max(q.o) AS m FROM lk l2 JOIN recurring.od q ON q.r = l2.r AND q.c = l2.c GROUP BY 1, 2) top ON top.pr = k.pr AND top.pc = k.pc GROUP BY 1, 2, 3) g) p WHERE p.new > p.cur)"""
+
+
+def raw_channels(spark, sf):
+    from loamgrid.session import settle
+
+    return settle(H.channels(H.flow_accumulation(H.flow_direction(dem(spark, sf), CELL, CELL)), 8))
+
+
+@query("w08_strahler_order", f"""{CHANNEL_SQL}, {STRAHLER_SQL} SELECT r AS "row", c AS col, o AS strahler FROM od""")
+def w08_order(spark, sf):
+    from loamgrid.plans.lattice import id_col, id_row
+
+    o = H.strahler_order(raw_channels(spark, sf))
+    return o.select(id_row().alias("row"), id_col().alias("col"), F.col("strahler").cast("bigint").alias("strahler"))
+
+
+@query("w09_channel_segments", f"""{CHANNEL_SQL}, st AS (SELECT r, c, accum FROM ch WHERE (SELECT count(*) FROM lk WHERE lk.pr = ch.r AND lk.pc = ch.c) <> 1),
+ sg AS (SELECT r AS sr, c AS sc, r, c, CAST(1 AS BIGINT) AS seq FROM st UNION ALL SELECT sg.sr, sg.sc, lk.pr, lk.pc, seq + 1 FROM sg JOIN lk ON lk.r = sg.r AND lk.c = sg.c
+   WHERE seq = 1 OR NOT EXISTS (SELECT 1 FROM st WHERE st.r = sg.r AND st.c = sg.c)),
+ ln AS (SELECT sr, sc FROM sg GROUP BY 1, 2 HAVING count(*) >= 2)
+ SELECT sg.sr AS start_row, sg.sc AS start_col, st.accum AS accumulation, seq, sg.r AS "row", sg.c AS col FROM sg JOIN ln USING (sr, sc) JOIN st ON st.r = sg.sr AND st.c = sg.sc""")
+def w09(spark, sf):
+    from loamgrid.plans.lattice import id_col, id_row
+
+    s = H.channel_segments(raw_channels(spark, sf))
+    return s.select(id_row("segment").alias("start_row"), id_col("segment").alias("start_col"), "accumulation", F.col("seq").cast("bigint").alias("seq"), "row", "col")
+
+
+@query("w09_channel_lines")
+def w09_lines(spark, sf):
+    at = coordinate("row", "col")
+    lines = H.channel_lines(H.channel_segments(raw_channels(spark, sf)), at["x"], at["y"])
+    return lines.select("segment", "order", "accumulation", F.size(F.col("geometry.parts")[0][0]).alias("vertices"))
+
+
+def coordinate(row, col):
+    return R.coordinate_of(row, col, meta())
+
+
 def drained(spark, sf):
     from loamgrid.session import settle
 
@@ -386,7 +437,12 @@ def drained(spark, sf):
     return settle(H.flow_accumulation(settle(H.flow_direction(filled, CELL, CELL))))
 
 
-@query("w01_fill_sinks")
+@query("w01_fill_sinks", """WITH RECURSIVE nb AS (SELECT a."row" AS r, a.col AS c, b."row" AS br, b.col AS bc, b.z AS bz, CASE WHEN a."row" <> b."row" AND a.col <> b.col THEN 1e-1*sqrt(2e0) ELSE 1e-1 END AS d
+  FROM dem a JOIN dem b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a."row" <> b."row" OR a.col <> b.col)),
+ f(r, c, v) USING KEY (r, c) AS (SELECT "row", col, z FROM dem WHERE ("row", col) IN (SELECT (r, c) FROM nb GROUP BY r, c HAVING count(*) < 8)
+  UNION SELECT nb.br, nb.bc, min(greatest(nb.bz, f.v + nb.d)) FROM f JOIN nb ON nb.r = f.r AND nb.c = f.c LEFT JOIN recurring.f AS cur ON cur.r = nb.br AND cur.c = nb.bc
+  GROUP BY nb.br, nb.bc, cur.v HAVING cur.v IS NULL OR min(greatest(nb.bz, f.v + nb.d)) < cur.v)
+ SELECT r AS "row", c AS col, round(v, 6) + 0e0 AS z FROM f""")
 def w01(spark, sf):
     return H.fill_sinks(dem(spark, sf), 0.001, CELL, CELL).select("row", "col", rnd("z").alias("z"))
 
@@ -407,6 +463,48 @@ def w10(spark, sf):
     return P.ring_vertices(subs, "basin_id")
 
 
+# bands of equal elevation as features: counts and part kinds
+@query("w10_region_polygons", """SELECT floor(z/5e1) AS basin_id, count(*) AS cell_count FROM dem GROUP BY 1""")
+def w10_polygons(spark, sf):
+    bands = dem(spark, sf).select("row", "col", F.floor(F.col("z") / 50).cast("double").alias("band"))
+    at = R.coordinate_of("y", "x", meta(), offset=0.0)
+    return P.basin_polygons(bands, "band", at["x"], at["y"]).select("basin_id", "cell_count")
+
+
+# total ring area of an observer equals its number of visible cells
+@query("v04_visible_area", VIEW_SQL.replace('SELECT oid AS observer_id, r AS "row", c AS col FROM fi WHERE v UNION ALL SELECT oid, r0, c0 FROM ob',
+  'SELECT observer_id, CAST(count(*) AS DOUBLE) AS area FROM (SELECT oid AS observer_id FROM fi WHERE v UNION ALL SELECT oid FROM ob) GROUP BY 1'))
+def v04_area(spark, sf):
+    from pyspark.sql import Window
+
+    h = height_of(spark, sf)
+    rings = V.visible_rings(V.viewshed(dem(spark, sf), observers(spark, sf), 100, h, 1.5, True), 100, h)
+    w = Window.partitionBy("ring").orderBy("seq")
+    t = rings.withColumn("_t", F.col("x") * F.lead("y").over(w) - F.lead("x").over(w) * F.col("y"))
+    return t.groupBy("observer_id").agg((F.sum("_t") / 2).cast("double").alias("area"))
+
+
+@query("v04_viewshed_features")
+def v04(spark, sf):
+    o = observers(spark, sf)
+    h = height_of(spark, sf)
+    rings = V.visible_rings(V.viewshed(dem(spark, sf), o, 100, h, 1.5, True), 100, h)
+    at = R.coordinate_of("y", "x", meta(), offset=0.0)
+    numbered = V.viewshed_parts(rings, at["x"], at["y"])
+    c = coordinate("row", "col")
+    facts = o.select(
+        "observer_id", "radius_m", "height_m", (F.col("observer_id") + 1).alias("source_index"), F.lit(1).alias("source_point_index"),
+        F.concat(F.lit("Point "), F.col("observer_id").cast("string")).alias("source_label"), c["x"].alias("lon"), c["y"].alias("lat"), F.lit("ok").alias("status"), F.lit("").alias("note"),
+    )
+    return V.viewshed_features(numbered, facts).drop("geometry")
+
+
+@query("v07_level_statistics")
+def v07(spark, sf):
+    s = V.level_statistics(V.diffraction(dem(spark, sf), observers(spark, sf), freq_mhz=450.0, n_samples=32), -70.0)
+    return s.select("observer_id", rnd("min_dbm", 4).alias("min_dbm"), rnd("max_dbm", 4).alias("max_dbm"), "cells", "usable_cells")
+
+
 @query("w13_watershed")
 def w13(spark, sf):
     out = H.watershed(dem(spark, sf), CELL, CELL, threshold=20, min_slope=0.001, min_area_km2=0.5)

@@ -469,6 +469,33 @@ def level_statistics(levels: DataFrame, threshold_dbm: float | None = None) -> D
 
 
 # ----------------------------------------------------------------------- output
+def visible_rings(seen: DataFrame, width: int, height: int, tile: int = 256) -> DataFrame:
+    """Polygon rings of each observer's visible cells, in raster corner units.
+
+    Views overlap, so each observer is laid out on a block of its own in one
+    large lattice (about as many blocks across as down) and moved back after.
+    """
+    from loamgrid.operators.polygonize import ring_vertices
+
+    top = seen.agg(F.max("observer_id").alias("m")).first()["m"] or 0
+    across = math.isqrt(int(top)) + 1
+    h, w = height + 2, width + 2
+    down_by = F.floor(F.col("observer_id") / across).cast("bigint") * h
+    right_by = (F.col("observer_id") % across) * w
+    laid = seen.select((F.col("row") + down_by).alias("row"), (F.col("col") + right_by).alias("col"), "observer_id")
+    rings = ring_vertices(laid, "observer_id", tile).withColumnRenamed("value", "observer_id")
+    return rings.withColumns({"y": F.col("y") - down_by, "x": F.col("x") - right_by})
+
+
+def viewshed_parts(rings: DataFrame, x: Column, y: Column) -> DataFrame:
+    """``observer_id, part_index, geometry`` from :func:`visible_rings`."""
+    from loamgrid.operators.polygonize import polygons
+
+    parts = polygons(rings.withColumnRenamed("observer_id", "value"), x, y)
+    order = Window.partitionBy("value").orderBy("part")
+    return parts.select(F.col("value").alias("observer_id"), F.row_number().over(order).alias("part_index"), "geometry")
+
+
 def viewshed_features(parts: DataFrame, observers: DataFrame) -> DataFrame:
     """One row per visible polygon part, and one ``view_point`` row per observer.
 
