@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from loamgrid.functions.crs import to_mercator
 from loamgrid.functions.geometry import expand_polygon, inside_clip
 from loamgrid.functions.scalar import js_number
 from loamgrid.operators.hull import convex_hull
+from loamgrid.plans.buckets import bucket, salted_join
+from loamgrid.session import has_rows, settle
 
 # Smallest radius and cell (metres) and the optional cap on cells per side.
 MIN_RADIUS = 50.0
@@ -75,9 +77,9 @@ def clip_ring(points: DataFrame, o: GridOptions) -> Column:
     return hull.select(expand_polygon("hull", max(o.radius, MIN_RADIUS) * 0.25).alias("h")).scalar()
 
 
-def _scatter(points: DataFrame, plan: DataFrame, radius: float) -> DataFrame:
-    """``seq, value, row, col, x, y, d``: every node within the radius of every sample."""
-    p = F.col("plan")
+def _scatter(points: DataFrame, plan: Row, radius: float) -> DataFrame:
+    """``seq, value, row, col, nx, ny, d``: every node within the radius of every sample."""
+    p = {k: F.lit(v) for k, v in plan.asDict().items()}
     s, x0, y0 = p["cell"], p["minx"], p["maxy"]
     r = F.lit(float(radius))
 
@@ -86,7 +88,7 @@ def _scatter(points: DataFrame, plan: DataFrame, radius: float) -> DataFrame:
         hi = F.least(size - 1, F.floor(hi).cast("bigint"))
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
-    rows = points.withColumn("plan", plan.select(F.struct("*").alias("p")).scalar()).withColumn(
+    rows = points.withColumn(
         "row", F.explode(steps((y0 - F.col("y") - r) / s - 1e-6, (y0 - F.col("y") + r) / s + 1e-6, p["height"]))
     )
     dy = y0 - F.col("row") * s - F.col("y")
@@ -110,7 +112,10 @@ def interpolate(points: DataFrame, o: GridOptions = GridOptions(), method: str =
     wins outright, and the count is then the number of samples before it.
     """
     radius = max(o.radius, MIN_RADIUS)
-    scattered = _scatter(points, grid_plan(points, o), radius)
+    plan = grid_plan(points, o).first()  # one row
+    if plan["minx"] is None:
+        return points.select(*[F.lit(0).alias(c) for c in ("row", "col")], "x", "y", "value", F.lit(0).alias("neighbor_count")).limit(0)
+    scattered = _scatter(points, plan, radius)
     d, v = F.col("d"), F.col("value")
     off = d > 0
     if method == "gaussian":
@@ -127,29 +132,42 @@ def interpolate(points: DataFrame, o: GridOptions = GridOptions(), method: str =
         stats = scattered.groupBy(*keys).agg(
             *first, F.sum(F.when(off, v * w)).alias("vw"), F.sum(F.when(off, w)).alias("w")
         ).withColumn("estimate", F.try_divide("vw", "w"))
-    # samples exactly on a node are rare and found without scattering (zero reach: own node only)
-    hits = _scatter(points, grid_plan(points, o), 0.0).groupBy(*keys).agg(
-        F.min(F.struct("seq", "value")).alias("hit")
-    )
-    # neighbours counted before a coincident sample: only nodes that have one take part
-    earlier = (
-        scattered.join(hits, keys)
-        .groupBy(*keys)
-        .agg(F.first("hit").alias("hit"), F.count_if(F.col("seq") < F.col("hit.seq")).alias("before"))
-    )
-    full = stats.join(earlier, keys, "left")
+    hits = settle(_scatter(points, plan, 0.0).groupBy(*keys).agg(F.min(F.struct("seq", "value")).alias("hit"), F.first("nx").alias("nx"), F.first("ny").alias("ny")))
+    if has_rows(hits):
+        full = stats.join(_before_hits(points, hits, radius), keys, "left")
+    else:
+        full = stats.withColumns({"hit": F.lit(None).cast(hits.schema["hit"].dataType), "before": F.lit(None).cast("bigint")})
     value = F.when(F.col("hit").isNotNull(), F.col("hit.value")).when(F.col("near") >= o.min_samples, F.col("estimate"))
     count = F.when(F.col("hit").isNotNull(), F.greatest(F.lit(1), F.coalesce("before", F.lit(0)))).otherwise(F.col("near"))
     out = full.select("row", "col", "x", "y", value.alias("value"), count.cast("bigint").alias("neighbor_count"))
     return _clipped(out.filter("value IS NOT NULL"), points, o)
 
 
+def _before_hits(points: DataFrame, hits: DataFrame, radius: float) -> DataFrame:
+    """``row, col, hit, before``: for nodes that carry a sample, the samples in reach that come before it.
+
+    Nodes and samples meet by bucket, so nothing is scattered for the other nodes.
+    """
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    near = (
+        hits.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around))
+        .withColumns({"_by": bucket("ny", radius) + F.col("_a"), "_bx": bucket("nx", radius) + F.col("_b")}).drop("_a", "_b")
+    )
+    placed = points.select("seq", "x", "y").withColumns({"_by": bucket("y", radius), "_bx": bucket("x", radius)})
+    close = (F.col("seq") < F.col("hit.seq")) & (F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")) <= radius)
+    met = salted_join(placed, near, ["_by", "_bx"], "seq").filter(close).groupBy("row", "col").agg(F.count(F.lit(1)).alias("before"))
+    return hits.select("row", "col", "hit").join(met, ["row", "col"], "left")
+
+
 def heatmap(points: DataFrame, o: GridOptions = GridOptions(1500.0, 200.0, 1)) -> DataFrame:
     """Weighted Gaussian density per node; nodes at or below zero are absent."""
     radius = max(o.radius, MIN_RADIUS)
     w = F.exp(-(F.col("d") * F.col("d")) / (2 * (radius / 3) ** 2))
+    plan = grid_plan(points, o).first()  # one row
+    if plan["minx"] is None:
+        return points.select(*[F.lit(0).alias(c) for c in ("row", "col")], "x", "y", "value", F.lit(0).alias("neighbor_count")).limit(0)
     cells = (
-        _scatter(points, grid_plan(points, o), radius)
+        _scatter(points, plan, radius)
         .groupBy("row", "col")
         .agg(
             F.first("nx").alias("x"),

@@ -72,7 +72,9 @@ def _start_tile(pdf: pd.DataFrame, tile: int, straight: float, diagonal: float)
     for dr, dc, _ in D8:
         seed |= gap[1 + dr : 1 + dr + tile, 1 + dc : 1 + dc + tile]
     f = np.full_like(wide, FAR)
-    f[1:-1, 1:-1] = np.where(seed & ~np.isnan(z), z, FAR)
+    done = pdf["drained"].to_numpy(bool)
+    f[(pdf["row"] - tr * tile + 1).to_numpy(int)[done], (pdf["col"] - tc * tile + 1).to_numpy(int)[done]] = pdf["z"].to_numpy(float)[done]
+    f[1:-1, 1:-1] = np.where(seed & ~np.isnan(z), z, f[1:-1, 1:-1])
     f = _relax(z, f, straight, diagonal)
     return _tile_row(tr, tc, z, f, not np.isnan(z).all())
 
@@ -97,18 +99,51 @@ def _next_tiles(batches, tile: int, straight: float, diagonal: float):
             yield pd.concat(rows, ignore_index=True)
 
 
-def fill_sinks(cells: DataFrame, min_slope: float, cell_x: float, cell_y: float, tile: int = TILE) -> DataFrame:
+# Rasters more than this many tiles across find their already drained cells before filling.
+WIDE_TILES = 8
+
+
+def _drained_cells(known: DataFrame, step: float, diagonal: float, cell_x: float, cell_y: float, tile: int) -> DataFrame:
+    """``row, col`` of cells whose steepest path falls by at least the minimum all the way to an outlet.
+
+    Such cells keep their height.  Pointer doubling finds them in logarithmic
+    rounds, which leaves only depressions to the tile exchange.
+    """
+    flow = flow_direction(known, cell_x, cell_y, tile)
+    need = F.when(F.col("fd").isin(2, 8, 32, 128), F.lit(diagonal)).otherwise(F.lit(step))
+    nodes = flow.select(
+        "row", "col", "id",
+        F.when(F.col("drop") >= need, F.col("down")).alias("down"),
+        F.when((F.col("fd") > 0) & F.col("down").isNull(), F.lit(1)).alias("label"),
+    )
+    return resolve(with_tile(nodes, tile)).filter("label IS NOT NULL").select(id_row().alias("row"), id_col().alias("col"))
+
+
+def fill_sinks(
+    cells: DataFrame, min_slope: float, cell_x: float, cell_y: float, tile: int = TILE, drain_first: bool | None = None
+) -> DataFrame:
     """``row, col, z`` with every depression raised to drain at ``min_slope`` or more.
 
     The surface is the least one in which each cell is an outlet (raster edge
     or next to nodata) or has a neighbour at least the minimum drop lower.
     Tiles solve themselves and exchange border strips; only tiles whose strips
-    changed wake their neighbours, until nothing moves.
+    changed wake their neighbours, until nothing moves.  ``drain_first``
+    (default: rasters many tiles wide) settles all cells outside depressions
+    beforehand, so that rounds follow the extent of depressions, not of the raster.
     """
     step = (cell_x + cell_y) / 2 * min_slope
     diagonal = step * math.sqrt(2)
     known = cells.filter(F.col("z").isNotNull() & ~F.isnan("z"))
-    haloed = with_halo(known.select("row", "col", F.col("z").cast("double").alias("z")), 1, tile)
+    known = known.select("row", "col", F.col("z").cast("double").alias("z"))
+    if drain_first is None:
+        b = known.agg((F.max("row") - F.min("row")).alias("h"), (F.max("col") - F.min("col")).alias("w")).first()
+        drain_first = b["h"] is not None and min(b["h"], b["w"]) > WIDE_TILES * tile
+    if drain_first:
+        done = _drained_cells(known, step, diagonal, cell_x, cell_y, tile).withColumn("drained", F.lit(True))
+        known = known.join(done, ["row", "col"], "left").withColumn("drained", F.coalesce("drained", F.lit(False)))
+    else:
+        known = known.withColumn("drained", F.lit(False))
+    haloed = with_halo(known, 1, tile)
     state, moving = settle_counting(
         haloed.groupBy("tr", "tc").applyInPandas(lambda p: _start_tile(p, tile, step, diagonal), TILE_STATE), "moved"
     )
@@ -141,7 +176,7 @@ def fill_sinks(cells: DataFrame, min_slope: float, cell_x: float, cell_y: float,
 
 # --------------------------------------------------------------------- W02, W03
 def flow_direction(cells: DataFrame, cell_x: float, cell_y: float, tile: int = TILE) -> DataFrame:
-    """``row, col, z, fd, id, down``: code of the steepest of 8 slopes, first in E,SE,S... order on ties.
+    """``row, col, z, fd, id, down, drop``: code of the steepest of 8 slopes, first in E,SE,S... order on ties.
 
     A missing neighbour is an outlet (infinite slope); ``down`` is null there
     and in pits (``fd`` 0).
@@ -152,12 +187,14 @@ def flow_direction(cells: DataFrame, cell_x: float, cell_y: float, tile: int = T
         reach = math.hypot(dc * cell_x, dr * cell_y)
         slopes.append(F.when(F.col(f"n{k}").isNull(), F.lit(float("inf"))).otherwise((F.col("z") - F.col(f"n{k}")) / reach))
     best = F.greatest(*slopes)
-    fd, down = None, None
+    fd, down, drop = None, None, None
     for k, (dr, dc, code) in enumerate(D8):
         hit = F.col(f"s{k}") == F.col("best")
         target = F.when(F.col(f"n{k}").isNotNull(), cell_id(F.col("row") + dr, F.col("col") + dc))
         fd = F.when(hit, code) if fd is None else fd.when(hit, code)
         down = F.when(hit, target) if down is None else down.when(hit, target)
+        fall = F.col("z") - F.col(f"n{k}")
+        drop = F.when(hit, fall) if drop is None else drop.when(hit, fall)
     flows = F.col("best") > 0
     return (
         near.withColumns({f"s{k}": s for k, s in enumerate(slopes)})
@@ -167,6 +204,7 @@ def flow_direction(cells: DataFrame, cell_x: float, cell_y: float, tile: int = T
             F.when(flows, fd).otherwise(0).cast("int").alias("fd"),
             cell_id().alias("id"),
             F.when(flows, down).alias("down"),
+            F.when(flows, drop).alias("drop"),
         )
     )
 

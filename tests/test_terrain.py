@@ -35,8 +35,10 @@ def rough():
     return z
 
 
-def test_fill_equals_dijkstra(spark, rough):
-    got = grid_of(H.fill_sinks(cells_of(spark, rough), 0.001, 10.0, 12.0, tile=8), rough.shape, "z", np.inf)
+@pytest.mark.parametrize("drain_first", [True, False])
+def test_fill_equals_dijkstra(spark, rough, drain_first):
+    filled = H.fill_sinks(cells_of(spark, rough), 0.001, 10.0, 12.0, tile=8, drain_first=drain_first)
+    got = grid_of(filled, rough.shape, "z", np.inf)
     want = brute.fill(rough, 0.001, 10.0, 12.0)
     assert np.allclose(got, want, atol=1e-9)
 
