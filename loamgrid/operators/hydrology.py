@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgrid.functions.geometry import line, vertex
 from loamgrid.plans.buckets import bucket
-from loamgrid.plans.forest import accumulate, resolve
+from loamgrid.plans import forest
+from loamgrid.plans.forest import _local_last, _local_links, accumulate, resolve
 from loamgrid.plans.lattice import D8, STRIDE, TILE, cell_id, id_col, id_row, neighbours, with_halo, with_tile
 from loamgrid.plans.ranks import global_rank
 from loamgrid.session import settle, settle_counting
@@ -332,6 +333,27 @@ def reach_labels(ch: DataFrame) -> DataFrame:
     return starts.unionByName(joined)
 
 
+def _merge_at_once(pdf: pd.DataFrame, min_cells: int) -> pd.DataFrame:
+    """The merge rule over a small reach table, in order from heads to outlets."""
+    link = _local_links(pdf["reach"].to_numpy(np.int64), pdf["down_reach"].fillna(-1).to_numpy(np.int64))
+    total = pdf["cells"].to_numpy(np.int64).copy()
+    waiting = np.bincount(link[link >= 0], minlength=len(link))
+    ready = list(np.flatnonzero(waiting == 0))
+    joins = np.full(len(link), -1)
+    while ready:
+        u = ready.pop()
+        v = link[u]
+        if v < 0:
+            continue
+        if total[u] < min_cells:
+            joins[u] = v
+            total[v] += total[u]
+        waiting[v] -= 1
+        if not waiting[v]:
+            ready.append(v)
+    return pd.DataFrame({"reach": pdf["reach"], "kept": pdf["reach"].to_numpy()[_local_last(joins)]})
+
+
 def _merge_small(reach: DataFrame, min_cells: int) -> DataFrame:
     """W07 step 5: ``reach, down_reach, cells`` -> ``reach, kept``.
 
@@ -342,6 +364,8 @@ def _merge_small(reach: DataFrame, min_cells: int) -> DataFrame:
     state, left = settle_counting(
         reach.select("reach", "down_reach", "cells", F.lit(None).cast("bigint").alias("total")), "total IS NULL"
     )
+    if left <= forest.SMALL_GRAPH:
+        return state.groupBy(F.lit("all")).applyInPandas(lambda p: _merge_at_once(p, min_cells), "reach long, kept long")
     while left:
         feed = state.filter("down_reach IS NOT NULL").select(F.col("down_reach").alias("reach"), F.col("total").alias("t"), F.col("cells").alias("c"))
         # a feed that is large by itself never merges, so its exact total does not matter

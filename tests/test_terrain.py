@@ -96,6 +96,27 @@ def test_flow_and_basins(spark, rough, monkeypatch, small):
     assert subs["basin_id"].nunique() == len(set(label.values()))
     merged = H.sub_basins(flow, thr, 40, tile=8).toPandas()
     assert len(merged) == len(subs) and merged["basin_id"].nunique() < subs["basin_id"].nunique()
+    group = {(r.row, r.col): r.basin_id for r in subs.itertuples()}
+    size = subs["basin_id"].value_counts().to_dict()
+    outlet = {}
+    for u in ch:
+        b = group[u]
+        if b not in outlet or acc[u] > acc[outlet[b]]:
+            outlet[b] = u
+    into = {}
+    for b in sorted(outlet, key=lambda b: acc[outlet[b]]):
+        below = group.get(down[outlet[b]])
+        if size[b] < 40 and below is not None and below != b:
+            into[b] = below
+            size[below] += size[b]
+
+    def final(b):
+        while b in into:
+            b = into[b]
+        return b
+
+    pairs = {(r.basin_id, final(group[r.row, r.col])) for r in merged.itertuples()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
     rings = P.ring_vertices(spark.createDataFrame(subs), "basin_id", tile=8).toPandas()
     area = 0.0
