@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,9 +69,12 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back; frees the shuffle files of what came before."""
+    """Write to the shared folder and read back; the shuffle files of what came before go if the caller holds no more of it."""
+    jvm = df.sparkSession.sparkContext._jvm
     out = settle(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    gc.collect()
+    jvm.System.gc()
     return out
 
 
