@@ -59,6 +59,15 @@ def pieces_of(row: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
             yield int(row[a]), *[c[a:b] for c in columns]
 
 
+def planes(ids: np.ndarray) -> bytes:
+    """64-bit numbers with their bytes of equal weight side by side, which compress well."""
+    return ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
 Prints = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
@@ -71,13 +80,6 @@ def shared_prints(docs: DataFrame, prints: Prints) -> DataFrame:
     sent = "bucket int, echo boolean, keys binary, docs binary"
     sent_schema, out_schema = arrow_schema(sent), arrow_schema("doc_id long, keys binary")
 
-    def planes(ids: np.ndarray) -> bytes:
-        """Bytes of equal weight side by side, which compress well."""
-        return ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-    def unplaned(raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
         for batch in batches:

@@ -21,11 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from loamgrid.llm.base import arrow_schema, cut, documents
-from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces_of, short, text_chunks, with_shared
+from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces_of, planes, short, text_chunks, unplaned, with_shared
 
 GRAM = 24
-#: Windows sorted at a time.
-SORTED = 150_000
+#: Of the pieces' bytes on their way.
+CODEC = "zstd"
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -74,7 +74,7 @@ def _prints(length: int):
 
 
 def _candidates(df: DataFrame, length: int, keep_text: bool) -> DataFrame:
-    """Rows with ``runs`` (packed first and end windows, and hashes, of the runs that may have copies) or, without any, done."""
+    """Rows with ``runs`` (bits of those of the row's runs that may have copies) or, without any, done."""
     bits = bucket_bits(df.sparkSession)
     carried = [f for f in df.schema.fields if f.name not in ("text", "keys")]
     schema = StructType(carried + _parse_datatype_string(f"text string, runs binary, {RESULT}").fields)
@@ -85,17 +85,16 @@ def _candidates(df: DataFrame, length: int, keep_text: bool) -> DataFrame:
             texts, keys = batch.column(names.index("text")), batch.column(names.index("keys"))
             for at, end, data, offsets in text_chunks(texts):
                 raw = data.tobytes()
-                row, first, last, value = _runs(data, offsets, length)
-                found = {r: (a, b, v) for r, a, b, v in pieces_of(row, first, last, value)}
+                row, _, _, value = _runs(data, offsets, length)
+                found = {r: v for r, v in pieces_of(row, value)}
                 out = []
                 for r in range(end - at):
                     part = keys[at + r].as_py()
                     packed = None
                     if part and r in found:
-                        a, b, v = found[r]
-                        hit = np.isin(short(v, bits), joined_keys(part))
+                        hit = np.isin(short(found[r], bits), joined_keys(part))
                         if hit.any():
-                            packed = a[hit].astype("<i4").tobytes() + b[hit].astype("<i4").tobytes() + v[hit].astype("<u8").tobytes()
+                            packed = np.packbits(hit).tobytes()
                     text = raw[offsets[r] : offsets[r + 1]]
                     shown = text.decode() if packed or keep_text else None
                     out.append((shown, packed, len(text), 0, 0, None if packed else hashlib.sha256(text).hexdigest()))
@@ -117,31 +116,33 @@ def _pieces(df: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             best: dict[bytes, tuple] = {}
             later: list[tuple] = []
-            for rid, doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = text.encode()
-                n = len(runs) // 16
-                first, last = np.frombuffer(runs, "<i4", n).tolist(), np.frombuffer(runs, "<i4", n, 4 * n).tolist()
-                for a, b, v in zip(first, last, np.frombuffer(runs, "<u8", n, 8 * n).tolist()):
-                    key = raw[a : b + length - 1]
-                    was = best.get(key)
-                    if was is None:
-                        best[key] = (v, doc, [(rid, a)])
-                    elif doc < was[1]:
-                        later += [(r, s, len(key)) for r, s in was[2]]
-                        best[key] = (v, doc, [(rid, a)])
-                    elif doc == was[1]:
-                        was[2].append((rid, a))
-                    else:
-                        later.append((rid, a, len(key)))
+            rids, docs, runs = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for at, _, data, offsets in text_chunks(batch.column(2)):
+                raw = data.tobytes()
+                for r, first, last, value in pieces_of(*_runs(data, offsets, length)):
+                    hit = np.flatnonzero(np.unpackbits(np.frombuffer(runs[at + r], np.uint8), count=len(first)))
+                    rid, doc, base = rids[at + r], docs[at + r], int(offsets[r])
+                    for a, b, v in zip(first[hit].tolist(), last[hit].tolist(), value[hit].tolist()):
+                        key = raw[base + a : base + b + length - 1]
+                        was = best.get(key)
+                        if was is None:
+                            best[key] = (v, doc, [(rid, a)])
+                        elif doc < was[1]:
+                            later += [(i, s, len(key)) for i, s in was[2]]
+                            best[key] = (v, doc, [(rid, a)])
+                        elif doc == was[1]:
+                            was[2].append((rid, a))
+                        else:
+                            later.append((rid, a, len(key)))
             rows: list[tuple] = []
-            flat = sorted(((v, doc, r, s, k) for k, (v, doc, at) in best.items() for r, s in at), key=lambda x: x[0])
+            flat = sorted(((v >> (64 - bits), k, doc, r, s) for k, (v, doc, at) in best.items() for r, s in at))
             if flat:
-                value = np.array([x[0] for x in flat], dtype=np.uint64)
-                meta = np.array([(x[1], x[2], x[3], len(x[4])) for x in flat], dtype="<i8")
-                index = np.arange(len(flat))
-                for b, i in pieces_of((value >> np.uint64(64 - bits)).astype(np.int64), index):
+                meta = [np.array([x[i] for x in flat], dtype="<i8") for i in (2, 3, 4)]
+                size = np.array([len(x[1]) for x in flat], dtype="<i8")
+                for b, i in pieces_of(np.array([x[0] for x in flat]), np.arange(len(flat))):
                     part = slice(i[0], i[-1] + 1)
-                    rows.append((b, False, np.column_stack([value[part].view("<i8"), meta[part]]).tobytes(), b"".join(x[4] for x in flat[part])))
+                    data = b"".join(x[1] for x in flat[part])
+                    rows.append((b, False, planes(np.concatenate([m[part] for m in (*meta, size)])), pa.compress(data, CODEC, asbytes=True)))
             for at in range(0, len(later), 20_000):
                 salt += 1
                 got = np.array(later[at : at + 20_000], dtype="<i8")
@@ -189,49 +190,36 @@ def _answers(df: DataFrame, length: int) -> DataFrame:
     """``rid, windows``: packed (first window, number) pairs of windows with an earlier copy."""
     out_schema = arrow_schema("rid long, windows binary")
 
-    def chunk(value, meta, starts, data) -> Iterator[np.ndarray]:
-        n = meta[:, 3] - length + 1  # windows of each piece
+    def copied(metas: list[bytes], texts: list[bytes]) -> Iterator[np.ndarray]:
+        """``rid, first window, number`` of the windows of one bucket with an earlier copy."""
+        doc, rid, start, size = np.hstack([unplaned(m).reshape(4, -1) for m in metas])
+        sizes = [int(unplaned(m).reshape(4, -1)[3].sum()) for m in metas]
+        data = np.frombuffer(b"".join(pa.decompress(t, n, CODEC, asbytes=True) for t, n in zip(texts, sizes)), np.uint8)
+        n = size - length + 1  # windows of each piece
         piece = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         view = np.lib.stride_tricks.sliding_window_view(data, length)
-        copied = earlier_copies(view[starts[piece] + place], meta[piece, 0])
-        hit = np.flatnonzero(copied)
+        hit = np.flatnonzero(earlier_copies(view[(np.cumsum(size) - size)[piece] + place], doc[piece]))
         if len(hit):
             new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(piece[hit]) != 0)])
-            count = np.diff(np.r_[new, len(hit)])
             head = hit[new]
-            yield np.column_stack([meta[piece[head], 1], meta[piece[head], 2] + place[head], count])
+            yield np.column_stack([rid[piece[head]], start[piece[head]] + place[head], np.diff(np.r_[new, len(hit)])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        metas, texts, found = [], [], []
+        buckets: dict[int, tuple[list, list]] = {}
+        found = []
         for batch in batches:
-            for _, echo, meta, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for b, echo, meta, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if echo:
                     got = np.frombuffer(meta, "<i8").reshape(-1, 3).copy()
                     got[:, 2] -= length - 1
                     found.append(got)
                 else:
-                    metas.append(np.frombuffer(meta, "<i8").reshape(-1, 5))
+                    metas, texts = buckets.setdefault(b, ([], []))
+                    metas.append(meta)
                     texts.append(raw)
-        if metas:
-            meta, data = np.concatenate(metas), np.frombuffer(b"".join(texts), np.uint8)
-            del metas, texts
-            value, meta = meta[:, 0].view("<u8"), meta[:, 1:]
-            starts = np.cumsum(meta[:, 3]) - meta[:, 3]
-            order = np.argsort(value, kind="stable")
-            value, meta, starts = value[order], meta[order], starts[order]
-            edges = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-            total = np.cumsum(meta[:, 3] - length + 1)
-            low = 0
-            while low < len(value):
-                # whole hashes of about SORTED windows
-                high = int(np.searchsorted(total, (total[low - 1] if low else 0) + SORTED, side="right"))
-                k = int(np.searchsorted(edges, max(high, low + 1), side="right"))
-                stop = int(edges[k - 1]) if k and edges[k - 1] > low else int(edges[k]) if k < len(edges) else len(value)
-                if high >= len(value):
-                    stop = len(value)
-                found += chunk(value[low:stop], meta[low:stop], starts[low:stop], data)
-                low = stop
+        while buckets:
+            found += copied(*buckets.popitem()[1])
         if not found:
             return
         got = np.concatenate(found)
