@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,13 +69,19 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return test
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back; the shuffle files of what came before go if the caller holds no more of it."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write to the shared folder and read back.
+
+    ``free`` lets go of the shuffle files of what came before, if the caller holds no more of it: the driver's garbage
+    is collected twice, as the second collection finds what the first released.
+    """
     jvm = df.sparkSession.sparkContext._jvm
     out = settle(df)
     del df
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2 * free):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
     return out
 
 

@@ -219,7 +219,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     null); rows that repeat a doc_id with one text repeat the row.  Hash collisions of 64 bits are not told apart.
     """
     # no name holds the first plan, so that its shuffle files can go once it is written
-    base = cut(_sets(with_shared(documents(docs).withColumn("text_key", text_key()), _prints)).withColumn("rid", F.monotonically_increasing_id()))
+    base = cut(_sets(with_shared(documents(docs).withColumn("text_key", text_key()), _prints)).withColumn("rid", F.monotonically_increasing_id()), free=True)
     member = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     shape = ["n_shingles", "sig1", "sig2"]
     classes = cut(member.groupBy(*shape).agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("text").isNotNull(), F.col("rid"))).alias("rid")))

@@ -256,7 +256,7 @@ def remove_copies(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
     # no name holds the first plan, so that its shuffle files can go once it is written
-    first = cut(_candidates(with_shared(documents(docs, *carry), _prints(length)), length, with_text).withColumn("rid", F.monotonically_increasing_id()))
+    first = cut(_candidates(with_shared(documents(docs, *carry), _prints(length)), length, with_text).withColumn("rid", F.monotonically_increasing_id()), free=True)
     open_ = first.where("runs IS NOT NULL")
     answers = _answers(_pieces(open_, length), length).groupBy(F.col("rid").alias("of")).agg(F.collect_list("windows").alias("windows"))
     told = open_.join(answers.hint("shuffle_hash"), open_.rid == answers.of, "left").drop("of", "rid", "runs", *[c.split()[0] for c in RESULT.split(", ")])
