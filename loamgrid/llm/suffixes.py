@@ -26,6 +26,8 @@ from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces
 GRAM = 24
 #: Of the pieces' bytes on their way.
 CODEC = "zstd"
+#: Distinct pieces held before they are sent.
+HELD = 80_000
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -113,9 +115,30 @@ def _pieces(df: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
+        best: dict[bytes, tuple] = {}
+        later: list[tuple] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal salt
+            rows: list[tuple] = []
+            flat = sorted(((v >> (64 - bits), k, doc, r, s) for k, (v, doc, at) in best.items() for r, s in at))
+            if flat:
+                meta = [np.array([x[i] for x in flat], dtype="<i8") for i in (2, 3, 4)]
+                size = np.array([len(x[1]) for x in flat], dtype="<i8")
+                for b, i in pieces_of(np.array([x[0] for x in flat]), np.arange(len(flat))):
+                    part = slice(i[0], i[-1] + 1)
+                    data = b"".join(x[1] for x in flat[part])
+                    rows.append((b, False, planes(np.concatenate([m[part] for m in (*meta, size)])), pa.compress(data, CODEC, asbytes=True)))
+            for at in range(0, len(later), 20_000):
+                salt += 1
+                got = np.array(later[at : at + 20_000], dtype="<i8")
+                rows.append(((1 << bits) + hash((int(got[0, 0]), salt)) % (1 << bits), True, got.tobytes(), None))
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 1000]), out_schema)], schema=out_schema)
+            best.clear()
+            later.clear()
+
         for batch in batches:
-            best: dict[bytes, tuple] = {}
-            later: list[tuple] = []
             rids, docs, runs = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for at, _, data, offsets in text_chunks(batch.column(2)):
                 raw = data.tobytes()
@@ -134,21 +157,9 @@ def _pieces(df: DataFrame, length: int) -> DataFrame:
                             was[2].append((rid, a))
                         else:
                             later.append((rid, a, len(key)))
-            rows: list[tuple] = []
-            flat = sorted(((v >> (64 - bits), k, doc, r, s) for k, (v, doc, at) in best.items() for r, s in at))
-            if flat:
-                meta = [np.array([x[i] for x in flat], dtype="<i8") for i in (2, 3, 4)]
-                size = np.array([len(x[1]) for x in flat], dtype="<i8")
-                for b, i in pieces_of(np.array([x[0] for x in flat]), np.arange(len(flat))):
-                    part = slice(i[0], i[-1] + 1)
-                    data = b"".join(x[1] for x in flat[part])
-                    rows.append((b, False, planes(np.concatenate([m[part] for m in (*meta, size)])), pa.compress(data, CODEC, asbytes=True)))
-            for at in range(0, len(later), 20_000):
-                salt += 1
-                got = np.array(later[at : at + 20_000], dtype="<i8")
-                rows.append(((1 << bits) + hash((int(got[0, 0]), salt)) % (1 << bits), True, got.tobytes(), None))
-            for at in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 1000]), out_schema)], schema=out_schema)
+                if len(best) >= HELD:
+                    yield from send()
+        yield from send()
 
     return df.select("rid", "doc_id", "text", "runs").mapInArrow(run, out_ddl)
 
