@@ -26,6 +26,8 @@ from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces
 GRAM = 24
 #: Of the pieces' bytes on their way.
 CODEC = "zstd"
+#: Windows sorted at a time.
+SORTED = 100_000
 #: Distinct pieces held before they are sent.
 HELD = 80_000
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -206,11 +208,23 @@ def _answers(df: DataFrame, length: int) -> DataFrame:
         doc, rid, start, size = np.hstack([unplaned(m).reshape(4, -1) for m in metas])
         sizes = [int(unplaned(m).reshape(4, -1)[3].sum()) for m in metas]
         data = np.frombuffer(b"".join(pa.decompress(t, n, CODEC, asbytes=True) for t, n in zip(texts, sizes)), np.uint8)
+        windows = np.lib.stride_tricks.sliding_window_view(data, length)
         n = size - length + 1  # windows of each piece
-        piece = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-        view = np.lib.stride_tricks.sliding_window_view(data, length)
-        hit = np.flatnonzero(earlier_copies(view[(np.cumsum(size) - size)[piece] + place], doc[piece]))
+        piece = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        place = (np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        at = (np.cumsum(size) - size)[piece] + place
+        # equal windows begin alike, so their first bytes split a large bucket
+        parts = -(-len(at) // SORTED)
+        part = np.zeros(len(at), np.uint8 if parts < 256 else np.uint32)
+        if parts > 1:
+            word = sum(data[at + i].astype(np.uint64) << np.uint64(8 * i) for i in range(8))
+            part[:] = mix(word) % np.uint64(parts)
+            del word
+        gone = np.zeros(len(at), bool)
+        for k in range(parts):
+            mine = np.flatnonzero(part == k)
+            gone[mine] = earlier_copies(windows[at[mine]], doc[piece[mine]])
+        hit = np.flatnonzero(gone)
         if len(hit):
             new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(piece[hit]) != 0)])
             head = hit[new]
