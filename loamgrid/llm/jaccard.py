@@ -4,7 +4,8 @@ Jaccard distance is a metric; documents link within ``RADIUS``.  Documents at di
 one region, so a region forms around what makes a distance below 1: a document lies in the regions of the least
 shingles of its set, as many as make two linked documents share a region.  The pivot of a region is its first document.
 
-1.  A document whose least shingles are shared too little with any other links to nothing and leaves early.
+1.  A document whose least shingles are shared too little with any other links to nothing and leaves early; each
+    document leaves its most crowded regions, as far as linked documents are sure to keep a common one.
 2.  Distances to the region's pivot are computed; those within the radius link.  A region whose documents are now all
     linked is done: copies and near copies of one document take one distance each, however many there are.
 3.  What is left in a region joins recursively around more pivots, 16 times as many each time, against the region's
@@ -130,7 +131,7 @@ def _sets(df: DataFrame) -> DataFrame:
                         hit = np.isin(mine[: most + 1 + int(EXTRA * size)], joined_keys(part))
                         if hit.sum() >= 1 + int(EXTRA * ceil(PERCENT * size / 100)):
                             text = texts[at + r].as_py()
-                            region = mine[: most + 1][hit[: most + 1]].view(np.int64)
+                            region = mine[: len(hit)][hit].view(np.int64)
                     shown.append(text)
                     regions.append(region)
                 cols = [batch.column(names.index(c)).slice(at, end - at) for c in ("doc_id", "text_key")]
@@ -171,13 +172,28 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = F.expr(f"100 * shared >= {PERCENT} * union_size")
 
 
+def _sparse_regions(regions: DataFrame) -> DataFrame:
+    """``region, rid, n``: without each document's most crowded regions.
+
+    Two linked documents share ``1 + EXTRA`` of the lesser set's shingles among those sent, so each may leave half of
+    that share of its least possible partner and one region is still common to both.
+    """
+    crowd = regions.groupBy("region").agg(F.count("*").alias("m")).where("m > 1")
+    least = F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * PERCENT / 100)) / 2
+    one = regions.join(crowd, "region").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("m", "region"))).alias("all"))
+    # of the regions that nobody else is in, none counts against what may be left out
+    return one.select("rid", "n", F.explode(F.slice("all", F.lit(1), F.greatest(F.size("all") - F.floor(least).cast("int"), F.lit(0)))).alias("x")).select(
+        "rid", "n", "x.region"
+    )
+
+
 def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b``: links that connect whatever is linked within ``regions(region, rid, n)``."""
+    regions = cut(_sparse_regions(regions), free=True)
     first = regions.groupBy("region").agg(F.min("rid").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    placed = cut(regions.join(first, "region"))
-    drop_settled(regions)
+    placed = cut(regions.join(first, "region"), free=True)
     pairs = placed.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
-    known = cut(_overlaps(pairs, texts))
+    known = cut(_overlaps(pairs, texts), free=True)
     links = known.where(LINKED).select("a", "b")
     distance = known.select(F.col("a").alias("rid"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("union_size")).alias("d"))
     placed = placed.join(distance, ["rid", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
@@ -203,7 +219,7 @@ def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
         more = chosen.join(rest, (F.col("p.region") == F.col("x.region")) & near & sizes & (F.col("p.rid") != F.col("x.rid")))
         more = more.select(F.greatest("p.rid", "x.rid").alias("a"), F.least("p.rid", "x.rid").alias("b")).distinct()
         seen = known.select("a", "b")
-        new = cut(_overlaps(more.join(seen, ["a", "b"], "left_anti"), texts))
+        new = cut(_overlaps(more.join(seen, ["a", "b"], "left_anti"), texts), free=True)
         known = known.unionByName(new)
         links = links.unionByName(new.where(LINKED).select("a", "b"))
         finished = placed.where(F.col("m") > last * 16)
