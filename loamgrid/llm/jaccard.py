@@ -169,7 +169,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.mapInArrow(run, ddl)
 
 
-LINKED = F.expr(f"100 * shared >= {PERCENT} * union_size")
+LINKED = f"100 * shared >= {PERCENT} * union_size"
 
 
 def _sparse_regions(regions: DataFrame) -> DataFrame:
