@@ -347,26 +347,23 @@ def point_on_segment(px, py, sx, sy, ex, ey) -> Column:
 def point_in_ring(px, py, ring) -> Column:
     """Even-odd test; a point on the boundary is inside."""
     px, py, ring = _col(px), _col(py), _col(ring)
-    prev = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
-    edges = F.zip_with(ring, prev, lambda i, j: F.struct(i.alias("i"), j.alias("j")))
-
-    def step(acc, e):
-        i, j = e["i"], e["j"]
-        dy = j["y"] - i["y"]
-        dy = F.when(dy == 0, F.lit(EDGE_TOLERANCE)).otherwise(dy)
-        crosses = ((i["y"] > py) != (j["y"] > py)) & (
-            px < (j["x"] - i["x"]) * (py - i["y"]) / dy + i["x"]
-        )
-        return F.struct(
-            (acc["edge"] | point_on_segment(px, py, i["x"], i["y"], j["x"], j["y"])).alias("edge"),
-            (acc["odd"] != crosses).alias("odd"),
-        )
-
-    state = F.struct(F.lit(False).alias("edge"), F.lit(False).alias("odd"))
-    return F.when(
-        F.coalesce(F.size(ring), F.lit(0)) > 0,
-        F.coalesce(F.aggregate(edges, state, step, lambda s: s["edge"] | s["odd"]), F.lit(False)),
-    ).otherwise(F.lit(False))
+    on_edge = F.zip_with(ring, _rotated(ring), lambda a, b: point_on_segment(px, py, a["x"], a["y"], b["x"], b["y"]))
+    return F.coalesce(F.exists(on_edge, lambda hit: hit) | (_winding(px, py, ring) % 2 != 0), F.lit(False))
+
+
+def _winding(px: Column, py: Column, ring: Column) -> Column:
+    """Edges met by the ray from the point to the right: those going up less those going down.
+
+    Its parity is the even-odd answer.  Which side of an edge the point lies on is the sign of an area.
+    """
+
+    def met(a, b):
+        area2 = (b["x"] - a["x"]) * (py - a["y"]) - (px - a["x"]) * (b["y"] - a["y"])
+        up = (a["y"] <= py) & (py < b["y"]) & (area2 > 0)
+        down = (b["y"] <= py) & (py < a["y"]) & (area2 < 0)
+        return F.when(up, 1).when(down, -1).otherwise(0)
+
+    return F.aggregate(F.zip_with(ring, _rotated(ring), met), F.lit(0), lambda total, v: total + v)
 
 
 def point_in_polygon(px, py, geom) -> Column:
@@ -401,41 +398,31 @@ def segments(geom) -> Column:
     ).otherwise(F.slice(open_, 1, 0))
 
 
-def _turn(ax, ay, bx, by, cx, cy) -> Column:
-    v = (by - ay) * (cx - bx) - (bx - ax) * (cy - by)
-    return F.when(F.abs(v) < EDGE_TOLERANCE, F.lit(0)).when(v > 0, F.lit(1)).otherwise(F.lit(2))
+def _straddle(line_: Column, ends: Column) -> Column:
+    """Product of the signed areas that the line spans with the two ends: negative when it parts them, 0 when it meets one."""
+
+    def area2(p):
+        s, e = line_["s"], line_["e"]
+        v = (e["x"] - s["x"]) * (p["y"] - s["y"]) - (p["x"] - s["x"]) * (e["y"] - s["y"])
+        return F.when(F.abs(v) >= EDGE_TOLERANCE, v).otherwise(F.lit(ZERO))
+
+    return area2(ends["s"]) * area2(ends["e"])
 
 
 def segments_intersect(s1, s2) -> Column:
-    """Orientation test with collinear overlap."""
+    """Each straddles the other's line, and their extents overlap (which decides between segments of one line)."""
     s1, s2 = _col(s1), _col(s2)
-    p1, q1, p2, q2 = s1["s"], s1["e"], s2["s"], s2["e"]
 
-    def turn(a, b, c):
-        return _turn(a["x"], a["y"], b["x"], b["y"], c["x"], c["y"])
+    def overlap(axis):
+        a, b, c, d = s1["s"][axis], s1["e"][axis], s2["s"][axis], s2["e"][axis]
+        return (F.greatest(a, b) >= F.least(c, d)) & (F.greatest(c, d) >= F.least(a, b))
 
-    def on(p, a, b):
-        return point_on_segment(p["x"], p["y"], a["x"], a["y"], b["x"], b["y"])
-
-    o1, o2, o3, o4 = turn(p1, q1, p2), turn(p1, q1, q2), turn(p2, q2, p1), turn(p2, q2, q1)
-    return (
-        ((o1 != o2) & (o3 != o4))
-        | ((o1 == 0) & on(p2, p1, q1))
-        | ((o2 == 0) & on(q2, p1, q1))
-        | ((o3 == 0) & on(p1, p2, q2))
-        | ((o4 == 0) & on(q1, p2, q2))
-    )
+    return overlap("x") & overlap("y") & (_straddle(s1, s2) <= 0) & (_straddle(s2, s1) <= 0)
 
 
 def _proper_crossing(s1: Column, s2: Column) -> Column:
     """True where two segments cross at an inner point of both."""
-    p1, q1, p2, q2 = s1["s"], s1["e"], s2["s"], s2["e"]
-
-    def turn(a, b, c):
-        return _turn(a["x"], a["y"], b["x"], b["y"], c["x"], c["y"])
-
-    o1, o2, o3, o4 = turn(p1, q1, p2), turn(p1, q1, q2), turn(p2, q2, p1), turn(p2, q2, q1)
-    return (o1 != o2) & (o3 != o4) & (o1 != 0) & (o2 != 0) & (o3 != 0) & (o4 != 0)
+    return (_straddle(s1, s2) < 0) & (_straddle(s2, s1) < 0)
 
 
 def contains(outer, inner) -> Column:
@@ -471,18 +458,21 @@ def _intersects(a: Column, b: Column) -> Column:
 
 
 def _meet(a: Column, b: Column, sa: Column, sb: Column) -> Column:
-    pa, pb = representative_point(a), representative_point(b)
-    points = (pa["x"] == pb["x"]) & (pa["y"] == pb["y"])
-    touch = lambda p, segs: F.exists(  # noqa: E731 - a point on a line: no segment pair exists
-        segs, lambda t: F.coalesce(point_on_segment(p["x"], p["y"], t["s"]["x"], t["s"]["y"], t["e"]["x"], t["e"]["y"]), F.lit(False))
-    )
+    points = F.exists(vertices(a), lambda v: F.exists(vertices(b), lambda w: (v["x"] == w["x"]) & (v["y"] == w["y"])))
+
+    def touch(g, segs):
+        """Any point of a point or multipoint on a line: no segment pair exists."""
+        dots = F.when(_is(g, "Point", "MultiPoint"), vertices(g))
+        on = lambda p, t: point_on_segment(p["x"], p["y"], t["s"]["x"], t["s"]["y"], t["e"]["x"], t["e"]["y"])
+        return F.coalesce(F.exists(dots, lambda p: F.exists(segs, lambda t: F.coalesce(on(p, t), F.lit(False)))), F.lit(False))
+
     # a shape inside the other has its vertices there; otherwise boundaries meet
     exact = (
         F.exists(vertices(a), lambda v: point_in_polygon(v["x"], v["y"], b))
         | F.exists(vertices(b), lambda v: point_in_polygon(v["x"], v["y"], a))
         | F.exists(sa, lambda s: F.exists(sb, lambda t: segments_intersect(s, t)))
-        | touch(pa, sb)
-        | touch(pb, sa)
+        | touch(a, sb)
+        | touch(b, sa)
     )
     both_points = _is(a, "Point", "MultiPoint") & _is(b, "Point", "MultiPoint")
     return F.coalesce(
@@ -511,18 +501,7 @@ def expand_polygon(ring, pad: float) -> Column:
 def inside_clip(px, py, ring) -> Column:
     """Even-odd clip test; fewer than three vertices keep everything."""
     px, py, ring = _col(px), _col(py), _col(ring)
-    prev = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
-    edges = F.zip_with(ring, prev, lambda i, j: F.struct(i.alias("i"), j.alias("j")))
-
-    def step(odd, e):
-        i, j = e["i"], e["j"]
-        dy = j["y"] - i["y"]
-        dy = F.when(dy == 0, F.lit(EDGE_TOLERANCE)).otherwise(dy)
-        return odd != (
-            ((i["y"] > py) != (j["y"] > py)) & (px < (j["x"] - i["x"]) * (py - i["y"]) / dy + i["x"])
-        )
-
-    return F.when(F.size(ring) < 3, F.lit(True)).otherwise(F.aggregate(edges, F.lit(False), step))
+    return F.when(F.size(ring) < 3, F.lit(True)).otherwise(_winding(px, py, ring) % 2 != 0)
 
 
 def geometry_kind(geom) -> Column:

@@ -17,7 +17,8 @@ FALSE_WORDS = ["false", "f", "no", "n", "0", ""]
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-NUMBER_PREFIX = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+PLAIN_DECIMAL = "^-?[0-9]+([.][0-9]+)?$"
+NUMBER_PREFIX =r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 # Whitespace as an ECMAScript trim sees it.
 BLANKS = r"[\s ﻿  ]+"
 
@@ -42,6 +43,12 @@ def finite(c) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(c)
 
 
+def _digits_value(text: Column, base: int) -> Column:
+    """Double value of all digits behind a two-character prefix, however many there are."""
+    digits = F.regexp_extract_all(F.substr(text, F.lit(3)), F.lit("[0-9a-fA-F]"), F.lit(0))
+    return F.aggregate(digits, F.lit(0.0), lambda acc, d: acc * F.lit(float(base)) + F.conv(d, 16, 10).try_cast("double"))
+
+
 def js_number(c, null_as_zero: bool = True) -> Column:
     """Coerce any scalar to a finite double, or null.
 
@@ -51,13 +58,12 @@ def js_number(c, null_as_zero: bool = True) -> Column:
     c = _col(c)
     raw = c.try_cast("double")
     text = trim_all(c)
-    body = F.substring(text, 3, 64)
     from_text = (
         F.when(text == "", F.lit(0.0))
         .when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
-        .when(text.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(body, 16, 10).try_cast("double"))
-        .when(text.rlike("^0[bB][01]+$"), F.conv(body, 2, 10).try_cast("double"))
-        .when(text.rlike("^0[oO][0-7]+$"), F.conv(body, 8, 10).try_cast("double"))
+        .when(text.rlike("^0[xX][0-9a-fA-F]+$"), _digits_value(text, 16))
+        .when(text.rlike("^0[bB][01]+$"), _digits_value(text, 2))
+        .when(text.rlike("^0[oO][0-7]+$"), _digits_value(text, 8))
     )
     value = finite(F.when(F.typeof(c) == "string", from_text).otherwise(raw))
     if null_as_zero:
@@ -296,11 +302,11 @@ def format_area(sqm) -> Column:
 
 def parse_lat_lng(text) -> Column:
     """P25: ``"lat, lng"`` text to struct(lat, lon), range-checked, else null."""
-    pattern = r"^(-?\d+(?:\.\d+)?)[,\s]+(-?\d+(?:\.\d+)?)$"
-    t = trim_all(text)
-    lat = F.regexp_extract(t, pattern, 1).try_cast("double")
-    lon = F.regexp_extract(t, pattern, 2).try_cast("double")
-    ok = t.rlike(pattern) & lat.between(-90, 90) & lon.between(-180, 180)
+    halves = F.split(trim_all(text), r"[\s,]+")
+    lat, lon = (F.get(halves, F.lit(i)).try_cast("double") for i in (0, 1))
+    # no signs, exponents or words that a cast would take besides plain decimals
+    plain = F.forall(halves, lambda h: h.rlike(PLAIN_DECIMAL))
+    ok = (F.size(halves) == 2) & plain & lat.between(-90, 90) & lon.between(-180, 180)
     return F.when(ok, F.struct(lat.alias("lat"), lon.alias("lon")))
 
 

@@ -9,12 +9,10 @@ ever holds a whole ring, so a region may cover any share of the raster.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgrid.functions.geometry import vertex
-from loamgrid.plans.forest import SMALL_GRAPH, resolve
+from loamgrid.plans.forest import resolve
 from loamgrid.plans.lattice import TILE, cell_id, neighbours
 from loamgrid.session import settle, settle_counting
 
@@ -104,31 +102,8 @@ def _ring_order(corners: DataFrame) -> DataFrame:
     return corners.join(state.select("edge", "left"), "edge")
 
 
-def _cycles_at_once(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ring id and steps to the ring's start for every corner of a small corner table."""
-    edge, nxt = pdf["edge"].to_numpy(np.int64), pdf["next"].to_numpy(np.int64)
-    order = np.argsort(edge)
-    ahead = order[np.searchsorted(edge[order], nxt)]
-    ring, hop = edge.copy(), ahead.copy()
-    while True:
-        lower = np.minimum(ring, ring[hop])
-        if np.array_equal(lower, ring):
-            break
-        ring, hop = lower, hop[hop]
-    left = np.ones(len(edge), np.int64)
-    hop = np.where(nxt == ring, -1, ahead)
-    while (live := np.flatnonzero(hop >= 0)).size:
-        left[live] += left[hop[live]]
-        hop[live] = hop[hop[live]]
-    return pdf.assign(ring=ring, left=left)
-
-
 def _named_and_ordered(corners: DataFrame) -> DataFrame:
-    """Corners with ``ring`` and ``left``; a small corner table is walked in one task."""
-    if corners.count() <= SMALL_GRAPH:
-        schema = "edge long, next long, value " + corners.schema["value"].dataType.simpleString() + ", x long, y long, ring long, left long"
-        slim = corners.select("edge", "next", "value", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-        return settle(slim.groupBy(F.lit("all")).applyInPandas(lambda p: _cycles_at_once(p), schema))
+    """Corners with ``ring`` and ``left``."""
     named = settle(corners.join(_ring_ids(corners), "edge"))
     return settle(_ring_order(named))
 

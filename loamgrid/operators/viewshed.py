@@ -36,6 +36,7 @@ def batch_observers(
     unique ``seq``; ids run over the valid positions in order.
     """
     from loamgrid.plans.ranks import global_rank
+    from loamgrid.session import settle
 
     def number(field, common):
         return js_number(F.col(f"`{field}`")) if field else F.lit(float(common))
@@ -474,17 +475,19 @@ def visible_rings(seen: DataFrame, width: int, height: int, tile: int = 256) ->
 
     Views overlap, so each observer is laid out on a block of its own in one
     large lattice (about as many blocks across as down) and moved back after.
+    Blocks are numbered by rank, so ids may be of any size.
     """
     from loamgrid.operators.polygonize import ring_vertices
+    from loamgrid.plans.ranks import global_rank
 
-    top = seen.agg(F.max("observer_id").alias("m")).first()["m"] or 0
-    across = math.isqrt(int(top)) + 1
+    blocks = settle(global_rank(seen.select("observer_id").distinct(), F.col("observer_id"), out="block"))
+    across = math.isqrt(blocks.count()) + 1
     h, w = height + 2, width + 2
-    down_by = F.floor(F.col("observer_id") / across).cast("bigint") * h
-    right_by = (F.col("observer_id") % across) * w
-    laid = seen.select((F.col("row") + down_by).alias("row"), (F.col("col") + right_by).alias("col"), "observer_id")
-    rings = ring_vertices(laid, "observer_id", tile).withColumnRenamed("value", "observer_id")
-    return rings.withColumns({"y": F.col("y") - down_by, "x": F.col("x") - right_by})
+    down_by = F.floor(F.col("block") / across).cast("bigint") * h
+    right_by = (F.col("block") % across) * w
+    laid = seen.join(blocks, "observer_id").select((F.col("row") + down_by).alias("row"), (F.col("col") + right_by).alias("col"), "observer_id")
+    rings = ring_vertices(laid, "observer_id", tile).withColumnRenamed("value", "observer_id").join(blocks, "observer_id")
+    return rings.withColumns({"y": F.col("y") - down_by, "x": F.col("x") - right_by}).drop("block")
 
 
 def viewshed_parts(rings: DataFrame, x: Column, y: Column) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loamgrid.session import settle, settle_counting
 
@@ -52,12 +52,15 @@ def _local_last(link: np.ndarray) -> np.ndarray:
         last = further
 
 
-def _down(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf["down"].fillna(-1).to_numpy(dtype=np.int64)
+def _whole(values: pd.Series) -> np.ndarray:
+    """64-bit ids as they are; a column with nulls would come as doubles, which hold no more than 53 bits."""
+    if values.dtype != np.int64:
+        raise TypeError(f"{values.name}: ids must not be null here, got {values.dtype}")
+    return values.to_numpy()
 
 
 def _contract_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, down = pdf["id"].to_numpy(np.int64), _down(pdf)
+    ids, down = _whole(pdf["id"]), _whole(pdf["down"])
     link = _local_links(ids, down)
     total = _local_sum(link, pdf["w"].to_numpy(float))
     leave = down[_local_last(link)]
@@ -71,53 +74,24 @@ def _contract_sums(pdf: pd.DataFrame) -> pd.DataFrame:
 def _finish_sums(pdf: pd.DataFrame, inflow: pd.DataFrame) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame({"id": np.array([], np.int64), "acc": np.array([], float)})
-    ids = pdf["id"].to_numpy(np.int64)
+    ids = _whole(pdf["id"])
     weight = pdf["w"].to_numpy(float)
     if len(inflow):
         weight = weight + inflow.set_index("id")["s"].reindex(ids).fillna(0.0).to_numpy()
-    return pd.DataFrame({"id": ids, "acc": _local_sum(_local_links(ids, _down(pdf)), weight)})
+    return pd.DataFrame({"id": ids, "acc": _local_sum(_local_links(ids, _whole(pdf["down"])), weight)})
 
 
 def _contract_labels(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, down = pdf["id"].to_numpy(np.int64), _down(pdf)
-    label = pdf["label"].to_numpy(dtype=float, na_value=np.nan)
-    held = ~np.isnan(label)
-    link = np.where(held, -1, _local_links(ids, down))
-    last = _local_last(link)
-    found = pdf["label"].astype("Int64").to_numpy()[last]
-    leave = np.where(held[last], -1, down[last])
-    return pd.DataFrame({"id": ids, "label": pd.array(found, dtype="Int64"), "next": leave})
-
-
-# ------------------------------------------------------- small graphs, one task
-# A contracted graph of at most this many rows (about 50 MB) is solved in one task; larger ones are doubled.
-SMALL_GRAPH = 1_000_000
-
-
-def _links_of(pdf: pd.DataFrame) -> np.ndarray:
-    return _local_links(pdf["id"].to_numpy(np.int64), pdf["next"].fillna(-1).to_numpy(np.int64))
-
-
-def _sums_at_once(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"id": pdf["id"], "s": _local_sum(_links_of(pdf), pdf["s"].to_numpy(float))})
-
-
-def _labels_at_once(pdf: pd.DataFrame) -> pd.DataFrame:
-    held = pdf["label"].notna().to_numpy()
-    last = _local_last(np.where(held, -1, _links_of(pdf)))
-    return pd.DataFrame({"id": pdf["id"], "label": pd.array(pdf["label"].astype("Int64").to_numpy()[last], dtype="Int64")})
-
-
-def _at_once(state: DataFrame, solve, schema: str) -> DataFrame:
-    return state.groupBy(F.lit("all")).applyInPandas(lambda p: solve(p), schema)
+    ids, down = _whole(pdf["id"]), _whole(pdf["down"])
+    label, held = _whole(pdf["label"]), pdf["held"].to_numpy(bool)
+    last = _local_last(np.where(held, -1, _local_links(ids, down)))
+    return pd.DataFrame({"id": ids, "label": label[last], "held": held[last], "next": np.where(held[last], -1, down[last])})
 
 
 # ------------------------------------------------------------------- doubling
 def _double_sums(nodes: DataFrame) -> DataFrame:
     """``id, next, s`` -> ``id, s`` with s summed over everything above (and at) the node."""
     state, moving = settle_counting(nodes, "next IS NOT NULL")
-    if moving and state.count() <= SMALL_GRAPH:
-        return _at_once(state, _sums_at_once, "id long, s double")
     while moving:
         live = state.filter("next IS NOT NULL")
         # map-side combine keeps a busy confluence from becoming one hot task
@@ -137,8 +111,6 @@ def _double_sums(nodes: DataFrame) -> DataFrame:
 def _double_labels(nodes: DataFrame) -> DataFrame:
     """``id, next, label`` -> ``id, label``; unresolved nodes keep a null label."""
     state, moving = settle_counting(nodes, "next IS NOT NULL AND label IS NULL")
-    if moving and state.count() <= SMALL_GRAPH:
-        return _at_once(state, _labels_at_once, "id long, label long")
     while moving:
         live = state.filter("next IS NOT NULL AND label IS NULL")
         done = state.filter("next IS NULL OR label IS NOT NULL")
@@ -155,12 +127,17 @@ def _double_labels(nodes: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- public
+def _no_null(name: str) -> Column:
+    """The bigint column with -1 for null."""
+    return F.coalesce(F.col(name).cast("bigint"), F.lit(-1).cast("bigint")).alias(name)
+
+
 def accumulate(nodes: DataFrame) -> DataFrame:
     """``id, down, w [, tr, tc, rim]`` -> ``id, acc``."""
     if "tr" not in nodes.columns:
         done = _double_sums(nodes.select("id", F.col("down").alias("next"), F.col("w").cast("double").alias("s")))
         return done.select("id", F.col("s").alias("acc"))
-    nodes = nodes.select("id", "down", F.col("w").cast("double").alias("w"), "tr", "tc", "rim")
+    nodes = nodes.select("id", _no_null("down"), F.col("w").cast("double").alias("w"), "tr", "tc", "rim")
     piece = settle(
         nodes.groupBy("tr", "tc").applyInPandas(
             lambda p: _contract_sums(p), "id long, next long, s double"
@@ -183,10 +160,10 @@ def resolve(nodes: DataFrame) -> DataFrame:
     if "tr" not in nodes.columns:
         return _double_labels(nodes.select("id", F.col("down").alias("next"), F.col("label").cast("long")))
     local = settle(
-        nodes.select("id", "down", F.col("label").cast("long").alias("label"), "tr", "tc")
+        nodes.select("id", _no_null("down"), _no_null("label"), F.col("label").isNotNull().alias("held"), "tr", "tc")
         .groupBy("tr", "tc")
-        .applyInPandas(lambda p: _contract_labels(p), "id long, label long, next long")
-        .withColumn("next", F.expr("nullif(next, -1)"))
+        .applyInPandas(lambda p: _contract_labels(p), "id long, label long, held boolean, next long")
+        .select("id", F.when(F.col("held"), F.col("label")).alias("label"), F.expr("nullif(next, -1)").alias("next"))
     )
     open_ = local.filter("label IS NULL AND next IS NOT NULL")
     doors = open_.select(F.col("next").alias("id")).distinct()

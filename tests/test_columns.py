@@ -74,6 +74,37 @@ def test_polygon_relations(spark):
     assert list(r) == [True, False, True, False, False, True, True, True, False, True, True, True]
 
 
+def test_long_digits_and_positions(spark):
+    r = one(spark, S.js_number(F.lit("0x" + "f" * 17)), S.js_number(F.lit("0b1" + "0" * 70)), S.js_number(F.lit("0x" + "f" * 400)))
+    assert list(r) == [float(16**17 - 1), 2.0**70, None]
+    texts = {"8.5, 77": (8.5, 77.0), "-8 , -77.25": (-8.0, -77.25), "1e1, 2": None, "91, 0": None, "+1, 2": None, "1, 2, 3": None, "1.,2": None, "": None}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.parse_lat_lng("t").alias("p")).collect()
+    assert {r["t"]: r["p"] and tuple(r["p"]) for r in got} == texts
+
+
+def test_crs_spellings_agree_with_the_argument_form(spark):
+    texts = {
+        "urn:ogc:def:crs:EPSG:6.9:4326": "EPSG:4326", "urn:ogc:def:crs:OGC:1.3:CRS84": "EPSG:4326", "http://www.opengis.net/def/crs/OGC/1.3/CRS84": "EPSG:4326",
+        "https://www.opengis.net/def/crs/EPSG/0/32643": "EPSG:32643", "srid=3857": "EPSG:3857", "epsg 32743": "EPSG:32743", "EPSG4326": "EPSG:4326",
+        "WGS 84 (EPSG:4326)": "EPSG:4326", "900913": "EPSG:3857", "WGS 84": "EPSG:4326", "crs:84": "EPSG:4326", "Local grid 7": "LOCAL GRID 7",
+    }
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.normalize_crs("t").alias("c")).collect()
+    assert {r["t"]: r["c"] for r in got} == texts == {t: X.normalize_crs_text(t) for t in texts}
+
+
+def test_multipoints_and_segments(spark):
+    xy = lambda *p: F.array(*[G.vertex(F.lit(float(a)), F.lit(float(b))) for a, b in p])
+    dots = lambda *p: G.make_geometry("MultiPoint", F.array(*[F.array(xy(q)) for q in p]))
+    seg = lambda a, b, c, d: F.struct(G.vertex(F.lit(float(a)), F.lit(float(b))).alias("s"), G.vertex(F.lit(float(c)), F.lit(float(d))).alias("e"))
+    hits = one(
+        spark, G.intersects(dots((9, 9), (2, 0)), G.line(xy((0, 0), (4, 0)))), G.intersects(dots((9, 9), (1, 1)), dots((5, 5), (1, 1))), G.intersects(dots((9, 9), (1, 1)), dots((5, 5), (9, 8))),
+        *[G.segments_intersect(seg(*a), seg(*b)) for a, b in [
+            ((0, 0, 4, 4), (0, 4, 4, 0)), ((0, 0, 4, 0), (4, 0, 6, 3)), ((0, 0, 4, 0), (2, 0, 9, 0)), ((0, 0, 4, 0), (5, 0, 9, 0)), ((0, 0, 4, 0), (0, 1, 4, 1)), ((0, 0, 0, 0), (-1, -1, 1, 1)), ((0, 0, 4, 0), (6, -1, 6, 1)),
+        ]],
+    )
+    assert list(hits) == [True, True, False, True, True, True, False, False, True, False]
+
+
 def test_measures_against_plain_formulas(spark):
     g = G.box(F.lit(77.0), F.lit(8.0), F.lit(77.2), F.lit(8.2))
     r = one(spark, G.area(g), G.perimeter(g), G.centroid(g), G.area(G.point(F.lit(1.0), F.lit(2.0))))

@@ -45,6 +45,17 @@ def test_distance_join_near_the_pole_and_hot_bucket(spark):
     assert {(r["l_id"], r["r_id"]) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("metres", [500.0, 50_000.0])
+def test_date_line_and_poles(spark, metres):
+    left = np.array([[179.999, 10.0], [0.0, 89.9], [-180.0, -10.0], [12.0, 90.0]])
+    right = np.array([[-179.999, 10.0], [180.0, 89.9], [180.0, -10.0], [-77.0, 89.99], [179.9, 10.0]])
+    d = hav(left, right)
+    got = {(r["l_id"], r["r_id"]) for r in J.distance_pairs(layer(spark, left), layer(spark, right), metres).collect()}
+    assert got == set(zip(*(i.tolist() for i in np.nonzero(d <= metres)))) and got
+    near = J.nearest(layer(spark, left), layer(spark, right)).toPandas().sort_values("id")
+    assert (near["right_id"].to_numpy() == d.argmin(axis=1)).all()
+
+
 def test_salting_changes_nothing(spark):
     left = spark.range(1000).select("id", F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 20).alias("k"))
     right = spark.range(60).select((F.col("id") % 20).alias("k"), F.col("id").alias("r"))

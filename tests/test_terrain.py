@@ -43,13 +43,28 @@ def test_fill_equals_dijkstra(spark, rough, drain_first):
     assert np.allclose(got, want, atol=1e-9)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_flow_and_basins(spark, rough, monkeypatch, small):
-    from loamgrid.plans import forest
-
-    if not small:
-        monkeypatch.setattr(forest, "SMALL_GRAPH", 0)
-        monkeypatch.setattr(P, "SMALL_GRAPH", 0)
+def moved(df, by):
+    return df.withColumn("row", F.col("row") + by)
+
+
+def test_answers_do_not_depend_on_the_row(spark):
+    """Cell ids above 2^53 must come through whole (row 2^23), as must four times an id."""
+    z = np.add.outer(np.arange(7.0), 2.0 * np.arange(7.0))
+    z[3, 3] = 40.0
+    hole = np.ones((7, 7))
+    hole[3, 3] = 2
+    got = []
+    for by in (0, 1 << 23):
+        flow = H.flow_accumulation(H.flow_direction(moved(cells_of(spark, z), by), 10.0, 10.0, tile=4), tile=4).cache()
+        acc = {(r["row"] - by, r["col"]): r["accum"] for r in flow.collect()}
+        subs = {(r["row"] - by, r["col"]): r["basin_id"] for r in H.sub_basins(flow, 3, 4, tile=4).collect()}
+        rings = P.ring_vertices(moved(cells_of(spark, hole), by), "z", tile=4).collect()
+        assert all(r["parent"] is not None for r in rings)
+        got.append((acc, subs, sorted((r["value"], r["is_hole"], r["seq"], r["x"], r["y"] - by) for r in rings)))
+    assert got[0] == got[1] and max(got[0][0].values()) > 5
+
+
+def test_flow_and_basins(spark, rough):
     want = brute.fill(rough, 0.001, 10.0, 12.0)
     z = np.where(np.isinf(want), np.nan, want)
     flow = H.flow_accumulation(H.flow_direction(cells_of(spark, z), 10.0, 12.0, tile=8), tile=8).cache()
