@@ -480,6 +480,7 @@ def visible_rings(seen: DataFrame, width: int, height: int, tile: int = 256) ->
     from loamgrid.plans.ranks import global_rank
     from loamgrid.session import settle
 
+    seen = settle(seen.select("observer_id", "row", "col"))
     blocks = settle(global_rank(seen.select("observer_id").distinct(), F.col("observer_id"), out="block"))
     across = math.isqrt(blocks.count()) + 1
     h, w = height + 2, width + 2
