@@ -1,11 +1,11 @@
 """N-gram Jaccard join as a metric-space join: pivots, Voronoi regions, triangle-inequality windows, recursion.
 
 Jaccard distance is a metric; documents link within ``RADIUS``.  Documents at distance 1 from all pivots would meet in
-one region, so a region forms around what makes a distance below 1: a document lies in the regions of the least
-shingles of its set, as many as make two linked documents share a region.  The pivot of a region is its first document.
+one region, so a region forms around what makes a distance below 1: a shingle.  The pivot of a region is its first document.
 
-1.  A document whose least shingles are shared too little with any other links to nothing and leaves early; each
-    document leaves its most crowded regions, as far as linked documents are sure to keep a common one.
+1.  A document with too many shingles that nobody else holds links to nothing and leaves early.  The others lie in the
+    regions of their rarest shingles, as many as make two linked documents share one: a passage of many documents gives
+    no region to documents that hold enough else.
 2.  Distances to the region's pivot are computed; those within the radius link.  A region whose documents are now all
     linked is done: copies and near copies of one document take one distance each, however many there are.
 3.  What is left in a region joins recursively around more pivots, 16 times as many each time, against the region's
@@ -16,7 +16,6 @@ shingles of its set, as many as make two linked documents share a region.  The p
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +28,34 @@ from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces
 WORDS = 5
 #: A pair links when 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Share of a set beyond what two linked sets may differ by that decides about leaving early.
-EXTRA = 0.15
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Bytes of a word that are hashed one by one, and of the blocks of its rest.
-LONG, BLOCK = 48, 4096
-POWERS = np.cumprod(np.full(BLOCK, ODD[2], np.uint64))
+#: Random odd factors of a byte's place in its word, which go on in blocks.
+BLOCK = 4096
+PLACE = np.random.default_rng(20240608).integers(1, 1 << 63, BLOCK, dtype=np.uint64) | np.uint64(1)
+#: Words hashed at a time.
+AT_ONCE = 200_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+VALUE = BYTE[LOWER]
+
+
+def _word_hashes(data: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the words from ``starts`` to ``ends``, whose bytes are marked in ``word``: sums of values times factors of the place."""
+    h = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(starts), AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        length = ends[some] - starts[some]
+        begin = np.cumsum(length) - length
+        here = slice(starts[some][0], ends[some][-1])
+        v = VALUE[data[here][word[here]]]
+        place = np.arange(len(v)) - np.repeat(begin, length)
+        v *= PLACE[place % BLOCK]
+        far = np.flatnonzero(place >= BLOCK) if length.max() > BLOCK else []
+        if len(far):
+            v[far] = mix(v[far] + (place[far] // BLOCK).astype(np.uint64))
+        h[some] = mix(np.add.reduceat(v, begin) + length.astype(np.uint64))
+    return h
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,59 +70,40 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     after = np.r_[~word[1:], True] | edge[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     ends = np.flatnonzero(word & after) + 1
-    # sums of byte values times odd powers, taken relative to the start of the word
-    length = ends - starts
-    h = np.zeros(len(starts), np.uint64)
-    low = LOWER[data]
-    alive = np.arange(len(starts))
-    for i in range(min(int(length.max()), LONG)):
-        alive = alive[length[alive] > i]
-        h[alive] = (h[alive] ^ BYTE[low[starts[alive] + i]]) * ODD[0]
-    for k in alive[length[alive] > LONG]:  # long words go on alone, by blocks
-        part = low[starts[k] + LONG : ends[k]]
-        for at in range(0, len(part), BLOCK):
-            block = BYTE[part[at : at + BLOCK]]
-            h[k : k + 1] = mix(h[k : k + 1] * ODD[4] + (block * POWERS[: len(block)]).sum())
-    h = mix(h + length.astype(np.uint64))
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    count = np.bincount(row, minlength=len(offsets) - 1)
+    h = _word_hashes(data, word, starts, ends)
+    count = np.diff(np.searchsorted(starts, offsets))
+    row = np.repeat(np.arange(len(count)), count)
     begin = np.cumsum(count) - count
     # the words of a row with fewer than five make one shingle
-    size = np.minimum(count, WORDS)
-    place = np.arange(len(row)) - begin[row]
-    head = np.flatnonzero(place + size[row] <= count[row])
-    s = np.zeros(len(head), np.uint64)
+    size = np.minimum(count, WORDS)[row]
+    head = np.flatnonzero(np.arange(len(row)) - begin[row] + size <= count[row])
+    r, size = row[head], size[head]
+    s = size.astype(np.uint64)
     for i in range(WORDS):
-        use = size[row[head]] > i
-        s[use] = mix(s[use] * ODD[4] + h[head[use] + i] + np.uint64(i + 1))
-    r = row[head]
-    order = np.lexsort((s, r))
-    r, s = r[order], s[order]
+        part = h[np.minimum(head + i, len(h) - 1)] * ODD[i]
+        part[size <= i] = 0
+        s += part
+    s = mix(s)
+    edges = np.searchsorted(r, np.arange(len(count) + 1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        s[a:b].sort()
     new = np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1])]
     return r[new], s[new]
 
 
 def may_miss(n: int) -> int:
     """Shingles of a set of ``n`` that a linked set can lack."""
-    return n - ceil(PERCENT * n / 100)
-
-
-def _ranked(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place in its row, and size of its row, of each shingle."""
-    n = np.bincount(row) if len(row) else np.zeros(0, np.int64)
-    return np.arange(len(row)) - (np.cumsum(n) - n)[row], n[row]
+    return n * (100 - PERCENT) // 100
 
 
 def _prints(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at, _, data, offsets in text_chunks(column):
         row, s = shingles(data, offsets)
-        place, n = _ranked(row)
-        use = place < n - np.ceil(PERCENT * n / 100) + 1 + np.floor(EXTRA * n)
-        yield row[use] + at, s[use]
+        yield row + at, s
 
 
 def _sets(df: DataFrame) -> DataFrame:
-    """Per row: size and 128-bit signature of the set and, for what may link, the text and its packed region keys."""
+    """Per row: size and 128-bit signature of the set and, for what may link, the text and the keys of its shared shingles."""
     bits = bucket_bits(df.sparkSession)
     names = df.columns
     ddl = "doc_id long, text_key long, n_shingles long, sig1 long, sig2 long, text string, regions array<long>"
@@ -117,9 +116,10 @@ def _sets(df: DataFrame) -> DataFrame:
                 row, s = shingles(data, offsets)
                 n = np.bincount(row, minlength=end - at)
                 begin = np.cumsum(n) - n
+                full = np.flatnonzero(n)
                 sig = [np.zeros(end - at, np.int64) for _ in range(2)]
                 for k, odd in enumerate((ODD[1], ODD[5])):
-                    np.add.at(sig[k], row, mix(s * odd + np.uint64(k)).view(np.int64))
+                    sig[k][full] = np.add.reduceat(mix(s * odd + np.uint64(k)), begin[full]).view(np.int64) if len(full) else 0
                 shown, regions = [], []
                 for r in range(end - at):
                     part = keys[at + r].as_py()
@@ -127,11 +127,10 @@ def _sets(df: DataFrame) -> DataFrame:
                     text = region = None
                     if part and size:
                         mine = short(s[begin[r] : begin[r] + size], bits)
-                        most = may_miss(size)
-                        hit = np.isin(mine[: most + 1 + int(EXTRA * size)], joined_keys(part))
-                        if hit.sum() >= 1 + int(EXTRA * ceil(PERCENT * size / 100)):
+                        hit = within(mine, joined_keys(part))
+                        if size - hit.sum() <= may_miss(size):
                             text = texts[at + r].as_py()
-                            region = mine[: len(hit)][hit].view(np.int64)
+                            region = mine[hit].view(np.int64)
                     shown.append(text)
                     regions.append(region)
                 cols = [batch.column(names.index(c)).slice(at, end - at) for c in ("doc_id", "text_key")]
@@ -141,6 +140,13 @@ def _sets(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
+def within(some: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Which of ``some`` are among the sorted ``every``."""
+    if not len(every):
+        return np.zeros(len(some), bool)
+    return every[np.minimum(np.searchsorted(every, some), len(every) - 1)] == some
+
+
 def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, shared, union_size`` of ``pairs(a, b)``: exact set sizes from both whole texts, a batch at a time."""
     one = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -155,15 +161,10 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 rows = batch.num_rows
                 sets = []
                 for i in (2, 3):
-                    parts = [(r + at, s) for at, _, d, o in text_chunks(batch.column(i)) for r, s in [shingles(d, o)]]
-                    sets.append((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
-                row = np.concatenate([sets[0][0], sets[1][0]])
-                s = np.concatenate([sets[0][1], sets[1][1]])
-                order = np.lexsort((s, row))
-                row, s = row[order], s[order]
-                twice = (row[1:] == row[:-1]) & (s[1:] == s[:-1])
-                shared = np.bincount(row[1:][twice], minlength=rows)
-                union = np.bincount(row, minlength=rows) - shared
+                    parts = [(np.bincount(r, minlength=end - at), s) for at, end, d, o in text_chunks(batch.column(i)) for r, s in [shingles(d, o)]]
+                    sets.append(np.split(np.concatenate([p[1] for p in parts]), np.cumsum(np.concatenate([p[0] for p in parts]))[:-1]))
+                shared = np.array([within(a, b).sum() for a, b in zip(*sets)])
+                union = np.array([len(a) + len(b) for a, b in zip(*sets)]) - shared
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], schema=schema)
 
     return two.mapInArrow(run, ddl)
@@ -172,24 +173,24 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = f"100 * shared >= {PERCENT} * union_size"
 
 
-def _sparse_regions(regions: DataFrame) -> DataFrame:
-    """``region, rid, n``: without each document's most crowded regions.
+def _rare_regions(regions: DataFrame) -> DataFrame:
+    """``region, rid, n``: for what may link, the regions of its rarest shingles.
 
-    Two linked documents share ``1 + EXTRA`` of the lesser set's shingles among those sent, so each may leave half of
-    that share of its least possible partner and one region is still common to both.
+    Of ``may_miss(n) + 1`` shingles of a set, a linked one holds one at least.  Taken by one order of all shingles, those of
+    two linked sets meet: the first shingle they share has at most ``may_miss(n)`` before it in either.  What no other
+    document holds comes first in that order and makes no region.
     """
     crowd = regions.groupBy("region").agg(F.count("*").alias("m")).where("m > 1")
-    least = F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * PERCENT / 100)) / 2
     one = regions.join(crowd, "region").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("m", "region"))).alias("all"))
-    # of the regions that nobody else is in, none counts against what may be left out
-    return one.select("rid", "n", F.explode(F.slice("all", F.lit(1), F.greatest(F.size("all") - F.floor(least).cast("int"), F.lit(0)))).alias("x")).select(
-        "rid", "n", "x.region"
-    )
+    # may_miss(n) + 1, without those held alone
+    few = (F.expr(f"n * (100 - {PERCENT}) div 100") + 1 - (F.col("n") - F.size("all"))).cast("int")
+    rare = one.where(few > 0).select("rid", "n", F.explode(F.slice("all", F.lit(1), few)).alias("x"))
+    return rare.select("rid", "n", "x.region")
 
 
 def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b``: links that connect whatever is linked within ``regions(region, rid, n)``."""
-    regions = cut(_sparse_regions(regions), free=True)
+    regions = cut(_rare_regions(regions), free=True)
     first = regions.groupBy("region").agg(F.min("rid").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     placed = cut(regions.join(first, "region"), free=True)
     pairs = placed.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
