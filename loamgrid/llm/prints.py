@@ -1,9 +1,9 @@
 """Which fingerprints of a document also lie in another one: an exchange of packed fingerprints.
 
-Tasks send each batch's distinct fingerprints as packed arrays dealt by their leading bits, one entry for a fingerprint
-and batch however many documents hold it, so a frequent fingerprint stays small.  The receiver answers the one document
-that sent it; where several documents of a batch share one, the sender answers them itself.  Fingerprints lose their
-last bits on the way, so an answer may name a few too many, never too few.
+Tasks send the distinct fingerprints of each run (what they put in order at a time) as packed arrays dealt by their
+leading bits, one entry for a fingerprint and run however many documents hold it, so a frequent fingerprint stays small.
+The receiver answers the one document that sent it; where several documents of a run share one, the sender answers them
+itself.  Fingerprints lose their last bits on the way, so an answer may name a few too many, never too few.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from loamgrid.llm.base import arrow_schema
 LOW = 32
 #: Bytes of text that are worked on at a time.
 CHUNK = 1 << 20
+#: Fingerprints put in order at a time, beyond those of one chunk.
+HELD = 1_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -68,6 +70,20 @@ def unplaned(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
 
 
+def held_prints(column: pa.Array, prints: Prints, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and :func:`short` prints in runs of about HELD; a row's prints stay together."""
+    rows, keys, held = [], [], 0
+    for r, p in prints(column):
+        rows.append(r.astype(np.uint32))
+        keys.append(short(p, bits))
+        held += len(r)
+        if held >= HELD:
+            yield np.concatenate(rows), np.concatenate(keys)
+            rows, keys, held = [], [], 0
+    if held:
+        yield np.concatenate(rows), np.concatenate(keys)
+
+
 Prints = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
@@ -82,13 +98,8 @@ def shared_prints(docs: DataFrame, prints: Prints) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = [(r.astype(np.uint32), short(p, bits)) for r, p in prints(batch.column(1))]
-            rows, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            del parts
+        runs = ((batch.column(0).to_numpy(zero_copy_only=False), *run) for batch in batches for run in held_prints(batch.column(1), prints, bits))
+        for ids, rows, keys in runs:
             order = np.argsort(keys, kind="stable")
             rows, keys = rows[order], keys[order]
             doc = ids[rows]
@@ -136,7 +147,7 @@ def shared_prints(docs: DataFrame, prints: Prints) -> DataFrame:
             lead = d[first][group]
             hit = np.zeros(int(first.sum()), bool)
             hit[group[(d != lead) | f]] = True
-            hit[group[np.r_[False, ~first[1:]]]] = True  # from two batches
+            hit[group[np.r_[False, ~first[1:]]]] = True  # from two runs
             ask = hit[group] & ~f
             echo_k.append(k[ask])
             echo_d.append(d[ask])
