@@ -229,6 +229,46 @@ def test_licenses(spark):
     assert got == {"a": ("MIT", "own"), "b": ("MIT", "inherited"), "c": (None, "none"), "d": (None, "none"), "e": ("Apache-2.0", "own"), "f": (None, "none")}
 
 
+MIT_BODY = """Copyright (c) 2031 The Quux Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_license_texts_and_headers(spark):
+    """Whole texts, texts within a file, wrapped headers, titles and SPDX lines, none of them in the given documents."""
+    body = dict(licenses.license_texts())
+    code = "\n".join(f"def fn_{i}(alpha, beta): return alpha * {i} + beta" for i in range(80))
+    rows = [(f"whole {k}", f"w/{k}", f"Copyright 2031 Quux Ltd.\n\n{t}") for k, t in body.items()]
+    rows += [("mit", "m", MIT_BODY), ("below", "m/src/deep", code), ("embedded", "s", "".join(f" * {x}\n" for x in MIT_BODY.split("\n")) + code)]
+    rows += [("bsd", "s", "".join(f"// {x}\n" for x in body["BSD-3-Clause"].split("\n")) + code), ("wrapped", "s", "# Author: X\n# Licensed under the Apache\n# License, Version 2.0\n# Date: Y\n" + code)]
+    rows += [("title", "s", "Quux\n\nMIT License\n" + code), ("holder", "s", "Copyright (c) 2031 Jane Roe. Released under the MIT License.\n" + code)]
+    rows += [("gpl", "s", "/* This program is free software; you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation; either version 3 of the License, or\n (at your option) any later version. */\n" + code)]
+    rows += [("spdx", "s", "// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\n" + code), ("rare", "s", "# SPDX-License-Identifier: OFL-1.1\n" + code)]
+    rows += [("prose", "s", "My driving license was lost, and with the permission of the officer we walked home along the river."), ("sibling", "s", code)]
+    got = {r.file: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "file string, directory string, text string")).collect()}
+    want = {f"whole {k}": k for k in body} | {"mit": "MIT", "embedded": "MIT", "bsd": "BSD-3-Clause", "wrapped": "Apache-2.0", "title": "MIT", "holder": "MIT"}
+    want |= {"gpl": "GPL-3.0", "spdx": "GPL-2.0", "rare": "OFL-1.1"}
+    assert got == {k: (v, "own") for k, v in want.items()} | {"below": ("MIT", "inherited"), "prose": (None, "none"), "sibling": (None, "none")}
+    assert all(re.search(licenses.CUE, t) for _, t in (*licenses.TEMPLATES, *body.items()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
