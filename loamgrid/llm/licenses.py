@@ -129,15 +129,25 @@ def parts(text: Column) -> Column:
     lines = F.filter(F.split(text, r"\r\n?|\n"), lambda x: x.rlike(r"\w"))
     paragraphs = F.split(text, r"\r?\n[^\w\n]*+\n")
 
-    def wide(n: int) -> Column:
-        return F.transform(lines, lambda x, i: F.concat_ws(" ", x, *(F.get(lines, i + k) for k in range(1, n))))
+    def bound(array: Column, fn) -> Column:
+        """``fn`` of an array that is made once: within a lambda it would be made anew for each element."""
+        return F.transform(F.array(array), fn)[0]
 
-    def near(i: Column) -> Column:
-        return F.coalesce(F.get(paragraphs, i - 1).rlike(CUE) & F.get(paragraphs, i + 1).rlike(CUE), F.lit(False))
+    def wide(x: Column) -> Column:
+        two = F.transform(x, lambda line, i: F.concat_ws(" ", line, F.get(x, i + 1)))
+        three = F.transform(x, lambda line, i: F.concat_ws(" ", line, F.get(x, i + 1), F.get(x, i + 2)))
+        return F.concat(x, two, three)
+
+    def runs(x: Column) -> Column:
+        def marked(cues: Column) -> Column:
+            near = lambda i: F.coalesce(F.get(cues, i - 1) & F.get(cues, i + 1), F.lit(False))
+            return F.transform(x, lambda p, i: F.when(F.get(cues, i) | near(i), p).otherwise(F.lit("\f")))
+
+        cues = F.transform(x, lambda p: p.rlike(CUE))
+        return F.concat(F.filter(x, lambda p: p.rlike(CUE)), F.split(F.array_join(bound(cues, marked), "\n\n"), "\f"))
 
-    runs = F.split(F.array_join(F.transform(paragraphs, lambda x, i: F.when(x.rlike(CUE) | near(i), x).otherwise(F.lit("\f"))), "\n\n"), "\f")
     sentences = F.flatten(F.transform(F.filter(paragraphs, lambda x: x.rlike(CUE)), lambda x: F.split(F.regexp_replace(x, r"\s+", " "), r"(?<=[\w)\"'>][.;:!?]) ")))
-    return F.filter(F.concat(lines, wide(2), wide(3), sentences, paragraphs, runs), lambda x: x.rlike(CUE))
+    return F.filter(F.concat(bound(lines, wide), sentences, bound(paragraphs, runs)), lambda x: x.rlike(CUE))
 
 
 def declared(text: Column) -> Column:
