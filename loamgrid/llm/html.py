@@ -12,13 +12,18 @@ from loamgrid.llm.base import per_document
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown, with all that is in them.
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist colgroup".split())
+HIDDEN = frozenset(
+    "head script style template noscript title iframe object audio video canvas datalist colgroup "
+    "desc metadata defs symbol clippath mask annotation annotation-xml".split()
+)
+#: What a head may hold; anything else, and text, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Set off by a blank line, and by a line break.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset form details".split())
 BROKEN = frozenset(
     "html body div section article header footer main nav aside address li dt dd tr caption figcaption legend option optgroup select summary".split()
 )
-BLOCKS = SPACED | BROKEN
+BLOCKS = SPACED | BROKEN | {"text", "foreignobject"}
 #: Opening one of the values closes an open key that no barrier hides.
 CLOSED_BY = {
     "p": SPACED | BROKEN - {"option", "optgroup", "tr"},
@@ -38,7 +43,9 @@ CLOSED_BY = {
 BARRIERS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}}
 CELLS = frozenset("td th tr thead tbody tfoot caption".split())
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Whole property names; ``content-visibility: hidden`` hides, ``backface-visibility`` does not.
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)(?![\w-])", re.I)
+COMMENT = re.compile(r"/\*.*?\*/", re.S)
 
 
 class Node:
@@ -68,6 +75,8 @@ class TreeBuilder(HTMLParser):
                 self.at[self.open.pop().tag].pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self._close({"head"}, ())
         for closed, by in CLOSED_BY.items():
             if tag in by:
                 barrier = BARRIERS.get(closed, {"table"} if closed in CELLS else {"table", "td", "th", "button"})
@@ -79,7 +88,11 @@ class TreeBuilder(HTMLParser):
             self.at[self.open.pop().tag].pop()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        """``<x/>`` has no content in drawings and formulas; elsewhere the slash means nothing."""
+        drawn = self.at.get("svg") or self.at.get("math")
         self.handle_starttag(tag, attrs)
+        if drawn and self.open[-1].tag == tag and tag not in VOID:
+            self.at[self.open.pop().tag].pop()
 
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
@@ -95,6 +108,8 @@ class TreeBuilder(HTMLParser):
         self._close({tag}, barrier)
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and SPACE.sub("", data):
+            self._close({"head"}, ())
         self.open[-1].children.append(data)
 
 
@@ -189,7 +204,7 @@ def visible(node: Node) -> bool:
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a or node.tag == "input":
         return False
-    return not ("style" in a and UNSEEN.search(a["style"]))
+    return not ("style" in a and UNSEEN.search(COMMENT.sub("", a["style"])))
 
 
 def render(root: Node) -> str:

@@ -222,6 +222,20 @@ def test_html(spark):
     assert sorted(r.text for r in html.extract(pages).collect()) == ["", "", "", "x"]
 
 
+def test_html_keeps_visible_text():
+    text = html.visible_text
+    assert text("<html><head><title>T</title><p>Hello") == "Hello"
+    assert text("<html><head><meta charset=utf-8><script>no</script>\n plain <b>text</b>") == "plain text"
+    assert text("<head><noscript><p>no</p></noscript><template><p>no</template><div>yes") == "yes"
+    assert text("<head><title>T</title></head><body><p>Hello") == "Hello"
+    assert text("<div style='backface-visibility: hidden'>front</div><div style='-x-display:none'>kept</div>") == "front\nkept"
+    for style in ("display:none", "color: red; display : none !important", "visibility:hidden", "VISIBILITY: collapse", "content-visibility: hidden", "/* x */display:none"):
+        assert text(f"<p style='{style}'>no</p>yes") == "yes"
+    drawing = "<svg><title>no</title><desc/><metadata>no</metadata><defs><text>no</text></defs><path/><text>one</text><text>two <tspan>three</tspan></text></svg>"
+    assert text(f"<p>a</p>{drawing}<p>b") == "a\n\none\ntwo three\n\nb"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds") == "so x=1 holds"
+
+
 def test_licenses(spark):
     rows = [("a", "x/y", "Released under the MIT License."), ("b", "x/y/z", "plain text"), ("c", "x", "plain"), ("d", None, None),
             ("e", "q", "prose\nmore\nand more\nLicensed under the Apache License, Version 2.0."), ("f", "q", "plain")]
