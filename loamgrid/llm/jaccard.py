@@ -228,13 +228,8 @@ def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
             return links
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id``: one row per row of ``docs``.
-
-    Texts with equal sets are one class from the start; the members of a class take its component.  Null, empty and
-    wordless texts have no shingles and are components of their own, as are rows without doc_id (whose component is
-    null); rows that repeat a doc_id with one text repeat the row.  Hash collisions of 64 bits are not told apart.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """:func:`jaccard_components` with ``part``, which tells components of one id apart; null without shingles or doc_id."""
     # no name holds the first plan, so that its shuffle files can go once it is written
     base = cut(_sets(with_shared(documents(docs).withColumn("text_key", text_key()), _prints)).withColumn("rid", F.monotonically_increasing_id()), free=True)
     member = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -246,16 +241,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = components(_links(regions, texts.select("rid", "text"))).select(F.col("node").alias("rid"), "label")
     tagged = lone.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     smallest = tagged.groupBy("label").agg(F.min("least").alias("component"))
-    found = tagged.join(smallest, "label").select(*shape, F.col("component"))
-    every = classes.join(found, shape, "left").select(*shape, F.coalesce("component", "least").alias("component"))
+    found = tagged.join(smallest, "label").select(*shape, F.col("component"), "label")
+    every = classes.join(found, shape, "left").select(*shape, F.coalesce("component", "least").alias("component"), F.struct("label", *(F.when(F.col("label").isNull(), F.col(c)).alias(c) for c in shape)).alias("part"))
     out = base.drop("rid", "text", "regions").join(every, shape, "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.when(linked, F.col("part")).alias("part"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id``: one row per row of ``docs``.
+
+    Texts with equal sets are one class from the start; the members of a class take its component.  Null, empty and
+    wordless texts have no shingles and are components of their own, as are rows without doc_id (whose component is
+    null); rows that repeat a doc_id with one text repeat the row.  Hash collisions of 64 bits are not told apart.
+    """
+    return _labelled(docs).drop("part")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all their columns; rows that repeat one are kept once."""
-    found = jaccard_components(docs).where("component_id <=> doc_id").select("doc_id", "text_key").distinct()
+    """One row of ``docs`` for each component, with all its columns: of the least doc_id, then of the least text hash.
+
+    Rows that repeat it are kept once; rows without doc_id are components of their own and all stay.  Only rows that
+    are repeated are dealt out whole.
+    """
+    found = _labelled(docs).where("component_id <=> doc_id").groupBy("doc_id", "text_key", "part").agg(F.count("*").alias("n"))
+    single = found.where("part IS NULL").select("doc_id", "text_key", "n")
+    linked = found.where("part IS NOT NULL").groupBy("part").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("first")).select("first.*")
+    found = cut(single.unionByName(linked))
     keyed = docs.withColumn("text_key", text_key())
-    kept = keyed.join(found, same(keyed, found, "doc_id", "text_key"), "left_semi")
-    return kept.drop("text_key")
+    again = found.where("n > 1 AND doc_id IS NOT NULL")
+    once = found.where("n = 1 OR doc_id IS NULL")
+    kept = keyed.join(once, same(keyed, once, "doc_id", "text_key"), "left_semi")
+    repeated = keyed.join(again, same(keyed, again, "doc_id", "text_key"), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return kept.unionByName(repeated).drop("text_key")

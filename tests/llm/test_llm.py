@@ -109,6 +109,19 @@ def test_jaccard_join(spark, hard):
     assert jaccard.jaccard_components(hard.limit(0)).count() == 0
 
 
+def test_keep_first_repeats(spark):
+    """Equal rows, near copies and unlike texts under one doc_id, rows without doc_id, empty texts."""
+    near = [f"word{i}" for i in range(60)]
+    a, b, c = " ".join(near), " ".join([*near[:59], "end"]), " ".join(f"own{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (1, b, "x"), (2, b, "x"), (1, c, "x"), (3, c, "x"), (4, "", "x"), (4, "", "x"), (5, None, "x")]
+    rows += [(None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard.keep_first(docs).collect()]
+    first = next(t for d, t in got if d == 1 and t != c)
+    assert first in (a, b)
+    assert Counter(got) == Counter([(1, first), (1, c), (4, ""), (5, None), (None, a), (None, a)])
+
+
 def test_jaccard_recursion(spark):
     """Documents that share much less than a link: pivots alone do not settle their regions."""
     rng = random.Random(3)
