@@ -16,8 +16,8 @@ CHUNK = 32_768
 OVERLAP = 256
 #: Tokens after a common boundary that must agree on both sides.
 AGREE = 8
-#: Words whose counts are kept in a worker; longer words are counted each time.
-KEPT, LONG = 400_000, 64
+#: Words whose counts are kept in a worker.
+KEPT = 400_000
 BLANK = re.compile(r"[ \t\n\r]")
 _counts: dict[str, dict[str, int]] = {}
 
