@@ -257,7 +257,8 @@ def _edge_loss(nu: np.ndarray) -> np.ndarray:
     return loss
 
 
-def _profile_loss(dist: np.ndarray, elev: np.ndarray, n: np.ndarray, eye: np.ndarray, target_height: float, wavelength: np.ndarray) -> np.ndarray:
+def _profile_loss(dist: np.ndarray, elev: np.ndarray, n: np.ndarray, eye: np.ndarray, target_height: float, wavelength: np.ndarray,
+                  max_edges: int | None = MAX_EDGES) -> np.ndarray:
     """Epstein-Peterson loss of a batch of profiles, padded to one width (n = true lengths)."""
     rows, width = dist.shape
     at = np.arange(width)[None, :]
@@ -283,7 +284,7 @@ def _profile_loss(dist: np.ndarray, elev: np.ndarray, n: np.ndarray, eye: np.nda
             share = (dist - da) / (db - da)
         return ea + share * (eb - ea) - elev, dist - da, db - dist
 
-    for _ in range(MAX_EDGES):
+    for _ in range(width if max_edges is None else max_edges):
         left, right = sides(edge)
         h, _d1, _d2 = clearance(left, right)
         block = np.where(inside & ~edge, -h, -np.inf)
@@ -304,8 +305,8 @@ def _profile_loss(dist: np.ndarray, elev: np.ndarray, n: np.ndarray, eye: np.nda
     return total
 
 
-def knife_edge_loss(dist, elev, eye, wavelength, target_height: float) -> Column:
-    """Loss in dB of profiles held as sorted arrays, one numpy pass per Arrow batch."""
+def knife_edge_loss(dist, elev, eye, wavelength, target_height: float, max_edges: int | None = MAX_EDGES) -> Column:
+    """Loss in dB of profiles held as sorted arrays, one numpy pass per Arrow batch; ``max_edges`` None: until no edge blocks."""
 
     @F.pandas_udf("double")
     def loss(dist: pd.Series, elev: pd.Series, eye: pd.Series, wavelength: pd.Series) -> pd.Series:
@@ -316,7 +317,7 @@ def knife_edge_loss(dist, elev, eye, wavelength, target_height: float) -> Column
         if n.sum():
             d[fill] = np.concatenate(dist.to_numpy())
             e[fill] = np.concatenate(elev.to_numpy())
-        return pd.Series(_profile_loss(d, e, n, eye.to_numpy(float), target_height, wavelength.to_numpy(float)))
+        return pd.Series(_profile_loss(d, e, n, eye.to_numpy(float), target_height, wavelength.to_numpy(float), max_edges))
 
     return loss(dist, elev, eye, wavelength)
 
@@ -351,6 +352,7 @@ def diffraction(
     tx_dbm: float = 43.0,
     n_samples: int = 64,
     curvature: bool = True,
+    max_edges: int | None = MAX_EDGES,
 ) -> DataFrame:
     """Received level ``observer_id, row, col, rx_dbm`` at every cell within each radius.
 
@@ -365,16 +367,16 @@ def diffraction(
             _cells_in_reach(cells, near, margin=1.5)  # a sample may round to a cell just outside the circle
             .groupBy("observer_id")
             .applyInPandas(
-                lambda p: _levels(p, target_height, freq_mhz, tx_dbm, n_samples, curvature),
+                lambda p: _levels(p, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges),
                 "observer_id long, row long, col long, rx_dbm double",
             )
         )
     if far is not None:
-        parts.append(_levels_by_join(cells, far, target_height, freq_mhz, tx_dbm, n_samples, curvature))
+        parts.append(_levels_by_join(cells, far, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _levels(pdf: pd.DataFrame, target_height, freq_mhz, tx_dbm, n_samples, curvature, chunk: int = 20_000) -> pd.DataFrame:
+def _levels(pdf: pd.DataFrame, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges: int | None = MAX_EDGES, chunk: int = 20_000) -> pd.DataFrame:
     """Received levels of one observer's window, in chunks of profiles."""
     first = pdf.iloc[0]
     n = max(2, n_samples)
@@ -397,7 +399,7 @@ def _levels(pdf: pd.DataFrame, target_height, freq_mhz, tx_dbm, n_samples, curva
         count = (~np.isnan(e)).sum(axis=1)
         e, d = np.take_along_axis(e, order, 1), np.take_along_axis(d, order, 1)
         eye, lam = np.full(len(part), first["eye"]), np.full(len(part), wavelength)
-        loss = _profile_loss(d, np.nan_to_num(e), count, eye, target_height, lam)
+        loss = _profile_loss(d, np.nan_to_num(e), count, eye, target_height, lam, max_edges)
         dist = part["distance"].to_numpy(float)
         base = 20 * math.log10(freq_mhz * 1e6) - 20 * math.log10(LIGHT_SPEED / (4 * math.pi))
         level = tx_dbm - (20 * np.log10(np.maximum(dist, 1)) + base) - loss
@@ -405,7 +407,7 @@ def _levels(pdf: pd.DataFrame, target_height, freq_mhz, tx_dbm, n_samples, curva
     return pd.DataFrame({"observer_id": int(first["observer_id"]), "row": targets["trow"], "col": targets["tcol"], "rx_dbm": np.concatenate(out)})
 
 
-def _levels_by_join(cells, observers, target_height, freq_mhz, tx_dbm, n_samples, curvature) -> DataFrame:
+def _levels_by_join(cells, observers, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges) -> DataFrame:
     targets = _cells_in_reach(cells, observers).drop("z")
     far = targets.filter("distance >= 0.1")
     at = far.select("observer_id", "trow", "tcol", "orow", "ocol", "dy", "dx", "cell_x", "cell_y", "eye", "distance")
@@ -423,7 +425,7 @@ def _levels_by_join(cells, observers, target_height, freq_mhz, tx_dbm, n_samples
     )
     loss = knife_edge_loss(
         F.transform("p", lambda q: q["dist"]), F.transform("p", lambda q: q["e"]), F.col("eye"),
-        F.lit(LIGHT_SPEED / (freq_mhz * 1e6)), target_height,
+        F.lit(LIGHT_SPEED / (freq_mhz * 1e6)), target_height, max_edges,
     )
     rx = F.lit(float(tx_dbm)) - free_space_loss(F.col("distance"), freq_mhz) - loss
     there = paths.select("observer_id", F.col("trow").alias("row"), F.col("tcol").alias("col"), rx.alias("rx_dbm"))

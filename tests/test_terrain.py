@@ -213,3 +213,12 @@ def test_plateau_keeps_one_summit_per_window(spark):
     z[8:12, 8:12] = 50.0
     got = T.summits(cells_of(spark, z), 3, 0, 5.0, 40.0, tile=8).collect()
     assert [(r["row"], r["col"]) for r in got] == [(a, b) for a, b, _, _ in brute.summits(z, 3, 0, 5.0, 40.0, 500)]
+
+
+def test_diffraction_counts_every_edge():
+    """A dome of 60 samples blocks with each of them: the reference's limit of 20 edges gives less than the whole loss."""
+    x = np.linspace(0, 6000, 61)[None, :]
+    z = 400 - (x - 3000) ** 2 / 30000
+    args = x, z, np.array([61]), np.array([z[0, 0] + 1]), 1.0, np.array([0.3])
+    whole = V._profile_loss(*args, max_edges=None)[0]
+    assert V._profile_loss(*args)[0] == V._profile_loss(*args, max_edges=20)[0] < whole == V._profile_loss(*args, max_edges=61)[0]
