@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgrid.llm import bpe, counts, html, jaccard, licenses, neighbours, packing, quality, secrets, suffixes
+from loamgrid.llm import bpe, collocations, contamination, counts, html, jaccard, licenses, neighbours, packing, quality, resampling, secrets, suffixes
 from loamgrid.llm.base import table
 
 
@@ -53,6 +53,18 @@ def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(table(spark, sf, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,10 +74,16 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_html_extraction, op2_license_scans, op3_suffix_array_dedup, op4_nearest_neighbours, op5_byte_level_bpe, op6_token_counts,
-        op7_ngram_jaccard_join, op8_quality_rules, op9_packing, op10_secret_scans, pipeline,
+        op7_ngram_jaccard_join, op8_quality_rules, op9_packing, op10_secret_scans,
+        op11_benchmark_decontamination, op12_phrase_collocations, op13_importance_resampling, pipeline,
     )
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality.ORACLE}
+    return {
+        "op8_quality_rules": quality.ORACLE,
+        "op11_benchmark_decontamination": contamination.ORACLE,
+        "op12_phrase_collocations": collocations.ORACLE,
+        "op13_importance_resampling": resampling.ORACLE,
+    }
