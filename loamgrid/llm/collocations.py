@@ -1,8 +1,8 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
 1.  Sieves.  A phrase that occurs ``least`` times has only words, and only word pairs, that occur as often.  Words and then
-    pairs are counted exactly; the frequent ones go into a table of ``2 ** BITS`` bits by crc32, the only thing broadcast.
-    Pieces are cut where a pair is not in it.  A clash of hashes keeps too much and changes no count, at any size of input.
+    pairs are counted by hash; the frequent ones go into a table of ``2 ** BITS`` bits, the only thing broadcast.  Pieces are
+    cut where a pair is not in it.  A clash of hashes keeps too much and changes no count, at any size of input.
 2.  Edges.  Each run of ``longest`` words of what is left is an edge between its first and its last ``longest - 1`` words.
     Equal edges are added up; so are the ends of the cut pieces (their last 1 to ``longest - 1`` words).
 3.  Paths.  A node with one edge in and one out and no end or start of a piece is passed by all that reaches it.  Edges that
@@ -18,25 +18,27 @@ not looked at; no documents, or none with a frequent phrase, give no row.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgrid.llm.base import arrow_schema, cut, drop_settled
 
 BITS = 26
 #: Bits of the table in a row on its way to the driver.
 BLOCK = 1 << 15
-#: Distinct keys that a task holds before it sends their counts.
-HELD = 300_000
+#: Bytes of text that a task works on at a time.
+CHUNK = 8 << 20
 #: Edges of a path that are one row; a longer path goes on in the next row.
 STRETCH = 1024
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
+#: No byte of a text: where a piece ends.
+END = 0xFF
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fold() -> bytes:
@@ -44,7 +46,7 @@ def _fold() -> bytes:
     for c in range(ord("A"), ord("Z") + 1):
         table[c] += 32
     for c in ENDS:
-        table[c] = 0x0A
+        table[c] = END
     table[0x09] = 0x20
     return bytes(table)
 
@@ -52,120 +54,147 @@ def _fold() -> bytes:
 FOLD = _fold()
 
 
-def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, A-Z lowered."""
-    for piece in text.encode().translate(FOLD).split(b"\n"):
-        if found := piece.split():
-            yield found
+def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Folded texts of one language, about ``CHUNK`` bytes of them; a longer text is cut where a piece ends."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text.encode().translate(FOLD)
+            while len(text) > CHUNK and (at := max(text.rfind(END, 0, CHUNK), 0) or text.find(END, CHUNK)) > 0:
+                yield lang, text[:at]
+                text = text[at + 1 :]
+            held.setdefault(lang, []).append(text)
+            size += len(text) + 1
+            if size > CHUNK:
+                yield from ((lang, bytes([END]).join(texts)) for lang, texts in held.items())
+                held, size = {}, 0
+    yield from ((lang, bytes([END]).join(texts)) for lang, texts in held.items())
 
 
-def place(key: bytes) -> int:
-    return zlib.crc32(key) & ((1 << BITS) - 1)
+def tokens(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each word as a number, the distinct words, and whether a word and the next are in one piece."""
+    data = np.frombuffer(text + b" ", np.uint8)
+    end = data == END
+    inside = ~(end | (data == 0x20))
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    piece = np.cumsum(end, dtype=np.int32)[starts]
+    return found.indices.to_numpy().astype(np.int64), found.dictionary, piece[1:] == piece[:-1]
 
 
-class Frequent(dict):
-    """Whether a word or pair of words of a language may be frequent, by the table of bits."""
+def hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """64 bits for each word of a language."""
+    own = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+    return (own ^ pd.util.hash_array(np.array([lang], object))[0]) * MIX
 
-    def __init__(self, lang: str, bits: np.ndarray):
-        self.lang, self.bits = lang.encode(), bits
 
-    def __missing__(self, words: tuple) -> bool:
-        if len(self) > HELD:
-            self.clear()
-        at = place(self.lang + b"\n" + b" ".join(words))
-        self[words] = found = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        return found
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first ^ (first >> np.uint64(29))) * MIX + second
 
 
-def _counted(docs: DataFrame, count, bits: np.ndarray | None = None) -> DataFrame:
-    """``lang, k, gram, n``: what ``count(counter, pieces, frequent)`` counts over all texts, ``k`` words to a ``gram``."""
-    held = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
-    out = "lang string, k int, gram string, n long"
-    schema = arrow_schema(out)
-
-    def sent(counts: dict[str, Counter], keeps) -> pa.RecordBatch:
-        rows = [(lang, len(g), b" ".join(g).decode(), n) for lang, c in counts.items() for g, n in c.items() if keeps(lang, g)]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        frequent: dict[str, Frequent] = {}
-        keeps = count.keeps(frequent)
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in counts:
-                    counts[lang] = Counter()
-                    frequent[lang] = Frequent(lang, held.value if held else None)
-                count(counts[lang], pieces(text), frequent[lang])
-                if sum(map(len, counts.values())) > HELD:
-                    yield sent(counts, keeps)
-                    for c in counts.values():
-                        c.clear()
-        yield sent(counts, keeps)
-
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, out).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+def listed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    at = keys >> np.uint64(64 - BITS)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-class Words:
-    def __call__(self, counter: Counter, found: Iterable[list], frequent: Frequent) -> None:
-        for words in found:
-            counter.update(zip(words))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def keeps(self, frequent: dict):
-        return lambda lang, gram: True
 
+def sieve(docs: DataFrame, least: int, bits: np.ndarray | None = None) -> np.ndarray:
+    """The table of words that occur ``least`` times, or, with that table as ``bits``, of pairs of such words that do.
 
-class Pairs:
-    """Pairs of words that are both in the table."""
-
-    def __call__(self, counter: Counter, found: Iterable[list], frequent: Frequent) -> None:
-        for words in found:
-            counter.update(zip(words, words[1:]))
-
-    def keeps(self, frequent: dict):
-        return lambda lang, gram: frequent[lang][gram[:1]] and frequent[lang][gram[1:]]
-
+    Counts are by 64-bit hash, so two keys of one hash count together and may be kept in vain.  The table has ``2 ** BITS``
+    bits whatever the input; it comes as a row for each 4 KB.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+    out = "key long, n long"
+    schema = arrow_schema(out)
 
-class Walks:
-    """Edges of ``longest`` words, and the last words of pieces cut at pairs outside the table."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, text in chunks(batches):
+            codes, words, joined = tokens(text)
+            keys = hashes(lang, words)
+            if held.value is None:
+                n = np.bincount(codes, minlength=len(keys))
+            else:
+                often = listed(held.value, keys)[codes]
+                at = np.flatnonzero(joined & often[1:] & often[:-1])
+                pairs, n = np.unique(codes[at] * len(keys) + codes[at + 1], return_counts=True)
+                keys = pair_hashes(keys[pairs // max(1, len(keys))], keys[pairs % max(1, len(keys))])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
-    def __init__(self, longest: int):
-        self.longest = longest
+    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        made = np.zeros(BLOCK, np.uint8)
+        made[rows["bit"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(made, bitorder="little").tobytes()]})
+
+    often = _texts(docs).mapInArrow(run, out).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    at = F.shiftrightunsigned("key", 64 - BITS)
+    places = often.select((at / BLOCK).cast("int").alias("block"), (at % BLOCK).cast("int").alias("bit")).distinct()
+    table = np.zeros((1 << BITS) >> 3, np.uint8)
+    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").toLocalIterator():
+        table[row.block * (BLOCK >> 3) : (row.block + 1) * (BLOCK >> 3)] = np.frombuffer(row.bits, np.uint8)
+    held.unpersist()
+    return table
 
-    def __call__(self, counter: Counter, found: Iterable[list], frequent: Frequent) -> None:
-        for words in found:
-            start = 0
-            for i, pair in enumerate(zip(words, words[1:]), 1):
-                if not frequent[pair]:
-                    self.walk(counter, words[start:i])
-                    start = i
-            self.walk(counter, words[start:])
 
-    def walk(self, counter: Counter, words: list) -> None:
-        if len(words) >= self.longest:
-            counter.update(zip(*[words[k:] for k in range(self.longest)]))
-        for k in range(1, min(self.longest, len(words) + 1)):
-            counter[tuple(words[-k:])] += 1
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return first, number, n
 
-    def keeps(self, frequent: dict):
-        return lambda lang, gram: True
 
+def walks(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
+    """``lang, k, gram, n``: edges (``k`` is ``longest``), ends of walks (smaller ``k``), and all words (``k`` is 0).
 
-def sieve(grams: DataFrame) -> np.ndarray:
-    """The table of bits of ``grams(lang, gram)``: always ``2 ** BITS`` bits, a row for each 4 KB of it."""
-    at = F.crc32(F.encode(F.concat_ws("\n", "lang", "gram"), "UTF-8")).bitwiseAND(F.lit((1 << BITS) - 1))
-    places = grams.select((at / BLOCK).cast("int").alias("block"), (at % BLOCK).cast("int").alias("bit")).distinct()
+    A walk is a longest run of words in a piece whose pairs are all in the tables.  Runs are numbered length by length, each
+    from the run one word shorter and its last word, so equal numbers are equal words.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    out = "lang string, k int, gram string, n long"
+    schema = arrow_schema(out)
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(BLOCK, np.uint8)
-        bits[rows["bit"].to_numpy()] = 1
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    def rows(lang: str, k: int, grams: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.repeat(lang, len(n)), pa.repeat(k, len(n)), grams, pa.array(n)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    out = np.zeros((1 << BITS) >> 3, np.uint8)
-    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").toLocalIterator():
-        out[row.block * (BLOCK >> 3) : (row.block + 1) * (BLOCK >> 3)] = np.frombuffer(row.bits, np.uint8)
-    return out
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, text in chunks(batches):
+            codes, names, joined = tokens(text)
+            if not len(codes):
+                continue
+            yield rows(lang, 0, pa.array([""]), np.array([len(codes)], np.int64))
+            keys = hashes(lang, names)
+            often = listed(held.value[0], keys)[codes]
+            link = joined & often[1:] & often[:-1]
+            at = np.flatnonzero(link)
+            link[at] = listed(held.value[1], pair_hashes(keys[codes[at]], keys[codes[at + 1]]))
+            ends = ~np.append(link, False) & often
+            # run[i]: the number of the k words that begin at start[i]
+            start, number = np.flatnonzero(often), codes[often]
+            first = start
+            for k in range(1, longest + 1):
+                if k > 1:
+                    goes_on = link[np.minimum(start + k - 2, len(link) - 1)] & (start + k - 1 < len(codes)) if len(link) else np.zeros(len(start), bool)
+                    start, number = start[goes_on], number[goes_on]
+                    first, number, _ = _distinct(number * len(names) + codes[start + k - 1])
+                    first = start[first]
+                else:
+                    first, number, _ = _distinct(number)
+                    first = start[first]
+                counted = number if k == longest else number[ends[start + k - 1]]
+                n = np.bincount(counted, minlength=len(first))
+                shown = np.flatnonzero(n)
+                parts = [names.take(pa.array(codes[first[shown] + j])) for j in range(k)]
+                if len(shown):
+                    yield rows(lang, k, pc.binary_join_element_wise(*parts, " "), n[shown])
+
+    return _texts(docs).mapInArrow(run, out).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
 def _first(gram: Column, k: Column | int) -> Column:
@@ -208,7 +237,7 @@ def unary_paths(edges: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
 
 
 def _runs(words: Column, k: int, longest: int) -> Column:
-    """The first ``k`` words of each edge of a path."""
+    """The first ``k`` words of each edge of a path, the edges themselves for ``longest``."""
     every = F.split(words, " ")
     return F.explode(F.transform(F.sequence(F.lit(1), F.size(every) - F.lit(longest - 1)), lambda i: F.array_join(F.slice(every, i, k), " ")))
 
@@ -216,28 +245,22 @@ def _runs(words: Column, k: int, longest: int) -> Column:
 def counted_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """``lang, k, gram, n, longer`` of every run of 1 to ``longest`` words that occurs ``least`` times, ``longer`` the
     greatest count of a run of one word more that holds it; and ``lang, n`` of all words."""
-    words = cut(_counted(docs, Words()))
-    totals = cut(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    bits = sieve(words.where(F.col("n") >= least))
-    drop_settled(words)
-    pairs = cut(_counted(docs, Pairs(), bits).where(F.col("n") >= least))
-    bits = sieve(pairs)
-    drop_settled(pairs)
-    counts = cut(_counted(docs, Walks(longest), bits))
+    words = sieve(docs, least)
+    counts = cut(walks(docs, words, sieve(docs, least, words), longest))
+    totals = counts.where("k = 0").select("lang", "n")
 
     k = longest - 1
-    edges, ends = counts.where(F.col("k") == longest).drop("k"), counts.where(F.col("k") < longest)
+    edges, ends = counts.where(F.col("k") == longest).drop("k"), counts.where(f"k BETWEEN 1 AND {longest - 1}")
     flow = edges.select("lang", _first(F.col("gram"), k).alias("gram"), "n", F.lit(1).alias("outs"), F.lit(0).alias("ins"), F.lit(0).alias("came"))
     flow = flow.unionByName(edges.select("lang", _last(F.col("gram"), k).alias("gram"), F.lit(0).alias("n"), F.lit(0).alias("outs"), F.lit(1).alias("ins"), F.col("n").alias("came")))
     last = ends.where(F.col("k") == k).select("lang", "gram", "n", F.lit(2).alias("outs"), F.lit(0).alias("ins"), F.lit(0).alias("came"))
     nodes = flow.unionByName(last).groupBy("lang", "gram").agg(*[F.sum(c).alias(c) for c in ("n", "outs", "ins", "came")])
     straight = cut(nodes.where((F.col("outs") == 1) & (F.col("ins") == 1) & (F.col("n") == F.col("came")) & (F.col("n") >= least)).select("lang", "gram"))
-    paths = cut(unary_paths(edges.where(F.col("n") >= least), straight, longest).unionByName(edges.where(F.col("n") < least).withColumnRenamed("gram", "words")))
-
-    full = F.explode(F.transform(F.sequence(F.lit(longest), F.size(F.split("words", " "))), lambda i: F.array_join(F.slice(F.split("words", " "), i - k, longest), " ")))
-    level = paths.where(F.col("n") >= least).select("lang", full.alias("gram"), "n")
+    paths = cut(unary_paths(edges.where(F.col("n") >= least), straight, longest))
+    level = paths.select("lang", _runs(F.col("words"), longest, longest).alias("gram"), "n")
     tables = [level.select("lang", F.lit(longest).alias("k"), "gram", "n", F.lit(0).cast("long").alias("longer"))]
-    begun = paths.select("lang", _runs(F.col("words"), k, longest).alias("gram"), "n")
+    seldom = edges.where(F.col("n") < least).select("lang", _first(F.col("gram"), k).alias("gram"), "n")
+    begun = paths.select("lang", _runs(F.col("words"), k, longest).alias("gram"), "n").unionByName(seldom)
     while k:
         held = ends.where(F.col("k") == k).select("lang", "gram", "n")
         found = begun.unionByName(held).groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,11 +161,28 @@ def test_collocations_brute(spark, talk, least, longest, top):
     assert len(got) > 20 or top < 20 or longest == 2
 
 
-def test_collocations_bits(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "BLOCK", 1 << 20)
-    bits = collocations.sieve(spark.createDataFrame([("en", "the"), ("en", "new york")], "lang string, gram string"))
-    frequent = collocations.Frequent("en", bits)
-    assert frequent[(b"the",)] and frequent[(b"new", b"york")] and not frequent[(b"york",)] and not collocations.Frequent("fr", bits)[(b"the",)]
+def test_collocations_sieve(spark):
+    docs = frame(spark, [(1, "New york, new york. the york new", "en"), (2, "the the", "fr")])
+    bits = collocations.sieve(docs, 2)
+    keys = collocations.hashes("en", pa.array(["new", "york", "the"]))
+    assert collocations.listed(bits, keys).tolist() == [True, True, False]
+    assert collocations.listed(bits, collocations.hashes("fr", pa.array(["the", "new"]))).tolist() == [True, False]
+    pairs = collocations.sieve(docs, 2, bits)
+    assert collocations.listed(pairs, collocations.pair_hashes(keys[[0, 1]], keys[[1, 0]])).tolist() == [True, False]
+
+
+def test_chunks_of_long_texts(monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK", 40)
+    texts = ["a b. " * 30, "x" * 100, "", "y" * 60 + ". c d", "e\tf\ng", "h i"]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 5 + ["fr"], "text": texts})
+    found = Counter()
+    for lang, text in collocations.chunks([batch, batch]):
+        codes, names, joined = collocations.tokens(text)
+        names = names.to_pylist()
+        found.update((lang, names[c]) for c in codes)
+        found.update((lang, names[a], names[b]) for a, b, j in zip(codes, codes[1:], joined) if j)
+    assert found == Counter({("en", "a"): 60, ("en", "b"): 60, ("en", "a", "b"): 60, ("en", "x" * 100): 2, ("en", "y" * 60): 2, ("en", "c"): 2, ("en", "d"): 2,
+                             ("en", "c", "d"): 2, ("en", "e"): 2, ("en", "f"): 2, ("en", "g"): 2, ("en", "e", "f"): 2, ("fr", "h"): 2, ("fr", "i"): 2, ("fr", "h", "i"): 2})
 
 
 def test_collocations_none(spark, talk):
