@@ -30,7 +30,7 @@ from loamgrid.llm.base import arrow_schema, cut, drop_settled
 
 BITS = 26
 #: Bits of the table in a row on its way to the driver.
-BLOCK = 1 << 15
+BLOCK = 1 << 20
 #: Bytes of text that a task works on at a time.
 CHUNK = 8 << 20
 #: Edges of a path that are one row; a longer path goes on in the next row.
@@ -110,7 +110,7 @@ def sieve(docs: DataFrame, least: int, bits: np.ndarray | None = None) -> np.nda
     """The table of words that occur ``least`` times, or, with that table as ``bits``, of pairs of such words that do.
 
     Counts are by 64-bit hash, so two keys of one hash count together and may be kept in vain.  The table has ``2 ** BITS``
-    bits whatever the input; it comes as a row for each 4 KB.
+    bits whatever the input; it comes as a row for each 128 KB.
     """
     held = docs.sparkSession.sparkContext.broadcast(bits)
     out = "key long, n long"
@@ -138,7 +138,7 @@ def sieve(docs: DataFrame, least: int, bits: np.ndarray | None = None) -> np.nda
     at = F.shiftrightunsigned("key", 64 - BITS)
     places = often.select((at / BLOCK).cast("int").alias("block"), (at % BLOCK).cast("int").alias("bit")).distinct()
     table = np.zeros((1 << BITS) >> 3, np.uint8)
-    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").toLocalIterator():
+    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").collect():  # at most 64 rows
         table[row.block * (BLOCK >> 3) : (row.block + 1) * (BLOCK >> 3)] = np.frombuffer(row.bits, np.uint8)
     held.unpersist()
     return table
