@@ -1,13 +1,13 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
-1.  Sieves.  A phrase that occurs ``least`` times has only words, and only word pairs, that occur as often.  Words and then
-    pairs are counted by hash; the frequent ones go into a table of ``2 ** BITS`` bits, the only thing broadcast.  Pieces are
-    cut where a pair is not in it.  A clash of hashes keeps too much and changes no count, at any size of input.
-2.  Edges.  Each run of ``longest`` words of what is left is an edge between its first and its last ``longest - 1`` words.
-    Equal edges are added up; so are the ends of the cut pieces (their last 1 to ``longest - 1`` words).
+1.  Sieves.  A phrase that occurs ``least`` times has only words, pairs, ... that occur as often.  Runs of 1 to ``longest - 1``
+    words, whose shorter runs passed, are counted by hash; the frequent ones go into a table of ``2 ** BITS`` bits, the only
+    thing broadcast.  A clash of hashes keeps too much and changes no count, at any size of input.
+2.  Edges.  Each run of ``longest`` words that is left is an edge between its first and its last ``longest - 1`` words.
+    Equal edges are added up; so are the ends: shorter runs at a piece's end, or where the run one word longer is not kept.
 3.  Paths.  A node with one edge in and one out and no end or start of a piece is passed by all that reaches it.  Edges that
     meet there are put together by pointer doubling, and a path of frequent edges is one row of words and a weight.
-4.  Flow.  A run of k words occurs as often as the runs of k + 1 words that begin with it, plus the pieces that end with it.
+4.  Flow.  A run of k words occurs as often as the runs of k + 1 words that begin with it, plus its ends.
     The longest nodes take this from the paths, each shorter length from the one before.
 5.  Cuts.  Each candidate looks its parts up; the least score counts.  A candidate inside a longer one that occurs as often
     is inside one of one word more that does, so the greatest count of those decides; a node inside a path needs no look.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgrid.llm.base import arrow_schema, cut, drop_settled
 
-BITS = 26
+BITS = 25
 #: Bits of the table in a row on its way to the driver.
 BLOCK = 1 << 20
 #: Bytes of text that a task works on at a time.
@@ -106,27 +106,39 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def sieve(docs: DataFrame, least: int, bits: np.ndarray | None = None) -> np.ndarray:
-    """The table of words that occur ``least`` times, or, with that table as ``bits``, of pairs of such words that do.
-
-    Counts are by 64-bit hash, so two keys of one hash count together and may be kept in vain.  The table has ``2 ** BITS``
+def kept_runs(lang: str, codes: np.ndarray, words: pa.Array, joined: np.ndarray, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... words, one length more than there are tables: where runs begin whose shorter runs are all kept, and
+    their hashes.  A run of a length that has a table is kept if it is in there."""
+    own = hashes(lang, words)[codes]
+    start, key = np.arange(len(codes)), own
+    for k in range(1, len(tables) + 2):
+        if k > 1:
+            inside = np.zeros(len(codes) + 1, bool)
+            inside[start] = True
+            goes_on = inside[start + 1]
+            goes_on[goes_on] = joined[start[goes_on] + k - 2]
+            start, key = start[goes_on], pair_hashes(key[goes_on], own[start[goes_on] + k - 1])
+        if k <= len(tables):
+            found = listed(tables[k - 1], key)
+            start, key = start[found], key[found]
+        yield start, key
+
+
+def sieve(docs: DataFrame, least: int, tables: list[np.ndarray]) -> np.ndarray:
+    """The table of runs that occur ``least`` times, one word longer than those in the last of ``tables``.
+
+    Counts are by 64-bit hash, so two runs of one hash count together and may be kept in vain.  The table has ``2 ** BITS``
     bits whatever the input; it comes as a row for each 128 KB.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(tables)
     out = "key long, n long"
     schema = arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in chunks(batches):
-            codes, words, joined = tokens(text)
-            keys = hashes(lang, words)
-            if held.value is None:
-                n = np.bincount(codes, minlength=len(keys))
-            else:
-                often = listed(held.value, keys)[codes]
-                at = np.flatnonzero(joined & often[1:] & often[:-1])
-                pairs, n = np.unique(codes[at] * len(keys) + codes[at + 1], return_counts=True)
-                keys = pair_hashes(keys[pairs // max(1, len(keys))], keys[pairs % max(1, len(keys))])
+            for _, keys in kept_runs(lang, *tokens(text), held.value):
+                pass
+            keys, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -138,24 +150,24 @@ def sieve(docs: DataFrame, least: int, bits: np.ndarray | None = None) -> np.nda
     at = F.shiftrightunsigned("key", 64 - BITS)
     places = often.select((at / BLOCK).cast("int").alias("block"), (at % BLOCK).cast("int").alias("bit")).distinct()
     table = np.zeros((1 << BITS) >> 3, np.uint8)
-    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").collect():  # at most 64 rows
+    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").collect():  # at most 32 rows
         table[row.block * (BLOCK >> 3) : (row.block + 1) * (BLOCK >> 3)] = np.frombuffer(row.bits, np.uint8)
     held.unpersist()
     return table
 
 
-def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return first, number, n
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    return first, number
 
 
-def walks(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
-    """``lang, k, gram, n``: edges (``k`` is ``longest``), ends of walks (smaller ``k``), and all words (``k`` is 0).
+def edges_and_ends(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """``lang, k, gram, n``: edges (``k`` is one more than there are tables), runs of ``k`` words that no kept run goes on
+    from, and all words (``k`` is 0).
 
-    A walk is a longest run of words in a piece whose pairs are all in the tables.  Runs are numbered length by length, each
-    from the run one word shorter and its last word, so equal numbers are equal words.
+    Runs are numbered length by length, each from the run one word shorter and its last word: equal numbers are equal words.
     """
-    held = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    held = docs.sparkSession.sparkContext.broadcast(tables)
     out = "lang string, k int, gram string, n long"
     schema = arrow_schema(out)
 
@@ -169,29 +181,16 @@ def walks(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -
             if not len(codes):
                 continue
             yield rows(lang, 0, pa.array([""]), np.array([len(codes)], np.int64))
-            keys = hashes(lang, names)
-            often = listed(held.value[0], keys)[codes]
-            link = joined & often[1:] & often[:-1]
-            at = np.flatnonzero(link)
-            link[at] = listed(held.value[1], pair_hashes(keys[codes[at]], keys[codes[at + 1]]))
-            ends = ~np.append(link, False) & often
-            # run[i]: the number of the k words that begin at start[i]
-            start, number = np.flatnonzero(often), codes[often]
-            first = start
-            for k in range(1, longest + 1):
-                if k > 1:
-                    goes_on = link[np.minimum(start + k - 2, len(link) - 1)] & (start + k - 1 < len(codes)) if len(link) else np.zeros(len(start), bool)
-                    start, number = start[goes_on], number[goes_on]
-                    first, number, _ = _distinct(number * len(names) + codes[start + k - 1])
-                    first = start[first]
-                else:
-                    first, number, _ = _distinct(number)
-                    first = start[first]
-                counted = number if k == longest else number[ends[start + k - 1]]
-                n = np.bincount(counted, minlength=len(first))
+            starts = [start for start, _ in kept_runs(lang, codes, names, joined, held.value)]
+            number = codes.copy()
+            for k, start in enumerate(starts, 1):
+                first, dense = _distinct(number[start] * len(names) + codes[start + k - 1])
+                number[start] = dense
+                ends = dense if k == len(starts) else dense[~np.isin(start, starts[k], assume_unique=True)]
+                n = np.bincount(ends, minlength=len(first))
                 shown = np.flatnonzero(n)
-                parts = [names.take(pa.array(codes[first[shown] + j])) for j in range(k)]
                 if len(shown):
+                    parts = [names.take(pa.array(codes[start[first[shown]] + j])) for j in range(k)]
                     yield rows(lang, k, pc.binary_join_element_wise(*parts, " "), n[shown])
 
     return _texts(docs).mapInArrow(run, out).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
@@ -245,8 +244,10 @@ def _runs(words: Column, k: int, longest: int) -> Column:
 def counted_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """``lang, k, gram, n, longer`` of every run of 1 to ``longest`` words that occurs ``least`` times, ``longer`` the
     greatest count of a run of one word more that holds it; and ``lang, n`` of all words."""
-    words = sieve(docs, least)
-    counts = cut(walks(docs, words, sieve(docs, least, words), longest))
+    tables: list[np.ndarray] = []
+    while len(tables) < longest - 1:
+        tables.append(sieve(docs, least, tables))
+    counts = cut(edges_and_ends(docs, tables))
     totals = counts.where("k = 0").select("lang", "n")
 
     k = longest - 1

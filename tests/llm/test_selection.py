@@ -163,11 +163,11 @@ def test_collocations_brute(spark, talk, least, longest, top):
 
 def test_collocations_sieve(spark):
     docs = frame(spark, [(1, "New york, new york. the york new", "en"), (2, "the the", "fr")])
-    bits = collocations.sieve(docs, 2)
+    bits = collocations.sieve(docs, 2, [])
     keys = collocations.hashes("en", pa.array(["new", "york", "the"]))
     assert collocations.listed(bits, keys).tolist() == [True, True, False]
     assert collocations.listed(bits, collocations.hashes("fr", pa.array(["the", "new"]))).tolist() == [True, False]
-    pairs = collocations.sieve(docs, 2, bits)
+    pairs = collocations.sieve(docs, 2, [bits])
     assert collocations.listed(pairs, collocations.pair_hashes(keys[[0, 1]], keys[[1, 0]])).tolist() == [True, False]
 
 
