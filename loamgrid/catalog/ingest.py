@@ -45,6 +45,13 @@ def s01(spark, sf):
     return p.select("id", "event_type", "status", *[rnd(F.coalesce(c, F.lit(-1.0))).alias(c) for c in ("lat", "lon")])
 
 
+@query("s01_quoted_line_breaks", f"""SELECT CAST(id AS VARCHAR) AS id, 'say' || chr(10) || '"' || event_type || '"' || chr(10) || chr(10) || ', twice' AS note, {sql_rnd('lat')} AS lat, {sql_rnd('lon')} AS lon FROM pts""")
+def s01_breaks(spark, sf):
+    note = F.concat(F.lit('say\n"'), "event_type", F.lit('"\n\n, twice'))
+    path = written_csv(view(spark, sf, "pts").select("id", note.alias("Note"), "lat", "lon"), spark, "breaks")
+    return PT.read_points_csv(spark, path).filter("status = 'point'").select("id", "note", rnd("lat").alias("lat"), rnd("lon").alias("lon"))
+
+
 @query("s02_s04_combined_column", f"""SELECT CAST(id AS VARCHAR) AS id, {sql_rnd('lat')} AS lat, {sql_rnd('lon')} AS lon FROM pts""")
 def s04(spark, sf):
     p = view(spark, sf, "pts")
@@ -76,6 +83,29 @@ def s07(spark, sf):
     return g.select("id", F.col("geometry.type").alias("type"), F.size(F.col("geometry.parts")[0]).alias("rings"), rnd(v["x"]).alias("x"), rnd(v["y"]).alias("y"), F.col("properties.twice").alias("twice"))
 
 
+@query("s07_k01_collections", f"""SELECT CAST(id AS VARCHAR) AS id, 'LineString' AS type, {sql_rnd('x')} AS x, {sql_rnd('y')} AS y, CAST(id % 100 AS DOUBLE) AS z, 2 AS more, '{{"[' || id || '"]}}' AS note FROM plots""")
+def s07_collections(spark, sf):
+    """Each file is one collection, read by byte range; braces in strings, and positions with four ordinates."""
+    p = view(spark, sf, "plots")
+    at = lambda dx: G.vertex(F.col("x") + dx, "y", F.array((F.col("id") % 100).cast("double"), F.lit(7.0)))
+    path = scratch(spark, "collections")
+    note = F.concat(F.lit('{"['), F.col("id").cast("string"), F.lit('"]}'))
+    W.write_geojson(p.select("id", G.line(F.array(at(F.lit(0.0)), at(F.col("w")))).alias("geometry"), note.alias("note")).coalesce(2), path, collections=True)
+    v = F.col("geometry.parts")[0][0][0]
+    return FT.read_geojson(spark, path).select("id", F.col("geometry.type").alias("type"), rnd(v["x"]).alias("x"), rnd(v["y"]).alias("y"), v["more"][0].alias("z"), F.size(v["more"]).alias("more"), F.col("properties.note").alias("note"))
+
+
+@query("s08_k02_kml_properties", f"""SELECT name, CAST(id AS VARCHAR) AS id, 'radius & ' || CAST(CAST(radius_m AS BIGINT) AS VARCHAR) AS radius, {sql_rnd('lon')} AS x, {sql_rnd('lat')} AS y, height_m AS z FROM facilities""")
+def s08_properties(spark, sf):
+    path = scratch(spark, "kml")
+    site = G.make_geometry("Point", F.array(F.array(F.array(G.vertex("lon", "lat", F.array(F.col("height_m")))))))
+    radius = F.concat(F.lit("radius & "), F.col("radius_m").cast("bigint").cast("string"))
+    W.write_kml(view(spark, sf, "facilities").select("name", "id", radius.alias("radius"), site.alias("geometry")), path)
+    v = F.col("geometry.parts")[0][0][0]
+    p = F.col("properties")
+    return FT.read_kml(spark, path).select(p["name"].alias("name"), "id", p["radius"].alias("radius"), rnd(v["x"]).alias("x"), rnd(v["y"]).alias("y"), v["more"][0].alias("z"))
+
+
 @query("s08_k02_kml_round_trip", f"SELECT name, 'Polygon' AS type, {sql_rnd('maxx')} AS x, {sql_rnd('miny')} AS y FROM zones UNION ALL SELECT name, 'Point', {sql_rnd('lon')}, {sql_rnd('lat')} FROM facilities")
 def s08(spark, sf):
     path = scratch(spark, "kml")
@@ -102,6 +132,21 @@ def s09(spark, sf):
     return g.select(F.col("properties.name").alias("name"), F.col("properties.gpx").alias("gpx"), F.size(v).alias("n"), rnd(v[0]["x"]).alias("x"), rnd(v[0]["y"]).alias("y"))
 
 
+@query("s09_gpx_tracks", f"""SELECT 'plot ' || CAST(id AS VARCHAR) AS name, CASE WHEN id % 2 = 0 THEN 'MultiLineString' ELSE 'LineString' END AS type, 2 + 2 * (1 - id % 2) AS n,
+  {sql_rnd('x')} AS x, {sql_rnd('y')} AS y, CAST(id % 50 AS DOUBLE) AS z FROM plots""")
+def s09_tracks(spark, sf):
+    path = scratch(spark, "gpx")
+    ele = (F.col("id") % 50).cast("double")
+    at = lambda dx, dy: F.struct((F.col("y") + dy).alias("_lat"), (F.col("x") + dx).alias("_lon"), ele.alias("ele"))
+    seg = F.struct(F.array(at(F.lit(0), F.lit(0)), at(F.col("w"), F.col("h"))).alias("trkpt"))
+    name = F.concat(F.lit("plot "), F.col("id").cast("string"))
+    t = view(spark, sf, "plots").select(name.alias("name"), F.when(F.col("id") % 2 == 0, F.array(seg, seg)).otherwise(F.array(seg)).alias("trkseg"))
+    t.write.format("xml").option("rowTag", "trk").option("rootTag", "gpx").save(path)
+    v = G.vertices("geometry")
+    g = FT.read_gpx(spark, path).where("properties.gpx = 'trk'")
+    return g.select(F.col("properties.name").alias("name"), F.col("geometry.type").alias("type"), F.size(v).cast("bigint").alias("n"), rnd(v[0]["x"]).alias("x"), rnd(v[0]["y"]).alias("y"), v[1]["more"][0].alias("z"))
+
+
 @query("s10_mixed_layer", "SELECT 'Point' AS type, count(*) AS n FROM pts UNION ALL SELECT 'Polygon', count(*) FROM zones")
 def s10(spark, sf):
     path = scratch(spark, "mixed")

@@ -1,7 +1,7 @@
 """Geometry Column functions (G family) over nested-array geometries.
 
-A geometry is ``struct<type, parts: array<array<array<struct<x,y>>>>>``:
-parts -> rings -> vertices.  A point has one part with one ring with one
+A geometry is ``struct<type, parts: array<array<array<struct<x,y,more>>>>>``:
+parts -> rings -> vertices; ``more`` holds a vertex's further ordinates (altitude first), null if it has none.  A point has one part with one ring with one
 vertex; a multipoint has one part per point; lines have one ring per part.
 All measures are higher-order-function expressions, so no Python runs per row.
 """
@@ -16,7 +16,7 @@ RADIUS_MEASURE = 6371000.0
 RADIUS_MASK = 6371008.8
 EDGE_TOLERANCE = 1e-9
 
-VERTEX = "struct<x:double,y:double>"
+VERTEX = "struct<x:double,y:double,more:array<double>>"
 GEOMETRY_TYPE = f"struct<type:string,parts:array<array<array<{VERTEX}>>>>"
 ZERO = 0.0
 
@@ -26,8 +26,9 @@ def _col(c) -> Column:
 
 
 # ---------------------------------------------------------------- constructors
-def vertex(x, y) -> Column:
-    return F.struct(_col(x).cast("double").alias("x"), _col(y).cast("double").alias("y"))
+def vertex(x, y, more: Column | None = None) -> Column:
+    rest = F.lit(None) if more is None else more
+    return F.struct(_col(x).cast("double").alias("x"), _col(y).cast("double").alias("y"), rest.cast("array<double>").alias("more"))
 
 
 def make_geometry(kind: str, parts: Column) -> Column:

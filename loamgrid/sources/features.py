@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loamgrid.functions.crs import crs_info, from_mercator, from_utm
-from loamgrid.functions.geometry import GEOMETRY_TYPE, geometry_kind, vertex
+from loamgrid.functions.geometry import GEOMETRY_TYPE, VERTEX, geometry_kind, let, vertex
 from loamgrid.functions.scalar import js_number
+from loamgrid.sources.ranges import collection_features
 
 log = logging.getLogger(__name__)
 
@@ -23,13 +24,13 @@ DEPTH = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Po
 
 
 def parse_coordinates(kind: Column, coordinates: Column) -> Column:
-    """Coordinate JSON text -> geometry struct; ordinates after the first two are dropped."""
+    """Coordinate JSON text -> geometry struct; ordinates after the first two are each vertex's ``more``."""
 
     def at(depth: int) -> Column:
         return F.from_json(coordinates, "array<" * depth + "double" + ">" * depth)
 
     def v(c):
-        return vertex(F.get(c, F.lit(0)), F.get(c, F.lit(1)))
+        return vertex(F.get(c, F.lit(0)), F.get(c, F.lit(1)), F.when(F.size(c) > 2, F.slice(c, F.lit(3), F.size(c) - 2)))
 
     def ring(c):
         return F.transform(c, v)
@@ -53,23 +54,36 @@ def parse_coordinates(kind: Column, coordinates: Column) -> Column:
 def read_geojson(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     """``id, geometry, properties map<string,string>`` in longitude/latitude.
 
-    Accepts a FeatureCollection, a Feature, a bare geometry or an array of
-    features per document.  ``lines=True`` reads one feature per line, the
-    layout to use for large data as it splits.
+    Accepts a FeatureCollection, a Feature, a bare geometry or an array of features per document, of any size: a document
+    is read by many tasks (:mod:`loamgrid.sources.ranges`).  ``lines=True`` reads one such document per line instead.
     """
-    docs = spark.read.schema(ROOT).option("multiLine", not lines).json(path)
-    single = F.struct(
-        F.coalesce(F.when(F.col("type") == "Feature", "type"), F.lit("Feature")).alias("type"),
-        F.col("id"),
-        F.when(F.col("type") == "Feature", F.col("geometry"))
-        .otherwise(F.struct(F.col("type"), F.col("coordinates")))
-        .alias("geometry"),
-        F.col("properties"),
-    )
-    items = F.when(F.col("type") == "FeatureCollection", F.col("features")).when(
-        F.col("type").isNotNull(), F.array(single)
-    )
-    rows = docs.select(F.col("crs.properties.name").alias("crs"), F.explode(items).alias("f"))
+    if lines:
+        docs = spark.read.schema(ROOT).json(path)
+        items = F.when(F.col("type") == "FeatureCollection", F.col("features")).when(F.col("type").isNotNull(), F.array(_feature(F.struct("*"))))
+        return _features(docs.select(F.col("crs.properties.name").alias("crs"), F.explode(items).alias("f")))
+    records, rest = collection_features(spark, path)
+    parsed = records.select("file", F.from_json("record", f"{FEATURE}, coordinates string, crs struct<properties: struct<name: string>>").alias("d"))
+    parsed = parsed.where("d.type IS NOT NULL")
+    # one row for each collection that names its reference system
+    named = rest.select("file", F.get_json_object("rest", "$.crs.properties.name").alias("crs")).where("crs IS NOT NULL").collect()
+    own = F.col("d.crs.properties.name")
+    if not named:
+        return _features(parsed.select(own.alias("crs"), _feature(F.col("d")).alias("f")))
+    declared = spark.createDataFrame([(r.file, r.crs) for r in named], "file long, declared string")
+    return _features(parsed.join(F.broadcast(declared), "file", "left").select(F.coalesce("declared", own).alias("crs"), _feature(F.col("d")).alias("f")))
+
+
+def _feature(d: Column) -> Column:
+    """A feature as it is, a bare geometry as a feature."""
+    whole = d["type"] == "Feature"
+    return F.struct(
+        F.lit("Feature").alias("type"), d["id"].alias("id"),
+        F.when(whole, d["geometry"]).otherwise(F.struct(d["type"].alias("type"), d["coordinates"].alias("coordinates"))).alias("geometry"),
+        d["properties"].alias("properties"),
+    )
+
+
+def _features(rows: DataFrame) -> DataFrame:
     g = F.col("f.geometry")
     content = F.sha2(F.to_json(F.struct(g.alias("g"), F.col("f.properties").alias("p"))), 256)
     out = rows.select(
@@ -87,11 +101,12 @@ def normalize_layer(df: DataFrame, crs: str = "crs") -> DataFrame:
     df = df.withColumn("_crs", F.when(F.col(crs).isNotNull(), info))
 
     def move(v: Column) -> Column:
-        return (
+        moved = (
             F.when(F.col("_crs.kind") == "mercator", from_mercator(v["x"], v["y"]))
             .when(F.col("_crs.kind") == "utm", from_utm(v["x"], v["y"], F.col("_crs.zone"), F.col("_crs.south")))
             .otherwise(v)
         )
+        return let(moved, lambda p: vertex(p["x"], p["y"], v["more"]))
 
     g = F.col("geometry")
     moved = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, move)))
@@ -109,7 +124,7 @@ def unknown_crs(df: DataFrame, crs: str = "crs") -> DataFrame:
 LINEAR = "struct<coordinates: string>"
 POLY = f"struct<outerBoundaryIs: struct<LinearRing: {LINEAR}>, innerBoundaryIs: array<struct<LinearRing: {LINEAR}>>>"
 KML = (
-    "name string, description string, "
+    "_id string, name string, description string, "
     f"Point {LINEAR}, LineString {LINEAR}, Polygon {POLY}, "
     f"MultiGeometry struct<Point: array<{LINEAR}>, LineString: array<{LINEAR}>, Polygon: array<{POLY}>>, "
     "ExtendedData struct<Data: array<struct<_name: string, value: string>>>"
@@ -118,16 +133,14 @@ KML = (
 
 def _kml_ring(text: Column) -> Column:
     words = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
-    return F.transform(
-        words,
-        lambda w: vertex(F.get(F.split(w, ","), F.lit(0)).try_cast("double"), F.get(F.split(w, ","), F.lit(1)).try_cast("double")),
-    )
+    tuples = F.transform(words, lambda w: F.transform(F.split(w, ","), lambda n: n.try_cast("double")))
+    return F.transform(tuples, lambda c: vertex(F.get(c, F.lit(0)), F.get(c, F.lit(1)), F.when(F.size(c) > 2, F.slice(c, F.lit(3), F.size(c) - 2))))
 
 
 def _kml_polygon(p: Column) -> Column:
     outer = F.array(_kml_ring(p["outerBoundaryIs"]["LinearRing"]["coordinates"]))
     inner = F.transform(p["innerBoundaryIs"], lambda h: _kml_ring(h["LinearRing"]["coordinates"]))
-    return F.concat(outer, F.coalesce(inner, F.array().cast("array<array<struct<x:double,y:double>>>")))
+    return F.concat(outer, F.coalesce(inner, F.array().cast(f"array<array<{VERTEX}>>")))
 
 
 def _shape(kind: str, parts: Column) -> Column:
@@ -135,7 +148,7 @@ def _shape(kind: str, parts: Column) -> Column:
 
 
 def read_kml(spark: SparkSession, path) -> DataFrame:
-    """Placemarks to features; a multigeometry of one kind becomes a multi shape."""
+    """Placemarks to features, altitudes as third ordinates; a multigeometry of one kind becomes a multi shape."""
     raw = spark.read.format("xml").option("rowTag", "Placemark").schema(KML).load(path)
     m = F.col("MultiGeometry")
     geometry = (
@@ -151,26 +164,29 @@ def read_kml(spark: SparkSession, path) -> DataFrame:
     )
     base = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("description"), F.col("description")), lambda k, v: v.isNotNull())
     content = F.sha2(F.to_json(F.struct("*")), 256)
-    return raw.select(content.alias("id"), geometry.alias("geometry"), F.map_concat(base, F.map_filter(extra, lambda k, v: ~k.isin("name", "description"))).alias("properties"))
+    return raw.select(F.coalesce("_id", content).alias("id"), geometry.alias("geometry"), F.map_concat(base, F.map_filter(extra, lambda k, v: ~k.isin("name", "description"))).alias("properties"))
 
 
-GPX_POINT = "struct<_lat: double, _lon: double>"
+GPX_POINT = "struct<_lat: double, _lon: double, ele: double>"
 GPX = {
-    "wpt": "_lat double, _lon double, name string, ele string",
+    "wpt": "_lat double, _lon double, name string, ele double",
     "trk": f"name string, trkseg array<struct<trkpt: array<{GPX_POINT}>>>",
     "rte": f"name string, rtept array<{GPX_POINT}>",
 }
 
 
 def read_gpx(spark: SparkSession, path) -> DataFrame:
-    """Waypoints, tracks and routes to features (property ``gpx`` tells which)."""
+    """Waypoints, tracks and routes to features (property ``gpx`` tells which); elevations are third ordinates."""
+
+    def high(ele: Column) -> Column:
+        return F.when(ele.isNotNull(), F.array(ele))
 
     def vertices(points: Column) -> Column:
-        return F.transform(points, lambda p: vertex(p["_lon"], p["_lat"]))
+        return F.transform(points, lambda p: vertex(p["_lon"], p["_lat"], high(p["ele"])))
 
     segs = F.transform("trkseg", lambda s: F.array(vertices(s["trkpt"])))
     shape = {
-        "wpt": _shape("Point", F.array(F.array(F.array(vertex("_lon", "_lat"))))),
+        "wpt": _shape("Point", F.array(F.array(F.array(vertex("_lon", "_lat", high(F.col("ele"))))))),
         "trk": F.when(F.size("trkseg") == 1, _shape("LineString", segs)).otherwise(_shape("MultiLineString", segs)),
         "rte": _shape("LineString", F.array(F.array(vertices(F.col("rtept"))))),
     }

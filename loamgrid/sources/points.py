@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from loamgrid.functions.scalar import parse_float, trim_all
+from loamgrid.sources.ranges import quoted_records
 
 # Delimiters in tie order and accepted column names.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -93,18 +96,23 @@ def triage(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def read_delimited(spark: SparkSession, path, delimiter: str | None = None, multiline: bool = True) -> DataFrame:
     """Text columns with sanitised names; rows with nothing in them are dropped.
 
-    ``multiline=False`` keeps large files splittable when no value holds a line break.
+    Files are split over tasks, line breaks inside quotes or not (:mod:`loamgrid.sources.ranges`); an unmatched quote is an
+    error.  ``multiline=False`` leaves out the two passes that this takes, for files whose values hold no line break.
     """
     sep = delimiter or detect_delimiter(spark, path)
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    df = raw.toDF(*sanitize_header(raw.columns))
+    if multiline:
+        records = quoted_records(spark, path)
+        head = records.where("first").select("record").orderBy("file").limit(1).take(1)
+        names = next(csv.reader([head[0].record.lstrip("\ufeff")], delimiter=sep), [""]) if head else []
+        if not names:
+            return spark.createDataFrame([], StructType())
+        schema = ", ".join(f"_c{i} string" for i in range(len(names)))
+        options = {"sep": sep, "quote": '"', "escape": '"'}
+        raw = records.where("NOT first AND record <> ''").select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+        df = raw.toDF(*sanitize_header(names))
+    else:
+        raw = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+        df = raw.toDF(*sanitize_header(raw.columns))
     text = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
     return text.filter(reduce(lambda a, b: a | b, [trim_all(F.col(f"`{c}`")) != "" for c in text.columns]))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loamgrid.functions.scalar import js_string, slug
@@ -16,10 +18,14 @@ PROJECT_VERSION = 1
 INTERNAL_FIELDS = ["__geometryType"]
 
 
+def ordinates(v: Column) -> Column:
+    return F.concat(F.array(v["x"], v["y"]), F.coalesce(v["more"], F.array().cast("array<double>")))
+
+
 def geometry_json(geometry: str | Column = "geometry") -> Column:
     """Geometry struct -> GeoJSON geometry text."""
     g = F.col(geometry) if isinstance(geometry, str) else geometry
-    parts = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))))
+    parts = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, ordinates)))
     first = F.get(parts, F.lit(0))
     kind = g["type"]
     body = (
@@ -54,17 +60,33 @@ def feature_json(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.select(F.concat(head, F.lit('"geometry":'), geometry_json(geometry), F.lit(',"properties":'), props, F.lit("}")).alias("value"))
 
 
-def write_geojson(df: DataFrame, path: str, geometry: str = "geometry") -> None:
-    """One feature per line, written in parallel."""
-    feature_json(df, geometry).write.mode("errorifexists").text(path)
+def write_geojson(df: DataFrame, path: str, geometry: str = "geometry", collections: bool = False) -> None:
+    """One feature per line, written in parallel; with ``collections`` each file is one FeatureCollection."""
+    features = feature_json(df, geometry)
+    if collections:
+        features = features.mapInPandas(_collection, "value string")
+    features.write.mode("errorifexists").text(path)
+
+
+def _collection(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The features of one file between the head and the end of a collection."""
+    comma = ""
+    yield pd.DataFrame({"value": ['{"type":"FeatureCollection","features":[']})
+    for batch in batches:
+        if len(batch):
+            lines = "," + batch["value"]
+            lines.iloc[0] = comma + batch["value"].iloc[0]
+            comma = ","
+            yield lines.to_frame()
+    yield pd.DataFrame({"value": ["]}"]})
 
 
 def write_kml(df: DataFrame, path: str, name: str = "name", geometry: str = "geometry") -> None:
-    """Placemarks through the XML writer."""
+    """Placemarks through the XML writer with their ids; all properties but the name and ``description`` are extended data."""
     g = F.col(geometry)
 
     def coords(ring):
-        return F.array_join(F.transform(ring, lambda v: F.concat_ws(",", v["x"].cast("string"), v["y"].cast("string"))), " ")
+        return F.array_join(F.transform(ring, lambda v: F.array_join(F.transform(F.slice(ordinates(v), 1, 3), lambda n: n.cast("string")), ",")), " ")
 
     def ring(r):
         return F.struct(coords(r).alias("coordinates"))
@@ -78,9 +100,19 @@ def write_kml(df: DataFrame, path: str, name: str = "name", geometry: str = "geo
     first = F.get(g["parts"], F.lit(0))
     line0 = F.get(first, F.lit(0))
     kind = g["type"]
-    label = js_string(F.col(name)) if name in df.columns else F.lit(None).cast("string")
+    if _property_columns(df, geometry) == ["properties"]:
+        held = F.col("properties")
+    else:
+        pairs = [x for c in _property_columns(df, geometry) for x in (F.lit(c), js_string(F.col(f"`{c}`")))]
+        held = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    held = F.map_filter(held, lambda k, v: v.isNotNull() & ~k.isin(*INTERNAL_FIELDS))
+    others = F.transform(F.map_entries(F.map_filter(held, lambda k, v: ~k.isin(name, "description"))), lambda e: F.struct(e["key"].alias("_name"), e["value"].alias("value")))
+    own = F.col("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
     out = df.select(
-        label.alias("name"),
+        own.alias("_id"),
+        F.try_element_at(held, F.lit(name)).alias("name"),
+        F.try_element_at(held, F.lit("description")).alias("description"),
+        F.when(F.size(others) > 0, F.struct(others.alias("Data"))).alias("ExtendedData"),
         F.when(kind == "Point", ring(line0)).alias("Point"),
         F.when(kind == "LineString", ring(line0)).alias("LineString"),
         F.when(kind == "Polygon", shell(first)).alias("Polygon"),

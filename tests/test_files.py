@@ -79,7 +79,7 @@ def test_kml_and_gpx(spark, tmp_path):
 def test_feature_lines_are_valid_json(spark, tmp_path):
     path = put(tmp_path, "g.json", json.dumps({"type": "FeatureCollection", "features": [FEATURE, {"type": "Feature", "id": 'q"', "properties": {"a": 'x"y'}, "geometry": None}]}))
     out = [json.loads(r["value"]) for r in W.feature_json(FT.read_geojson(spark, path)).collect()]
-    assert {f["id"] for f in out} == {"5", 'q"'} and {json.dumps(f["geometry"]) for f in out} == {'{"type": "Point", "coordinates": [77.0, 8.0]}', "null"}
+    assert {f["id"] for f in out} == {"5", 'q"'} and {json.dumps(f["geometry"]) for f in out} == {'{"type": "Point", "coordinates": [77.0, 8.0, 30.0]}', "null"}
 
 
 def test_project_round_trip_skips_a_broken_layer(spark, tmp_path):
