@@ -8,6 +8,7 @@ written to the shared folder, never kept only on executors.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loamgrid.functions.geometry import line, vertex
 from loamgrid.plans.buckets import bucket
 from loamgrid.plans.forest import accumulate, resolve
-from loamgrid.plans.lattice import D8, STRIDE, TILE, cell_id, id_col, id_row, neighbours, with_halo, with_tile
+from loamgrid.plans.lattice import D8, STRIDE, TILE, cell_id, div, id_col, id_row, neighbours, with_halo, with_tile
 from loamgrid.plans.ranks import global_rank
 from loamgrid.session import settle, settle_counting
 
@@ -85,22 +86,37 @@ def _tile_row(tr, tc, z, f, moved) -> pd.DataFrame:
     )
 
 
-def _next_tiles(batches, tile: int, straight: float, diagonal: float):
-    for pdf in batches:
-        rows = []
-        for t in pdf.itertuples(index=False):
-            z, f = np.asarray(t.z).reshape(tile, tile), np.asarray(t.f).reshape(tile + 2, tile + 2).copy()
-            for k, strip in zip(t.sides, t.incoming):
-                where = RING[int(k)]
-                f[where] = np.minimum(f[where], np.asarray(strip))
-            g = _relax(z, f, straight, diagonal)
-            rows.append(_tile_row(t.tr, t.tc, z, g, not np.array_equal(g[1:-1, 1:-1], f[1:-1, 1:-1])))
-        if rows:
-            yield pd.concat(rows, ignore_index=True)
+#: Tiles along a side of a block; a block's tiles exchange strips inside one task.
+BLOCK = 8
 
 
-# Rasters more than this many tiles across find their already drained cells before filling.
-WIDE_TILES = 8
+def _solve_block(pdf: pd.DataFrame, tile: int, straight: float, diagonal: float) -> pd.DataFrame:
+    """Tiles of a block with the strips that reach it, solved until nothing moves inside; only tiles that did come back."""
+    z, f, moved, open_ = {}, {}, set(), []
+    for t in pdf.itertuples(index=False):
+        at = (t.tr, t.tc)
+        z[at] = np.asarray(t.z, float).reshape(tile, tile)
+        f[at] = np.array(t.f, float).reshape(tile + 2, tile + 2)
+        if t.sides is not None:
+            for k, strip in zip(t.sides, t.incoming):
+                f[at][RING[int(k)]] = np.minimum(f[at][RING[int(k)]], np.asarray(strip, float))
+            open_.append(at)
+    while open_:
+        at = open_.pop(0)
+        g = _relax(z[at], f[at], straight, diagonal)
+        if np.array_equal(g[1:-1, 1:-1], f[at][1:-1, 1:-1]):
+            continue
+        f[at] = g
+        moved.add(at)
+        for k, strip in enumerate(_rims(g[1:-1, 1:-1])):
+            to = (at[0] + TO[k][0], at[1] + TO[k][1])
+            if to in f and (strip < f[to][RING[k]]).any():
+                f[to][RING[k]] = np.minimum(f[to][RING[k]], strip)
+                if to not in open_:
+                    open_.append(to)
+    if not moved:
+        return pd.DataFrame(columns=["tr", "tc", "z", "f", "strips", "moved"], dtype=object)
+    return pd.concat([_tile_row(*at, z[at], f[at], True) for at in sorted(moved)], ignore_index=True)
 
 
 def _drained_cells(known: DataFrame, step: float, diagonal: float, cell_x: float, cell_y: float, tile: int) -> DataFrame:
@@ -119,36 +135,36 @@ def _drained_cells(known: DataFrame, step: float, diagonal: float, cell_x: float
     return resolve(with_tile(nodes, tile)).filter("label IS NOT NULL").select(id_row().alias("row"), id_col().alias("col"))
 
 
-def fill_sinks(
-    cells: DataFrame, min_slope: float, cell_x: float, cell_y: float, tile: int = TILE, drain_first: bool | None = None
-) -> DataFrame:
+def fill_sinks(cells: DataFrame, min_slope: float, cell_x: float, cell_y: float, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """``row, col, z`` with every depression raised to drain at ``min_slope`` or more.
 
     The surface is the least one in which each cell is an outlet (raster edge
     or next to nodata) or has a neighbour at least the minimum drop lower.
-    Tiles solve themselves and exchange border strips; only tiles whose strips
-    changed wake their neighbours, until nothing moves.  ``drain_first``
-    (default: rasters many tiles wide) settles all cells outside depressions
-    beforehand, so that rounds follow the extent of depressions, not of the raster.
+    Cells that drain as they are keep their height; tiles without others take
+    no further part.  The rest solve themselves and exchange border strips, many
+    tiles at a time: those of a block inside one task, blocks shifted by half from
+    round to round.  A round reads the blocks that a strip reached and writes the
+    tiles that moved; it takes an eighth of a depression's extent in tiles to end.
     """
     step = (cell_x + cell_y) / 2 * min_slope
     diagonal = step * math.sqrt(2)
     known = cells.filter(F.col("z").isNotNull() & ~F.isnan("z"))
     known = known.select("row", "col", F.col("z").cast("double").alias("z"))
-    if drain_first is None:
-        b = known.agg((F.max("row") - F.min("row")).alias("h"), (F.max("col") - F.min("col")).alias("w")).first()
-        drain_first = b["h"] is not None and min(b["h"], b["w"]) > WIDE_TILES * tile
-    if drain_first:
-        done = _drained_cells(known, step, diagonal, cell_x, cell_y, tile).withColumn("drained", F.lit(True))
-        known = known.join(done, ["row", "col"], "left").withColumn("drained", F.coalesce("drained", F.lit(False)))
-    else:
-        known = known.withColumn("drained", F.lit(False))
-    haloed = with_halo(known, 1, tile)
+    done = _drained_cells(known, step, diagonal, cell_x, cell_y, tile).withColumn("drained", F.lit(True))
+    known = settle(known.join(done, ["row", "col"], "left").withColumn("drained", F.coalesce("drained", F.lit(False))))
+    wet = settle(with_tile(known.filter("NOT drained"), tile).select("tr", "tc").distinct())
+    dry = with_tile(known, tile).join(wet, ["tr", "tc"], "left_anti").select("row", "col", "z")
+    haloed = with_halo(known, 1, tile).join(wet, ["tr", "tc"], "left_semi")
     state, moving = settle_counting(
         haloed.groupBy("tr", "tc").applyInPandas(lambda p: _start_tile(p, tile, step, diagonal), TILE_STATE), "moved"
     )
+    versions, latest = [state], wet.withColumn("version", F.lit(0))
     offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(TO)])
+    rounds = 0
     while moving:
+        rounds += 1
+        shift = block // 2 * (rounds % 2)
+        held = latest.withColumns({"br": div(F.col("tr") + shift, block), "bc": div(F.col("tc") + shift, block)})
         sent = (
             state.filter("moved")
             .select("tr", "tc", "strips", F.explode(offsets).alias("o"))
@@ -160,18 +176,34 @@ def fill_sinks(
             .agg(F.collect_list(F.struct("k", "strip")).alias("m"))  # at most 8 per tile
             .select("tr", "tc", F.transform("m", lambda v: v["k"]).alias("sides"), F.transform("m", lambda v: v["strip"]).alias("incoming"))
         )
-        woken = state.drop("strips", "moved").join(sent, ["tr", "tc"])
-        solved = woken.mapInPandas(lambda b: _next_tiles(b, tile, step, diagonal), TILE_STATE)
-        asleep = state.join(sent.select("tr", "tc"), ["tr", "tc"], "left_anti").withColumn("moved", F.lit(False))
-        state, moving = settle_counting(solved.unionByName(asleep), "moved")
+        reached = held.join(sent.select("tr", "tc"), ["tr", "tc"], "left_semi").select("br", "bc").distinct()
+        called = settle(held.join(reached, ["br", "bc"], "left_semi"))
+        arrays = _versions(versions, called).select("tr", "tc", "br", "bc", "z", "f").join(sent, ["tr", "tc"], "left")
+        state, moving = settle_counting(
+            arrays.groupBy("br", "bc").applyInPandas(lambda p: _solve_block(p, tile, step, diagonal), TILE_STATE), "moved"
+        )
+        if moving:
+            versions.append(state)
+            newer = state.select("tr", "tc", F.lit(len(versions) - 1).alias("version"))
+            latest = settle(latest.join(newer.select("tr", "tc"), ["tr", "tc"], "left_anti").unionByName(newer))
+        if len(versions) > 8:  # what moved at all becomes one table again
+            often = latest.filter("version > 0")
+            versions = [versions[0], settle(_versions(versions, often).drop("version"))]
+            latest = settle(latest.withColumn("version", F.least("version", F.lit(1))))
     width = tile + 2
     i = F.col("i")
-    spread = state.select("tr", "tc", F.posexplode("f").alias("i", "z"))
+    spread = _versions(versions, latest).select("tr", "tc", F.posexplode("f").alias("i", "z"))
     r, c = F.floor(i / width) - 1, i % width - 1
-    return (
-        spread.filter(r.between(0, tile - 1) & c.between(0, tile - 1) & (F.col("z") < float("inf")))
-        .select((F.col("tr") * tile + r).cast("bigint").alias("row"), (F.col("tc") * tile + c).cast("bigint").alias("col"), "z")
+    filled = spread.filter(r.between(0, tile - 1) & c.between(0, tile - 1) & (F.col("z") < float("inf"))).select(
+        (F.col("tr") * tile + r).cast("bigint").alias("row"), (F.col("tc") * tile + c).cast("bigint").alias("col"), "z"
     )
+    return filled.unionByName(dry)
+
+
+def _versions(versions: list[DataFrame], wanted: DataFrame) -> DataFrame:
+    """The tiles ``wanted(tr, tc, version)`` as their versions hold them."""
+    parts = [v.join(wanted.filter(F.col("version") == k), ["tr", "tc"]) for k, v in enumerate(versions)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # --------------------------------------------------------------------- W02, W03

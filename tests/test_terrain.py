@@ -35,14 +35,38 @@ def rough():
     return z
 
 
-@pytest.mark.parametrize("drain_first", [True, False])
-def test_fill_equals_dijkstra(spark, rough, drain_first):
-    filled = H.fill_sinks(cells_of(spark, rough), 0.001, 10.0, 12.0, tile=8, drain_first=drain_first)
+@pytest.mark.parametrize(("tile", "block"), [(8, 8), (5, 2), (64, 1)])
+def test_fill_equals_dijkstra(spark, rough, tile, block):
+    filled = H.fill_sinks(cells_of(spark, rough), 0.001, 10.0, 12.0, tile=tile, block=block)
     got = grid_of(filled, rough.shape, "z", np.inf)
     want = brute.fill(rough, 0.001, 10.0, 12.0)
     assert np.allclose(got, want, atol=1e-9)
 
 
+@pytest.mark.parametrize(("slope", "block", "most"), [(0.001, 8, 9), (0.5, 4, 16)])
+def test_fill_of_a_wide_depression(spark, monkeypatch, slope, block, most):
+    """A lake over 22 tiles with islands and a winding wall: rounds follow its extent in blocks, dry tiles are left alone."""
+    rng = np.random.default_rng(3)
+    z = rng.integers(0, 9, (20, 90)).astype(float)
+    z[0], z[-1], z[:, 0], z[:, -1] = 50, 50, 50, 50
+    z[:, 1:5] = 60 - 10 * np.arange(4)
+    for k in range(8, 80, 8):
+        z[slice(1, 14) if k % 16 else slice(6, 19), k] = 70.0
+    z[9, 89], z[5, 44] = 20.0, np.nan
+    rounds = []
+    settled = H.settle_counting
+    monkeypatch.setattr(H, "settle_counting", lambda df, test: rounds.append(test) or settled(df, test))
+    got = grid_of(H.fill_sinks(cells_of(spark, z), slope, 10.0, 10.0, tile=4, block=block), z.shape, "z", np.inf)
+    assert np.allclose(got, brute.fill(z, slope, 10.0, 10.0), atol=1e-9)
+    assert len(rounds) <= most
+
+
+def test_fill_of_dry_and_empty_tables(spark):
+    z = np.add.outer(np.arange(9.0), np.arange(9.0))
+    assert np.allclose(grid_of(H.fill_sinks(cells_of(spark, z), 0.001, 10.0, 10.0, tile=4), z.shape, "z"), z)
+    assert H.fill_sinks(cells_of(spark, z).limit(0), 0.001, 10.0, 10.0).count() == 0
+
+
 def moved(df, by):
     return df.withColumn("row", F.col("row") + by)
 
