@@ -130,23 +130,28 @@ def boxes(spark, sf):
     return view(spark, sf, "plots").select("id", G.box("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("geometry"))
 
 
-def some_zones(spark, sf):
-    return zones(spark, sf).filter("grp <= 1")
+# The same boxes moved up and right by half the zones' extent, so that some meet no zone.
+MOVED = "(SELECT id, x + 5e-1 AS x, y + 5e-1 AS y, w, h FROM plots)"
 
 
-@query("j01_overlay_intersects", f"""SELECT b.id, EXISTS (SELECT 1 FROM zones z WHERE z.grp <= 1 AND {BOX_HIT}) AS hit FROM plots b""")
+def moved_boxes(spark, sf):
+    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+    return view(spark, sf, "plots").select("id", G.box(x, y, x + F.col("w"), y + F.col("h")).alias("geometry"))
+
+
+@query("j01_overlay_intersects", f"""SELECT b.id, EXISTS (SELECT 1 FROM zones z WHERE {BOX_HIT}) AS hit FROM {MOVED} b""")
 def j01(spark, sf):
-    return J.overlay_intersects(boxes(spark, sf), some_zones(spark, sf)).select("id", "hit")
+    return J.overlay_intersects(moved_boxes(spark, sf), zones(spark, sf)).select("id", "hit")
 
 
-@query("j02_semi", f"SELECT b.id FROM plots b WHERE EXISTS (SELECT 1 FROM zones z WHERE z.grp <= 1 AND {BOX_HIT})")
+@query("j02_semi", f"SELECT b.id FROM {MOVED} b WHERE EXISTS (SELECT 1 FROM zones z WHERE {BOX_HIT})")
 def j02(spark, sf):
-    return J.intersecting(boxes(spark, sf), some_zones(spark, sf)).select("id")
+    return J.intersecting(moved_boxes(spark, sf), zones(spark, sf)).select("id")
 
 
-@query("j02_anti", f"SELECT b.id FROM plots b WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.grp <= 1 AND {BOX_HIT})")
+@query("j02_anti", f"SELECT b.id FROM {MOVED} b WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE {BOX_HIT})")
 def j02_anti(spark, sf):
-    return J.intersecting(boxes(spark, sf), some_zones(spark, sf), keep=False).select("id")
+    return J.intersecting(moved_boxes(spark, sf), zones(spark, sf), keep=False).select("id")
 
 
 @query("g14_g15_box_relations", f"""SELECT b.id, z.id AS zone, b.x >= z.minx - 1e-12 AND b.x + b.w <= z.maxx + 1e-12 AND b.y >= z.miny - 1e-12 AND b.y + b.h <= z.maxy + 1e-12 AS inside

@@ -334,15 +334,14 @@ def bbox_intersects(a, b) -> Column:
 
 
 def point_on_segment(px, py, sx, sy, ex, ey) -> Column:
-    """Within 1e-9 of the line (cross product) and between the ends.
+    """The area spanned with the ends is at most 1e-9, and the point lies between them along the longer axis.
 
     A segment without length (the closing edge of a closed ring) holds only its own point.
     """
-    cross = (py - sy) * (ex - sx) - (px - sx) * (ey - sy)
-    dot = (px - sx) * (ex - sx) + (py - sy) * (ey - sy)
-    span = (ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)
-    between = (F.abs(cross) <= EDGE_TOLERANCE) & (dot >= 0) & (dot <= span)
-    return between & ((span > 0) | ((px == sx) & (py == sy)))
+    area2 = (ex - sx) * (py - sy) - (px - sx) * (ey - sy)
+    wide = F.abs(ex - sx) >= F.abs(ey - sy)
+    between = F.when(wide, px.between(F.least(sx, ex), F.greatest(sx, ex))).otherwise(py.between(F.least(sy, ey), F.greatest(sy, ey)))
+    return (F.abs(area2) <= EDGE_TOLERANCE) & between & ((sx != ex) | (sy != ey) | (py == sy))
 
 
 def point_in_ring(px, py, ring) -> Column:

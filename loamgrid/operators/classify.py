@@ -65,16 +65,6 @@ def quantile_breaks(df: DataFrame, field: str, classes: int = 5) -> DataFrame:
     return counts.agg(F.array(*aggs).alias("b")).select(F.inline("b")).filter("min IS NOT NULL")
 
 
-def quantile_breaks_approx(df: DataFrame, field: str, classes: int = 5, accuracy: int = 10_000) -> DataFrame:
-    """A17, explicit approximate form: one sketch pass, no sort."""
-    k = max(1, classes)
-    v = js_number(F.col(f"`{field}`"))
-    cuts = df.agg(F.percentile_approx(v, [i / k for i in range(k + 1)], accuracy).alias("q"))
-    return cuts.select(
-        F.posexplode(F.zip_with(F.slice("q", 1, k), F.slice("q", 2, k), lambda a, b: F.struct(a.alias("min"), b.alias("max"))))
-    ).select(F.col("pos").alias("class"), "col.min", "col.max")
-
-
 def breaks_array(breaks: DataFrame) -> Column:
     """The breaks of a layer as one scalar array, read by every task."""
     ordered = F.array_sort(F.collect_list(F.struct("class", "min", "max")))
@@ -106,14 +96,6 @@ def assign_class(df: DataFrame, field: str, breaks: DataFrame, out: str = "class
     return df.withColumn(out, index).drop("_breaks", "_v")
 
 
-def assign_equal_class(v, lo: Column, hi: Column, classes: int) -> Column:
-    """A18 for equal intervals and rasters: floor(ratio * k), the maximum in the last class."""
-    v = F.col(v) if isinstance(v, str) else v
-    span = F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
-    ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - lo) / span))
-    return F.least(F.lit(classes - 1), F.floor(ratio * classes).cast("int"))
-
-
 def rule_value(df: DataFrame, rules: list[dict], default, key: str = "color") -> Column:
     """Value of the first matching rule, else the default; a rule with no operator tests equality."""
     out = None

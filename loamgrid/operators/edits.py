@@ -20,10 +20,6 @@ def add_field(df: DataFrame, field: str, default) -> DataFrame:
     return df.withColumn(field, value)
 
 
-def rename_field(df: DataFrame, old: str, new: str) -> DataFrame:
-    return df.withColumnRenamed(old, new)
-
-
 def union_layers(*layers: DataFrame) -> DataFrame:
     """Union of layers with differing fields; missing fields are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layers)

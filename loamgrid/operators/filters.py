@@ -156,15 +156,3 @@ def uniform_sample(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFr
 def presentation_mode(rows: Column) -> Column:
     """full / sample / grid by row count."""
     return F.when(rows <= FULL_LIMIT, "full").when(rows <= SAMPLE_LIMIT, "sample").otherwise("grid")
-
-
-def present(df: DataFrame, id_col: str, lon: str = "lon", lat: str = "lat") -> tuple[str, DataFrame]:
-    """the mode and the table to show: all rows, a sample, or tile bins."""
-    from loamgrid.operators.aggregates import tile_bins
-
-    mode = df.agg(presentation_mode(F.count(F.lit(1))).alias("m")).first()["m"]
-    if mode == "full":
-        return mode, df
-    if mode == "sample":
-        return mode, uniform_sample(df, PREVIEW_ROWS, id_col)
-    return mode, tile_bins(df, lon, lat)

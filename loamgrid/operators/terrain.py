@@ -223,8 +223,3 @@ def _check_summit_options(search, smooth, min_relief, peak_cutoff, max_count) ->
         raise ValueError("relief limits must not be negative")
     if not 1 <= max_count <= 10_000:
         raise ValueError("max results must be 1-10,000")
-
-
-def summit_points(found: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Summits with the position of their cell centre."""
-    return found.withColumns({"lon": x, "lat": y})

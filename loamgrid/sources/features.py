@@ -115,11 +115,6 @@ def normalize_layer(df: DataFrame, crs: str = "crs") -> DataFrame:
     return df.withColumn("geometry", F.when(g.isNotNull(), fixed)).drop("_crs", crs)
 
 
-def unknown_crs(df: DataFrame, crs: str = "crs") -> DataFrame:
-    """Declared CRS texts that are not supported (to warn about)."""
-    return df.filter(F.col(crs).isNotNull() & ~crs_info(F.col(crs))["supported"]).select(crs).distinct()
-
-
 # ---------------------------------------------------------------------- KML/GPX
 LINEAR = "struct<coordinates: string>"
 POLY = f"struct<outerBoundaryIs: struct<LinearRing: {LINEAR}>, innerBoundaryIs: array<struct<LinearRing: {LINEAR}>>>"

@@ -113,3 +113,47 @@ def test_merge_edits_keeps_hidden_rows(spark):
     edits = spark.createDataFrame([(2, "B"), (9, "new")], "id long, v string")
     got = {(r["id"], r["v"]) for r in E.merge_edits(base, edits, base.filter("id >= 2")).collect()}
     assert got == {(1, "a"), (2, "B"), (9, "new")}
+
+
+def boxes_of(spark, rows):
+    from loamgrid.functions import geometry as G
+
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    return df.select("id", G.box("a", "b", "c", "d").alias("geometry"))
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    """From a point to the world, negative and touching: each pair once, and few rows for a large one."""
+    from loamgrid.plans.buckets import box_level, cells
+
+    rng = np.random.default_rng(11)
+
+    def some(n, first):
+        size = 2.0 ** rng.integers(-12, 9, n)
+        x, y = rng.integers(-180, 180, n) / 2.0, rng.integers(-90, 90, n) / 2.0
+        rows = [(first + i, float(x[i]), float(y[i]), float(x[i] + size[i]), float(y[i] + size[i] * rng.integers(0, 2))) for i in range(n)]
+        return [*rows, (first + n, -180.0, -90.0, 180.0, 90.0), (first + n + 1, 0.0, 0.0, 0.0, 0.0), (first + n + 2, -1.0, -1.0, 0.0, 0.0)]
+
+    left, right = some(60, 0), some(50, 1000)
+    want = {(a[0], b[0]) for a in left for b in right if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+    l, r = boxes_of(spark, left), boxes_of(spark, right)
+    got = [tuple(p) for p in J._met(J._bounds(l.select(F.col("id").alias("left_id"), "geometry"), "geometry"), J._bounds(r.select(F.col("id").alias("right_id"), "geometry"), "geometry"), "left_id").collect()]
+    assert set(got) == want and len(got) == len(want)
+    world = J._bounds(boxes_of(spark, left[60:61]), "geometry")
+    assert cells(world.withColumn("_level", box_level("_box")), "_box", "_level", list(range(-20, 20)), None).count() < 100
+
+
+def test_layers_without_rows_or_bounds(spark):
+    l, none = boxes_of(spark, [(1, 0.0, 0.0, 1.0, 1.0)]), boxes_of(spark, [(2, None, None, None, None)])
+    assert J.intersecting(l, l.limit(0)).count() == 0 and J.intersecting(l, l.limit(0), keep=False).count() == 1
+    assert J.overlay_intersects(l, none).first()["hit"] is False
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.0), (3, 1.1, 1.0)], "id long, lon double, lat double")
+    assert sorted(r.id for r in J.within_join(points, l.unionByName(none)).collect()) == [1, 2]
+    assert J.within_join(points, l.limit(0)).count() == 0
+
+
+def test_union_of_fields(spark):
+    a, b = spark.range(2).withColumn("x", F.lit(1)), spark.range(3).withColumn("a", F.lit("t"))
+    assert E.field_union(a, b) == ["a", "id", "x"]
+    both = E.union_layers(a, b)
+    assert sorted(both.columns) == ["a", "id", "x"] and both.where("x IS NULL").count() == 3
