@@ -33,6 +33,8 @@ BITS = 25
 BLOCK = 1 << 20
 #: Bytes of text that a task works on at a time.
 CHUNK = 8 << 20
+#: Grams whose counts a task holds before it sends them.
+HELD = 1_000_000
 #: Edges of a path that are one row; a longer path goes on in the next row.
 STRETCH = 1024
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -175,7 +177,7 @@ def edges_and_ends(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
         cols = [pa.repeat(lang, len(n)), pa.repeat(k, len(n)), grams, pa.array(n)]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in chunks(batches):
             codes, names, joined = tokens(text)
             if not len(codes):
@@ -193,9 +195,30 @@ def edges_and_ends(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
                     parts = [names.take(pa.array(codes[start[first[shown]] + j])) for j in range(k)]
                     yield rows(lang, k, pc.binary_join_element_wise(*parts, " "), n[shown])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in counted(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size > HELD:
+                summed = _summed(held, schema)
+                held, size = [summed], summed.num_rows
+                if 2 * size > HELD:
+                    yield summed
+                    held, size = [], 0
+        if held:
+            yield _summed(held, schema)
+
     return _texts(docs).mapInArrow(run, out).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
+def _summed(batches: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
+    """Equal grams of a task's chunks added up."""
+    table = pa.Table.from_batches(batches).group_by(schema.names[:3]).aggregate([("n", "sum")]).rename_columns(schema.names)
+    return table.cast(schema).combine_chunks().to_batches()[0] if table.num_rows else batches[0]
+
+
 def _first(gram: Column, k: Column | int) -> Column:
     return F.array_join(F.slice(F.split(gram, " "), 1, k), " ")
 
