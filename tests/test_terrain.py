@@ -246,3 +246,47 @@ def test_diffraction_counts_every_edge():
     args = x, z, np.array([61]), np.array([z[0, 0] + 1]), 1.0, np.array([0.3])
     whole = V._profile_loss(*args, max_edges=None)[0]
     assert V._profile_loss(*args)[0] == V._profile_loss(*args, max_edges=20)[0] < whole == V._profile_loss(*args, max_edges=61)[0]
+
+
+def windows(z, radius):
+    """Mean, maximum and minimum of each box, cell by cell."""
+    out = np.full((3, *z.shape), np.nan)
+    for r, c in np.ndindex(z.shape):
+        box = z[max(0, r - radius) : r + radius + 1, max(0, c - radius) : c + radius + 1]
+        if not np.isnan(box).all():
+            out[:, r, c] = np.nanmean(box), np.nanmax(box), np.nanmin(box)
+    return out
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 11, 40])
+def test_windows_wider_than_a_tile(spark, radius):
+    rng = np.random.default_rng(radius)
+    z = np.round(rng.random((19, 23)) * 9000 - 400, 2)
+    z[rng.random(z.shape) < 0.2] = np.nan
+    z[:8, :8] = np.nan
+    want = windows(z, radius)
+    cells = cells_of(spark, z).withColumn("tag", F.col("row") * 100 + F.col("col"))
+    for rows in (cells, cells.where("z IS NOT NULL")):  # nodata as rows, or absent
+        smooth = T.box_smooth(rows, radius, tile=4)
+        there = ~np.isnan(grid_of(rows, z.shape, "tag"))
+        assert np.allclose(grid_of(smooth, z.shape, "smooth"), np.where(there, want[0], np.nan), atol=1e-9, equal_nan=True)
+        assert smooth.where("tag <> row * 100 + col").count() == 0 and smooth.columns == [*rows.columns, "smooth"]
+        ends = T.window_extremes(rows, radius, tile=4)
+        for k, name in ((1, "window_max"), (2, "window_min")):
+            assert np.array_equal(grid_of(ends, z.shape, name), np.where(there, want[k], np.nan), equal_nan=True)
+
+
+@pytest.mark.parametrize("radius", [2, 9, 30])
+def test_relief_of_rings_over_tiles(spark, radius):
+    rng = np.random.default_rng(8)
+    z = np.round(rng.random((24, 21)) * 50)
+    z[rng.random(z.shape) < 0.1] = np.nan
+    cells = cells_of(spark, z).withColumnRenamed("z", "smooth")
+    got = grid_of(T.local_relief(cells.where("smooth > 30"), cells, radius, tile=4), z.shape, "relief")
+    inner = max(1, int(radius * 0.35))
+    y, x = np.indices(z.shape)
+    for r, c in np.argwhere(z > 30):
+        d2 = (y - r) ** 2 + (x - c) ** 2
+        lower = np.sort(z[(d2 > inner * inner) & (d2 <= radius * radius) & (z < z[r, c])])
+        assert got[r, c] == (z[r, c] - lower[int(len(lower) * 0.25)] if len(lower) else 0.0)
+    assert T.local_relief(cells.limit(0), cells, radius).count() == 0
