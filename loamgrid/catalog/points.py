@@ -253,6 +253,18 @@ def a06(spark, sf):
     return A.concatenate_chunks(view(spark, sf, "pts"), "event_type", "id", order_by="value", where=F.col("value") > 20, chunk=1000)
 
 
+@query("a10_grouped_concatenate", """SELECT event_type, CAST((rn - 1)//500 AS BIGINT) AS part, string_agg(CAST(user_id AS VARCHAR), ', ' ORDER BY rn) AS text FROM (
+  SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value IS NULL, value, id) AS rn FROM pts WHERE user_id IS NOT NULL) GROUP BY ALL""")
+def a10_concatenate(spark, sf):
+    return A.concatenate_chunks(view(spark, sf, "pts"), "user_id", "id", order_by="value", chunk=500, by=["event_type"])
+
+
+@query("a10_grouped_array_agg", """SELECT category, CAST(zone AS BIGINT) AS zone, md5(string_agg(coalesce(CAST(id AS VARCHAR), 'null'), ',' ORDER BY amount, id)) AS digest, count(*) AS n FROM gfc WHERE amount > 100 GROUP BY ALL""")
+def a10_array(spark, sf):
+    g = A.aggregate(view(spark, sf, "gfc"), "array_agg", "id", F.col("amount") > 100, ["category", "zone"], seq="id", order_by="amount")
+    return g.select("category", F.col("zone").cast("bigint").alias("zone"), F.md5(F.array_join("value", ",", "null")).alias("digest"), F.size("value").cast("bigint").alias("n"))
+
+
 @query("a07_f08_array_agg", "SELECT row_number() OVER (ORDER BY value IS NULL, value, id) AS rank, user_id AS value FROM pts")
 def a07(spark, sf):
     return A.ordered_values(view(spark, sf, "pts"), "user_id", "id", order_by="value")

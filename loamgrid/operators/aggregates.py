@@ -41,12 +41,28 @@ def layer_aggregate(kind: str, value, where=None, null_as_zero: bool = False) ->
     raise ValueError(f"not a scalar aggregate: {kind}")
 
 
-def aggregate(df: DataFrame, kind: str, value, where=None, by: list[str] | None = None, null_as_zero=False) -> DataFrame:
+def aggregate(
+    df: DataFrame, kind: str, value, where=None, by: list[str] | None = None, null_as_zero=False,
+    seq: str | None = None, order_by=None, delimiter: str = ", ",
+) -> DataFrame:
     """One row for the layer, or one per group.
 
     A grouped distinct count is planned as two partial aggregates, so a group
-    holding most rows is combined map-side first.
+    holding most rows is combined map-side first.  ``concatenate`` and
+    ``array_agg`` need ``seq`` and give the whole of each group as one value;
+    :func:`ordered_values` and :func:`concatenate_chunks` have groups of any size.
+    A group without a row that counts has no row.
     """
+    if kind in ("concatenate", "array_agg"):
+        if seq is None:
+            raise ValueError(f"{kind} needs seq, the order of the rows")
+        by = by or []
+        if kind == "concatenate":
+            rows = concatenate_chunks(df, value, seq, order_by, where, delimiter, by=by).withColumnsRenamed({"part": "rank", "text": "value"})
+        else:
+            rows = ordered_values(df, value, seq, order_by, where, by=by)
+        held = F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
+        return rows.groupBy(*by).agg((F.array_join(held, delimiter) if kind == "concatenate" else held).alias("value"))
     expr = layer_aggregate(kind, value, where, null_as_zero).alias("value")
     return df.groupBy(*by).agg(expr) if by else df.agg(expr)
 
@@ -56,13 +72,16 @@ def layer_scalar(df: DataFrame, kind: str, value, where=None, null_as_zero: bool
     return aggregate(df, kind, value, where, null_as_zero=null_as_zero).scalar()
 
 
-def ordered_values(df: DataFrame, value, seq: str, order_by=None, where=None, keep_nulls: bool = True) -> DataFrame:
-    """The values of a layer in order, as ``rank, value`` rows.
+def ordered_values(
+    df: DataFrame, value, seq: str, order_by=None, where=None, keep_nulls: bool = True, by: list[str] | None = None
+) -> DataFrame:
+    """The values of a layer, or of each group ``by``, in order, as ``[by], rank, value`` rows.
 
-    Ascending by ``order_by`` with nulls last, ties by ``seq``.  Works on a
-    layer of any size: ranks come from a range-partitioned running count.
+    Ascending by ``order_by`` with nulls last, ties by ``seq``.  Works on layers
+    and groups of any size: ranks come from range-partitioned running counts.
     """
     v = _col(value)
+    by = list(by or [])
     out = df if where is None else df.filter(truthy(where))
     if not keep_nulls:
         out = out.filter(v.isNotNull())
@@ -70,27 +89,29 @@ def ordered_values(df: DataFrame, value, seq: str, order_by=None, where=None, ke
     if order_by is not None:
         keys = [F.col("_order").isNull(), F.col("_order"), F.col("_seq")]
     slim = out.select(
+        *by,
         v.alias("value"),
         F.col(seq).alias("_seq"),
         (_col(order_by) if order_by is not None else F.lit(0)).alias("_order"),
     )
-    return global_rank(slim, *keys).select("rank", "value")
+    return global_rank(slim, *keys, by=by).select(*by, "rank", "value")
 
 
 def concatenate_chunks(
-    df: DataFrame, value, seq: str, order_by=None, where=None, delimiter: str = ", ", chunk: int = 10_000
+    df: DataFrame, value, seq: str, order_by=None, where=None, delimiter: str = ", ", chunk: int = 10_000, by: list[str] | None = None
 ) -> DataFrame:
-    """The concatenation of a layer as ordered text pieces ``part, text``.
+    """The concatenation of a layer, or of each group ``by``, as ordered text pieces ``[by], part, text``.
 
     Joining the pieces in order with ``delimiter`` gives the whole text; no
-    task ever holds more than ``chunk`` values.
+    task ever holds more than ``chunk`` values of a group.
     """
-    ranked = ordered_values(df, js_string(value), seq, order_by, where, keep_nulls=False)
+    by = list(by or [])
+    ranked = ordered_values(df, js_string(value), seq, order_by, where, keep_nulls=False, by=by)
     part = F.floor((F.col("rank") - 1) / F.lit(float(chunk))).cast("bigint")
     return (
-        ranked.groupBy(part.alias("part"))
+        ranked.groupBy(*by, part.alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("v"))
-        .select("part", F.array_join(F.transform("v", lambda s: s["value"]), delimiter).alias("text"))
+        .select(*by, "part", F.array_join(F.transform("v", lambda s: s["value"]), delimiter).alias("text"))
     )
 
 

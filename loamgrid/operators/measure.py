@@ -5,40 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loamgrid.functions.geometry import RADIUS_MEASURE, haversine, segments
+from loamgrid.plans.ranks import in_ranges
+
+
+def _pieces(points: DataFrame, path: str, order: tuple[str, ...], lon: str, lat: str, leg) -> tuple[DataFrame, DataFrame]:
+    """Points in ranges of (path, order) with ``_leg`` from the point before in the range; and one row for each range of a
+    path: its first and last point, the sum of its legs, ``_joint`` from the range before and ``_start``, the sum before it."""
+    placed = in_ranges(points, path, *order)
+    w = Window.partitionBy("_range", path).orderBy(*order)
+    at = F.struct(F.col(lon).alias("x"), F.col(lat).alias("y"))
+    before = F.lag(at).over(w)
+    placed = placed.withColumn("_leg", F.when(before.isNotNull(), leg(before, at)))
+    key = F.struct(*order)
+    pieces = placed.groupBy("_range", path).agg(
+        F.coalesce(F.sum("_leg"), F.lit(0.0)).alias("_sum"), F.min_by(at, key).alias("_a"), F.max_by(at, key).alias("_z"), F.count(F.lit(1)).alias("_n")
+    )
+    along = Window.partitionBy(path).orderBy("_range")  # one row a range
+    last = F.lag("_z").over(along)
+    pieces = pieces.withColumn("_joint", F.when(last.isNotNull(), leg(last, F.col("_a"))))
+    done = F.sum(F.col("_sum") + F.coalesce("_joint", F.lit(0.0))).over(along)
+    return placed, pieces.withColumn("_start", done - F.col("_sum"))
 
 
 def measure_path(points: DataFrame, path: str, *order: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Add ``leg`` and running ``distance`` along each path.
 
-    Windows stream: a path of any length is sorted by the shuffle and read once.
+    A path is spread over ranges of its order, each of which takes the last point and the total of those before.
     """
-    w = Window.partitionBy(path).orderBy(*order)
-    before = [F.lag(c).over(w) for c in (lon, lat)]
-    leg = F.when(before[0].isNotNull(), haversine(before[0], before[1], F.col(lon), F.col(lat), RADIUS_MEASURE)).otherwise(0.0)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.withColumn("leg", leg).withColumn("distance", F.sum("leg").over(running))
+    placed, pieces = _pieces(points, path, order, lon, lat, lambda a, b: haversine(a["x"], a["y"], b["x"], b["y"], RADIUS_MEASURE))
+    late = pieces.filter("_joint IS NOT NULL").select(F.struct("_range", path).alias("_piece"), "_joint", "_start")
+    same = (F.col("_range") == F.col("_piece._range")) & F.col(path).eqNullSafe(F.col(f"_piece.{path}"))
+    running = Window.partitionBy("_range", path).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.coalesce(F.sum("_leg").over(running), F.lit(0.0))
+    return (
+        placed.withColumn("_inside", inside)
+        .join(late, same, "left")
+        .withColumns({"leg": F.coalesce("_leg", "_joint", F.lit(0.0)), "distance": F.coalesce("_start", F.lit(0.0)) + F.col("_inside")})
+        .drop("_range", "_leg", "_inside", "_piece", "_joint", "_start")
+    )
 
 
 def measure_area(points: DataFrame, path: str, *order: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Spherical area enclosed by each ordered path, 0 below three points.
 
-    The wrap-around term needs only each path's first and last point, which are
-    map-side aggregates, so no frame spans a whole path.
+    Ranges of a path add up their own terms; the joints between them and the wrap-around need their ends only.
     """
-    w = Window.partitionBy(path).orderBy(*order)
-    key = F.struct(*order)
-    at = F.struct(F.col(lon).alias("x"), F.col(lat).alias("y"))
 
-    def term(ax, ay, bx, by):
-        return F.radians(bx - ax) * (F.lit(2.0) + F.sin(F.radians(ay)) + F.sin(F.radians(by)))
+    def term(a, b):
+        return F.radians(b["x"] - a["x"]) * (F.lit(2.0) + F.sin(F.radians(a["y"])) + F.sin(F.radians(b["y"])))
 
-    legs = points.withColumns({"_nx": F.lead(lon).over(w), "_ny": F.lead(lat).over(w)}).withColumn(
-        "_t", term(F.col(lon), F.col(lat), F.col("_nx"), F.col("_ny"))
-    )
-    rings = legs.groupBy(path).agg(
-        F.sum("_t").alias("_s"), F.min_by(at, key).alias("_a"), F.max_by(at, key).alias("_z"), F.count(F.lit(1)).alias("points")
-    )
-    total = F.coalesce("_s", F.lit(0.0)) + term(F.col("_z.x"), F.col("_z.y"), F.col("_a.x"), F.col("_a.y"))
+    _, pieces = _pieces(points, path, order, lon, lat, term)
+    rings = pieces.groupBy(path).agg(
+        F.sum(F.col("_sum") + F.coalesce("_joint", F.lit(0.0))).alias("_s"), F.min_by("_a", "_range").alias("_a"), F.max_by("_z", "_range").alias("_z"),
+        F.sum("_n").alias("points"),
+    )
+    total = F.col("_s") + term(F.col("_z"), F.col("_a"))
     area = F.when(F.col("points") < 3, F.lit(0.0)).otherwise(F.abs(total * (RADIUS_MEASURE**2 / 2)))
     return rings.select(path, "points", area.alias("area"))
 

@@ -1,9 +1,9 @@
 """Exact global order statistics without a one-task sort.
 
 Values are first collapsed to distinct values with counts (a value that makes
-up a third of the table becomes one row per map task), then cut into ranges by
-approximate quantiles that are only used for load balance.  Range totals are
-few (one per range); the running count inside a range is a partitioned window.
+up a third of the table becomes one row per map task), then dealt by ranges.
+Range totals are few (one per range); the running count inside a range is a
+partitioned window.
 """
 
 from __future__ import annotations
@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loamgrid.session import settle
 
 
-def _ranges(spark) -> int:
-    return max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def in_ranges(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` dealt by ranges of the columns ``names``, written once, which pins the ``_range`` of each row.
+
+    There are as many ranges as the session has shuffle partitions; all rows equal in ``names`` share one.
+    """
+    k = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return settle(df.repartitionByRange(k, *names).withColumn("_range", F.spark_partition_id()))
 
 
 def running_counts(df: DataFrame, value: str) -> DataFrame:
@@ -25,17 +30,9 @@ def running_counts(df: DataFrame, value: str) -> DataFrame:
 
 def running_sum(df: DataFrame, key: str, measure: str) -> DataFrame:
     """Add ``before`` (sum of ``measure`` over smaller keys) and ``total``; keys are unique."""
-    k = _ranges(df.sparkSession)
-    cuts = [i / k for i in range(1, k)]
-    bounds = df.agg(F.percentile_approx(key, cuts, 1000).alias("b")).scalar()
-    kind = f"array<{df.schema[key].dataType.simpleString()}>"
-    placed = (
-        df.withColumn("_cuts", F.coalesce(bounds, F.array().cast(kind)))
-        .withColumn("_range", F.size(F.filter("_cuts", lambda b: b < F.col(key))))
-        .drop("_cuts")
-    )
+    placed = in_ranges(df, key)
     sums = placed.groupBy("_range").agg(F.sum(measure).alias("_s"))
-    # one row per range (at most 256), so a single-partition window is bounded
+    # one row per range
     lead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         "_range",
@@ -57,27 +54,26 @@ def value_at_rank(counts: DataFrame, value: str, rank: Column) -> Column:
     return F.max(F.when(hit, F.col(value)))
 
 
-def global_rank(df: DataFrame, *keys: Column, out: str = "rank") -> DataFrame:
-    """1-based position of each row in the order of ``keys``, which must be unique together.
+def global_rank(df: DataFrame, *keys: Column, out: str = "rank", by: list[str] | None = None) -> DataFrame:
+    """1-based position of each row in the order of ``keys``, which must be unique together (within each group ``by``).
 
-    Rows are range-partitioned (a repeated leading value is split by the later
-    keys) and written once, which pins the range each row belongs to.
+    Rows are range-partitioned (a repeated leading value or a large group is split by the later keys).  A range knows how
+    many rows of each group the ranges before it hold.
     """
-    k = _ranges(df.sparkSession)
-    named = df
-    names = []
-    for i, key in enumerate(keys):
-        named = named.withColumn(f"_k{i}", key)
-        names.append(f"_k{i}")
-    ranged = named.repartitionByRange(k, *names).withColumn("_range", F.spark_partition_id())
-    placed = settle(ranged)
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    lead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(lead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(*names)
-    return (
-        placed.withColumn("_i", F.row_number().over(inside))
-        .join(F.broadcast(starts), "_range")
-        .withColumn(out, F.col("_start") + F.col("_i"))
-        .drop("_range", "_i", "_start", *names)
-    )
+    by = list(by or [])
+    names = [f"_k{i}" for i in range(len(keys))]
+    placed = in_ranges(df.withColumns(dict(zip(names, keys))), *by, *names)
+    inside = Window.partitionBy("_range", *by).orderBy(*names)
+    placed = placed.withColumn("_i", F.row_number().over(inside))
+    sizes = placed.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"))
+    lead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", *by, F.coalesce(F.sum("_n").over(lead), F.lit(0)).alias("_start"))
+    if by:  # most groups lie in one range and start at 0 there
+        late = starts.filter("_start > 0").select(F.struct("_range", *by).alias("_late"), "_start")
+        same = F.col("_range") == F.col("_late._range")
+        for g in by:
+            same = same & F.col(g).eqNullSafe(F.col(f"_late.{g}"))
+        placed = placed.join(late, same, "left").drop("_late")
+    else:
+        placed = placed.join(F.broadcast(starts), "_range")
+    return placed.withColumn(out, F.coalesce("_start", F.lit(0)) + F.col("_i")).drop("_range", "_i", "_start", *names)

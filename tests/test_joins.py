@@ -157,3 +157,48 @@ def test_union_of_fields(spark):
     assert E.field_union(a, b) == ["a", "id", "x"]
     both = E.union_layers(a, b)
     assert sorted(both.columns) == ["a", "id", "x"] and both.where("x IS NULL").count() == 3
+
+
+def test_ordered_values_of_groups(spark):
+    """A hot group over many ranges, small ones and a null one; nulls last, ties by seq."""
+    rng = np.random.default_rng(1)
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", None if i % 11 == 0 else int(rng.integers(0, 30)), None if i % 13 == 0 else f"v{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, k int, v string")
+    want = {}
+    for i, g, k, v in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        want.setdefault(g, []).append(v)
+    got = {}
+    for r in sorted(A.ordered_values(df, "v", "id", "k", by=["g"]).collect(), key=lambda r: (str(r.g), r["rank"])):
+        got.setdefault(r.g, []).append(r.value)
+        assert r["rank"] == len(got[r.g])
+    assert got == want
+    assert {r.g: r.value for r in A.aggregate(df, "array_agg", "v", by=["g"], seq="id", order_by="k").collect()} == want
+    texts = {r.g: r.value for r in A.aggregate(df, "concatenate", "v", by=["g"], seq="id", order_by="k", delimiter="|").collect()}
+    assert texts == {g: "|".join(v for v in vs if v is not None) for g, vs in want.items()}
+    assert A.aggregate(df, "concatenate", "v", seq="id", delimiter="").first().value == "".join(r[3] for r in rows if r[3])
+    assert A.aggregate(df.limit(0), "array_agg", "v", by=["g"], seq="id").count() == 0
+    with pytest.raises(ValueError):
+        A.aggregate(df, "concatenate", "v", by=["g"])
+
+
+def test_one_path_over_many_ranges(spark):
+    from loamgrid.functions.geometry import RADIUS_MEASURE
+    from loamgrid.operators import measure as M
+
+    rng = np.random.default_rng(4)
+    n = 400
+    xy = np.column_stack([rng.uniform(-10, 10, n), rng.uniform(40, 50, n)])
+    rows = [(i, "long", *xy[i].tolist()) for i in range(n)] + [(0, None, 1.0, 1.0), (1, None, 2.0, 1.0), (0, "one", 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "seq long, path string, lon double, lat double").repartition(5)
+    got = M.measure_path(df, "path", "seq").toPandas()
+    legs = np.concatenate([[0.0], [hav(xy[i : i + 1], xy[i + 1 : i + 2])[0, 0] * RADIUS_MEASURE / 6378137.0 for i in range(n - 1)]])
+    one = got[got["path"] == "long"].sort_values("seq")
+    assert np.allclose(one["leg"], legs) and np.allclose(one["distance"], np.cumsum(legs)) and len(got) == n + 3
+    none = got[got["path"].isna()].sort_values("seq")
+    assert none["leg"].iloc[0] == 0 and none["distance"].iloc[1] == none["leg"].iloc[1] > 0
+    x, y = np.radians(xy).T
+    x2, y2 = np.roll(x, -1), np.roll(y, -1)
+    area = abs(np.sum((x2 - x) * (2 + np.sin(y) + np.sin(y2)))) * RADIUS_MEASURE**2 / 2
+    areas = {r.path: (r.points, r.area) for r in M.measure_area(df, "path", "seq").collect()}
+    assert areas["long"][0] == n and areas["long"][1] == pytest.approx(area, rel=1e-9) and areas["one"] == (1, 0.0) and areas[None] == (2, 0.0)
+    assert M.measure_path(df.limit(0), "path", "seq").count() == 0
