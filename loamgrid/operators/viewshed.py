@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgrid.functions import geometry as G
 from loamgrid.functions.crs import cell_size_m
 from loamgrid.functions.scalar import js_number, js_string
+from loamgrid.plans import rays
+from loamgrid.plans.lattice import TILE, div, with_tile
+from loamgrid.session import settle
 
 # Earth radius for curvature, refraction share, most knife edges per path, speed of light as used.
 CURVATURE_RADIUS = 6371000.0
@@ -94,55 +99,162 @@ def locate_observers(observers: DataFrame, cells: DataFrame, meta: dict) -> Data
     )
 
 
-# ------------------------------------------------------------------------- rays
-def _rays(observers: DataFrame, width: int, height: int) -> DataFrame:
-    """One row per observer and perimeter cell, in sweep order: top/bottom pairs, then left/right pairs.
+# --------------------------------------------------------------- line of sight
+SPOT = ["observer_id", "row", "col", "eye", "reach", "cell_x", "cell_y"]
+SPOT_TYPES = "observer_id long, row long, col long, eye double, reach double, cell_x double, cell_y double"
+#: Steps of rays that are walked at once.
+WALKED = 2_000_000
 
-    The error-term walk from the observer has a closed form.  With row extent
-    ``|dc|`` and column extent ``|dr|`` (the walk exchanges the two), step k
-    moves k cells along the longer one and round-half-down(k * short / long)
-    along the other.
+
+def packed_tiles(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """``tr, tc, z``: the cells of a tile as one array by row and column, NaN where there is none."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        tr, tc = rows["tr"][0].as_py(), rows["tc"][0].as_py()
+        z = np.full((tile, tile), np.nan)
+        z[rows["row"].to_numpy() - tr * tile, rows["col"].to_numpy() - tc * tile] = rows["z"].to_numpy()
+        return pa.table({"tr": [tr], "tc": [tc], "z": pa.array([z.ravel()], pa.list_(pa.float64()))})
+
+    known = cells.filter("z IS NOT NULL").select("row", "col", F.col("z").cast("double").alias("z"))
+    return with_tile(known, tile).drop("rim").groupBy("tr", "tc").applyInArrow(pack, "tr long, tc long, z array<double>")
+
+
+def viewshed(
+    cells: DataFrame, observers: DataFrame, width: int, height: int, target_height: float = 0.0, curvature: bool = True, tile: int = TILE
+) -> DataFrame:
+    """Visible cells ``observer_id, row, col`` of each observer.
+
+    ``observers``: ``observer_id, row, col, ground, height_m, radius_m, cell_x,
+    cell_y`` (radius 0 = unlimited).  A cell crossed by several rays takes the
+    answer of the last one.  Nodata cells neither block nor show.
+
+    Only rays that are the last through some cell are traced.  A ray is cut
+    where it leaves a tile; a tile answers for each of its pieces with the
+    greatest angle, the pieces of a ray pass that on from the observer outwards,
+    and with the angle at its entry each tile marks its own cells.  Windows of
+    any size are done so; what a task holds is one tile and the pieces in it.
     """
-    n = 2 * width + 2 * max(0, height - 2)
-    i = F.col("ray")
-    top = i < 2 * width
-    j = i - 2 * width
-    r1 = F.when(top, (i % 2) * (height - 1)).otherwise(1 + F.floor(j / 2))
-    c1 = F.when(top, F.floor(i / 2)).otherwise((j % 2) * (width - 1))
-    rays = observers.select("observer_id", "row", "col", "cell_x", "cell_y", "eye", "radius_m").withColumn(
-        "ray", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    mean = (F.col("cell_x") + F.col("cell_y")) / 2
+    reach = F.when(F.col("radius_m") > 0, F.col("radius_m") / mean).otherwise(F.lit(1e9))
+    spots = observers.select(
+        "observer_id", "row", "col", (F.col("ground") + F.col("height_m")).alias("eye"), reach.alias("reach"), "cell_x", "cell_y"
     )
-    rays = rays.withColumns({"_dr": r1.cast("bigint") - F.col("row"), "_dc": c1.cast("bigint") - F.col("col")})
-    rows, cols = F.abs("_dc"), F.abs("_dr")
-    rays = rays.withColumns(
-        {
-            "sr": F.when(F.col("_dr") > 0, 1).otherwise(-1),
-            "sc": F.when(F.col("_dc") > 0, 1).otherwise(-1),
-            "by_row": rows >= cols,
-            "long": F.greatest(rows, cols),
-            "short": F.least(rows, cols),
-            "reach": F.when(F.col("radius_m") > 0, F.col("radius_m") / ((F.col("cell_x") + F.col("cell_y")) / 2)).otherwise(F.lit(1e9)),
-        }
-    ).filter(F.col("long") > 0)
-    room = F.when(
-        F.col("by_row"), F.when(F.col("sr") > 0, height - 1 - F.col("row")).otherwise(F.col("row"))
-    ).otherwise(F.when(F.col("sc") > 0, width - 1 - F.col("col")).otherwise(F.col("col")))
-    steps = F.least(room, F.floor("reach"))
-    return rays.withColumn("steps", steps).filter("steps >= 1").drop("_dr", "_dc")
-
-
-def _steps(rays: DataFrame, width: int, height: int) -> DataFrame:
-    k = F.col("step")
-    walked = rays.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("steps").cast("bigint"))))
-    minor = F.floor((2 * F.col("short") * k + F.col("long") - 1) / (2 * F.col("long"))).cast("bigint")
-    dy = F.col("sr") * F.when(F.col("by_row"), k).otherwise(minor)
-    dx = F.col("sc") * F.when(F.col("by_row"), minor).otherwise(k)
-    out = walked.withColumns({"dy": dy, "dx": dx}).withColumns(
-        {"r": F.col("row") + F.col("dy"), "c": F.col("col") + F.col("dx")}
+    tiles = settle(packed_tiles(cells, tile))
+    r, c, far = F.col("row"), F.col("col"), F.floor("reach")
+    near = spots.withColumn(
+        "tr", F.explode(F.sequence(div(F.greatest(r - far, F.lit(0)), tile), div(F.least(r + far, F.lit(height - 1)), tile)))
+    ).withColumn("tc", F.explode(F.sequence(div(F.greatest(c - far, F.lit(0)), tile), div(F.least(c + far, F.lit(width - 1)), tile))))
+    # few rows that mean much work each: the number of tasks is given, so that they are not put together by size
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    useful = near.repartition(tasks, "observer_id", "tr", "tc").mapInPandas(
+        lambda b: _together(_useful_rays(b, width, height, tile)), f"{SPOT_TYPES}, ray long, steps long"
     )
-    inside = F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)
-    near = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= F.col("reach") * F.col("reach")
-    return out.filter(inside & near)
+    useful = useful.repartition(tasks, "observer_id", "ray").groupBy(*SPOT, "ray").agg(F.max("steps").alias("steps"))
+    cut = useful.mapInPandas(lambda b: _together(_cut_rays(b, width, height, tile)), f"{SPOT_TYPES}, ray long, tr long, tc long, k0 long, k1 long")
+    pieces = settle(_gathered(cut, ["ray", "k0", "k1"]))
+    tops = pieces.join(tiles, ["tr", "tc"]).mapInPandas(
+        lambda b: _together(_top_angles(b, width, height, tile, curvature)), f"{SPOT_TYPES}, ray long, tr long, tc long, k0 long, k1 long, top double"
+    )
+    outwards = Window.partitionBy("observer_id", "ray").orderBy("k0").rowsBetween(Window.unboundedPreceding, -1)
+    entered = tops.withColumn("horizon", F.coalesce(F.max("top").over(outwards), F.lit(float("-inf")))).drop("top")
+    seen = _gathered(entered, ["ray", "k0", "k1", "horizon"]).join(tiles, ["tr", "tc"]).mapInPandas(
+        lambda b: _together(_seen_cells(b, width, height, tile, target_height, curvature)), "observer_id long, row long, col long"
+    )
+    return observers.select("observer_id", "row", "col").unionByName(seen)
+
+
+def _gathered(pieces: DataFrame, fields: list[str]) -> DataFrame:
+    """The pieces of an observer's rays in one tile as one row of arrays, by ray."""
+    rows = pieces.groupBy(*SPOT, "tr", "tc").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("m"))
+    return rows.select(*SPOT, "tr", "tc", *[F.col(f"m.{f}").alias(f) for f in fields])
+
+
+def _spot_rows(spot, n: int, **columns) -> pd.DataFrame:
+    return pd.DataFrame({**{f: np.repeat(getattr(spot, f), n) for f in SPOT}, **columns})
+
+
+def _together(frames: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Small frames as fewer ones."""
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _useful_rays(batches: Iterator[pd.DataFrame], width: int, height: int, tile: int) -> Iterator[pd.DataFrame]:
+    """The rays that are last through some cell of a tile within the reach, and how far they are of use there."""
+    for pdf in batches:
+        for spot in pdf.itertuples(index=False):
+            far = math.floor(spot.reach)
+            rows = np.arange(max(spot.tr * tile, spot.row - far), min((spot.tr + 1) * tile, height, spot.row + far + 1)) - spot.row
+            cols = np.arange(max(spot.tc * tile, spot.col - far), min((spot.tc + 1) * tile, width, spot.col + far + 1)) - spot.col
+            y, x = (a.ravel() for a in np.meshgrid(rows, cols, indexing="ij"))
+            d2 = y * y + x * x
+            y, x = y[(d2 > 0) & (d2 <= spot.reach * spot.reach)], x[(d2 > 0) & (d2 <= spot.reach * spot.reach)]
+            ray = rays.last_rays(y, x, spot.row, spot.col, width, height)
+            y, x, ray = y[ray >= 0], x[ray >= 0], ray[ray >= 0]
+            by_row = rays.directions(ray, spot.row, spot.col, width, height)[2]
+            k = np.where(by_row, np.abs(y), np.abs(x))
+            some, number = np.unique(ray, return_inverse=True)
+            steps = np.zeros(len(some), np.int64)
+            np.maximum.at(steps, number, k)
+            yield _spot_rows(spot, len(some), ray=some, steps=steps)
+
+
+def _cut_rays(batches: Iterator[pd.DataFrame], width: int, height: int, tile: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for _, own in pdf.groupby("observer_id", sort=False):
+            spot = next(own.itertuples(index=False))
+            ray, steps = own["ray"].to_numpy(), own["steps"].to_numpy()
+            part = np.cumsum(steps) // WALKED
+            for i in np.unique(part):
+                found = rays.segments(ray[part == i], steps[part == i], spot.row, spot.col, width, height, spot.reach, tile)
+                yield _spot_rows(spot, len(found[0]), **dict(zip(("ray", "tr", "tc", "k0", "k1"), found)))
+
+
+def _angles(piece, width: int, height: int, tile: int, curvature: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Step by step along the pieces in a tile: which of them, row and column in the tile, height, distance, and drop."""
+    z = np.asarray(piece.z, float).reshape(tile, tile)
+    k0, k1 = np.asarray(piece.k0), np.asarray(piece.k1)
+    way = rays.directions(np.asarray(piece.ray), piece.row, piece.col, width, height)
+    for k in range(int(k0.min()), int(k1.max()) + 1):
+        at = np.flatnonzero((k0 <= k) & (k <= k1))
+        y, x = rays.offsets(np.full(len(at), k), tuple(w[at] for w in way))
+        r, c = piece.row + y - piece.tr * tile, piece.col + x - piece.tc * tile
+        known = ~np.isnan(z[r, c])
+        at, y, x, r, c = at[known], y[known], x[known], r[known], c[known]
+        dist = np.sqrt((x * piece.cell_x) ** 2 + (y * piece.cell_y) ** 2)
+        drop = dist * dist / (2 * CURVATURE_RADIUS) * (1 - REFRACTION) if curvature else np.zeros(len(at))
+        yield at, r, c, z[r, c], np.where(dist == 0, 0.001, dist), drop
+
+
+def _top_angles(batches: Iterator[pd.DataFrame], width: int, height: int, tile: int, curvature: bool) -> Iterator[pd.DataFrame]:
+    """The greatest terrain angle of each piece; none where it meets no known cell."""
+    for pdf in batches:
+        for piece in pdf.itertuples(index=False):
+            n = len(piece.ray)
+            top = np.full(n, -np.inf)
+            for at, _, _, z, dist, drop in _angles(piece, width, height, tile, curvature):
+                top[at] = np.maximum(top[at], (z - drop - piece.eye) / dist)
+            yield _spot_rows(piece, n, ray=piece.ray, tr=np.repeat(piece.tr, n), tc=np.repeat(piece.tc, n), k0=piece.k0, k1=piece.k1, top=top)
+
+
+def _seen_cells(batches: Iterator[pd.DataFrame], width: int, height: int, tile: int, target_height: float, curvature: bool) -> Iterator[pd.DataFrame]:
+    """The cells whose last ray sees them.  Pieces come by ray, and a cell is met at one step, so the last answer stays."""
+    for pdf in batches:
+        for piece in pdf.itertuples(index=False):
+            horizon = np.array(piece.horizon, float)
+            answer = np.zeros((tile, tile), bool)
+            for at, r, c, z, dist, drop in _angles(piece, width, height, tile, curvature):
+                answer[r, c] = (z + target_height - drop - piece.eye) / dist >= horizon[at]
+                horizon[at] = np.maximum(horizon[at], (z - drop - piece.eye) / dist)
+            r, c = np.nonzero(answer)
+            yield pd.DataFrame({"observer_id": np.repeat(piece.observer_id, len(r)), "row": r + piece.tr * tile, "col": c + piece.tc * tile})
 
 
 # Observers whose window holds at most this many cells are swept as one group; wider ones go through joins.
@@ -157,92 +269,6 @@ def _split_by_window(observers: DataFrame) -> tuple[DataFrame | None, DataFrame
     return (observers.filter(small) if n["s"] else None), (observers.filter(~small) if n["l"] else None)
 
 
-def viewshed(cells: DataFrame, observers: DataFrame, width: int, height: int, target_height: float = 0.0, curvature: bool = True) -> DataFrame:
-    """Visible cells ``observer_id, row, col`` of each observer.
-
-    ``observers``: ``observer_id, row, col, ground, height_m, radius_m, cell_x,
-    cell_y`` (radius 0 = unlimited).  A cell crossed by several rays takes the
-    answer of the last one.  Nodata cells neither block nor show.
-    """
-    near, far = _split_by_window(observers)
-    out = observers.select("observer_id", "row", "col")
-    if near is not None:
-        fields = ["observer_id", "trow", "tcol", "z", "orow", "ocol", "eye", "reach", "cell_x", "cell_y"]
-        swept = _cells_in_reach(cells, near).select(*fields).groupBy("observer_id").applyInPandas(
-            lambda p: _sweep(p, width, height, target_height, curvature), "observer_id long, row long, col long"
-        )
-        out = out.unionByName(swept)
-    if far is not None:
-        out = out.unionByName(_traced(cells, far, width, height, target_height, curvature))
-    return out
-
-
-def _sweep(pdf: pd.DataFrame, width: int, height: int, target_height: float, curvature: bool) -> pd.DataFrame:
-    """All rays of one observer, one step at a time, over the cells of its window."""
-    first = pdf.iloc[0]
-    r0, c0, reach = int(first["orow"]), int(first["ocol"]), float(first["reach"])
-    size = int(math.floor(reach))
-    ground = np.full((2 * size + 1, 2 * size + 1), np.nan)
-    ground[(pdf["trow"] - r0 + size).to_numpy(int), (pdf["tcol"] - c0 + size).to_numpy(int)] = pdf["z"]
-    i = np.arange(2 * width + 2 * max(0, height - 2))
-    side = i - 2 * width
-    dr = np.where(side < 0, (i % 2) * (height - 1), 1 + side // 2) - r0
-    dc = np.where(side < 0, i // 2, (side % 2) * (width - 1)) - c0
-    dr, dc = dr[(dr != 0) | (dc != 0)], dc[(dr != 0) | (dc != 0)]
-    rows, cols = np.abs(dc), np.abs(dr)  # the walk exchanges the two extents
-    long, short = np.maximum(rows, cols), np.minimum(rows, cols)
-    sr, sc = np.where(dr > 0, 1, -1), np.where(dc > 0, 1, -1)
-    horizon = np.full(len(dr), -np.inf)
-    answer = np.zeros(ground.shape, bool)
-    for k in range(1, size + 1):
-        minor = (2 * short * k + long - 1) // (2 * long)
-        y, x = sr * np.where(rows >= cols, k, minor), sc * np.where(rows >= cols, minor, k)
-        ok = (y * y + x * x <= reach * reach) & (r0 + y >= 0) & (r0 + y < height) & (c0 + x >= 0) & (c0 + x < width)
-        at = np.flatnonzero(ok)
-        y, x = y[at], x[at]
-        z = ground[y + size, x + size]
-        have = ~np.isnan(z)
-        at, y, x, z = at[have], y[have], x[have], z[have]
-        dist = np.sqrt((x * first["cell_x"]) ** 2 + (y * first["cell_y"]) ** 2)
-        drop = dist * dist / (2 * CURVATURE_RADIUS) * (1 - REFRACTION) if curvature else 0.0
-        seen = (z + target_height - drop - first["eye"]) / dist >= horizon[at]
-        horizon[at] = np.maximum(horizon[at], (z - drop - first["eye"]) / dist)
-        # rays come in sweep order, so the later write is the later ray within a step;
-        # a cell is always met at the same step, its distance along the longer axis
-        answer[y + size, x + size] = seen
-    y, x = np.nonzero(answer)
-    return pd.DataFrame({"observer_id": int(first["observer_id"]), "row": y + r0 - size, "col": x + c0 - size})
-
-
-def _traced(cells: DataFrame, observers: DataFrame, width: int, height: int, target_height: float, curvature: bool) -> DataFrame:
-    """Rays as joined rows, for windows of any size.
-
-    Only rays that are last for some cell are traced against the terrain: a
-    first pass finds them from geometry alone, with a map-side combine.
-    """
-    seen_from = observers.withColumn("eye", F.col("ground") + F.col("height_m"))
-    rays = _rays(seen_from, width, height)
-    last = _steps(rays, width, height).groupBy("observer_id", "r", "c").agg(F.max("ray").alias("ray"))
-    useful = last.select("observer_id", "ray").distinct()
-    path = _steps(rays.join(useful, ["observer_id", "ray"], "left_semi"), width, height)
-    ground = cells.filter("z IS NOT NULL").select(F.col("row").alias("r"), F.col("col").alias("c"), "z")
-    met = path.select("observer_id", "ray", "step", "r", "c", "dx", "dy", "cell_x", "cell_y", "eye").join(ground, ["r", "c"])
-    mx, my = F.col("dx") * F.col("cell_x"), F.col("dy") * F.col("cell_y")
-    dist = F.sqrt(mx * mx + my * my)
-    dist = F.when(dist == 0, F.lit(0.001)).otherwise(dist)
-    drop = dist * dist / (2 * CURVATURE_RADIUS) * (1 - REFRACTION) if curvature else F.lit(0.0)
-    angles = met.select(
-        "observer_id", "ray", "step", "r", "c",
-        ((F.col("z") - drop - F.col("eye")) / dist).alias("terrain"),
-        ((F.col("z") + F.lit(float(target_height)) - drop - F.col("eye")) / dist).alias("target"),
-    )
-    before = Window.partitionBy("observer_id", "ray").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    horizon = F.coalesce(F.max("terrain").over(before), F.lit(float("-inf")))
-    seen = angles.withColumn("visible", F.col("target") >= horizon)
-    final = seen.groupBy("observer_id", "r", "c").agg(F.max_by("visible", "ray").alias("visible"))
-    return final.filter("visible").select("observer_id", F.col("r").alias("row"), F.col("c").alias("col"))
-
-
 # ------------------------------------------------------------------ diffraction
 def _edge_loss(nu: np.ndarray) -> np.ndarray:
     """Lee's piecewise approximation of single knife-edge loss, in dB."""
@@ -480,7 +506,6 @@ def visible_rings(seen: DataFrame, width: int, height: int, tile: int = 256) ->
     """
     from loamgrid.operators.polygonize import ring_vertices
     from loamgrid.plans.ranks import global_rank
-    from loamgrid.session import settle
 
     seen = settle(seen.select("observer_id", "row", "col"))
     blocks = settle(global_rank(seen.select("observer_id").distinct(), F.col("observer_id"), out="block"))

@@ -10,6 +10,7 @@ from loamgrid.operators import hydrology as H
 from loamgrid.operators import polygonize as P
 from loamgrid.operators import terrain as T
 from loamgrid.operators import viewshed as V
+from loamgrid.plans import rays as R
 from loamgrid.plans.lattice import STRIDE
 
 
@@ -180,13 +181,33 @@ def test_polygon_with_nested_hole(spark):
     assert by[2.0]["geometry"]["type"] == "Polygon" and len(by[2.0]["geometry"]["parts"][0]) == 2
 
 
-@pytest.mark.parametrize("window", [0, 1_000_000])
-def test_viewshed_equals_sweep(spark, rough, monkeypatch, window):
-    monkeypatch.setattr(V, "WINDOW_CELLS", window)
-    observers = [(1, 5, 7, 2.0, 150.0, 10.0, 12.0), (2, 30, 39, 10.0, 0.0, 10.0, 12.0), (3, 0, 0, 5.0, 90.0, 10.0, 12.0)]
+def test_last_rays_equal_a_walk_of_all():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        height, width = rng.integers(1, 14, 2)
+        r0, c0 = int(rng.integers(0, height)), int(rng.integers(0, width))
+        want = np.full((height, width), -1)
+        for ray in range(2 * width + 2 * max(0, height - 2)):
+            way = R.directions(np.array([ray]), r0, c0, width, height)
+            for k in range(1, 14 if way[3][0] else 1):
+                y, x = R.offsets(np.array([k]), way)
+                if 0 <= r0 + y[0] < height and 0 <= c0 + x[0] < width:
+                    want[r0 + y[0], c0 + x[0]] = max(ray, want[r0 + y[0], c0 + x[0]])
+        y, x = np.indices(want.shape)
+        other = (y != r0) | (x != c0)
+        got = np.full(want.shape, -1)
+        got[other] = R.last_rays(y[other] - r0, x[other] - c0, r0, c0, int(width), int(height))
+        assert np.array_equal(got, want), (height, width, r0, c0)
+
+
+@pytest.mark.parametrize("tile", [3, 8, 64])
+def test_viewshed_equals_sweep(spark, rough, monkeypatch, tile):
+    monkeypatch.setattr(V, "WALKED", 40)
+    observers = [(1, 5, 7, 2.0, 150.0, 10.0, 12.0), (2, 30, 39, 10.0, 0.0, 10.0, 12.0), (3, 0, 0, 5.0, 90.0, 10.0, 12.0), (4, 5, 7, 20.0, 0.0, 10.0, 12.0)]
     rows = [(i, r, c, float(rough[r, c]), h, rad, x, y) for i, r, c, h, rad, x, y in observers]
     o = spark.createDataFrame(rows, "observer_id long, row long, col long, ground double, height_m double, radius_m double, cell_x double, cell_y double")
-    got = V.viewshed(cells_of(spark, rough), o, rough.shape[1], rough.shape[0], 1.0, True).toPandas()
+    got = V.viewshed(cells_of(spark, rough), o, rough.shape[1], rough.shape[0], 1.0, True, tile=tile).toPandas()
+    assert not got.duplicated().any()
     for i, r, c, h, rad, x, y in observers:
         want = brute.viewshed(rough, r, c, rough[r, c] + h, 1.0, x, y, rad, True)
         mine = np.zeros(rough.shape, int)
