@@ -219,12 +219,10 @@ def _stream(spark, sf, name):
     return ST.stream_points(spark, path, "id long, lat string, lon string, value double, ts timestamp")
 
 
-def _finish(df, spark, name, mode):
-    """Run a bounded stream to its end and return the last result table."""
-    table_name = f"{name}_{scratch(spark, 't').rsplit('-', 1)[1]}"
-    q = df.writeStream.format("memory").queryName(table_name).outputMode(mode).option("checkpointLocation", scratch(spark, "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(table_name)
+def _finish(keeper, points, spark):
+    """Run a bounded stream to its end and return the last version of the state."""
+    keeper.start(points, scratch(spark, "cp")).awaitTermination()
+    return keeper.read(spark, keeper.latest)
 
 
 @query("st1_stream_triage", "SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, 'point' AS status FROM pts")
@@ -237,24 +235,22 @@ def st1(spark, sf):
 
 @query("st2_stream_bins", f"SELECT {sql_tile_x('lon', 8)} AS tile_x, {sql_tile_y('lat', 8)} AS tile_y, count(*) AS point_count, {sql_rnd('avg(lat)', 5)} AS sample_lat FROM pts GROUP BY 1, 2")
 def st2(spark, sf):
-    b = _finish(ST.running_bins(_stream(spark, sf, "st2")), spark, "bins", "complete")
+    b = _finish(ST.RunningBins(scratch(spark, "bins")), _stream(spark, sf, "st2"), spark)
     return b.select("tile_x", "tile_y", "point_count", rnd("sample_lat", 5).alias("sample_lat"))
 
 
 @query("st2_stream_windowed_bins", f"SELECT date_trunc('hour', ts) AS hour, {sql_tile_x('lon', 8)} AS tile_x, {sql_tile_y('lat', 8)} AS tile_y, count(*) AS point_count FROM pts GROUP BY 1, 2, 3")
 def st2_windowed(spark, sf):
-    b = _finish(ST.running_bins(_stream(spark, sf, "st2w"), event_time="ts", late="3650 days"), spark, "wbins", "complete")
+    b = _finish(ST.RunningBins(scratch(spark, "wbins"), event_time="ts"), _stream(spark, sf, "st2w"), spark)
     return b.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "tile_x", "tile_y", "point_count")
 
 
 @query("st3_stream_statistics", "SELECT count(*) AS row_count, count(*) AS point_count, round(min(lon), 6) AS minx, round(max(lat), 6) AS maxy FROM pts")
 def st3(spark, sf):
-    s = _finish(ST.running_statistics(_stream(spark, sf, "st3")), spark, "stats", "complete")
+    s = _finish(ST.RunningStatistics(scratch(spark, "stats")), _stream(spark, sf, "st3"), spark)
     return s.select("row_count", "point_count", F.round("minx", 6).alias("minx"), F.round("maxy", 6).alias("maxy"))
 
 
 @query("st4_stream_sample", "SELECT id, value FROM pts ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 300")
 def st4(spark, sf):
-    keeper = ST.RunningSample(scratch(spark, "sample"), 300, "id")
-    keeper.start(_stream(spark, sf, "st4"), scratch(spark, "cp")).awaitTermination()
-    return keeper.read(spark, keeper.latest).select("id", "value")
+    return _finish(ST.RunningSample(scratch(spark, "sample"), 300, "id"), _stream(spark, sf, "st4"), spark).select("id", "value")
