@@ -475,13 +475,10 @@ def w10_polygons(spark, sf):
 @query("v04_visible_area", VIEW_SQL.replace('SELECT oid AS observer_id, r AS "row", c AS col FROM fi WHERE v UNION ALL SELECT oid, r0, c0 FROM ob',
   'SELECT observer_id, CAST(count(*) AS DOUBLE) AS area FROM (SELECT oid AS observer_id FROM fi WHERE v UNION ALL SELECT oid FROM ob) GROUP BY 1'))
 def v04_area(spark, sf):
-    from pyspark.sql import Window
-
     h = height_of(spark, sf)
     rings = V.visible_rings(V.viewshed(dem(spark, sf), observers(spark, sf), 100, h, 1.5, True), 100, h)
-    w = Window.partitionBy("ring").orderBy("seq")
-    t = rings.withColumn("_t", F.col("x") * F.lead("y").over(w) - F.lead("x").over(w) * F.col("y"))
-    return t.groupBy("observer_id").agg((F.sum("_t") / 2).cast("double").alias("area"))
+    areas = P.ring_areas(rings.withColumnRenamed("observer_id", "value"))
+    return areas.groupBy(F.col("value").alias("observer_id")).agg(F.sum("area").alias("area"))
 
 
 @query("v04_viewshed_features")
@@ -515,12 +512,18 @@ def w13(spark, sf):
 @query("v08_polygon_area", """SELECT floor(z/2e1) AS value, CAST(count(*) AS DOUBLE) AS area FROM dem GROUP BY 1""")
 def v08(spark, sf):
     bands = dem(spark, sf).select("row", "col", F.floor(F.col("z") / 20).cast("double").alias("band"))
-    v = P.ring_vertices(bands, "band")
-    from pyspark.sql import Window
+    return P.ring_areas(P.ring_vertices(bands, "band")).groupBy("value").agg(F.sum("area").alias("area"))
+
 
-    w = Window.partitionBy("ring").orderBy("seq")
-    t = v.withColumn("_t", F.col("x") * F.lead("y").over(w) - F.lead("x").over(w) * F.col("y"))
-    return t.groupBy("value").agg((F.sum("_t") / 2).alias("area"))
+# a lattice point is a corner of a value's rings by which of its four cells hold the value: one or three, or two that only touch
+@query("v08_ring_corners", """WITH b AS (SELECT "row" AS r, col AS c, floor(z/2e1) AS value FROM dem),
+  p AS (SELECT value, c + dx AS x, r + dy AS y, count(*) AS n, sum((dx + dy) % 2) AS odd
+    FROM b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS s(dy, dx) WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT value, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(CASE WHEN n = 2 THEN 2 ELSE 1 END AS BIGINT) AS corners
+  FROM p WHERE n IN (1, 3) OR (n = 2 AND odd IN (0, 2))""")
+def v08_corners(spark, sf):
+    bands = dem(spark, sf).select("row", "col", F.floor(F.col("z") / 20).cast("double").alias("band"))
+    return P.ring_vertices(bands, "band").filter("seq > 1").groupBy("value", "x", "y").agg(F.count("*").alias("corners"))
 
 
 # the halo copies every cell to each tile within reach

@@ -245,3 +245,37 @@ def summits(z, search, smooth, min_relief, cutoff, count):
         taken.append((r, c))
         out.append((r, c, "peak" if relief >= cutoff else "hill", relief))
     return out
+
+
+def rings(z, stride=1 << 31):
+    """Least corner edge -> (value, is_hole, corners from it on, the first repeated), walking each side of each cell."""
+    def same(r, c, v):
+        return 0 <= r < z.shape[0] and 0 <= c < z.shape[1] and z[r, c] == v
+
+    # sides 0..3 walk E, S, W, N with the cell on the right; a side faces the cell to the left of the walk
+    go = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    end = [(0, 1), (1, 1), (1, 0), (0, 0)]
+    left = {(r, c, k) for r, c in np.ndindex(z.shape) for k in range(4) if not np.isnan(z[r, c]) and not same(r + go[k - 1][0], c + go[k - 1][1], z[r, c])}
+    out = {}
+    while left:
+        at = start = min(left)
+        walk = []
+        while True:
+            left.discard(at)
+            r, c, k = at
+            v, (dr, dc), (sr, sc) = z[r, c], go[k], go[k - 1]
+            if not same(r + dr, c + dc, v):
+                at, turns = (r, c, (k + 1) % 4), True
+            elif not same(r + dr + sr, c + dc + sc, v):
+                at, turns = (r + dr, c + dc, k), False
+            else:
+                at, turns = (r + dr + sr, c + dc + sc, (k + 3) % 4), True
+            if turns:
+                walk.append(((r * stride + c) * 4 + k, (c + end[k][1], r + end[k][0])))
+            if at == start:
+                break
+        i = walk.index(min(walk))
+        pts = [p for _, p in walk[i:] + walk[: i + 1]]
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:]))
+        out[min(walk)[0]] = (z[start[:2]], area < 0, pts)
+    return out

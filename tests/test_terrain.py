@@ -181,6 +181,46 @@ def test_polygon_with_nested_hole(spark):
     assert by[2.0]["geometry"]["type"] == "Polygon" and len(by[2.0]["geometry"]["parts"][0]) == 2
 
 
+def _parts(z):
+    """Least cell of each cell's 4-connected part."""
+    part = {}
+    for start in np.ndindex(z.shape):
+        todo = [] if start in part or np.isnan(z[start]) else [start]
+        while todo:
+            u = todo.pop()
+            if u in part:
+                continue
+            part[u] = start
+            for d in ((0, 1), (1, 0), (0, -1), (-1, 0)):
+                v = (u[0] + d[0], u[1] + d[1])
+                if 0 <= v[0] < z.shape[0] and 0 <= v[1] < z.shape[1] and z[v] == z[u]:
+                    todo.append(v)
+    return part
+
+
+@pytest.mark.parametrize("tile", [2, 5, 64])
+def test_rings_equal_a_walk(spark, tile):
+    rng = np.random.default_rng(11)
+    z = np.where(rng.random((17, 23)) < 0.55, 1.0, 2.0)
+    z[2:15, 1] = z[2, 1:22] = z[14, 1:22] = 3.0  # a part that encloses others over many tiles
+    z[2:15, 21] = 3.0
+    z[8, 8:11] = np.nan
+    got = P.ring_vertices(cells_of(spark, z), "z", tile=tile).toPandas().sort_values("seq")
+    rings = {k: (g["value"].iloc[0], g["is_hole"].iloc[0], g["parent"].iloc[0], list(zip(g["x"], g["y"]))) for k, g in got.groupby("ring")}
+    assert all(g["seq"].tolist() == list(range(1, len(g) + 1)) for _, g in got.groupby("ring"))
+    want = {k: v for k, v in brute.rings(z).items()}
+    assert {k: (v, hole, pts) for k, (v, hole, _, pts) in rings.items()} == want
+    part = _parts(z)
+    where = {k: part[divmod(k // 4, STRIDE)] for k in rings}
+    assert all(where[k] == where[up] and not rings[up][1] and (hole or up == k) for k, (_, hole, up, _) in rings.items())
+    areas = P.ring_areas(P.ring_vertices(cells_of(spark, z), "z", tile=tile)).groupBy("value").agg(F.sum("area").alias("area")).collect()
+    assert {r["value"]: r["area"] for r in areas} == {v: float((z == v).sum()) for v in (1.0, 2.0, 3.0)}
+
+
+def test_rings_of_an_empty_table(spark):
+    assert P.ring_vertices(cells_of(spark, np.full((3, 3), np.nan)), "z", tile=2).count() == 0
+
+
 def test_last_rays_equal_a_walk_of_all():
     rng = np.random.default_rng(0)
     for _ in range(150):
