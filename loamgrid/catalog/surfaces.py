@@ -336,7 +336,27 @@ def v03(spark, sf):
 
 @query("v05_v07_diffraction")
 def v05(spark, sf):
-    return V.diffraction(dem(spark, sf), observers(spark, sf), freq_mhz=450.0, n_samples=32).select("observer_id", "row", "col", rnd("rx_dbm", 4).alias("rx_dbm"))
+    return V.diffraction(dem(spark, sf), observers(spark, sf), freq_mhz=450.0, n_samples=32, max_edges=V.MAX_EDGES).select("observer_id", "row", "col", rnd("rx_dbm", 4).alias("rx_dbm"))
+
+
+# every profile in SQL, with the one edge that blocks most
+@query("v05_single_edge", """WITH hh AS (SELECT max("row") + 1 AS h FROM dem),
+  ob AS (SELECT f.id AS oid, d."row" AS r0, d.col AS c0, f.radius_m/1e2 AS reach, d.z + f.height_m AS eye FROM facilities f, hh, dem d WHERE d."row" = f.id*613 % hh.h AND d.col = f.id*37 % 100),
+  ta AS (SELECT oid, r0, c0, eye, d."row" AS r, d.col AS c, d."row" - r0 AS dy, d.col - c0 AS dx FROM ob, dem d WHERE d.z IS NOT NULL AND (reach <= 0 OR sqrt(((d."row"-r0)*(d."row"-r0) + (d.col-c0)*(d.col-c0))::DOUBLE) <= reach)),
+  sa AS (SELECT ta.*, s, dy*(s/32e0) AS y, dx*(s/32e0) AS x FROM ta, (SELECT unnest(generate_series(0, 32)) AS s)),
+  el AS (SELECT sa.oid, sa.r, sa.c, sa.eye, sa.dy, sa.dx, sa.s, sqrt(sa.x*1e2*sa.x*1e2 + sa.y*1e2*sa.y*1e2) AS d,
+      g.z + (sa.x*1e2*sa.x*1e2 + sa.y*1e2*sa.y*1e2)/(2*6371000e0)*0.87e0 AS e
+    FROM sa JOIN dem g ON g."row" = CAST(floor(r0 + y + 0.5e0) AS BIGINT) AND g.col = CAST(floor(c0 + x + 0.5e0) AS BIGINT) WHERE g.z IS NOT NULL),
+  en AS (SELECT oid, r, c, any_value(eye) AS a, any_value(dy) AS dy, any_value(dx) AS dx, arg_min(d, s) AS d0, arg_max(d, s) AS d1, arg_max(e, s) + 1.5e0 AS b, min(s) AS s0, max(s) AS s1 FROM el GROUP BY 1, 2, 3),
+  ed AS (SELECT el.oid, el.r, el.c, el.d - d0 AS da, d1 - el.d AS db, el.e - (a + (el.d - d0)/(d1 - d0)*(b - a)) AS up FROM el JOIN en USING (oid, r, c) WHERE s > s0 AND s < s1 AND d1 > d0),
+  mo AS (SELECT oid, r, c, arg_max(up*sqrt(2*(da + db)/((3e8/450e6)*da*db)), up) AS nu FROM ed WHERE up > 0 AND da > 0 AND db > 0 GROUP BY 1, 2, 3),
+  lo AS (SELECT oid, r, c, -20*log10(greatest(CASE WHEN nu < 1 THEN 0.5e0*exp(-0.95e0*nu) WHEN nu < 2.4e0 THEN 0.4e0 - sqrt(greatest(0, 0.1184e0 - (0.38e0 - 0.1e0*nu)*(0.38e0 - 0.1e0*nu))) ELSE 0.225e0/nu END, 1e-10)) AS loss FROM mo)
+  SELECT oid AS observer_id, r AS "row", c AS col, round(CASE WHEN dy = 0 AND dx = 0 THEN 43e0
+    ELSE 43e0 - (20*log10(greatest(sqrt(dx*1e2*dx*1e2 + dy*1e2*dy*1e2), 1)) + 20*log10(450e6) - 20*log10(3e8/(4*pi()))) - coalesce(loss, 0) END, 4) AS rx_dbm
+  FROM en LEFT JOIN lo USING (oid, r, c)""")
+def v05_single(spark, sf):
+    levels = V.diffraction(dem(spark, sf), observers(spark, sf), freq_mhz=450.0, n_samples=32, max_edges=1)
+    return levels.select("observer_id", "row", "col", rnd("rx_dbm", 4).alias("rx_dbm"))
 
 
 # ------------------------------------------------------------------ W: drainage
@@ -498,7 +518,7 @@ def v04(spark, sf):
 
 @query("v07_level_statistics")
 def v07(spark, sf):
-    s = V.level_statistics(V.diffraction(dem(spark, sf), observers(spark, sf), freq_mhz=450.0, n_samples=32), -70.0)
+    s = V.level_statistics(V.diffraction(dem(spark, sf), observers(spark, sf), freq_mhz=450.0, n_samples=32, max_edges=V.MAX_EDGES), -70.0)
     return s.select("observer_id", rnd("min_dbm", 4).alias("min_dbm"), rnd("max_dbm", 4).alias("max_dbm"), "cells", "usable_cells")
 
 

@@ -17,7 +17,7 @@ from loamgrid.plans import rays
 from loamgrid.plans.lattice import TILE, div, with_tile
 from loamgrid.session import settle
 
-# Earth radius for curvature, refraction share, most knife edges per path, speed of light as used.
+# Earth radius for curvature, refraction share, the usual limit of knife edges per path (a choice, no default), speed of light as used.
 CURVATURE_RADIUS = 6371000.0
 REFRACTION = 0.13
 MAX_EDGES = 20
@@ -257,18 +257,6 @@ def _seen_cells(batches: Iterator[pd.DataFrame], width: int, height: int, tile:
             yield pd.DataFrame({"observer_id": np.repeat(piece.observer_id, len(r)), "row": r + piece.tr * tile, "col": c + piece.tc * tile})
 
 
-# Observers whose window holds at most this many cells are swept as one group; wider ones go through joins.
-WINDOW_CELLS = 1_000_000
-
-
-def _split_by_window(observers: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Observers with a small and with a large (or unlimited) window; None where there are none."""
-    reach = F.floor(F.col("radius_m") / ((F.col("cell_x") + F.col("cell_y")) / 2))
-    small = F.coalesce((F.col("radius_m") > 0) & ((2 * reach + 1) * (2 * reach + 1) <= WINDOW_CELLS), F.lit(False))
-    n = observers.agg(F.count_if(small).alias("s"), F.count_if(~small).alias("l")).first()
-    return (observers.filter(small) if n["s"] else None), (observers.filter(~small) if n["l"] else None)
-
-
 # ------------------------------------------------------------------ diffraction
 def _edge_loss(nu: np.ndarray) -> np.ndarray:
     """Lee's piecewise approximation of single knife-edge loss, in dB."""
@@ -284,7 +272,7 @@ def _edge_loss(nu: np.ndarray) -> np.ndarray:
 
 
 def _profile_loss(dist: np.ndarray, elev: np.ndarray, n: np.ndarray, eye: np.ndarray, target_height: float, wavelength: np.ndarray,
-                  max_edges: int | None = MAX_EDGES) -> np.ndarray:
+                  max_edges: int | None = None) -> np.ndarray:
     """Epstein-Peterson loss of a batch of profiles, padded to one width (n = true lengths)."""
     rows, width = dist.shape
     at = np.arange(width)[None, :]
@@ -331,7 +319,7 @@ def _profile_loss(dist: np.ndarray, elev: np.ndarray, n: np.ndarray, eye: np.nda
     return total
 
 
-def knife_edge_loss(dist, elev, eye, wavelength, target_height: float, max_edges: int | None = MAX_EDGES) -> Column:
+def knife_edge_loss(dist, elev, eye, wavelength, target_height: float, max_edges: int | None = None) -> Column:
     """Loss in dB of profiles held as sorted arrays, one numpy pass per Arrow batch; ``max_edges`` None: until no edge blocks."""
 
     @F.pandas_udf("double")
@@ -348,26 +336,10 @@ def knife_edge_loss(dist, elev, eye, wavelength, target_height: float, max_edges
     return loss(dist, elev, eye, wavelength)
 
 
-def profile_points(targets: DataFrame, n_samples: int) -> DataFrame:
-    """Sample positions ``s, r, c, dist`` of the straight path to each target cell."""
-    n = max(2, n_samples)
-    t = F.col("s") / F.lit(float(n))
-    spread = targets.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    y, x = F.col("dy") * t, F.col("dx") * t
-    mx, my = x * F.col("cell_x"), y * F.col("cell_y")
-    return spread.withColumns(
-        {
-            "r": F.floor(F.col("orow") + y + 0.5).cast("bigint"),
-            "c": F.floor(F.col("ocol") + x + 0.5).cast("bigint"),
-            "dist": F.sqrt(mx * mx + my * my),
-        }
-    )
-
-
-def free_space_loss(dist, freq_mhz: float) -> Column:
-    """Free-space path loss in dB."""
-    base = 20 * math.log10(freq_mhz * 1e6) - 20 * math.log10(LIGHT_SPEED / (4 * math.pi))
-    return F.lit(20.0) * F.log10(F.greatest(dist, F.lit(1.0))) + F.lit(base)
+#: Side of the blocks of target cells and of the tiles of ground that profiles are cut from.
+SIDE = 64
+#: Samples of profiles that are worked on at once.
+SAMPLED = 500_000
 
 
 def diffraction(
@@ -378,114 +350,120 @@ def diffraction(
     tx_dbm: float = 43.0,
     n_samples: int = 64,
     curvature: bool = True,
-    max_edges: int | None = MAX_EDGES,
+    max_edges: int | None = None,
+    tile: int = SIDE,
 ) -> DataFrame:
-    """Received level ``observer_id, row, col, rx_dbm`` at every cell within each radius.
+    """Received level ``observer_id, row, col, rx_dbm`` at every known cell within each radius (0 = unlimited).
 
-    An observer with a bounded window is one group: its cells are read once and
-    every profile is cut from them.  Wider windows look each profile sample up
-    by an equi-join on the cell; a profile then is one array of at most 501 samples.
+    Targets are taken by blocks of ``tile`` x ``tile`` cells.  A block is routed to the tiles that its profiles cross, each
+    with the range of samples that may lie there; a tile answers with the heights of those samples as one packed piece, and
+    the pieces of a block are put together again.  A task holds one tile or the profiles of one block, whatever the radius.
+    The only key is the tile, met by one row a block, so an observer's own cell is no hot key.  Samples without elevation
+    drop out of a profile.  ``max_edges`` None takes every edge that blocks; MAX_EDGES is the usual limit.
     """
-    near, far = _split_by_window(observers)
-    parts = []
-    if near is not None:
-        parts.append(
-            _cells_in_reach(cells, near, margin=1.5)  # a sample may round to a cell just outside the circle
-            .groupBy("observer_id")
-            .applyInPandas(
-                lambda p: _levels(p, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges),
-                "observer_id long, row long, col long, rx_dbm double",
-            )
-        )
-    if far is not None:
-        parts.append(_levels_by_join(cells, far, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    n = max(2, n_samples)
+    mean = (F.col("cell_x") + F.col("cell_y")) / 2
+    reach = F.when(F.col("radius_m") > 0, F.col("radius_m") / mean).otherwise(F.lit(1e9))
+    spots = observers.select(
+        "observer_id", "row", "col", (F.col("ground") + F.col("height_m")).alias("eye"), reach.alias("reach"), "cell_x", "cell_y"
+    )
+    tiles = settle(packed_tiles(cells, tile))
+    box = tiles.agg(F.struct(F.min("tr").alias("r0"), F.max("tr").alias("r1"), F.min("tc").alias("c0"), F.max("tc").alias("c1"))).scalar()
+    spots = spots.withColumn("b", box)
+    far = F.floor("reach").cast("bigint")
+    for out, at, lo, hi in (("br", "row", "b.r0", "b.r1"), ("bc", "col", "b.c0", "b.c1")):
+        first, last = F.greatest(div(F.col(at) - far, tile), F.col(lo)), F.least(div(F.col(at) + far, tile), F.col(hi))
+        spots = spots.withColumn(out, F.explode(F.when(first <= last, F.sequence(first, last))))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = f"{SPOT_TYPES}, br long, bc long"
+    routes = spots.drop("b").repartition(tasks, "observer_id", "br", "bc").mapInPandas(
+        lambda b: _together(_routes(b, n, tile)), f"{block}, tr long, tc long, s0 long, s1 long"
+    )
+    pieces = routes.join(tiles, ["tr", "tc"]).mapInPandas(
+        lambda b: _profile_pieces(b, n, tile), f"{block}, tr long, tc long, s0 long, s1 long, heights binary"
+    )
+    return pieces.groupBy(*SPOT, "br", "bc").applyInPandas(
+        lambda p: _block_levels(p, n, tile, target_height, freq_mhz, tx_dbm, curvature, max_edges),
+        "observer_id long, row long, col long, rx_dbm double",
+    )
 
 
-def _levels(pdf: pd.DataFrame, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges: int | None = MAX_EDGES, chunk: int = 20_000) -> pd.DataFrame:
-    """Received levels of one observer's window, in chunks of profiles."""
-    first = pdf.iloc[0]
-    n = max(2, n_samples)
-    y0, x0 = int(min(pdf["trow"].min(), first["orow"])), int(min(pdf["tcol"].min(), first["ocol"]))
-    ground = np.full((int(pdf["trow"].max()) - y0 + 1, int(pdf["tcol"].max()) - x0 + 1), np.nan)
-    ground[(pdf["trow"] - y0).to_numpy(int), (pdf["tcol"] - x0).to_numpy(int)] = pdf["z"]
+def _block_targets(spot, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from the observer of a block's cells within the reach."""
+    y, x = np.meshgrid(np.arange(tile) + spot.br * tile - spot.row, np.arange(tile) + spot.bc * tile - spot.col, indexing="ij")
+    near = np.sqrt(y.astype(float) ** 2 + x.astype(float) ** 2) <= spot.reach
+    return y[near], x[near]
+
+
+def _sample_cells(spot, y: np.ndarray, x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.floor(spot.row + np.outer(y, t) + 0.5).astype(np.int64), np.floor(spot.col + np.outer(x, t) + 0.5).astype(np.int64)
+
+
+def _routes(batches: Iterator[pd.DataFrame], n: int, tile: int) -> Iterator[pd.DataFrame]:
+    """Per block the tiles that its profiles may cross and the first and last sample there.  The samples of one step are the
+    block drawn together towards the observer, so they lie in at most two rows and two columns of tiles."""
     t = np.arange(n + 1) / n
+    for pdf in batches:
+        for spot in pdf.itertuples(index=False):
+            y, x = _block_targets(spot, tile)
+            if not len(y):
+                continue
+            r, c = _sample_cells(spot, np.array([y.min(), y.max()]), np.array([x.min(), x.max()]), t)
+            met = np.concatenate([np.stack([r[i] // tile, c[j] // tile], 1) for i in (0, 1) for j in (0, 1)])
+            some, number = np.unique(met, axis=0, return_inverse=True)
+            s, number = np.tile(np.arange(n + 1), 4), number.ravel()
+            s0, s1 = np.full(len(some), n), np.zeros(len(some), np.int64)
+            np.minimum.at(s0, number, s)
+            np.maximum.at(s1, number, s)
+            yield _spot_rows(spot, len(some), br=spot.br, bc=spot.bc, tr=some[:, 0], tc=some[:, 1], s0=s0, s1=s1)
+
+
+def _profile_pieces(batches: Iterator[pd.DataFrame], n: int, tile: int) -> Iterator[pd.DataFrame]:
+    """The heights of a block's samples in one tile, by target and sample."""
+    t = np.arange(n + 1) / n
+    for pdf in batches:
+        for start in range(0, len(pdf), 32):
+            part = pdf.iloc[start : start + 32]
+            heights = []
+            for piece in part.itertuples(index=False):
+                r, c = _sample_cells(piece, *_block_targets(piece, tile), t[piece.s0 : piece.s1 + 1])
+                here = (r // tile == piece.tr) & (c // tile == piece.tc)
+                z = np.asarray(piece.z, float).reshape(tile, tile)
+                heights.append(z[r[here] - piece.tr * tile, c[here] - piece.tc * tile].tobytes())
+            yield part.drop(columns="z").assign(heights=heights)
+
+
+def _block_levels(pdf: pd.DataFrame, n: int, tile: int, target_height, freq_mhz, tx_dbm, curvature, max_edges) -> pd.DataFrame:
+    """Received levels of one block of targets."""
+    spot = next(pdf.itertuples(index=False))
+    t = np.arange(n + 1) / n
+    y, x = _block_targets(spot, tile)
+    r, c = _sample_cells(spot, y, x, t)
+    ground = np.full(r.shape, np.nan)
+    for piece in pdf.itertuples(index=False):
+        part = slice(piece.s0, piece.s1 + 1)
+        here = (r[:, part] // tile == piece.tr) & (c[:, part] // tile == piece.tc)
+        ground[:, part][here] = np.frombuffer(piece.heights)
+    known = ~np.isnan(ground[:, n])
+    y, x, ground = y[known], x[known], ground[known]
     wavelength = LIGHT_SPEED / (freq_mhz * 1e6)
-    targets = pdf[np.sqrt(pdf["dy"].astype(float) ** 2 + pdf["dx"].astype(float) ** 2) <= first["reach"]]
+    free = 20 * math.log10(freq_mhz * 1e6) - 20 * math.log10(LIGHT_SPEED / (4 * math.pi))
     out = [np.empty(0)]
-    for start in range(0, len(targets), chunk):
-        part = targets.iloc[start : start + chunk]
-        y, x = np.outer(part["dy"], t), np.outer(part["dx"], t)
-        e = ground[np.floor(first["orow"] + y + 0.5).astype(int) - y0, np.floor(first["ocol"] + x + 0.5).astype(int) - x0]
-        d = np.sqrt((x * first["cell_x"]) ** 2 + (y * first["cell_y"]) ** 2)
+    step = max(1, SAMPLED // (n + 1))
+    for start in range(0, len(y), step):
+        dy, dx, e = y[start : start + step], x[start : start + step], ground[start : start + step]
+        d = np.sqrt((np.outer(dx, t) * spot.cell_x) ** 2 + (np.outer(dy, t) * spot.cell_y) ** 2)
         if curvature:
             e = e + d * d / (2 * CURVATURE_RADIUS) * (1 - REFRACTION)
         # samples without elevation drop out: close the gaps to the left
         order = np.argsort(np.isnan(e), axis=1, kind="stable")
         count = (~np.isnan(e)).sum(axis=1)
         e, d = np.take_along_axis(e, order, 1), np.take_along_axis(d, order, 1)
-        eye, lam = np.full(len(part), first["eye"]), np.full(len(part), wavelength)
-        loss = _profile_loss(d, np.nan_to_num(e), count, eye, target_height, lam, max_edges)
-        dist = part["distance"].to_numpy(float)
-        base = 20 * math.log10(freq_mhz * 1e6) - 20 * math.log10(LIGHT_SPEED / (4 * math.pi))
-        level = tx_dbm - (20 * np.log10(np.maximum(dist, 1)) + base) - loss
+        loss = _profile_loss(d, np.nan_to_num(e), count, np.full(len(dy), spot.eye), target_height, np.full(len(dy), wavelength), max_edges)
+        dist = np.sqrt((dx * spot.cell_x) ** 2 + (dy * spot.cell_y) ** 2)
+        level = tx_dbm - (20 * np.log10(np.maximum(dist, 1)) + free) - loss
         out.append(np.where(dist < 0.1, tx_dbm, level))
-    return pd.DataFrame({"observer_id": int(first["observer_id"]), "row": targets["trow"], "col": targets["tcol"], "rx_dbm": np.concatenate(out)})
-
-
-def _levels_by_join(cells, observers, target_height, freq_mhz, tx_dbm, n_samples, curvature, max_edges) -> DataFrame:
-    targets = _cells_in_reach(cells, observers).drop("z")
-    far = targets.filter("distance >= 0.1")
-    at = far.select("observer_id", "trow", "tcol", "orow", "ocol", "dy", "dx", "cell_x", "cell_y", "eye", "distance")
-    samples = profile_points(at, n_samples).select("observer_id", "trow", "tcol", "s", "r", "c", "dist", "eye", "distance")
-    ground = cells.filter("z IS NOT NULL").select(F.col("row").alias("r"), F.col("col").alias("c"), "z")
-    bulge = F.col("dist") * F.col("dist") / (2 * CURVATURE_RADIUS) * (1 - REFRACTION) if curvature else F.lit(0.0)
-    paths = (
-        samples.join(ground, ["r", "c"])
-        .groupBy("observer_id", "trow", "tcol")
-        .agg(
-            F.first("eye").alias("eye"),
-            F.first("distance").alias("distance"),
-            F.array_sort(F.collect_list(F.struct("s", "dist", (F.col("z") + bulge).alias("e")))).alias("p"),
-        )
-    )
-    loss = knife_edge_loss(
-        F.transform("p", lambda q: q["dist"]), F.transform("p", lambda q: q["e"]), F.col("eye"),
-        F.lit(LIGHT_SPEED / (freq_mhz * 1e6)), target_height, max_edges,
-    )
-    rx = F.lit(float(tx_dbm)) - free_space_loss(F.col("distance"), freq_mhz) - loss
-    there = paths.select("observer_id", F.col("trow").alias("row"), F.col("tcol").alias("col"), rx.alias("rx_dbm"))
-    here = targets.filter("distance < 0.1").select(
-        "observer_id", F.col("trow").alias("row"), F.col("tcol").alias("col"), F.lit(float(tx_dbm)).alias("rx_dbm")
-    )
-    return there.unionByName(here)
-
-
-def _cells_in_reach(cells: DataFrame, observers: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Cells (with ``z``) within the radius of each observer: the observer generates its own window of
-    positions, an equi-join keeps those that exist.  Radius 0 means every cell."""
-    reach = F.when(F.col("radius_m") > 0, F.col("radius_m") / ((F.col("cell_x") + F.col("cell_y")) / 2))
-    o = observers.select(
-        "observer_id", F.col("row").alias("orow"), F.col("col").alias("ocol"), "cell_x", "cell_y",
-        (F.col("ground") + F.col("height_m")).alias("eye"), reach.alias("reach"),
-    )
-    box = cells.agg(F.struct(F.max("row").alias("h"), F.max("col").alias("w")).alias("b")).scalar()
-    o = o.withColumn("_b", box)
-    h, w = F.col("_b.h"), F.col("_b.w")
-
-    def span(at, size):
-        lo = F.greatest(F.lit(0), F.coalesce(F.ceil(at - F.col("reach") - margin), F.lit(0))).cast("bigint")
-        hi = F.least(size, F.coalesce(F.floor(at + F.col("reach") + margin), size)).cast("bigint")
-        return F.sequence(lo, hi)
-
-    window = o.withColumn("trow", F.explode(span(F.col("orow"), h))).withColumn("tcol", F.explode(span(F.col("ocol"), w)))
-    dy, dx = F.col("trow") - F.col("orow"), F.col("tcol") - F.col("ocol")
-    window = window.withColumns({"dy": dy, "dx": dx}).filter(
-        F.col("reach").isNull() | (F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")) <= F.col("reach") + margin)
-    )
-    mx, my = F.col("dx") * F.col("cell_x"), F.col("dy") * F.col("cell_y")
-    known = cells.filter("z IS NOT NULL").select(F.col("row").alias("trow"), F.col("col").alias("tcol"), "z")
-    return window.join(known, ["trow", "tcol"]).withColumn("distance", F.sqrt(mx * mx + my * my)).drop("_b")
+    return pd.DataFrame({"observer_id": spot.observer_id, "row": y + spot.row, "col": x + spot.col, "rx_dbm": np.concatenate(out)})
 
 
 def level_statistics(levels: DataFrame, threshold_dbm: float | None = None) -> DataFrame:

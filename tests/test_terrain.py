@@ -256,31 +256,43 @@ def test_viewshed_equals_sweep(spark, rough, monkeypatch, tile):
         assert np.array_equal(mine, want), i
 
 
-@pytest.mark.parametrize("window", [0, 1_000_000])
-def test_diffraction_equals_walk(spark, rough, monkeypatch, window):
-    monkeypatch.setattr(V, "WINDOW_CELLS", window)
-    z = np.nan_to_num(rough, nan=5.0)[:14, :16]
-    o = spark.createDataFrame([(1, 3, 4, float(z[3, 4]), 10.0, 90.0, 10.0, 12.0)], "observer_id long, row long, col long, ground double, height_m double, radius_m double, cell_x double, cell_y double")
-    got = V.diffraction(cells_of(spark, z), o, 1.5, 900.0, 43.0, 32, True).toPandas()
-    lam = 3e8 / 900e6
-    checked = 0
-    for row in got.itertuples():
-        d = math.hypot((row.col - 4) * 10.0, (row.row - 3) * 12.0)
-        if d < 0.1:
-            assert row.rx_dbm == 43.0
-            continue
-        dist, elev = [], []
-        for s in range(33):
-            t = s / 32
-            y, x = t * (row.row - 3), t * (row.col - 4)
-            k = math.hypot(x * 10.0, y * 12.0)
-            dist.append(k)
-            elev.append(z[math.floor(3 + y + 0.5), math.floor(4 + x + 0.5)] + k * k / (2 * 6371000.0) * 0.87)
-        loss = brute.profile_loss(dist, elev, z[3, 4] + 10.0, 1.5, lam)
-        fspl = 20 * math.log10(max(d, 1)) + 20 * math.log10(900e6) - 20 * math.log10(3e8 / (4 * math.pi))
-        assert row.rx_dbm == pytest.approx(43.0 - fspl - loss, abs=1e-6)
-        checked += 1
-    assert checked > 100
+@pytest.mark.parametrize("tile", [3, 16])
+def test_diffraction_equals_walk(spark, rough, monkeypatch, tile):
+    monkeypatch.setattr(V, "SAMPLED", 1000)
+    z = rough[:14, :24]
+    observers = [(1, 3, 4, 10.0, 90.0), (2, 13, 23, 3.0, 0.0), (3, 0, 0, 1.0, 5.0)]
+    rows = [(i, r, c, float(z[r, c]), h, rad, 10.0, 12.0) for i, r, c, h, rad in observers]
+    o = spark.createDataFrame(rows, "observer_id long, row long, col long, ground double, height_m double, radius_m double, cell_x double, cell_y double")
+    got = V.diffraction(cells_of(spark, z), o, 1.5, 900.0, 43.0, 32, True, max_edges=20, tile=tile).toPandas()
+    got = {(r.observer_id, r.row, r.col): r.rx_dbm for r in got.itertuples()}
+    lam, want = 3e8 / 900e6, {}
+    for i, r0, c0, h, rad in observers:
+        for r, c in np.ndindex(z.shape):
+            if np.isnan(z[r, c]) or (rad and math.hypot(r - r0, c - c0) > rad / 11.0):
+                continue
+            far = math.hypot((c - c0) * 10.0, (r - r0) * 12.0)
+            if far < 0.1:
+                want[i, r, c] = 43.0
+                continue
+            dist, elev = [], []
+            for s in range(33):
+                y, x = s / 32 * (r - r0), s / 32 * (c - c0)
+                ground, k = z[math.floor(r0 + y + 0.5), math.floor(c0 + x + 0.5)], math.hypot(x * 10.0, y * 12.0)
+                if not np.isnan(ground):
+                    dist.append(k)
+                    elev.append(ground + k * k / (2 * 6371000.0) * 0.87)
+            loss = brute.profile_loss(dist, elev, z[r0, c0] + h, 1.5, lam)
+            free = 20 * math.log10(max(far, 1)) + 20 * math.log10(900e6) - 20 * math.log10(3e8 / (4 * math.pi))
+            want[i, r, c] = 43.0 - free - loss
+    assert len(want) > 400 and got == pytest.approx(want, abs=1e-6)
+
+
+def test_diffraction_without_ground_or_observers(spark, rough):
+    kind = "observer_id long, row long, col long, ground double, height_m double, radius_m double, cell_x double, cell_y double"
+    one = spark.createDataFrame([(1, 900, 900, 5.0, 1.0, 20.0, 10.0, 12.0)], kind)
+    assert V.diffraction(cells_of(spark, rough), one, tile=16).count() == 0
+    assert V.diffraction(cells_of(spark, rough), one.limit(0), tile=16).count() == 0
+    assert V.diffraction(cells_of(spark, np.full((3, 3), np.nan)), one, tile=16).count() == 0
 
 
 @pytest.mark.parametrize("search,smooth", [(2, 0), (3, 1)])
@@ -306,7 +318,7 @@ def test_diffraction_counts_every_edge():
     z = 400 - (x - 3000) ** 2 / 30000
     args = x, z, np.array([61]), np.array([z[0, 0] + 1]), 1.0, np.array([0.3])
     whole = V._profile_loss(*args, max_edges=None)[0]
-    assert V._profile_loss(*args)[0] == V._profile_loss(*args, max_edges=20)[0] < whole == V._profile_loss(*args, max_edges=61)[0]
+    assert V._profile_loss(*args, max_edges=20)[0] < whole == V._profile_loss(*args)[0] == V._profile_loss(*args, max_edges=61)[0]
 
 
 def windows(z, radius):
@@ -351,3 +363,14 @@ def test_relief_of_rings_over_tiles(spark, radius):
         lower = np.sort(z[(d2 > inner * inner) & (d2 <= radius * radius) & (z < z[r, c])])
         assert got[r, c] == (z[r, c] - lower[int(len(lower) * 0.25)] if len(lower) else 0.0)
     assert T.local_relief(cells.limit(0), cells, radius).count() == 0
+
+
+def test_loss_of_profile_arrays(spark):
+    rng = np.random.default_rng(5)
+    profiles = [(np.cumsum(rng.random(n) * 90).tolist(), (rng.random(n) * 60).tolist(), 40.0 + n, 0.4) for n in (2, 3, 9, 40)] + [([], [], 1.0, 0.4), ([0.0], [5.0], 6.0, 0.4)]
+    df = spark.createDataFrame(profiles, "d array<double>, e array<double>, eye double, lam double").coalesce(1)
+    for most in (1, 20):
+        got = [r[0] for r in df.select(V.knife_edge_loss(F.col("d"), F.col("e"), F.col("eye"), F.col("lam"), 1.5, most)).collect()]
+        if most == 20:
+            assert got == pytest.approx([brute.profile_loss(*p[:3], 1.5, p[3]) if len(p[0]) > 1 else 0.0 for p in profiles], abs=1e-9)
+        assert len(got) == len(profiles) and all(x >= 0 for x in got)
