@@ -70,6 +70,52 @@ def unplaned(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
 
 
+#: Answers for one range of documents that go into one row.
+PACKED = 1 << 20
+RANGED = "part int, ids binary, entries binary"
+RANGED_ARROW = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("entries", pa.binary())])
+
+
+def by_range(ids: np.ndarray, entries: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """``part, ids, entries`` (RANGED): 64-bit entries for ids side by side, a row for each range of hashed ids and PACKED entries."""
+    part = (mix(ids.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((ids, part))
+    rows = []
+    for p, i, e in pieces_of(part[order], ids[order], entries[order]):
+        rows += [(p, planes(i[at : at + PACKED]), planes(e[at : at + PACKED])) for at in range(0, len(i), PACKED)]
+    for at in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 1000]), RANGED_ARROW)], schema=RANGED_ARROW)
+
+
+def by_id(ranged: DataFrame, ranges: int, name: str, entries: str) -> DataFrame:
+    """One row per id, with all its entries, from the rows of :func:`by_range`.  Ranges come in order, one is held at a time."""
+    ddl = f"{name} long, {entries} binary"
+    schema = arrow_schema(ddl)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        now = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            ids, values = (np.concatenate([unplaned(h[k]) for h in held]) for k in (0, 1))
+            order = np.argsort(ids, kind="stable")
+            rows = [(i, v.tobytes()) for i, v in pieces_of(ids[order], values[order])]
+            for at in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 10_000]), schema)], schema=schema)
+
+        for batch in batches:
+            for part, i, e in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if part != now and held:
+                    yield from told()
+                    held.clear()
+                now = part
+                held.append((i, e))
+        if held:
+            yield from told()
+
+    return ranged.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(unpack, ddl)
+
+
 def held_prints(column: pa.Array, prints: Prints, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows and :func:`short` prints in runs of about HELD; a row's prints stay together."""
     rows, keys, held = [], [], 0

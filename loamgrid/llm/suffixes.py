@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from loamgrid.llm.base import arrow_schema, cut, documents
-from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces_of, planes, short, text_chunks, unplaned, with_shared
+from loamgrid.llm.prints import BYTE, ODD, RANGED, bucket_bits, by_id, by_range, joined_keys, mix, pieces_of, planes, short, text_chunks, unplaned, with_shared
 
 GRAM = 24
 #: Of the pieces' bytes on their way.
@@ -200,8 +200,11 @@ def earlier_copies(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _answers(df: DataFrame, length: int) -> DataFrame:
-    """``rid, windows``: packed (first window, number) pairs of windows with an earlier copy."""
-    out_schema = arrow_schema("rid long, windows binary")
+    """``rid, windows``: packed (first window, number) pairs of windows with an earlier copy, one row per rid.
+
+    A task answers by ranges of rids, so its rows do not grow with the documents that it meets.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def copied(metas: list[bytes], texts: list[bytes]) -> Iterator[np.ndarray]:
         """``rid, first window, number`` of the windows of one bucket with an earlier copy."""
@@ -248,20 +251,16 @@ def _answers(df: DataFrame, length: int) -> DataFrame:
         if not found:
             return
         got = np.concatenate(found)
-        got = got[np.argsort(got[:, 0], kind="stable")]
-        rows = [(r, w.astype("<i4").tobytes()) for r, w in pieces_of(got[:, 0], got[:, 1:])]
-        for at in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 10_000]), out_schema)], schema=out_schema)
+        yield from by_range(got[:, 0], np.ascontiguousarray(got[:, 1:], dtype="<i4").view("<i8").ravel(), partitions)
 
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, "bucket").mapInArrow(run, "rid long, windows binary")
+    return by_id(df.repartition(partitions, "bucket").mapInArrow(run, RANGED), partitions, "rid", "windows")
 
 
-def without(raw: bytes, windows: list[bytes] | None, length: int) -> tuple[bytes, int, int]:
+def without(raw: bytes, windows: bytes | None, length: int) -> tuple[bytes, int, int]:
     """``raw`` without the bytes that the packed windows cover, how many those are, and in how many runs."""
     if not windows:
         return raw, 0, 0
-    spans = np.concatenate([np.frombuffer(w, "<i4").reshape(-1, 2) for w in windows])
+    spans = np.frombuffer(windows, "<i4").reshape(-1, 2)
     edge = np.zeros(len(raw) + 1, np.int64)
     np.add.at(edge, spans[:, 0], 1)
     np.add.at(edge, spans[:, 0] + spans[:, 1] + length - 1, -1)
@@ -283,7 +282,7 @@ def remove_copies(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()
     # no name holds the first plan, so that its shuffle files can go once it is written
     first = cut(_candidates(with_shared(documents(docs, *carry), _prints(length)), length, with_text).withColumn("rid", F.monotonically_increasing_id()), free=True)
     open_ = first.where("runs IS NOT NULL")
-    answers = _answers(_pieces(open_, length), length).groupBy(F.col("rid").alias("of")).agg(F.collect_list("windows").alias("windows"))
+    answers = _answers(_pieces(open_, length), length).withColumnRenamed("rid", "of")
     told = open_.join(answers.hint("shuffle_hash"), open_.rid == answers.of, "left").drop("of", "rid", "runs", *[c.split()[0] for c in RESULT.split(", ")])
     kept = ", kept binary" if with_text else ""
     carried = [f for f in told.schema.fields if f.name not in ("text", "windows")]
