@@ -103,10 +103,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     much as ``k + 1`` vectors, and equal queries are searched once.  A vector is posted under its ``post`` nearest
     pivots, a query looks under its ``probe`` nearest, and long files are split into blocks by a hash.
     In a block the ``share`` with the least footrule distance over the first ``length`` pivots is scored.  Null, zero and non-finite vectors, null ids and
-    rows of another length than the first pivot's take no part; repeated ids count once; ties go to the lesser id.
+    rows of another length than the first pivot's take no part; an id that repeats counts once, with the least of its vectors; ties go to the lesser id.
     """
-    rows = valid_vectors(df, key, vector).dropDuplicates(["id", "v"])
-    asked = valid_vectors(queries, key, vector).dropDuplicates(["id", "v"])
+    rows = valid_vectors(df, key, vector).groupBy("id").agg(F.min("v").alias("v"))
+    asked = valid_vectors(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
     one = Window.partitionBy("v").orderBy("id")
     members = cut(rows.withColumn("r", F.row_number().over(one)).where(F.col("r") <= k + 1))
     classes = members.where("r = 1").select("id", "v")
