@@ -209,18 +209,21 @@ def scan(files: DataFrame, least: float = 0.7, templates=TEMPLATES) -> DataFrame
     SPDX id among its parts, else of its best statement; reserved rights count if there is nothing else.  A file whose
     whole text is like a template is a license file; its directory takes the license of its best one, and files without
     their own take that of the nearest directory on their path that has one ("inherited"); others have none.  Null texts and directories count
-    as empty, repeated rows each get a row, ties go to the later name.  Directories are resolved once each, before
+    as empty; each row gets a row by its own text, whether its file is null or repeats; an empty table gives none; further columns of
+    any name are left out; ties go to the later name.  Directories are resolved once each, before
     they meet their files, so a directory with a third of the files is a join key with one row on the other side.
     """
     base = files.select(
         "file", F.array_join(F.filter(F.split(F.coalesce("directory", F.lit("")), "/"), lambda x: x != ""), "/").alias("directory"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    marked = cut(base.where(F.col("text").rlike(CUE)).select("file", "text"))
+    # what a row says depends on its text alone, so rows are told apart by file and text, whether the file is null or repeats
+    said = F.sha2(F.concat(F.coalesce(F.col("file").cast("string"), F.lit("")), F.lit("\n"), F.col("text")), 256)
+    marked = cut(base.where(F.col("text").rlike(CUE)).select(said.alias("file"), "text"))
     own = cut(scores(marked, template_table(files, templates), least))
-    paths = base.select("file", "directory")
+    paths = base.select("file", "directory", said.alias("said"))
     o = own.withColumnRenamed("file", "of")
-    joined = paths.join(o, paths.file == o.of, "left").drop("of")
+    joined = paths.join(o, paths.said == o.of, "left").drop("of", "said")
     held = joined.where("whole").groupBy(F.col("directory").alias("held")).agg(F.max(F.struct("score", "license")).alias("given"))
     every = paths.select(F.col("directory").alias("from")).distinct().select("from", F.explode(ancestors(F.col("from"))).alias("held"))
     nearest = every.join(held, "held").groupBy("from").agg(F.max_by("given", F.length("held")).alias("given"))
