@@ -196,6 +196,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Ids with two vectors, and rows that repeat, count once with the least vector; every pivot is looked under."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-4, 5, 4).astype(float).tolist()) for i in range(60)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows + [(i, [x + 1.0 for x in v]) for i, v in rows if i % 5 == 0] + rows[:9], "vec_id long, embedding array<double>")
+    least = {}
+    for i, v in df.collect():
+        least[i] = min(least.get(i, list(v)), list(v))
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), probe=1000, post=1000, share=1.0).toPandas()
+    for q in (i for i in least if i % 20 == 0):
+        want = sorted((-float(np.dot(least[q], v)), i) for i, v in least.items() if i != q)[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(zip(-mine.score, mine.vec_id)) == want and mine["rank"].tolist() == list(range(1, 21))
+
+
 def test_quality(spark, hard):
     assert quality.digest("a b c a b c\nx\nx\n \n") == (8, 8, 0, 1, 6)
     assert quality.digest("a a a a") == (4, 4, 0, 0, 4)
@@ -256,6 +272,15 @@ def test_licenses(spark):
     assert got == {"a": ("MIT", "own"), "b": ("MIT", "inherited"), "c": (None, "none"), "d": (None, "none"), "e": ("Apache-2.0", "own"), "f": (None, "none")}
 
 
+def test_licenses_of_null_and_repeated_files(spark):
+    mit = "Released under the MIT License."
+    rows = [(None, "a", mit), (1, "b", mit), (1, "c", "plain words only"), (1, "b", mit), (None, "d", "plain"), (2, "e", None)]
+    df = spark.createDataFrame([(*r, "GPL-3.0", 9) for r in rows], "file long, directory string, text string, license string, score int")
+    got = sorted((r.file or 0, r.directory, r.license or "", r.origin) for r in licenses.scan(df).collect())
+    assert got == [(0, "a", "MIT", "own"), (0, "d", "", "none"), (1, "b", "MIT", "own"), (1, "b", "MIT", "own"), (1, "c", "", "none"), (2, "e", "", "none")]
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 MIT_BODY = """Copyright (c) 2031 The Quux Authors
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
