@@ -84,7 +84,7 @@ def p06(spark, sf):
     rem = S.modulo("value", F.col("id") % 4)
     return p.select(
         "id", S.add("value", F.lit(2)).alias("plus"), S.subtract("value", F.lit("2")).alias("minus"), F.round(S.multiply("value", F.lit(2)), 6).alias("times"),
-        F.when(ratio == float("inf"), "inf").otherwise(F.round(ratio).cast("bigint").cast("string")).alias("ratio"),
+        F.when(F.isnan(ratio) | (F.abs(ratio) == float("inf")), "inf").otherwise(F.round(ratio).cast("bigint").cast("string")).alias("ratio"),
         rnd(F.when(~F.isnan(rem), rem)).alias("remainder"), F.round(S.power(S.negate(F.lit(2)), F.lit(2)), 6).alias("square"),
     )
 
