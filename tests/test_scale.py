@@ -36,3 +36,12 @@ def test_resampling_does_not_broadcast_its_cells(spark):
     cells = spark.createDataFrame([(r, c, float(r * 7 + c)) for r in range(4) for c in range(5)], "row long, col long, z double")
     for df in (R.resample_bilinear(cells, 5, 4, 10, 8), R.resample_nearest(cells, 5, 4, 3, 2)):
         assert "Broadcast" not in plan(df) and df.count()
+
+
+def test_ring_mean_is_written_once(spark):
+    from loamgrid.functions import geometry as G
+
+    df = spark.range(5).select(G.expand_polygon(F.array(*[G.vertex(F.col("id") + x, F.lit(y)) for x, y in ((0, 0), (4, 0), (4, 3), (0, 3))]), 0.5).alias("r"))
+    r = df.first()["r"]
+    assert np.allclose([(v["x"], v["y"]) for v in r], [(-0.4, -0.3), (4.4, -0.3), (4.4, 3.3), (-0.4, 3.3)])
+    assert plan(df).count("filter(") == 1  # the mean takes known vertices by one filter
