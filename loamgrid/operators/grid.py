@@ -127,7 +127,11 @@ def interpolate(points: DataFrame, o: GridOptions = GridOptions(), method: str =
     keys = ["row", "col"]
     first = [F.first("nx").alias("x"), F.first("ny").alias("y"), F.count_if(off).alias("near")]
     if method == "nearest":
-        stats = scattered.groupBy(*keys).agg(*first, F.min_by("value", F.struct("d", "seq")).alias("estimate"))
+        # plain numbers add up by hash in each task; the closest samples are then picked out of a second scatter
+        stats = settle(scattered.groupBy(*keys).agg(*first, F.min("d").alias("least")))
+        closest = scattered.join(stats.select(*keys, "least"), keys).filter(d == F.col("least"))
+        picked = closest.groupBy(*keys).agg(F.min_by("value", F.struct("seq")).alias("estimate"))
+        stats = stats.drop("least").join(picked, keys, "left")
     else:
         stats = scattered.groupBy(*keys).agg(
             *first, F.sum(F.when(off, v * w)).alias("vw"), F.sum(F.when(off, w)).alias("w")

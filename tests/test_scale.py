@@ -59,3 +59,22 @@ def test_reprojection_of_geometries_writes_its_terms_once(spark):
     for r in back.collect():
         v = r["g"]["parts"][0][0][0]
         assert abs(v["x"] - r["lon"]) < 1e-7 and abs(v["y"] - r["lat"]) < 1e-7
+
+
+def test_nearest_sample_does_not_sort_what_it_scatters(spark, monkeypatch):
+    from loamgrid.operators import grid as GR
+
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(0, 900, (60, 2))
+    xy = np.vstack([xy, xy[:20]])  # ties: the first row wins
+    points = spark.createDataFrame([(i, float(x), float(y), float(i)) for i, (x, y) in enumerate(xy)], "seq long, x double, y double, value double")
+    o = GR.GridOptions(200.0, 100.0, 1, "bbox")
+    plans = []
+    kept = GR.settle
+    monkeypatch.setattr(GR, "settle", lambda df: plans.append(plan(df)) or kept(df))
+    got = GR.interpolate(points, o, "nearest").collect()
+    assert "HashAggregate" in plans[0] and "SortAggregate" not in plans[0] and "least" in plans[0]
+    assert len(got) > 50
+    for r in got:
+        d = np.hypot(xy[:, 0] - r["x"], xy[:, 1] - r["y"])
+        assert r["value"] == d.argmin() and r["neighbor_count"] == (d <= 200).sum()
