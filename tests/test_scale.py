@@ -78,3 +78,50 @@ def test_nearest_sample_does_not_sort_what_it_scatters(spark, monkeypatch):
     for r in got:
         d = np.hypot(xy[:, 0] - r["x"], xy[:, 1] - r["y"])
         assert r["value"] == d.argmin() and r["neighbor_count"] == (d <= 200).sum()
+
+
+def places(spark, xy, first=0):
+    return spark.createDataFrame([(first + i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, lon double, lat double")
+
+
+def arcs(a, b):
+    lon1, lat1, lon2, lat2 = np.radians(a[:, :1]), np.radians(a[:, 1:]), np.radians(b[:, 0][None]), np.radians(b[:, 1][None])
+    h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+    return 2 * 6378137.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
+
+
+def test_bounded_nearest_meets_few_pairs_however_wide_it_is(spark, monkeypatch):
+    from loamgrid.operators import joins as J
+
+    rng = np.random.default_rng(8)
+    left, right = rng.uniform(0, 1, (300, 2)), rng.uniform(0, 1, (400, 2))
+    left, right = np.vstack([left, [[3.0, 0.5], [1.3, 0.5]]]), np.vstack([right, right[:50]])  # ties: the first row wins
+    met = []
+    pairs = J.distance_pairs
+    monkeypatch.setattr(J, "distance_pairs", lambda *a: met.append(pairs(*a).count()) or pairs(*a))
+    got = J.nearest_within(places(spark, left), places(spark, right, 1000), 50_000.0).toPandas().sort_values("id")
+    d = arcs(left, right)
+    best = d.min(axis=1)
+    assert got["right_id"].isna().tolist() == (best > 50_000).tolist() and (best > 50_000).sum() == 1
+    near = best <= 50_000
+    assert (got["right_id"][near].to_numpy() == 1000 + d.argmin(axis=1)[near]).all() and np.allclose(got["distance"][near], best[near])
+    assert sum(met) < (d <= 50_000).sum() / 10
+
+
+def test_bounded_nearest_of_an_id_at_two_places(spark):
+    from loamgrid.operators import joins as J
+
+    left = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.5, 0.0), (2, 0.2, 0.0), (None, 0.0, 0.0), (3, None, 0.0)], "id long, lon double, lat double")
+    right = places(spark, np.array([[0.1, 0.0], [0.501, 0.0], [0.6, 0.6]]))
+    got = sorted((r["id"] or 0, r["right_id"]) for r in J.nearest_within(left, right, 50_000.0).collect())
+    assert got == [(0, None), (1, 1), (1, 1), (2, 0), (3, None)]
+
+
+def test_distance_pairs_drop_far_ones_before_the_angle(spark):
+    from loamgrid.operators import joins as J
+
+    rng = np.random.default_rng(9)
+    left, right = rng.uniform(0, 0.3, (80, 2)), rng.uniform(0, 0.3, (80, 2))
+    df = J.distance_pairs(places(spark, left), places(spark, right), 5000.0)
+    assert {(r["l_id"], r["r_id"]) for r in df.collect()} == set(zip(*(i.tolist() for i in np.nonzero(arcs(left, right) <= 5000.0))))
+    assert "_l0" in plan(df)
