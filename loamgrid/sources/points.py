@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from loamgrid.functions.scalar import parse_float, trim_all
+from loamgrid.functions.geometry import let
+from loamgrid.functions.scalar import parse_float, parse_float_once, trim_all
 from loamgrid.sources.ranges import quoted_records
 
 # Delimiters in tie order and accepted column names.
@@ -49,11 +50,15 @@ def detect_delimiter(spark: SparkSession, path) -> str:
 def split_pair(c) -> Column:
     """Two numbers parted by blanks, comma or slash -> struct(lat, lon), else null."""
     parts = F.filter(F.split(trim_all(c), r"[\s,/]+"), lambda p: p != "")
-    a, b = parse_float(F.get(parts, F.lit(0))), parse_float(F.get(parts, F.lit(1)))
-    first = (F.abs(a) <= 90) & (F.abs(b) <= 180)
-    second = (F.abs(b) <= 90) & (F.abs(a) <= 180)
     pair = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
-    return F.when((F.size(parts) == 2) & first, pair(a, b)).when((F.size(parts) == 2) & second, pair(b, a))
+
+    def placed(numbers: Column) -> Column:
+        a, b = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+        first = (F.abs(a) <= 90) & (F.abs(b) <= 180)
+        second = (F.abs(b) <= 90) & (F.abs(a) <= 180)
+        return F.when(first, pair(a, b)).when(second, pair(b, a))
+
+    return let(parts, lambda p: F.when(F.size(p) == 2, let(F.transform(p, parse_float_once), placed)))
 
 
 def coordinate_columns(df: DataFrame, probe: bool = True) -> dict[str, str]:
@@ -79,10 +84,10 @@ def triage(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add ``status`` (point / skipped / invalid), ``lat`` and ``lon``; drop the source coordinates."""
     if "combined" in columns:
         raw = F.col(f"`{columns['combined']}`")
-        pair = split_pair(raw)
-        lat, lon = pair["lat"], pair["lon"]
+        df = df.withColumn("_pair", split_pair(raw))
+        lat, lon = F.col("_pair.lat"), F.col("_pair.lon")
         blank = F.coalesce(trim_all(raw), F.lit("")) == ""
-        used = [columns["combined"]]
+        used = [columns["combined"], "_pair"]
     else:
         a, b = F.col(f"`{columns['lat']}`"), F.col(f"`{columns['lon']}`")
         lat, lon = parse_float(a), parse_float(b)

@@ -125,3 +125,14 @@ def test_distance_pairs_drop_far_ones_before_the_angle(spark):
     df = J.distance_pairs(places(spark, left), places(spark, right), 5000.0)
     assert {(r["l_id"], r["r_id"]) for r in df.collect()} == set(zip(*(i.tolist() for i in np.nonzero(arcs(left, right) <= 5000.0))))
     assert "_l0" in plan(df)
+
+
+def test_combined_coordinates_are_parsed_once(spark):
+    from loamgrid.sources import points as PT
+
+    rows = [("8.5, 77.25",), ("100 / 8",), ("8.5",), ("a, 5",), (None,), ("1 2 3",), ("",), ("200 8",), (" 8.5N\t77E ",)]
+    df = PT.triage(spark.createDataFrame(rows, "location string"), {"combined": "location"})
+    got = [(r["status"], r["lat"], r["lon"]) for r in df.collect()]
+    point, bad, none = "point", ("invalid", None, None), ("skipped", None, None)
+    assert got == [(point, 8.5, 77.25), (point, 8.0, 100.0), bad, bad, none, bad, none, bad, (point, 8.5, 77.0)]
+    assert plan(df).count("regexp_extract(") == 1
