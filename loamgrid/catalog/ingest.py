@@ -15,6 +15,9 @@ from loamgrid.sources import writers as W
 from loamgrid.streaming import ingest as ST
 
 
+#: Records of one GPX file: a file is read by one task, so a large layer is several of them.
+GPX_RECORDS = 50_000
+
 
 def messy_points(spark, sf):
     t = F.col("event_type")
@@ -121,12 +124,12 @@ def s08(spark, sf):
 def s09(spark, sf):
     path = scratch(spark, "gpx")
     f = view(spark, sf, "facilities").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "name")
-    f.write.format("xml").option("rowTag", "wpt").option("rootTag", "gpx").save(f"{path}/w")
+    f.write.format("xml").option("rowTag", "wpt").option("rootTag", "gpx").option("maxRecordsPerFile", GPX_RECORDS).save(f"{path}/w")
     at = lambda dx, dy: F.struct((F.col("y") + dy).alias("_lat"), (F.col("x") + dx).alias("_lon"))
     r = view(spark, sf, "plots").select(
         F.concat(F.lit("plot "), F.col("id").cast("string")).alias("name"), F.array(at(F.lit(0), F.lit(0)), at(F.col("w"), F.lit(0)), at(F.col("w"), F.col("h"))).alias("rtept")
     )
-    r.write.format("xml").option("rowTag", "rte").option("rootTag", "gpx").save(f"{path}/r")
+    r.write.format("xml").option("rowTag", "rte").option("rootTag", "gpx").option("maxRecordsPerFile", GPX_RECORDS).save(f"{path}/r")
     g = FT.read_gpx(spark, [f"{path}/w", f"{path}/r"])
     v = G.vertices("geometry")
     return g.select(F.col("properties.name").alias("name"), F.col("properties.gpx").alias("gpx"), F.size(v).alias("n"), rnd(v[0]["x"]).alias("x"), rnd(v[0]["y"]).alias("y"))
@@ -141,7 +144,7 @@ def s09_tracks(spark, sf):
     seg = F.struct(F.array(at(F.lit(0), F.lit(0)), at(F.col("w"), F.col("h"))).alias("trkpt"))
     name = F.concat(F.lit("plot "), F.col("id").cast("string"))
     t = view(spark, sf, "plots").select(name.alias("name"), F.when(F.col("id") % 2 == 0, F.array(seg, seg)).otherwise(F.array(seg)).alias("trkseg"))
-    t.write.format("xml").option("rowTag", "trk").option("rootTag", "gpx").save(path)
+    t.write.format("xml").option("rowTag", "trk").option("rootTag", "gpx").option("maxRecordsPerFile", GPX_RECORDS).save(path)
     v = G.vertices("geometry")
     g = FT.read_gpx(spark, path).where("properties.gpx = 'trk'")
     return g.select(F.col("properties.name").alias("name"), F.col("geometry.type").alias("type"), F.size(v).cast("bigint").alias("n"), rnd(v[0]["x"]).alias("x"), rnd(v[0]["y"]).alias("y"), v[1]["more"][0].alias("z"))

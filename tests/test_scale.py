@@ -136,3 +136,15 @@ def test_combined_coordinates_are_parsed_once(spark):
     point, bad, none = "point", ("invalid", None, None), ("skipped", None, None)
     assert got == [(point, 8.5, 77.25), (point, 8.0, 100.0), bad, bad, none, bad, none, bad, (point, 8.5, 77.0)]
     assert plan(df).count("regexp_extract(") == 1
+
+
+def test_gpx_layer_is_written_as_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from loamgrid.catalog import ingest
+
+    monkeypatch.setattr(ingest, "GPX_RECORDS", 40)
+    monkeypatch.setattr(ingest, "scratch", lambda *_: str(tmp_path / "gpx"))
+    customers = spark.range(100).select(F.col("id").alias("c_custkey"), F.lit("A").alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal"), F.lit(1).alias("c_nationkey"))
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = entry.queries()["s09_gpx_tracks"](spark, str(tmp_path)).collect()
+    assert sorted(r["name"] for r in got) == sorted(f"plot {i}" for i in range(100))
+    assert len([p for p in (tmp_path / "gpx").iterdir() if p.name.startswith("part-")]) == 3
