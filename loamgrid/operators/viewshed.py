@@ -285,31 +285,33 @@ def _profile_loss(dist: np.ndarray, elev: np.ndarray, n: np.ndarray, eye: np.nda
     edge = (at == 0) | (at == last)
 
     def sides(edge):
+        rows = len(edge)
         left = np.maximum.accumulate(np.where(edge, at, 0), axis=1)
         left = np.concatenate([np.zeros((rows, 1), int), left[:, :-1]], axis=1)
         right = np.minimum.accumulate(np.where(edge, at, width - 1)[:, ::-1], axis=1)[:, ::-1]
         right = np.concatenate([right[:, 1:], np.full((rows, 1), width - 1)], axis=1)
         return left, right
 
-    def clearance(left, right):
+    def clearance(left, right, dist, level, elev):
         da, db = np.take_along_axis(dist, left, 1), np.take_along_axis(dist, right, 1)
         ea, eb = np.take_along_axis(level, left, 1), np.take_along_axis(level, right, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             share = (dist - da) / (db - da)
         return ea + share * (eb - ea) - elev, dist - da, db - dist
 
+    live = np.arange(rows)  # a profile without a new edge is done
     for _ in range(width if max_edges is None else max_edges):
-        left, right = sides(edge)
-        h, _d1, _d2 = clearance(left, right)
-        block = np.where(inside & ~edge, -h, -np.inf)
+        some = edge[live]
+        h, _d1, _d2 = clearance(*sides(some), dist[live], level[live], elev[live])
+        block = np.where(inside[live] & ~some, -h, -np.inf)
         block[np.isnan(block)] = -np.inf
         best = block.argmax(axis=1)
-        hit = block[np.arange(rows), best] > 0
+        hit = block[np.arange(len(live)), best] > 0
         if not hit.any():
             break
-        edge[np.flatnonzero(hit), best[hit]] = True
-    left, right = sides(edge)
-    h, d1, d2 = clearance(left, right)
+        live = live[hit]
+        edge[live, best[hit]] = True
+    h, d1, d2 = clearance(*sides(edge), dist, level, elev)
     knife = edge & inside & (at > 0) & (at < last) & (d1 > 0) & (d2 > 0)
     total = np.zeros(rows)
     i, j = np.nonzero(knife)

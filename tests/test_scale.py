@@ -148,3 +148,39 @@ def test_gpx_layer_is_written_as_files_of_bounded_size(spark, tmp_path, monkeypa
     got = entry.queries()["s09_gpx_tracks"](spark, str(tmp_path)).collect()
     assert sorted(r["name"] for r in got) == sorted(f"plot {i}" for i in range(100))
     assert len([p for p in (tmp_path / "gpx").iterdir() if p.name.startswith("part-")]) == 3
+
+
+def test_shared_prints_come_as_one_row_a_document(spark):
+    from loamgrid.llm import jaccard
+    from loamgrid.llm.prints import joined_keys, shared_prints, with_shared
+
+    text = " ".join(f"w{i * 7919 % 3001}" for i in range(2000))
+    docs = spark.createDataFrame([(i, text if i % 2 else f"own{i} " * 9 + text[: 400 * (i + 1)]) for i in range(12)], "doc_id long, text string").repartition(5)
+    found = shared_prints(docs, jaccard._prints).collect()
+    assert len(found) == len({r["doc_id"] for r in found}) == 12
+    kept = {r["doc_id"]: len(joined_keys(r["keys"])) for r in with_shared(docs, jaccard._prints).collect()}
+    assert kept[1] == kept[3] > 1900 and 0 < kept[0] < kept[2]
+
+
+def test_finished_profiles_leave_the_search_for_edges(spark, monkeypatch):
+    from loamgrid.operators import viewshed as V
+
+    rng = np.random.default_rng(4)
+    rows, width = 50, 9
+    dist = np.tile(np.arange(width) * 100.0, (rows, 1))
+    elev = np.where(np.arange(rows)[:, None] < 2, rng.uniform(0, 80, (rows, width)), 0.0)
+    seen = []
+    argmax = np.ndarray.argmax
+
+    class Counted(np.ndarray):
+        def argmax(self, *a, **k):
+            seen.append(len(self))
+            return argmax(np.asarray(self), *a, **k)
+
+    where = np.where
+    monkeypatch.setattr(V.np, "where", lambda *a: where(*a).view(Counted) if len(a) == 3 else where(*a))
+    n, eye, lam = np.full(rows, width), np.full(rows, 5.0), np.full(rows, 0.6)
+    both = V._profile_loss(dist, elev, n, eye, 1.5, lam)
+    assert seen[0] == rows and len(seen) > 1 and max(seen[1:]) <= 2
+    alone = [V._profile_loss(dist[i : i + 1], elev[i : i + 1], n[:1], eye[:1], 1.5, lam[:1])[0] for i in range(rows)]
+    assert np.array_equal(np.asarray(both), np.array(alone)) and (np.asarray(both)[2:] == 0).all()
