@@ -136,11 +136,13 @@ Prints = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
 def shared_prints(docs: DataFrame, prints: Prints) -> DataFrame:
     """``doc_id, keys``: for documents with a fingerprint of another one, packed unsigned 64-bit :func:`short` prints.
 
-    ``docs`` has ``doc_id, text`` without nulls; ``prints`` yields (row of the batch, fingerprint) arrays.  A document may get several rows.
+    ``docs`` has ``doc_id, text`` without nulls; ``prints`` yields (row of the batch, fingerprint) arrays.  A task answers by ranges of documents, so its rows do not grow with the
+    documents that it meets; a document gets one row.
     """
     bits = bucket_bits(docs.sparkSession)
     sent = "bucket int, echo boolean, keys binary, docs binary"
-    sent_schema, out_schema = arrow_schema(sent), arrow_schema("doc_id long, keys binary")
+    sent_schema = arrow_schema(sent)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
@@ -200,19 +202,16 @@ def shared_prints(docs: DataFrame, prints: Prints) -> DataFrame:
         if not echo_k:
             return
         k, d = np.concatenate(echo_k), np.concatenate(echo_d)
-        order = np.argsort(d, kind="stable")
-        found = [(i, kk.astype("<u8").tobytes()) for i, kk in pieces_of(d[order], k[order])]
-        for at in range(0, len(found), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found[at : at + 10_000]), out_schema)], schema=out_schema)
+        yield from by_range(d, k.view("<i8"), partitions)
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("doc_id", "text").mapInArrow(send, sent).repartition(partitions, "bucket").mapInArrow(answer, "doc_id long, keys binary")
+    answers = docs.select("doc_id", "text").mapInArrow(send, sent).repartition(partitions, "bucket").mapInArrow(answer, RANGED)
+    return by_id(answers, partitions, "doc_id", "keys")
 
 
 def with_shared(docs: DataFrame, prints: Prints) -> DataFrame:
     """``docs`` and ``keys``, the array of packed :func:`short` prints shared with other documents (null: none)."""
     usable = docs.where("doc_id IS NOT NULL AND text <> ''")
-    found = shared_prints(usable, prints).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("keys").alias("keys"))
+    found = shared_prints(usable, prints).select(F.col("doc_id").alias("of"), F.array("keys").alias("keys"))
     return docs.join(found.hint("shuffle_hash"), docs.doc_id == found.of, "left").drop("of")
 
 
