@@ -6,11 +6,12 @@ one region, so a region forms around what makes a distance below 1: a shingle.
 1.  A document with too many shingles that nobody else holds links to nothing and leaves early.  The others lie in the
     regions of their rarest shingles, as many as make two linked documents share one: a passage of many documents gives
     no region to documents that hold enough else.
-2.  Distances to the region's pivot are computed; those within the radius link.  A region whose documents are now all
-    linked is done: copies and near copies of one document take one distance each, however many there are.
+2.  Regions of the same documents are one.  The distance of each document to the least pivot of its regions is computed;
+    those within the radius link.  A region whose documents are now all linked is done: copies and near copies of one
+    document take one distance each, however many there are.  In the other regions the distances to their pivots follow.
 3.  What is left in a region joins recursively around more pivots, 16 times as many each time, against the region's
-    other documents that are not linked yet and whose distances to the first pivot differ by the radius at most.  The
-    recursion ends when all are linked or each has been a pivot.
+    other documents that are not linked yet, whose distances to the first pivot differ by the radius at most and whose
+    sketches (parities of the set) allow a link.  The recursion ends when all are linked or each has been a pivot.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loamgrid.llm.base import arrow_schema, cut, documents, drop_settled, same, text_key
 from loamgrid.llm.components import components
-from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces_of, short, text_chunks, with_shared
+from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces_of, shared_prints, short, text_chunks, usable, with_answers
 
 WORDS = 5
 #: A pair links when 100 * intersection >= 75 * union.
@@ -38,6 +39,8 @@ AT_ONCE = 200_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 VALUE = BYTE[LOWER]
+#: Bits of the longest sketch of a set.
+SKETCHED = 1 << 14
 
 
 def _word_hashes(data: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -96,6 +99,28 @@ def may_miss(n: int) -> int:
     return n * (100 - PERCENT) // 100
 
 
+def sketch(prints: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of the set falls on each of 2 to 4 bits a shingle, as 64-bit numbers.
+
+    Where the sketches of two sets differ, one set holds what the other lacks: the bits that differ are at most those.
+    """
+    bits = min(SKETCHED, max(64, 2 << int(len(prints) - 1).bit_length()))
+    odd = np.bincount((prints & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _may_link(a: Column, b: Column, both: Column) -> Column:
+    """False if the sketches ``a, b`` show that sets with ``both`` shingles in all don't link; the longer one is folded once."""
+
+    def folded(x: Column, other: Column) -> Column:
+        n = F.size(other)
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    differ = F.zip_with(folded(a, b), folded(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    least = F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+    return F.coalesce(least * (100 + PERCENT) <= both * (100 - PERCENT), F.lit(True))
+
+
 def _prints(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at, _, data, offsets in text_chunks(column):
         row, s = shingles(data, offsets)
@@ -103,10 +128,10 @@ def _prints(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _sets(df: DataFrame) -> DataFrame:
-    """Per row: size and 128-bit signature of the set and, for what may link, the text and the keys of its shared shingles."""
+    """Per row: size and 128-bit signature of the set and, for what may link, the text, the keys of its shared shingles and its sketch."""
     bits = bucket_bits(df.sparkSession)
     names = df.columns
-    ddl = "doc_id long, text_key long, n_shingles long, sig1 long, sig2 long, text string, regions array<long>"
+    ddl = "doc_id long, text_key long, n_shingles long, sig1 long, sig2 long, text string, regions array<long>, sketch array<long>"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,21 +145,23 @@ def _sets(df: DataFrame) -> DataFrame:
                 sig = [np.zeros(end - at, np.int64) for _ in range(2)]
                 for k, odd in enumerate((ODD[1], ODD[5])):
                     sig[k][full] = np.add.reduceat(mix(s * odd + np.uint64(k)), begin[full]).view(np.int64) if len(full) else 0
-                shown, regions = [], []
+                shown, regions, sketches = [], [], []
                 for r in range(end - at):
                     part = keys[at + r].as_py()
                     size = int(n[r])
-                    text = region = None
+                    text = region = drawn = None
                     if part and size:
                         mine = short(s[begin[r] : begin[r] + size], bits)
                         hit = within(mine, joined_keys(part))
                         if size - hit.sum() <= may_miss(size):
                             text = texts[at + r].as_py()
                             region = mine[hit].view(np.int64)
+                            drawn = sketch(s[begin[r] : begin[r] + size])
                     shown.append(text)
                     regions.append(region)
+                    sketches.append(drawn)
                 cols = [batch.column(names.index(c)).slice(at, end - at) for c in ("doc_id", "text_key")]
-                cols += [pa.array(n, pa.int64()), pa.array(sig[0]), pa.array(sig[1]), pa.array(shown, pa.string()), pa.array(regions, schema.field(6).type)]
+                cols += [pa.array(n, pa.int64()), pa.array(sig[0]), pa.array(sig[1]), pa.array(shown, pa.string()), pa.array(regions, schema.field(6).type), pa.array(sketches, schema.field(7).type)]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return df.mapInArrow(run, ddl)
@@ -188,24 +215,64 @@ def _rare_regions(regions: DataFrame) -> DataFrame:
     return rare.select("rid", "n", "x.region")
 
 
+def _placed(regions: DataFrame) -> DataFrame:
+    """``region, rid, n, pivot, m``: regions of two documents or more, each with its first document and its size.
+
+    Regions that hold the same documents (by count and 128 bits of their ids) are one: what follows a shared passage
+    shingle by shingle makes many of them, and each would give the same pairs again.
+    """
+    held = [F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"held{k}") for k in (1, 2)]
+    crowd = regions.groupBy("region").agg(F.min("rid").alias("pivot"), F.count("*").alias("m"), *held).where("m > 1")
+    one = crowd.groupBy("pivot", "m", "held1", "held2").agg(F.min("region").alias("region"))
+    return regions.join(one.select("region", "pivot", "m"), "region")
+
+
+def _still_open(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """``placed`` with ``label``, of the regions whose documents are not all linked."""
+    now = placed.drop("label").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    open_ = now.groupBy("region").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("region")
+    return cut(now.join(open_, "region", "left_semi"))
+
+
+def _merging(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of ``links(a, b)`` one for each two labels: those within a label add nothing, and one joins two."""
+    for end in ("a", "b"):
+        of = labels.select(F.col("rid").alias(end), F.col("label").alias(f"label_{end}"))
+        links = links.join(of, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    two = [F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high")]
+    return links.where("label_a <> label_b").groupBy(*two).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
+
+
 def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b``: links that connect whatever is linked within ``regions(region, rid, n)``."""
-    regions = cut(_rare_regions(regions), free=True)
-    first = regions.groupBy("region").agg(F.min("rid").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    placed = cut(regions.join(first, "region"), free=True)
-    pairs = placed.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
+    """``a, b``: links that connect whatever is linked within ``regions(region, rid, n)``; ``texts`` has ``rid, text, sketch``."""
+    rare = cut(_rare_regions(regions), free=True)
+    drop_settled(regions)
+    placed = cut(_placed(rare), free=True)
+    drop_settled(rare)
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return components(links).withColumnRenamed("node", "rid")
+
+    # a document and the least pivot of its regions: one distance each, which closes the regions of near copies
+    pairs = placed.where("rid <> pivot").groupBy(F.col("rid").alias("a")).agg(F.min("pivot").alias("b"))
     known = cut(_overlaps(pairs, texts), free=True)
     links = known.where(LINKED).select("a", "b")
+    labels = labelled(links)
+    now = _still_open(placed, labels)
+    drop_settled(placed)
+    placed = now
+    # the other pivots of the regions that are left
+    pairs = placed.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
+    new = cut(_overlaps(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts), free=True)
+    known = known.unionByName(new)
+    links = links.unionByName(cut(_merging(new.where(LINKED).select("a", "b"), labels)))
     distance = known.select(F.col("a").alias("rid"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("union_size")).alias("d"))
     placed = placed.join(distance, ["rid", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     pivots = 1
     radius = 1 - PERCENT / 100 + 1e-9
     while True:
-        labels = components(links).withColumnRenamed("node", "rid")
-        now = placed.drop("label").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        # regions whose documents are not all linked; all but the pivots so far may still start links
-        open_ = now.groupBy("region").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("m").alias("size")).where("l <> h").select("region")
-        now = cut(now.join(open_, "region", "left_semi"))
+        labels = labelled(links)
+        now = _still_open(placed, labels)
         drop_settled(placed) if pivots > 1 else None
         placed = now
         if placed.limit(1).count() == 0:
@@ -213,16 +280,18 @@ def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
         last = pivots
         pivots *= 16
         chance = F.pmod(F.xxhash64("rid", "region"), F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(pivots))))
-        chosen = placed.where((chance == 0) & (F.col("rid") != F.col("pivot"))).alias("p")
-        rest = placed.where("rid <> pivot").alias("x")
+        drawn = placed.join(texts.select("rid", "sketch"), "rid")
+        chosen = drawn.where((chance == 0) & (F.col("rid") != F.col("pivot"))).alias("p")
+        rest = drawn.where("rid <> pivot").alias("x")
         near = F.abs(F.col("p.d") - F.col("x.d")) <= radius
         sizes = (F.least("p.n", "x.n") * 100 >= F.greatest("p.n", "x.n") * PERCENT) & (F.col("p.label") != F.col("x.label"))
-        more = chosen.join(rest, (F.col("p.region") == F.col("x.region")) & near & sizes & (F.col("p.rid") != F.col("x.rid")))
+        like = _may_link(F.col("p.sketch"), F.col("x.sketch"), F.col("p.n") + F.col("x.n"))
+        more = chosen.join(rest, (F.col("p.region") == F.col("x.region")) & near & sizes & (F.col("p.rid") != F.col("x.rid")) & like)
         more = more.select(F.greatest("p.rid", "x.rid").alias("a"), F.least("p.rid", "x.rid").alias("b")).distinct()
         seen = known.select("a", "b")
         new = cut(_overlaps(more.join(seen, ["a", "b"], "left_anti"), texts), free=True)
         known = known.unionByName(new)
-        links = links.unionByName(new.where(LINKED).select("a", "b"))
+        links = links.unionByName(cut(_merging(new.where(LINKED).select("a", "b"), labels)))
         finished = placed.where(F.col("m") > last * 16)
         if finished.limit(1).count() == 0:  # each document of each open region has been a pivot
             return links
@@ -230,20 +299,23 @@ def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """:func:`jaccard_components` with ``part``, which tells components of one id apart; null without shingles or doc_id."""
-    # no name holds the first plan, so that its shuffle files can go once it is written
-    base = cut(_sets(with_shared(documents(docs).withColumn("text_key", text_key()), _prints)).withColumn("rid", F.monotonically_increasing_id()), free=True)
+    # no name holds the first plans, so that their shuffle files can go once they are written: the fingerprints before the texts move
+    whole = documents(docs).withColumn("text_key", text_key())
+    answers = cut(shared_prints(usable(whole), _prints), free=True)
+    base = cut(_sets(with_answers(whole, answers)).withColumn("rid", F.monotonically_increasing_id()), free=True)
+    drop_settled(answers)
     member = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     shape = ["n_shingles", "sig1", "sig2"]
     classes = cut(member.groupBy(*shape).agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("text").isNotNull(), F.col("rid"))).alias("rid")))
     lone = classes.where("rid IS NOT NULL")
-    texts = cut(base.join(lone.select("rid"), "rid", "left_semi").select("rid", "n_shingles", "text", "regions"))
+    texts = cut(base.join(lone.select("rid"), "rid", "left_semi").select("rid", "n_shingles", "text", "regions", "sketch"))
     regions = cut(texts.select("rid", F.col("n_shingles").alias("n"), F.explode("regions").alias("region")))
-    labels = components(_links(regions, texts.select("rid", "text"))).select(F.col("node").alias("rid"), "label")
+    labels = components(_links(regions, texts.select("rid", "text", "sketch"))).select(F.col("node").alias("rid"), "label")
     tagged = lone.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     smallest = tagged.groupBy("label").agg(F.min("least").alias("component"))
     found = tagged.join(smallest, "label").select(*shape, F.col("component"), "label")
     every = classes.join(found, shape, "left").select(*shape, F.coalesce("component", "least").alias("component"), F.struct("label", *(F.when(F.col("label").isNull(), F.col(c)).alias(c) for c in shape)).alias("part"))
-    out = base.drop("rid", "text", "regions").join(every, shape, "left")
+    out = base.drop("rid", "text", "regions", "sketch").join(every, shape, "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     own = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.when(linked, F.col("part")).alias("part"))

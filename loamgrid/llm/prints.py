@@ -208,11 +208,20 @@ def shared_prints(docs: DataFrame, prints: Prints) -> DataFrame:
     return by_id(answers, partitions, "doc_id", "keys")
 
 
+def usable(docs: DataFrame) -> DataFrame:
+    """What can share a fingerprint."""
+    return docs.where("doc_id IS NOT NULL AND text <> ''")
+
+
+def with_answers(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """``docs`` and ``keys``, the array of their packed prints in the ``answers`` of :func:`shared_prints` (null: none)."""
+    found = answers.select(F.col("doc_id").alias("of"), F.array("keys").alias("keys"))
+    return docs.join(found.hint("shuffle_hash"), docs.doc_id == found.of, "left").drop("of")
+
+
 def with_shared(docs: DataFrame, prints: Prints) -> DataFrame:
     """``docs`` and ``keys``, the array of packed :func:`short` prints shared with other documents (null: none)."""
-    usable = docs.where("doc_id IS NOT NULL AND text <> ''")
-    found = shared_prints(usable, prints).select(F.col("doc_id").alias("of"), F.array("keys").alias("keys"))
-    return docs.join(found.hint("shuffle_hash"), docs.doc_id == found.of, "left").drop("of")
+    return with_answers(docs, shared_prints(usable(docs), prints))
 
 
 def joined_keys(parts: list[bytes] | None) -> np.ndarray:

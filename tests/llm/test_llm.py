@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loamgrid.llm import bpe, counts, html, jaccard, licenses, neighbours, packing, quality, secrets, suffixes, tokens
+from loamgrid.llm import bpe, counts, html, jaccard, licenses, neighbours, packing, prints, quality, secrets, suffixes, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, keys string"
@@ -340,3 +341,34 @@ def test_pipeline(spark):
 def test_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_regions_of_the_same_documents_are_one(spark):
+    held = {1: [1, 2], 2: [1, 2], 3: [1, 2, 3], 4: [4], 5: [2, 1], 6: [1, 3]}
+    rows = [(region, rid, 9) for region, rids in held.items() for rid in rids]
+    got = jaccard._placed(spark.createDataFrame(rows, "region long, rid long, n long")).collect()
+    assert sorted((r.region, r.rid, r.pivot, r.m) for r in got) == [(1, 1, 1, 2), (1, 2, 1, 2), (3, 1, 1, 3), (3, 2, 1, 3), (3, 3, 1, 3), (6, 1, 1, 2), (6, 3, 1, 2)]
+
+
+def test_sketches_keep_every_link(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for n in [1, 2, 7, 33, 64, 65, 130, 500, 1030, 30_000]:
+        whole = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        for lost in (0, n // 7, n // 4, n // 2, n):
+            a, b = whole[:n], whole[lost : n + lost // 8]
+            b = b if len(b) else whole[n:]
+            shared = len(np.intersect1d(a, b))
+            rows.append((jaccard.sketch(a).tolist(), jaccard.sketch(b).tolist(), len(a) + len(b)))
+            want.append(100 * shared >= jaccard.PERCENT * (len(a) + len(b) - shared))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<long>, b array<long>, n long")
+    got = [r.x for r in df.select("i", jaccard._may_link(F.col("a"), F.col("b"), F.col("n")).alias("x")).orderBy("i").collect()]
+    assert all(g for g, w in zip(got, want) if w) and any(want)
+    assert sum(got) < len(got) - 10
+
+
+def test_links_that_merge_labels(spark):
+    links = spark.createDataFrame([(1, 2), (3, 1), (4, 2), (4, 1), (3, 4)], "a long, b long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "rid long, label long")
+    assert [tuple(r) for r in jaccard._merging(links, labels).collect()] == [(3, 1)]
+    assert sorted(tuple(r) for r in jaccard._merging(links, labels.limit(0)).collect()) == [(1, 2), (3, 1), (3, 4), (4, 1), (4, 2)]
