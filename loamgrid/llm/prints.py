@@ -21,7 +21,7 @@ LOW = 32
 #: Bytes of text that are worked on at a time.
 CHUNK = 1 << 20
 #: Fingerprints put in order at a time, beyond those of one chunk.
-HELD = 1_000_000
+HELD = 400_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 

@@ -372,3 +372,13 @@ def test_links_that_merge_labels(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "rid long, label long")
     assert [tuple(r) for r in jaccard._merging(links, labels).collect()] == [(3, 1)]
     assert sorted(tuple(r) for r in jaccard._merging(links, labels.limit(0)).collect()) == [(1, 2), (3, 1), (3, 4), (4, 1), (4, 2)]
+
+
+def test_runs_of_fingerprints_are_small():
+    def fifth(column):
+        for at, end, _, offsets in prints.text_chunks(column):
+            row = np.repeat(np.arange(at, end), np.diff(offsets) // 5)
+            yield row, np.arange(len(row), dtype=np.uint64)
+
+    runs = [len(keys) for _, keys in prints.held_prints(pa.array(["x" * 500] * 6000), fifth, 11)]
+    assert sum(runs) == 600_000 and max(runs) < 500_000
