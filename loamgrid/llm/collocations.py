@@ -32,9 +32,9 @@ BITS = 25
 #: Bits of the table in a row on its way to the driver.
 BLOCK = 1 << 20
 #: Bytes of text that a task works on at a time.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Grams whose counts a task holds before it sends them.
-HELD = 1_000_000
+HELD = 400_000
 #: Edges of a path that are one row; a longer path goes on in the next row.
 STRETCH = 1024
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"

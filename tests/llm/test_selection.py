@@ -282,3 +282,9 @@ def test_words_of_columns_and_bytes_agree(spark):
     text = "".join(map(chr, range(1, 300))) + " ÀÉ ß Ωmega 𝒳 A1b"
     row = spark.createDataFrame([(text,)], "text string").select(contamination.words(F.col("text"))).first()[0]
     assert row == words(text) == [w.decode() for w in text.encode().translate(resampling.FOLD).split()]
+
+
+def test_chunks_are_small():
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 60), pa.array(["word " * 20_000] * 60)], names=["lang", "text"])
+    sizes = [len(t) for _, t in collocations.chunks([batch])]
+    assert sum(sizes) >= 6_000_000 and max(sizes) < 3 << 20
