@@ -104,19 +104,21 @@ SPOT = ["observer_id", "row", "col", "eye", "reach", "cell_x", "cell_y"]
 SPOT_TYPES = "observer_id long, row long, col long, eye double, reach double, cell_x double, cell_y double"
 #: Steps of rays that are walked at once.
 WALKED = 2_000_000
+#: Cells of an observer's window whose rays are one row of arrays.
+BLOCK = 1 << 20
 
 
 def packed_tiles(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """``tr, tc, z``: the cells of a tile as one array by row and column, NaN where there is none."""
+    """``tr, tc, z``: the cells of a tile as the bytes of doubles by row and column, NaN where there is none."""
 
     def pack(rows: pa.Table) -> pa.Table:
         tr, tc = rows["tr"][0].as_py(), rows["tc"][0].as_py()
         z = np.full((tile, tile), np.nan)
         z[rows["row"].to_numpy() - tr * tile, rows["col"].to_numpy() - tc * tile] = rows["z"].to_numpy()
-        return pa.table({"tr": [tr], "tc": [tc], "z": pa.array([z.ravel()], pa.list_(pa.float64()))})
+        return pa.table({"tr": [tr], "tc": [tc], "z": [z.tobytes()]})
 
     known = cells.filter("z IS NOT NULL").select("row", "col", F.col("z").cast("double").alias("z"))
-    return with_tile(known, tile).drop("rim").groupBy("tr", "tc").applyInArrow(pack, "tr long, tc long, z array<double>")
+    return with_tile(known, tile).drop("rim").groupBy("tr", "tc").applyInArrow(pack, "tr long, tc long, z binary")
 
 
 def viewshed(
@@ -130,8 +132,8 @@ def viewshed(
 
     Only rays that are the last through some cell are traced.  A ray is cut
     where it leaves a tile; a tile answers for each of its pieces with the
-    greatest angle, the pieces of a ray pass that on from the observer outwards,
-    and with the angle at its entry each tile marks its own cells.  Windows of
+    greatest angle, the pieces of a ray pass that on from the observer outwards
+    (rays move as arrays, a block of an observer's rays in a row), and with the angle at its entry each tile marks its own cells.  Windows of
     any size are done so; what a task holds is one tile and the pieces in it.
     """
     mean = (F.col("cell_x") + F.col("cell_y")) / 2
@@ -147,26 +149,34 @@ def viewshed(
     # few rows that mean much work each: the number of tasks is given, so that they are not put together by size
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     useful = near.repartition(tasks, "observer_id", "tr", "tc").mapInPandas(
-        lambda b: _together(_useful_rays(b, width, height, tile)), f"{SPOT_TYPES}, ray long, steps long"
+        lambda b: _together(_useful_rays(b, width, height, tile), 500), f"{SPOT_TYPES}, block long, ray array<long>, steps array<long>"
     )
-    useful = useful.repartition(tasks, "observer_id", "ray").groupBy(*SPOT, "ray").agg(F.max("steps").alias("steps"))
-    cut = useful.mapInPandas(lambda b: _together(_cut_rays(b, width, height, tile)), f"{SPOT_TYPES}, ray long, tr long, tc long, k0 long, k1 long")
-    pieces = settle(_gathered(cut, ["ray", "k0", "k1"]))
-    tops = pieces.join(tiles, ["tr", "tc"]).mapInPandas(
-        lambda b: _together(_top_angles(b, width, height, tile, curvature)), f"{SPOT_TYPES}, ray long, tr long, tc long, k0 long, k1 long, top double"
-    )
-    outwards = Window.partitionBy("observer_id", "ray").orderBy("k0").rowsBetween(Window.unboundedPreceding, -1)
-    entered = tops.withColumn("horizon", F.coalesce(F.max("top").over(outwards), F.lit(float("-inf")))).drop("top")
-    seen = _gathered(entered, ["ray", "k0", "k1", "horizon"]).join(tiles, ["tr", "tc"]).mapInPandas(
+    useful = _gathered(useful.repartition(tasks, "observer_id", "block"), ["block"], ["ray", "steps"])
+    part = f"{SPOT_TYPES}, block long, tr long, tc long, ray array<long>, k0 array<long>, k1 array<long>"
+    pieces = settle(useful.mapInPandas(lambda b: _together(_cut_rays(b, width, height, tile), 500), part))
+    tops = _with_ground(pieces.repartition(tasks, "observer_id", "tr", "tc"), tiles, tile).mapInPandas(lambda b: _together(_top_angles(b, width, height, tile, curvature), 500), f"{part}, top array<double>")
+    whole = _gathered(tops.repartition(tasks, "observer_id", "block"), ["block"], ["ray", "k0", "k1", "top"], each=["tr", "tc"])
+    entered = whole.mapInPandas(lambda b: _together(_passed_on(b), 500), f"{part}, horizon array<double>")
+    seen = _with_ground(_gathered(entered.repartition(tasks, "observer_id", "tr", "tc"), ["tr", "tc"], ["ray", "k0", "k1", "horizon"]), tiles, tile).mapInPandas(
         lambda b: _together(_seen_cells(b, width, height, tile, target_height, curvature)), "observer_id long, row long, col long"
     )
     return observers.select("observer_id", "row", "col").unionByName(seen)
 
 
-def _gathered(pieces: DataFrame, fields: list[str]) -> DataFrame:
-    """The pieces of an observer's rays in one tile as one row of arrays, by ray."""
-    rows = pieces.groupBy(*SPOT, "tr", "tc").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("m"))
-    return rows.select(*SPOT, "tr", "tc", *[F.col(f"m.{f}").alias(f) for f in fields])
+def _gathered(rows: DataFrame, by: list[str], fields: list[str], each: list[str] = ()) -> DataFrame:
+    """The rows of an observer and ``by`` as one: arrays ``fields`` put together, and ``each`` with the ``size`` of each row's part."""
+    one = rows.groupBy(*SPOT, *by).agg(F.collect_list(F.struct(*each, *fields)).alias("m"))
+    sizes = [F.transform(f"m.{fields[0]}", F.size).alias("size")] if each else []
+    return one.select(*SPOT, *by, *[F.col(f"m.{c}").alias(c) for c in each], *sizes, *[F.flatten(f"m.{f}").alias(f) for f in fields])
+
+
+def _with_ground(pieces: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
+    """``pieces`` with the heights ``z`` of the rows of their tile that the reach meets, and ``z0``, the first of them."""
+    far, top = F.floor("reach").cast("long"), F.col("tr") * tile
+    z0 = F.greatest(F.col("row") - far - top, F.lit(0))
+    z1 = F.least(F.col("row") + far - top, F.lit(tile - 1))
+    some = F.substring("z", (z0 * tile * 8 + 1).cast("int"), ((z1 - z0 + 1) * tile * 8).cast("int"))
+    return pieces.join(tiles, ["tr", "tc"]).withColumn("z0", z0).withColumn("z", some)
 
 
 def _spot_rows(spot, n: int, **columns) -> pd.DataFrame:
@@ -203,34 +213,72 @@ def _useful_rays(batches: Iterator[pd.DataFrame], width: int, height: int, tile:
             some, number = np.unique(ray, return_inverse=True)
             steps = np.zeros(len(some), np.int64)
             np.maximum.at(steps, number, k)
-            yield _spot_rows(spot, len(some), ray=some, steps=steps)
+            # rays that a task puts together: as many blocks as the window needs, the same for all its tiles
+            window = min(2 * far + 1, width) * min(2 * far + 1, height)
+            block = some % (1 + window // BLOCK)
+            yield _parts(spot, {"block": block}, {"ray": some, "steps": steps})
+
+
+def _parts(spot, keys: dict[str, np.ndarray], values: dict[str, np.ndarray]) -> pd.DataFrame:
+    """One row of arrays for each combination of ``keys``, in the order of the values."""
+    first = next(iter(keys.values()))
+    order = np.lexsort(tuple(keys.values()))
+    if not len(order):
+        return _spot_rows(spot, 0, **keys, **values)
+    new = np.zeros(len(first), bool)
+    for v in keys.values():
+        new[1:] |= np.diff(v[order]) != 0
+    at = np.flatnonzero(new)
+    begin = np.r_[0, at]
+    return _spot_rows(spot, len(begin), **{k: v[order][begin] for k, v in keys.items()}, **{k: np.split(v[order], at) for k, v in values.items()})
 
 
 def _cut_rays(batches: Iterator[pd.DataFrame], width: int, height: int, tile: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for _, own in pdf.groupby("observer_id", sort=False):
-            spot = next(own.itertuples(index=False))
-            ray, steps = own["ray"].to_numpy(), own["steps"].to_numpy()
+        for spot in pdf.itertuples(index=False):
+            ray, number = np.unique(spot.ray, return_inverse=True)
+            steps = np.zeros(len(ray), np.int64)
+            np.maximum.at(steps, number, spot.steps)
             part = np.cumsum(steps) // WALKED
-            for i in np.unique(part):
-                found = rays.segments(ray[part == i], steps[part == i], spot.row, spot.col, width, height, spot.reach, tile)
-                yield _spot_rows(spot, len(found[0]), **dict(zip(("ray", "tr", "tc", "k0", "k1"), found)))
+            found = [rays.segments(ray[part == i], steps[part == i], spot.row, spot.col, width, height, spot.reach, tile) for i in np.unique(part)]
+            if found:
+                own, tr, tc, k0, k1 = (np.concatenate(f) for f in zip(*found))
+                yield _parts(spot, {"tr": tr, "tc": tc}, {"ray": own, "k0": k0, "k1": k1}).assign(block=spot.block)[[*SPOT, "block", "tr", "tc", "ray", "k0", "k1"]]
+
+
+def _passed_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The horizon at the entry of each piece: the greatest angle of the pieces of its ray before it."""
+    for pdf in batches:
+        for spot in pdf.itertuples(index=False):
+            ray, k0, k1, top = (np.asarray(v) for v in (spot.ray, spot.k0, spot.k1, spot.top))
+            tr, tc = np.repeat(spot.tr, spot.size), np.repeat(spot.tc, spot.size)
+            order = np.lexsort((k0, ray))
+            starts = np.flatnonzero(np.r_[True, np.diff(ray[order]) != 0])
+            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+            horizon = np.full(len(order), -np.inf)
+            turn = np.argsort(place, kind="stable")
+            for at in np.split(turn, np.flatnonzero(np.diff(place[turn])) + 1)[1:]:  # the second pieces, the third, ...
+                horizon[order[at]] = np.maximum(horizon[order[at - 1]], top[order[at - 1]])
+            yield _parts(spot, {"tr": tr, "tc": tc}, {"ray": ray, "k0": k0, "k1": k1, "horizon": horizon}).assign(block=spot.block)[
+                [*SPOT, "block", "tr", "tc", "ray", "k0", "k1", "horizon"]
+            ]
 
 
 def _angles(piece, width: int, height: int, tile: int, curvature: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """Step by step along the pieces in a tile: which of them, row and column in the tile, height, distance, and drop."""
-    z = np.asarray(piece.z, float).reshape(tile, tile)
+    z = np.frombuffer(piece.z).reshape(-1, tile)
     k0, k1 = np.asarray(piece.k0), np.asarray(piece.k1)
     way = rays.directions(np.asarray(piece.ray), piece.row, piece.col, width, height)
     for k in range(int(k0.min()), int(k1.max()) + 1):
         at = np.flatnonzero((k0 <= k) & (k <= k1))
         y, x = rays.offsets(np.full(len(at), k), tuple(w[at] for w in way))
         r, c = piece.row + y - piece.tr * tile, piece.col + x - piece.tc * tile
-        known = ~np.isnan(z[r, c])
-        at, y, x, r, c = at[known], y[known], x[known], r[known], c[known]
+        here = z[r - piece.z0, c]
+        known = ~np.isnan(here)
+        at, y, x, r, c, here = at[known], y[known], x[known], r[known], c[known], here[known]
         dist = np.sqrt((x * piece.cell_x) ** 2 + (y * piece.cell_y) ** 2)
         drop = dist * dist / (2 * CURVATURE_RADIUS) * (1 - REFRACTION) if curvature else np.zeros(len(at))
-        yield at, r, c, z[r, c], np.where(dist == 0, 0.001, dist), drop
+        yield at, r, c, here, np.where(dist == 0, 0.001, dist), drop
 
 
 def _top_angles(batches: Iterator[pd.DataFrame], width: int, height: int, tile: int, curvature: bool) -> Iterator[pd.DataFrame]:
@@ -241,13 +289,15 @@ def _top_angles(batches: Iterator[pd.DataFrame], width: int, height: int, tile:
             top = np.full(n, -np.inf)
             for at, _, _, z, dist, drop in _angles(piece, width, height, tile, curvature):
                 top[at] = np.maximum(top[at], (z - drop - piece.eye) / dist)
-            yield _spot_rows(piece, n, ray=piece.ray, tr=np.repeat(piece.tr, n), tc=np.repeat(piece.tc, n), k0=piece.k0, k1=piece.k1, top=top)
+            yield _spot_rows(piece, 1, **{f: [getattr(piece, f)] for f in ("block", "tr", "tc", "ray", "k0", "k1")}, top=[top])
 
 
 def _seen_cells(batches: Iterator[pd.DataFrame], width: int, height: int, tile: int, target_height: float, curvature: bool) -> Iterator[pd.DataFrame]:
-    """The cells whose last ray sees them.  Pieces come by ray, and a cell is met at one step, so the last answer stays."""
+    """The cells whose last ray sees them.  Pieces are put in order by ray, and a cell is met at one step, so the last answer stays."""
     for pdf in batches:
         for piece in pdf.itertuples(index=False):
+            order = np.lexsort((piece.k0, piece.ray))
+            piece = piece._replace(**{f: getattr(piece, f)[order] for f in ("ray", "k0", "k1")}, horizon=piece.horizon[order])
             horizon = np.array(piece.horizon, float)
             answer = np.zeros((tile, tile), bool)
             for at, r, c, z, dist, drop in _angles(piece, width, height, tile, curvature):
@@ -430,7 +480,7 @@ def _profile_pieces(batches: Iterator[pd.DataFrame], n: int, tile: int) -> Itera
             for piece in part.itertuples(index=False):
                 r, c = _sample_cells(piece, *_block_targets(piece, tile), t[piece.s0 : piece.s1 + 1])
                 here = (r // tile == piece.tr) & (c // tile == piece.tc)
-                z = np.asarray(piece.z, float).reshape(tile, tile)
+                z = np.frombuffer(piece.z).reshape(tile, tile)
                 heights.append(z[r[here] - piece.tr * tile, c[here] - piece.tc * tile].tobytes())
             yield part.drop(columns="z").assign(heights=heights)
 

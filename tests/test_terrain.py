@@ -374,3 +374,17 @@ def test_loss_of_profile_arrays(spark):
         if most == 20:
             assert got == pytest.approx([brute.profile_loss(*p[:3], 1.5, p[3]) if len(p[0]) > 1 else 0.0 for p in profiles], abs=1e-9)
         assert len(got) == len(profiles) and all(x >= 0 for x in got)
+
+
+def test_rays_of_an_observer_move_as_few_rows(monkeypatch):
+    spot = dict(observer_id=[1, 1], row=[9, 9], col=[9, 9], eye=[5.0, 5.0], reach=[7.0, 7.0], cell_x=[1.0, 1.0], cell_y=[1.0, 1.0], tr=[0, 1], tc=[0, 0])
+    found = {}
+    for block in (1 << 20, 30):
+        monkeypatch.setattr(V, "BLOCK", block)
+        useful = pd.concat(V._useful_rays(iter([pd.DataFrame(spot)]), 40, 400, 10))
+        merged = useful.groupby([*V.SPOT, "block"])[["ray", "steps"]].agg(lambda a: np.concatenate(a.to_list())).reset_index()
+        cut = pd.concat(V._cut_rays(iter([merged]), 40, 400, 10))
+        assert len(merged) == 1 + (15 * 15) // block and sum(map(len, useful["ray"])) > 2 * len(useful)
+        assert len(cut) == len(cut.drop_duplicates(["block", "tr", "tc"]))
+        found[block] = sorted(zip(*(np.concatenate(cut[c].to_list()) for c in ("ray", "k0", "k1")), np.repeat(cut["tr"], cut["ray"].map(len))))
+    assert found[1 << 20] == found[30] and len(found[30]) > 40
