@@ -35,7 +35,7 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BLOCK = 4096
 PLACE = np.random.default_rng(20240608).integers(1, 1 << 63, BLOCK, dtype=np.uint64) | np.uint64(1)
 #: Words hashed at a time.
-AT_ONCE = 200_000
+AT_ONCE = 50_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 VALUE = BYTE[LOWER]

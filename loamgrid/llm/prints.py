@@ -2,13 +2,15 @@
 
 Tasks send the distinct fingerprints of each run (what they put in order at a time) as packed arrays dealt by their
 leading bits, one entry for a fingerprint and run however many documents hold it, so a frequent fingerprint stays small.
-The receiver answers the one document that sent it; where several documents of a run share one, the sender answers them
-itself.  Fingerprints lose their last bits on the way, so an answer may name a few too many, never too few.
+The receiver takes its buckets in order, one at a time, and answers the one document that sent a fingerprint; where
+several documents of a run share one, the sender answers them itself.  Fingerprints lose their last bits on the way, so
+an answer may name a few too many, never too few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -98,16 +100,18 @@ def by_id(ranged: DataFrame, ranges: int, name: str, entries: str) -> DataFrame:
 
         def told() -> Iterator[pa.RecordBatch]:
             ids, values = (np.concatenate([unplaned(h[k]) for h in held]) for k in (0, 1))
+            held.clear()
             order = np.argsort(ids, kind="stable")
-            rows = [(i, v.tobytes()) for i, v in pieces_of(ids[order], values[order])]
-            for at in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 10_000]), schema)], schema=schema)
+            ids, values = ids[order], values[order]
+            del order
+            for some in batched(pieces_of(ids, values), 1000):
+                rows = [(i, v.tobytes()) for i, v in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            for part, i, e in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for part, i, e in rows_of(batch, 20):
                 if part != now and held:
                     yield from told()
-                    held.clear()
                 now = part
                 held.append((i, e))
         if held:
@@ -173,41 +177,67 @@ def shared_prints(docs: DataFrame, prints: Prints) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out[at : at + 2000]), sent_schema)], schema=sent_schema)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, flags, echo_k, echo_d = [], [], [], [], []
-        for batch in batches:
-            for b, e, raw, d in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                d = unplaned(d)
-                if e:
-                    echo_k.append(np.frombuffer(raw, dtype="<u8"))
-                    echo_d.append(d)
-                    continue
-                n = len(d)
-                keys.append(np.frombuffer(raw, dtype="<u4", count=n).astype(np.uint64) | np.uint64(b << LOW))
-                flags.append(np.unpackbits(np.frombuffer(raw, dtype=np.uint8, offset=4 * n), count=n).astype(bool))
-                docs_.append(d)
-        if keys:
-            k, d, f = np.concatenate(keys), np.concatenate(docs_), np.concatenate(flags)
-            del keys, docs_, flags
-            order = np.argsort(k, kind="stable")
-            k, d, f = k[order], d[order], f[order]
-            first = np.r_[True, k[1:] != k[:-1]]
-            group = np.cumsum(first) - 1
-            lead = d[first][group]
-            hit = np.zeros(int(first.sum()), bool)
-            hit[group[(d != lead) | f]] = True
-            hit[group[np.r_[False, ~first[1:]]]] = True  # from two runs
-            ask = hit[group] & ~f
-            echo_k.append(k[ask])
-            echo_d.append(d[ask])
-        if not echo_k:
-            return
-        k, d = np.concatenate(echo_k), np.concatenate(echo_d)
-        yield from by_range(d, k.view("<i8"), partitions)
-
-    answers = docs.select("doc_id", "text").mapInArrow(send, sent).repartition(partitions, "bucket").mapInArrow(answer, RANGED)
+        found, size = [], 0
+        for k, d in asked(batches):
+            found.append((k, d))
+            size += len(k)
+            if size >= HELD:
+                yield from answered(found, partitions)
+                found, size = [], 0
+        yield from answered(found, partitions)
+
+    sent_rows = docs.select("doc_id", "text").mapInArrow(send, sent)
+    answers = sent_rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, RANGED)
     return by_id(answers, partitions, "doc_id", "keys")
 
 
+def answered(found: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> Iterator[pa.RecordBatch]:
+    if found:
+        k, d = (np.concatenate(c) for c in zip(*found))
+        yield from by_range(d, k.view("<i8"), ranges)
+
+
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and the documents to be told of them, from rows in order of ``bucket``; one bucket is held at a time."""
+    held: list[tuple[bytes, bytes]] = []
+    now = None
+    for batch in batches:
+        for b, echo, raw, ids in rows_of(batch):
+            if b != now and held:
+                yield in_bucket(now, held)
+                held = []
+            now = b
+            if echo:
+                yield np.frombuffer(raw, dtype="<u8"), unplaned(ids)
+            else:
+                held.append((raw, ids))
+    if held:
+        yield in_bucket(now, held)
+
+
+def in_bucket(bucket: int, held: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """What the senders of a bucket's rows are told: keys that another run sent too, or one run for several documents."""
+    ids = [unplaned(i) for _, i in held]
+    k = np.concatenate([np.frombuffer(raw, dtype="<u4", count=len(i)) for (raw, _), i in zip(held, ids)])
+    f = np.concatenate([np.unpackbits(np.frombuffer(raw, dtype=np.uint8, offset=4 * len(i)), count=len(i)) for (raw, _), i in zip(held, ids)])
+    d = np.concatenate(ids)
+    order = np.argsort(k, kind="stable")
+    k, d, f = k[order], d[order], f[order].astype(bool)
+    first = np.r_[True, k[1:] != k[:-1]]
+    group = np.cumsum(first) - 1
+    hit = np.zeros(int(first.sum()), bool)
+    hit[group[(d != d[first][group]) | f]] = True
+    hit[group[np.r_[False, ~first[1:]]]] = True  # from two runs
+    ask = hit[group] & ~f
+    return k[ask].astype(np.uint64) | np.uint64(bucket << LOW), d[ask]
+
+
+def rows_of(batch: pa.RecordBatch, at_once: int = 100) -> Iterator[tuple]:
+    """The rows of a batch as Python values, a few at a time."""
+    for at in range(0, batch.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, at_once).columns))
+
+
 def usable(docs: DataFrame) -> DataFrame:
     """What can share a fingerprint."""
     return docs.where("doc_id IS NOT NULL AND text <> ''")

@@ -382,3 +382,21 @@ def test_runs_of_fingerprints_are_small():
 
     runs = [len(keys) for _, keys in prints.held_prints(pa.array(["x" * 500] * 6000), fifth, 11)]
     assert sum(runs) == 600_000 and max(runs) < 500_000
+
+
+def test_one_bucket_is_answered_at_a_time():
+    taken = []
+
+    def batches():
+        for b in range(6):
+            rows = [(b, False, np.array(keys, "<u4").tobytes() + np.packbits(flags).tobytes(), prints.planes(np.array(ids)))
+                    for keys, flags, ids in (([1, 2, 3], [0, 0, 1], [10, 11, 0]), ([2, 3, 4], [0, 0, 0], [12, 13, 14]))]
+            taken.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", "echo", "keys", "docs"])
+
+    seen = []
+    for b, (keys, ids) in enumerate(prints.asked(batches())):
+        seen.append(len(taken))
+        top = b << prints.LOW
+        assert sorted(zip(keys.tolist(), ids.tolist())) == [(top + 2, 11), (top + 2, 12), (top + 3, 13)]
+    assert seen == [2, 3, 4, 5, 6, 6]
