@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loamgrid.llm.base import arrow_schema, cut, documents, drop_settled, same, text_key
 from loamgrid.llm.components import components
 from loamgrid.llm.prints import BYTE, ODD, bucket_bits, joined_keys, mix, pieces_of, shared_prints, short, text_chunks, usable, with_answers
+from loamgrid.session import has_rows
 
 WORDS = 5
 #: A pair links when 100 * intersection >= 75 * union.
@@ -234,30 +235,42 @@ def _still_open(placed: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(now.join(open_, "region", "left_semi"))
 
 
-def _merging(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of ``links(a, b)`` one for each two labels: those within a label add nothing, and one joins two."""
+def _with_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         of = labels.select(F.col("rid").alias(end), F.col("label").alias(f"label_{end}"))
         links = links.join(of, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    return links
+
+
+def _merging(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of ``links(a, b)`` one for each two labels: those within a label add nothing, and one joins two."""
     two = [F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high")]
-    return links.where("label_a <> label_b").groupBy(*two).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
+    return _with_labels(links, labels).where("label_a <> label_b").groupBy(*two).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
+
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(rid, label)`` after ``links(a, b)``: only labels are put together, not again all that was linked before."""
+    merging = cut(_merging(links, labels))
+    if not has_rows(merging):
+        return labels
+    joins = _with_labels(merging, labels).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    least = components(joins).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    old = labels.join(least, "label", "left").select("rid", F.coalesce("now", "label").alias("label"))
+    alone = least.select(F.col("label").alias("rid"), F.col("now").alias("label")).join(labels, "rid", "left_anti")
+    return cut(old.unionByName(alone))
 
-def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b``: links that connect whatever is linked within ``regions(region, rid, n)``; ``texts`` has ``rid, text, sketch``."""
+
+def _linked(regions: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rid, label``: the least ``rid`` that links within ``regions(region, rid, n)`` lead to; ``texts`` has ``rid, text, sketch``."""
     rare = cut(_rare_regions(regions), free=True)
     drop_settled(regions)
     placed = cut(_placed(rare), free=True)
     drop_settled(rare)
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return components(links).withColumnRenamed("node", "rid")
-
     # a document and the least pivot of its regions: one distance each, which closes the regions of near copies
     pairs = placed.where("rid <> pivot").groupBy(F.col("rid").alias("a")).agg(F.min("pivot").alias("b"))
     known = cut(_overlaps(pairs, texts), free=True)
-    links = known.where(LINKED).select("a", "b")
-    labels = labelled(links)
+    labels = components(known.where(LINKED).select("a", "b")).withColumnRenamed("node", "rid")
     now = _still_open(placed, labels)
     drop_settled(placed)
     placed = now
@@ -265,18 +278,17 @@ def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = placed.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
     new = cut(_overlaps(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts), free=True)
     known = known.unionByName(new)
-    links = links.unionByName(cut(_merging(new.where(LINKED).select("a", "b"), labels)))
+    labels = _merged(labels, new.where(LINKED).select("a", "b"))
     distance = known.select(F.col("a").alias("rid"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("union_size")).alias("d"))
     placed = placed.join(distance, ["rid", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     pivots = 1
     radius = 1 - PERCENT / 100 + 1e-9
     while True:
-        labels = labelled(links)
         now = _still_open(placed, labels)
         drop_settled(placed) if pivots > 1 else None
         placed = now
         if placed.limit(1).count() == 0:
-            return links
+            return labels
         last = pivots
         pivots *= 16
         chance = F.pmod(F.xxhash64("rid", "region"), F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(pivots))))
@@ -291,10 +303,10 @@ def _links(regions: DataFrame, texts: DataFrame) -> DataFrame:
         seen = known.select("a", "b")
         new = cut(_overlaps(more.join(seen, ["a", "b"], "left_anti"), texts), free=True)
         known = known.unionByName(new)
-        links = links.unionByName(cut(_merging(new.where(LINKED).select("a", "b"), labels)))
+        labels = _merged(labels, new.where(LINKED).select("a", "b"))
         finished = placed.where(F.col("m") > last * 16)
         if finished.limit(1).count() == 0:  # each document of each open region has been a pivot
-            return links
+            return labels
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -310,7 +322,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     lone = classes.where("rid IS NOT NULL")
     texts = cut(base.join(lone.select("rid"), "rid", "left_semi").select("rid", "n_shingles", "text", "regions", "sketch"))
     regions = cut(texts.select("rid", F.col("n_shingles").alias("n"), F.explode("regions").alias("region")))
-    labels = components(_links(regions, texts.select("rid", "text", "sketch"))).select(F.col("node").alias("rid"), "label")
+    labels = _linked(regions, texts.select("rid", "text", "sketch"))
     tagged = lone.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     smallest = tagged.groupBy("label").agg(F.min("least").alias("component"))
     found = tagged.join(smallest, "label").select(*shape, F.col("component"), "label")

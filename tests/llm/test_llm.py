@@ -400,3 +400,28 @@ def test_one_bucket_is_answered_at_a_time():
         top = b << prints.LOW
         assert sorted(zip(keys.tolist(), ids.tolist())) == [(top + 2, 11), (top + 2, 12), (top + 3, 13)]
     assert seen == [2, 3, 4, 5, 6, 6]
+
+
+def test_links_are_labelled_once(spark, monkeypatch):
+    """Later rounds put labels together; the links of a group of near copies are not gone through again."""
+    sizes, plain = [], jaccard.components
+
+    def counting(edges):
+        sizes.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(jaccard, "components", counting)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(5, 35)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == brute_components(rows)
+    assert sum(sizes) < 2 * len(rows)
+
+
+def test_merged_labels(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "rid long, label long")
+    links = spark.createDataFrame([(4, 2), (4, 1), (7, 6), (9, 8), (2, 1)], "a long, b long")
+    got = sorted(tuple(r) for r in jaccard._merged(labels, links).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8)]
+    assert sorted(tuple(r) for r in jaccard._merged(labels, links.limit(0)).collect()) == sorted(tuple(r) for r in labels.collect())
