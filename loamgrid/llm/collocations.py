@@ -32,7 +32,11 @@ BITS = 25
 #: Bits of the table in a row on its way to the driver.
 BLOCK = 1 << 20
 #: Bytes of text that a task works on at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Texts that are Python strings at once.
+TEXTS = 200
+#: Rows of a batch that a task sends; the other side holds a batch.
+SENT = 20_000
 #: Grams whose counts a task holds before it sends them.
 HELD = 400_000
 #: Edges of a path that are one row; a longer path goes on in the next row.
@@ -60,8 +64,9 @@ def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """Folded texts of one language, about ``CHUNK`` bytes of them; a longer text is cut where a piece ends."""
     held: dict[str, list[bytes]] = {}
     size = 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    slices = (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS))
+    for some in slices:
+        for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
             text = text.encode().translate(FOLD)
             while len(text) > CHUNK and (at := max(text.rfind(END, 0, CHUNK), 0) or text.find(END, CHUNK)) > 0:
                 yield lang, text[:at]
@@ -141,7 +146,7 @@ def sieve(docs: DataFrame, least: int, tables: list[np.ndarray]) -> np.ndarray:
             for _, keys in kept_runs(lang, *tokens(text), held.value):
                 pass
             keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+            yield from _sliced(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         made = np.zeros(BLOCK, np.uint8)
@@ -205,17 +210,22 @@ def edges_and_ends(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
                 summed = _summed(held, schema)
                 held, size = [summed], summed.num_rows
                 if 2 * size > HELD:
-                    yield summed
+                    yield from _sliced(summed)
                     held, size = [], 0
         if held:
-            yield _summed(held, schema)
+            yield from _sliced(_summed(held, schema))
 
     return _texts(docs).mapInArrow(run, out).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SENT):
+        yield batch.slice(at, SENT)
+
+
 def _summed(batches: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
     """Equal grams of a task's chunks added up."""
-    table = pa.Table.from_batches(batches).group_by(schema.names[:3]).aggregate([("n", "sum")]).rename_columns(schema.names)
+    table = pa.Table.from_batches(batches).group_by(schema.names[:3], use_threads=False).aggregate([("n", "sum")]).rename_columns(schema.names)
     return table.cast(schema).combine_chunks().to_batches()[0] if table.num_rows else batches[0]
 
 

@@ -288,3 +288,13 @@ def test_chunks_are_small():
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 60), pa.array(["word " * 20_000] * 60)], names=["lang", "text"])
     sizes = [len(t) for _, t in collocations.chunks([batch])]
     assert sum(sizes) >= 6_000_000 and max(sizes) < 3 << 20
+
+
+def test_texts_and_rows_go_a_few_at_a_time():
+    """A batch of many texts is worked on in small parts, and what a task sends comes in small batches."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 5000), pa.array(["word " * 400] * 5000)], names=["lang", "text"])
+    sizes = [len(t) for _, t in collocations.chunks([batch])]
+    assert sum(sizes) > 9_900_000 and max(sizes) < 3 << 19
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50_001))], names=["n"])
+    parts = list(collocations._sliced(rows))
+    assert max(p.num_rows for p in parts) <= 20_000 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([rows]))
