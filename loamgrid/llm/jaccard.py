@@ -12,6 +12,7 @@ one region, so a region forms around what makes a distance below 1: a shingle.
 3.  What is left in a region joins recursively around more pivots, 16 times as many each time, against the region's
     other documents that are not linked yet, whose distances to the first pivot differ by the radius at most and whose
     sketches (parities of the set) allow a link.  The recursion ends when all are linked or each has been a pivot.
+    Two documents meet once over all rounds: in the least region they share, when the first of the two is a pivot.
 """
 
 from __future__ import annotations
@@ -228,6 +229,31 @@ def _placed(regions: DataFrame) -> DataFrame:
     return regions.join(one.select("region", "pivot", "m"), "region")
 
 
+def _in_turn(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``turn``, a document's place among the pivots of a region, and ``before``, its open regions that are less."""
+    every = placed.groupBy("rid").agg(F.collect_set("region").alias("every"))
+    turn = F.pmod(F.xxhash64("rid", "region"), F.col("m"))
+    before = F.filter("every", lambda r: r < F.col("region"))
+    return placed.join(every, "rid").withColumns({"turn": turn, "before": before}).drop("every")
+
+
+def _meeting(placed: DataFrame, low: int, high: int) -> DataFrame:
+    """``a, b``: pivots whose turn is from ``low`` to ``high`` and the region's documents of later turns that they may link with.
+
+    A pair is in the least region that both are in only, and no pair comes again in a later round.
+    """
+    radius = 1 - PERCENT / 100 + 1e-9
+    p = placed.where((F.col("turn") >= low) & (F.col("turn") < high)).alias("p")
+    x = placed.where(F.col("turn") >= low).alias("x")
+    after = F.struct("p.turn", "p.rid") < F.struct("x.turn", "x.rid")
+    near = F.abs(F.col("p.d") - F.col("x.d")) <= radius
+    sizes = F.least("p.n", "x.n") * 100 >= F.greatest("p.n", "x.n") * PERCENT
+    like = _may_link(F.col("p.sketch"), F.col("x.sketch"), F.col("p.n") + F.col("x.n"))
+    here = ~F.arrays_overlap("p.before", "x.before")
+    more = p.join(x, (F.col("p.region") == F.col("x.region")) & (F.col("p.label") != F.col("x.label")) & after & near & sizes & like & here)
+    return more.select(F.greatest("p.rid", "x.rid").alias("a"), F.least("p.rid", "x.rid").alias("b"))
+
+
 def _still_open(placed: DataFrame, labels: DataFrame) -> DataFrame:
     """``placed`` with ``label``, of the regions whose documents are not all linked."""
     now = placed.drop("label").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
@@ -281,32 +307,21 @@ def _linked(regions: DataFrame, texts: DataFrame) -> DataFrame:
     labels = _merged(labels, new.where(LINKED).select("a", "b"))
     distance = known.select(F.col("a").alias("rid"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("union_size")).alias("d"))
     placed = placed.join(distance, ["rid", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    pivots = 1
-    radius = 1 - PERCENT / 100 + 1e-9
+    low, high = 0, 16
     while True:
         now = _still_open(placed, labels)
-        drop_settled(placed) if pivots > 1 else None
+        drop_settled(placed) if low else None
         placed = now
         if placed.limit(1).count() == 0:
             return labels
-        last = pivots
-        pivots *= 16
-        chance = F.pmod(F.xxhash64("rid", "region"), F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(pivots))))
-        drawn = placed.join(texts.select("rid", "sketch"), "rid")
-        chosen = drawn.where((chance == 0) & (F.col("rid") != F.col("pivot"))).alias("p")
-        rest = drawn.where("rid <> pivot").alias("x")
-        near = F.abs(F.col("p.d") - F.col("x.d")) <= radius
-        sizes = (F.least("p.n", "x.n") * 100 >= F.greatest("p.n", "x.n") * PERCENT) & (F.col("p.label") != F.col("x.label"))
-        like = _may_link(F.col("p.sketch"), F.col("x.sketch"), F.col("p.n") + F.col("x.n"))
-        more = chosen.join(rest, (F.col("p.region") == F.col("x.region")) & near & sizes & (F.col("p.rid") != F.col("x.rid")) & like)
-        more = more.select(F.greatest("p.rid", "x.rid").alias("a"), F.least("p.rid", "x.rid").alias("b")).distinct()
-        seen = known.select("a", "b")
-        new = cut(_overlaps(more.join(seen, ["a", "b"], "left_anti"), texts), free=True)
+        drawn = _in_turn(placed).where("rid <> pivot").join(texts.select("rid", "sketch"), "rid")
+        more = _meeting(drawn, low, high).distinct()
+        new = cut(_overlaps(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts), free=True)
         known = known.unionByName(new)
         labels = _merged(labels, new.where(LINKED).select("a", "b"))
-        finished = placed.where(F.col("m") > last * 16)
-        if finished.limit(1).count() == 0:  # each document of each open region has been a pivot
+        if placed.where(F.col("m") > high).limit(1).count() == 0:  # each document of each open region has been a pivot
             return labels
+        low, high = high, 16 * high
 
 
 def _labelled(docs: DataFrame) -> DataFrame:

@@ -425,3 +425,15 @@ def test_merged_labels(spark):
     got = sorted(tuple(r) for r in jaccard._merged(labels, links).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8)]
     assert sorted(tuple(r) for r in jaccard._merged(labels, links.limit(0)).collect()) == sorted(tuple(r) for r in labels.collect())
+
+
+def test_a_pair_meets_once(spark):
+    """Over all rounds and all regions that two documents share, and none that share a region is left out."""
+    draw = random.Random(7)
+    held = {rid: set(draw.sample(range(6), 2)) | ({8} if rid % 3 else set()) for rid in range(1, 41)}
+    m = Counter(r for regions in held.values() for r in regions)
+    rows = [(r, rid, 60, 0, m[r], 0.1, rid, [5]) for rid, regions in held.items() for r in regions]
+    placed = spark.createDataFrame(rows, "region long, rid long, n long, pivot long, m long, d double, label long, sketch array<long>")
+    drawn = jaccard._in_turn(placed)
+    pairs = [tuple(p) for low, high in ((0, 16), (16, 256)) for p in jaccard._meeting(drawn, low, high).collect()]
+    assert sorted(pairs) == sorted((a, b) for a in held for b in held if a > b and held[a] & held[b])
