@@ -56,6 +56,16 @@ def test_date_line_and_poles(spark, metres):
     assert (near["right_id"].to_numpy() == d.argmin(axis=1)).all()
 
 
+def test_copied_right_rows_do_not_go_through_the_driver(spark):
+    rng = np.random.default_rng(9)
+    left, right = rng.uniform(0, 2, (300, 2)), rng.uniform(0, 2, (5000, 2))
+    met = J.distance_pairs(layer(spark, left), layer(spark, right), 4000.0)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    want = {(int(i), int(k)) for i, k in zip(*np.nonzero(hav(left, right) <= 4000.0))}
+    got = [(r["l_id"], r["r_id"]) for r in met.select("l_id", "r_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_salting_changes_nothing(spark):
     left = spark.range(1000).select("id", F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 20).alias("k"))
     right = spark.range(60).select((F.col("id") % 20).alias("k"), F.col("id").alias("r"))
