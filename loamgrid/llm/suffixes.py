@@ -21,15 +21,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from loamgrid.llm.base import arrow_schema, cut, documents
-from loamgrid.llm.prints import BYTE, ODD, RANGED, bucket_bits, by_id, by_range, joined_keys, mix, pieces_of, planes, short, text_chunks, unplaned, with_shared
+from loamgrid.llm.prints import BYTE, ODD, RANGED, bucket_bits, by_id, by_range, joined_keys, mix, pieces_of, planes, rows_of, short, text_chunks, unplaned, with_shared
 
 GRAM = 24
 #: Of the pieces' bytes on their way.
 CODEC = "zstd"
 #: Windows sorted at a time.
 SORTED = 100_000
-#: Distinct pieces held before they are sent.
-HELD = 80_000
+#: Distinct pieces held before they are sent, and windows known to be later copies.
+HELD, TOLD = 80_000, 320_000
+#: Windows placed at a time, and answers held before they are sent.
+PLACED, ANSWERED = 2_000_000, 1_000_000
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -111,7 +113,8 @@ def _candidates(df: DataFrame, length: int, keep_text: bool) -> DataFrame:
 
 def _pieces(df: DataFrame, length: int) -> DataFrame:
     """``bucket, echo, meta, bytes``: distinct pieces of a batch, for its earliest document; windows of the others are answered."""
-    bits = bucket_bits(df.sparkSession)
+    # least hashes crowd at the low numbers; mixed again they fill the buckets evenly, so a few a partition are enough
+    bits = bucket_bits(df.sparkSession) - 2
     out_ddl = "bucket int, echo boolean, meta binary, bytes binary"
     out_schema = arrow_schema(out_ddl)
 
@@ -147,7 +150,7 @@ def _pieces(df: DataFrame, length: int) -> DataFrame:
                 for r, first, last, value in pieces_of(*_runs(data, offsets, length)):
                     hit = np.flatnonzero(np.unpackbits(np.frombuffer(runs[at + r], np.uint8), count=len(first)))
                     rid, doc, base = rids[at + r], docs[at + r], int(offsets[r])
-                    for a, b, v in zip(first[hit].tolist(), last[hit].tolist(), value[hit].tolist()):
+                    for a, b, v in zip(first[hit].tolist(), last[hit].tolist(), mix(value[hit]).tolist()):
                         key = raw[base + a : base + b + length - 1]
                         was = best.get(key)
                         if was is None:
@@ -159,7 +162,7 @@ def _pieces(df: DataFrame, length: int) -> DataFrame:
                             was[2].append((rid, a))
                         else:
                             later.append((rid, a, len(key)))
-                if len(best) >= HELD:
+                if len(best) >= HELD or len(later) >= TOLD:
                     yield from send()
         yield from send()
 
@@ -202,7 +205,8 @@ def earlier_copies(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _answers(df: DataFrame, length: int) -> DataFrame:
     """``rid, windows``: packed (first window, number) pairs of windows with an earlier copy, one row per rid.
 
-    A task answers by ranges of rids, so its rows do not grow with the documents that it meets.
+    A task answers by ranges of rids, so its rows do not grow with the documents that it meets.  Its buckets come in order,
+    one is held at a time.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -213,47 +217,68 @@ def _answers(df: DataFrame, length: int) -> DataFrame:
         data = np.frombuffer(b"".join(pa.decompress(t, n, CODEC, asbytes=True) for t, n in zip(texts, sizes)), np.uint8)
         windows = np.lib.stride_tricks.sliding_window_view(data, length)
         n = size - length + 1  # windows of each piece
-        piece = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        place = (np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        at = (np.cumsum(size) - size)[piece] + place
+        first, base, total = np.cumsum(n) - n, np.cumsum(size) - size, int(n.sum())
+
+        def placed(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The pieces of windows, by their number in the bucket, and their places there."""
+            piece = np.searchsorted(first, window, side="right") - 1
+            return piece, window - first[piece]
+
         # equal windows begin alike, so their first bytes split a large bucket
-        parts = -(-len(at) // SORTED)
-        part = np.zeros(len(at), np.uint8 if parts < 256 else np.uint32)
-        if parts > 1:
+        parts = -(-total // SORTED)
+        part = np.zeros(total, np.uint16 if parts <= 1 << 16 else np.uint32)
+        for a in range(0, total if parts > 1 else 0, PLACED):
+            piece, place = placed(np.arange(a, min(a + PLACED, total)))
+            at = base[piece] + place
             word = sum(data[at + i].astype(np.uint64) << np.uint64(8 * i) for i in range(8))
-            part[:] = mix(word) % np.uint64(parts)
-            del word
-        gone = np.zeros(len(at), bool)
-        for k in range(parts):
-            mine = np.flatnonzero(part == k)
-            gone[mine] = earlier_copies(windows[at[mine]], doc[piece[mine]])
-        hit = np.flatnonzero(gone)
-        if len(hit):
-            new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(piece[hit]) != 0)])
-            head = hit[new]
-            yield np.column_stack([rid[piece[head]], start[piece[head]] + place[head], np.diff(np.r_[new, len(hit)])])
+            part[a : a + len(at)] = mix(word) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        ends = np.cumsum(np.bincount(part, minlength=parts))
+        del part
+        gone = np.zeros(total, bool)
+        for a, b in zip(np.r_[0, ends[:-1]], ends):
+            mine = order[a:b]
+            piece, place = placed(mine)
+            gone[mine] = earlier_copies(windows[base[piece] + place], doc[piece])
+        del order
+        edge = np.zeros(total + 1, bool)
+        edge[first] = edge[-1] = True
+        head = np.flatnonzero(gone & (edge[:-1] | ~np.r_[False, gone[:-1]]))
+        tail = np.flatnonzero(gone & (edge[1:] | ~np.r_[gone[1:], False]))
+        if len(head):
+            piece, place = placed(head)
+            yield np.column_stack([rid[piece], start[piece] + place, tail - head + 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets: dict[int, tuple[list, list]] = {}
+        metas, texts, now = [], [], None
         found = []
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            got = np.concatenate(found)
+            found.clear()
+            yield from by_range(got[:, 0], np.ascontiguousarray(got[:, 1:], dtype="<i4").view("<i8").ravel(), partitions)
+
         for batch in batches:
-            for b, echo, meta, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for b, echo, meta, raw in rows_of(batch):
+                if b != now and metas:
+                    found += copied(metas, texts)
+                    metas, texts = [], []
+                now = b
                 if echo:
                     got = np.frombuffer(meta, "<i8").reshape(-1, 3).copy()
                     got[:, 2] -= length - 1
                     found.append(got)
                 else:
-                    metas, texts = buckets.setdefault(b, ([], []))
                     metas.append(meta)
                     texts.append(raw)
-        while buckets:
-            found += copied(*buckets.popitem()[1])
-        if not found:
-            return
-        got = np.concatenate(found)
-        yield from by_range(got[:, 0], np.ascontiguousarray(got[:, 1:], dtype="<i4").view("<i8").ravel(), partitions)
-
-    return by_id(df.repartition(partitions, "bucket").mapInArrow(run, RANGED), partitions, "rid", "windows")
+                if sum(map(len, found)) >= ANSWERED:
+                    yield from answered()
+        if metas:
+            found += copied(metas, texts)
+        if found:
+            yield from answered()
+
+    return by_id(df.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGED), partitions, "rid", "windows")
 
 
 def without(raw: bytes, windows: bytes | None, length: int) -> tuple[bytes, int, int]:

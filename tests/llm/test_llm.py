@@ -67,6 +67,21 @@ def test_suffix_dedup(spark, hard):
     assert suffixes.remove_copies(hard.limit(0)).count() == 0
 
 
+def test_suffix_dedup_in_small_steps(spark, hard, monkeypatch):
+    for name, n in (("SORTED", 50), ("PLACED", 64), ("ANSWERED", 10), ("HELD", 20), ("TOLD", 5)):
+        monkeypatch.setattr(suffixes, name, n)
+    assert Counter(map(tuple, suffixes.remove_copies(hard).collect())) == brute_removed(rows_of(hard))
+
+
+def test_pieces_fill_their_buckets_evenly(spark):
+    rng = random.Random(3)
+    raw = "".join(rng.choice("abcdefghij klmnop") for _ in range(300_000)).encode()
+    n = len(suffixes._runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 50)[0])
+    docs = spark.createDataFrame([(1, 1, raw.decode(), np.packbits(np.ones(n, bool)).tobytes())], "rid long, doc_id long, text string, runs binary")
+    held = [len(r["meta"]) // 32 for r in suffixes._pieces(docs, 50).collect()]
+    assert sum(held) == n and max(held) <= 3 * n / len(held)
+
+
 def test_previous_smaller():
     rng = np.random.default_rng(1)
     for _ in range(50):
